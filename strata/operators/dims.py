@@ -36,6 +36,17 @@ def checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dim:
     return Dim(df, df.count(), max_rows)
 
 
+def bounded(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> Dim:
+    """A table whose row count is bounded by construction (e.g. one row per
+    class of an already checked class table); no job is run."""
+    return Dim(df, rows, max_rows)
+
+
+def derive(dim: Dim, df: DataFrame, factor: int = 1) -> Dim:
+    """A table derived from ``dim`` with at most ``factor`` rows per row of it."""
+    return Dim(df, dim.rows * factor, dim.max_rows)
+
+
 def join_dim(big: DataFrame, dim: Dim | DataFrame, on, how: str = "inner") -> DataFrame:
     if isinstance(dim, Dim):
         return big.join(dim.side(), on, how)

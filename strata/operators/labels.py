@@ -46,11 +46,17 @@ def label_map(df: DataFrame, level: str = "S") -> DataFrame:
     return class_table(df.select(level_code(level).alias("digit"))).df.select("label", "digit")
 
 
-def label_encode(df: DataFrame, level: str = "S", classes: Dim | None = None) -> DataFrame:
-    """Attach ``digit`` (the level's code) and its dense ``label``."""
+def encode(df: DataFrame, level: str = "S") -> tuple[DataFrame, Dim]:
+    """Attach ``digit`` (the level's code) and its dense ``label``; also
+    return the checked class table (label, digit, n) for later size-bounded joins."""
     coded = df.withColumn("digit", level_code(level))
-    classes = classes or class_table(coded)
-    return join_dim(coded, Dim(classes.df.select("digit", "label"), classes.rows, classes.max_rows), "digit")
+    classes = class_table(coded)
+    out = join_dim(coded, Dim(classes.df.select("digit", "label"), classes.rows, classes.max_rows), "digit")
+    return out, classes
+
+
+def label_encode(df: DataFrame, level: str = "S") -> DataFrame:
+    return encode(df, level)[0]
 
 
 def label_levels(df: DataFrame) -> DataFrame:

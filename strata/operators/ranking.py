@@ -2,17 +2,17 @@
 
 The order of a row inside its group is ``(md5(seed:salt:id), id)``. A window
 partitioned by the group alone would put a huge class into one task, so the
-rank is split in two:
-
-* a histogram ``(group, bucket) -> count`` on the leading hex digits of the
-  key (at most 16**digits rows per group, map-side combined), whose running
-  sum gives every bucket's offset inside its group;
-* a ``row_number`` inside ``(group, bucket)`` partitions only, so the largest
-  window partition holds about n / 4096 rows of the largest class.
-
-``take_ranked`` goes further for top-k: buckets entirely inside or outside the
-quota are decided from the histogram, and only the one bucket per group that
-straddles the cut is ranked.
+work is split:
+
+* a histogram ``(group, bucket) -> count`` on the leading hex digits of the key
+  (map-side combined; at most 16**digits rows per group) gives every bucket's
+  offset inside its group;
+* for a top-k cut, the histogram is reduced to one row per group: the bucket
+  that straddles k. Rows in earlier buckets are in, later ones out, and only
+  the straddling bucket is ranked;
+* where exact ranks are needed, ``row_number`` runs inside ``(group, bucket)``
+  partitions, so the largest window partition holds about n / 4096 rows of the
+  largest class, and the join to the offsets shares that partitioning.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strata.functions.hashing import bucket_of, seed_key
-from strata.operators.dims import Dim, checked, join_dim
+from strata.operators.dims import Dim, derive, join_dim
 
 BUCKET_DIGITS = 3
+_HELPERS = ("_key", "_b", "_cb", "_before", "_k", "_cnt")
 
 
 def with_order_key(df: DataFrame, seed, id_col: str = "id", salt: Sequence = (),
@@ -33,13 +34,24 @@ def with_order_key(df: DataFrame, seed, id_col: str = "id", salt: Sequence = (),
     return df.withColumn("_key", key).withColumn("_b", bucket_of(F.col("_key"), digits))
 
 
-def _bucket_counts(d: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+def _offsets(d: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, _b, _cnt, _before): rows of the group in earlier buckets."""
+    hist = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint"))
 
 
-def _before(groups: Sequence[str]):
-    w = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint")
+def _cut(d: DataFrame, groups: Sequence[str], quota: Dim, k_col: str) -> tuple[Dim, DataFrame]:
+    """One row per group with k >= 1: the straddling bucket ``_cb`` and its offset."""
+    offs = join_dim(_offsets(d, groups), quota, list(groups))
+    k = F.col(k_col)
+    cut = (offs.filter((F.col("_before") < k) & (F.col("_before") + F.col("_cnt") >= k))
+           .select(*groups, F.col("_b").alias("_cb"), "_before", k.alias("_k")))
+    return derive(quota, cut), offs
+
+
+def _rank(groups: Sequence[str], id_col: str):
+    return F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_key", id_col))
 
 
 def rank_within(df: DataFrame, groups: Sequence[str], seed, id_col: str = "id",
@@ -47,57 +59,48 @@ def rank_within(df: DataFrame, groups: Sequence[str], seed, id_col: str = "id",
     """Exact 1-based rank of every row inside ``groups`` by (md5 key, id)."""
     groups = list(groups)
     d = with_order_key(df, seed, id_col, salt, digits)
-    offsets = _bucket_counts(d, groups).withColumn("_before", _before(groups)).drop("_cnt")
-    joined = join_dim(d, checked(offsets), [*groups, "_b"])
-    w = Window.partitionBy(*groups, "_b").orderBy("_key", id_col)
-    ranked = joined.withColumn(rank_col, (F.col("_before") + F.row_number().over(w)).cast("int"))
-    return ranked.drop("_key", "_b", "_before")
-
-
-def _cut_table(d: DataFrame, groups: Sequence[str], quota: Dim | DataFrame, k_col: str) -> Dim:
-    hist = join_dim(_bucket_counts(d, groups), quota, list(groups))
-    hist = hist.withColumn("_before", _before(groups))
-    hist = hist.filter(F.col("_before") < F.col(k_col))
-    hist = hist.withColumn("_full", F.col("_before") + F.col("_cnt") <= F.col(k_col))
-    return checked(hist.select(*groups, "_b", "_before", "_full", F.col(k_col).alias("_k")))
+    offs = _offsets(d, groups).drop("_cnt")
+    joined = d.join(offs, [*groups, "_b"])
+    ranked = joined.withColumn(rank_col, (F.col("_before") + _rank(groups, id_col)).cast("int"))
+    return ranked.drop(*_HELPERS)
 
 
-def take_ranked(df: DataFrame, groups: Sequence[str], quota: Dim | DataFrame, seed,
+def take_ranked(df: DataFrame, groups: Sequence[str], quota: Dim, seed,
                 id_col: str = "id", salt: Sequence = (), k_col: str = "k",
                 rank_col: str | None = "rank", digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Rows whose seeded rank inside ``groups`` is at most the group's quota ``k``.
+    """Rows whose seeded rank inside ``groups`` is at most the group's quota.
 
-    ``quota`` has ``groups`` + ``k_col``; groups without a quota row keep nothing.
-    With ``rank_col`` the exact rank is attached (selected rows are ranked inside
-    their bucket); without it only the straddling bucket is ranked.
+    ``quota`` holds ``groups`` + ``k_col``; groups without a row keep nothing.
+    With ``rank_col`` the exact rank of each kept row is attached.
     """
     groups = list(groups)
     d = with_order_key(df, seed, id_col, salt, digits)
-    cut = _cut_table(d, groups, quota, k_col)
-    sel = join_dim(d, cut, [*groups, "_b"])
-    w = Window.partitionBy(*groups, "_b").orderBy("_key", id_col)
+    cut, offs = _cut(d, groups, quota, k_col)
+    sel = join_dim(d, cut, groups).filter(F.col("_b") <= F.col("_cb"))
     if rank_col:
-        out = (sel.withColumn(rank_col, (F.col("_before") + F.row_number().over(w)).cast("int"))
-               .filter(F.col(rank_col) <= F.col("_k")))
-    else:
-        whole = sel.filter(F.col("_full"))
-        part = (sel.filter(~F.col("_full"))
-                .filter(F.col("_before") + F.row_number().over(w) <= F.col("_k")))
-        out = whole.unionByName(part)
-    return out.drop("_key", "_b", "_before", "_full", "_k")
-
-
-def mark_ranked(df: DataFrame, groups: Sequence[str], quota: Dim | DataFrame, seed,
+        o = offs.join(F.broadcast(cut.df.select(*groups, "_cb")) if cut.fits else cut.df.select(*groups, "_cb"),
+                      groups).filter(F.col("_b") <= F.col("_cb")).select(*groups, "_b", F.col("_before").alias("_o"))
+        ranked = sel.join(o, [*groups, "_b"]).withColumn(rank_col, (F.col("_o") + _rank(groups, id_col)).cast("int"))
+        return ranked.filter(F.col(rank_col) <= F.col("_k")).drop(*_HELPERS, "_o")
+    whole = sel.filter(F.col("_b") < F.col("_cb"))
+    straddle = (sel.filter(F.col("_b") == F.col("_cb"))
+                .withColumn("_in", F.col("_before") + _rank(groups, id_col) <= F.col("_k"))
+                .filter(F.col("_in")).drop("_in"))
+    return whole.unionByName(straddle).drop(*_HELPERS)
+
+
+def mark_ranked(df: DataFrame, groups: Sequence[str], quota: Dim, seed,
                 id_col: str = "id", salt: Sequence = (), k_col: str = "k", flag_col: str = "_in",
                 digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Every row, with ``flag_col`` = rank <= k. Only the straddling bucket is ranked."""
+    """Every row, with ``flag_col`` = (rank <= k). Only the straddling bucket is ranked."""
     groups = list(groups)
     d = with_order_key(df, seed, id_col, salt, digits)
-    cut = _cut_table(d, groups, quota, k_col)
-    marked = join_dim(d, cut, [*groups, "_b"], "left")
-    decided = (marked.filter(F.col("_full").isNull() | F.col("_full"))
-               .withColumn(flag_col, F.coalesce(F.col("_full"), F.lit(False))))
-    w = Window.partitionBy(*groups, "_b").orderBy("_key", id_col)
-    straddle = (marked.filter(~F.col("_full"))
-                .withColumn(flag_col, F.col("_before") + F.row_number().over(w) <= F.col("_k")))
-    return decided.unionByName(straddle).drop("_key", "_b", "_before", "_full", "_k")
+    cut, _ = _cut(d, groups, quota, k_col)
+    m = join_dim(d, cut, groups, "left")
+    status = (F.when(F.col("_cb").isNull(), F.lit(False))
+              .when(F.col("_b") < F.col("_cb"), F.lit(True))
+              .when(F.col("_b") > F.col("_cb"), F.lit(False)))
+    decided = m.withColumn(flag_col, status).filter(F.col(flag_col).isNotNull())
+    straddle = (m.filter(F.col("_b") == F.col("_cb"))
+                .withColumn(flag_col, F.col("_before") + _rank(groups, id_col) <= F.col("_k")))
+    return decided.unionByName(straddle).drop(*_HELPERS)

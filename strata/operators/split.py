@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.operators.dims import Dim, checked
+from strata.operators.dims import Dim, checked, derive
 from strata.operators.ranking import mark_ranked
 
 # Fixed values of the split rule: (size bound, test rows) for small classes and
@@ -42,7 +42,7 @@ def stratified_split(df: DataFrame, test_ratio: float | None = None, num_test: i
         if num_test is None:
             raise ValueError("give test_ratio or num_test")
         test_ratio = split_ratio(classes, num_test)
-    quota = checked(classes.df.select(label_col, test_quota(F.col("n"), test_ratio).alias("k")))
+    quota = derive(classes, classes.df.select(label_col, test_quota(F.col("n"), test_ratio).alias("k")))
     marked = mark_ranked(df, [label_col], quota, seed, id_col=id_col)
     return (marked.withColumn(part_col, F.when(F.col("_in"), "test").otherwise("train"))
             .drop("_in"))

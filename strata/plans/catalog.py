@@ -15,9 +15,12 @@ from strata.operators import labels as L
 from strata.operators import ranking as R
 from strata.operators import split as S
 from strata.operators import upsample as U
+from strata.operators import bootstrap as B
+from strata.operators.dims import derive
 from strata.plans import sqltext as Q
 from strata.plans.preprocess import preprocess
 from strata.sources.corpus import corpus
+from strata.session import persist_table
 from strata.sources.tables import table
 
 SEED = 42
@@ -43,20 +46,30 @@ def docs(spark, sf):
 
 
 def base(spark, sf) -> DataFrame:
-    """corpus -> fill -> dedup (the input of every labelled operator)."""
-    return D.dedup_exact(T.fill_text(corpus(docs(spark, sf))))
+    """corpus -> fill -> dedup (the input of every labelled operator), written
+    once to the shared checkpoint folder so later passes re-read a table."""
+    return persist_table(D.dedup_exact(T.fill_text(corpus(docs(spark, sf)))), "dedup")
 
 
 def labelled(spark, sf) -> DataFrame:
     return L.label_encode(base(spark, sf))
 
 
+def split_with_classes(spark, sf):
+    rows, classes = L.encode(base(spark, sf))
+    sizes = derive(classes, classes.df.select("label", "n"))
+    return S.stratified_split(rows, test_ratio=TEST_RATIO, seed=SEED, classes=sizes), classes
+
+
 def split_rows(spark, sf) -> DataFrame:
-    return S.stratified_split(labelled(spark, sf), test_ratio=TEST_RATIO, seed=SEED)
+    return split_with_classes(spark, sf)[0]
 
 
-def train_rows(spark, sf) -> DataFrame:
-    return split_rows(spark, sf).filter(F.col("part") == "train").select("label", "id", *T.TEXT_COLS)
+def train_rows(spark, sf):
+    """(train rows, proven bound on the number of classes)."""
+    rows, classes = split_with_classes(spark, sf)
+    rows = persist_table(rows.filter(F.col("part") == "train").select("label", "id", *T.TEXT_COLS), "train")
+    return rows, classes.rows
 
 
 # --- 2.2 projections and scalar functions -----------------------------------
@@ -101,7 +114,7 @@ def q_non_empty(spark, sf):
 
 @register("dedup_exact", f"with corpus as ({Q.corpus()}) select min(id) as id, {Q.KEYS} from corpus group by {Q.KEYS}")
 def q_dedup_exact(spark, sf):
-    return base(spark, sf)
+    return D.dedup_exact(T.fill_text(corpus(docs(spark, sf))))
 
 
 @register("dedup_none", f"with corpus as ({Q.corpus()}) select min(id) as id, {Q.KEYS} from corpus "
@@ -234,22 +247,26 @@ _UPS_COLS = ["label", "id", "copy", "slot", *T.TEXT_COLS]
 
 @register("upsample_random", _random_sql(MINIMUM))
 def q_upsample_random(spark, sf):
-    return U.upsample_random(train_rows(spark, sf), minimum=MINIMUM, seed=SEED).select(*_UPS_COLS)
+    tr, c = train_rows(spark, sf)
+    return U.upsample_random(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_UPS_COLS)
 
 
 @register("upsample_uniform", _uniform_sql(MINIMUM))
 def q_upsample_uniform(spark, sf):
-    return U.upsample_uniform(train_rows(spark, sf), minimum=MINIMUM, seed=SEED).select(*_UPS_COLS)
+    tr, c = train_rows(spark, sf)
+    return U.upsample_uniform(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_UPS_COLS)
 
 
 @register("upsample_shuffle", _shuffle_sql(MINIMUM))
 def q_upsample_shuffle(spark, sf):
-    return U.upsample_shuffle(train_rows(spark, sf), minimum=MINIMUM, seed=SEED).select(*_UPS_COLS)
+    tr, c = train_rows(spark, sf)
+    return U.upsample_shuffle(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_UPS_COLS)
 
 
 @register("mix_columns", _mix_sql(MIX_FRAC))
 def q_mix_columns(spark, sf):
-    return U.mix_columns(train_rows(spark, sf), frac=MIX_FRAC, seed=SEED).select(*_UPS_COLS)
+    tr, c = train_rows(spark, sf)
+    return U.mix_columns(tr, frac=MIX_FRAC, seed=SEED, classes=c).select(*_UPS_COLS)
 
 
 def _preprocess_sql(m: int) -> str:
@@ -269,3 +286,74 @@ from split where part = 'test'"""
 def q_preprocess(spark, sf):
     frame = corpus(docs(spark, sf))
     return preprocess(frame, test_ratio=TEST_RATIO, upsample="random", minimum=MINIMUM, seed=SEED).rows
+
+
+# --- 2.8 bagging ---------------------------------------------------------------
+
+BAGS = 3
+BAG_FRAC = 0.4
+MIN_CAT = 2
+
+
+def bag_input(spark, sf):
+    rows, classes = L.encode(base(spark, sf))
+    sizes = derive(classes, classes.df.select("label", "n"))
+    total = int(BAG_FRAC * B._total(sizes))
+    return rows.select("id", "label"), sizes, total
+
+
+def _bag_sql(quota_ctes: str) -> str:
+    return f"""with {Q.base_ctes(SEED, TEST_RATIO)},
+tot as (select sum(n) as big_n, cast(floor({Q.lit(BAG_FRAC)} * sum(n)) as bigint) as total from classes),
+bags as (select label, n, unnest(range(0, {BAGS})) as bag from classes),
+{quota_ctes},
+rows as (select l.id, l.label, b.bag from labelled l, unnest(range(0, {BAGS})) as b(bag)),
+ranked_rows as (select id, label, bag, row_number() over (partition by bag, label order by md5({Q.key(Q.lit(str(SEED)), 'bag', 'id')}), id) as rk from rows),
+picked as (select r.bag, r.id, r.label from ranked_rows r join quota q on q.bag = r.bag and q.label = r.label where r.rk <= q.k)"""
+
+
+_SAME_Q = f"""quota as (select bag, label, cast(case when n <= {MIN_CAT} then n else
+   floor((cast(total as double) / big_n) * n + ({MIN_CAT} - {MIN_CAT} * (cast(total as double) / big_n))) end as bigint) as k
+   from bags, tot)"""
+
+_RANDOM_Q = f"""cand as (select bag, label, n, attempt, least({MIN_CAT}, n) + ({Q.h(Q.lit(str(SEED)), 'bag', 'label', 'attempt')} % (n - least({MIN_CAT}, n) + 1)) as q0
+         from bags, unnest(range(0, {B.ATTEMPTS})) as a(attempt)),
+chosen as (select bag, min(attempt) as attempt from (select bag, attempt, sum(q0) as s from cand group by bag, attempt) x, tot
+           where s >= total group by bag),
+q as (select c.bag, c.label, c.q0 from cand c join chosen using (bag, attempt)
+      union all select b.bag, b.label, b.n as q0 from bags b where b.bag not in (select bag from chosen)),
+cuts as (select bag, max(c) as cut from (select bag, c, sum(case when q0 < c then q0 else 0 end) as sc
+         from q, unnest(range({B.CUT_START}, -1, -{B.CUT_STEP})) as u(c) group by bag, c) x, tot where sc <= total group by bag),
+qb as (select q.*, q0 >= cut as big from q join cuts using (bag)),
+qs as (select qb.*, sum(case when big then q0 else 0 end) over (partition by bag) as s_big,
+       total - sum(case when big then 0 else q0 end) over (partition by bag) as rest from qb, tot),
+qr as (select *, case when big and s_big > 0 then (rest * q0) // s_big else 0 end as base,
+       case when big and s_big > 0 then (rest * q0) % s_big else -1 end as rem from qs),
+ql as (select *, rest - sum(case when big then base else 0 end) over (partition by bag) as lft from qr),
+quota as (select bag, label, cast(case when big then base + (case when row_number() over
+          (partition by bag order by big desc, rem desc, label) <= lft then 1 else 0 end) else q0 end as bigint) as k from ql)"""
+
+
+@register("bootstrap_same", _bag_sql(_SAME_Q) + "\nselect bag, id, label from picked")
+def q_bootstrap_same(spark, sf):
+    rows, sizes, total = bag_input(spark, sf)
+    return B.bootstrap(rows, BAGS, total, "same", MIN_CAT, SEED, sizes=sizes).select("bag", "id", "label")
+
+
+@register("bootstrap_random", _bag_sql(_RANDOM_Q) + "\nselect bag, id, label from picked")
+def q_bootstrap_random(spark, sf):
+    rows, sizes, total = bag_input(spark, sf)
+    return B.bootstrap(rows, BAGS, total, "random", MIN_CAT, SEED, sizes=sizes).select("bag", "id", "label")
+
+
+@register("bootstrap_quotas", _bag_sql(_RANDOM_Q) + "\nselect bag, label, k from quota")
+def q_bootstrap_quotas(spark, sf):
+    rows, sizes, total = bag_input(spark, sf)
+    return B.quotas_random(sizes, BAGS, total, MIN_CAT, SEED).df.select("bag", "label", "k")
+
+
+@register("bootstrap_oob", _bag_sql(_SAME_Q) + "\nselect id, label from labelled where id not in (select id from picked)")
+def q_bootstrap_oob(spark, sf):
+    rows, sizes, total = bag_input(spark, sf)
+    bagged = B.bootstrap(rows, BAGS, total, "same", MIN_CAT, SEED, sizes=sizes)
+    return B.out_of_bag(rows, bagged)
