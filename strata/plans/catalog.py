@@ -16,10 +16,13 @@ from strata.operators import ranking as R
 from strata.operators import split as S
 from strata.operators import upsample as U
 from strata.operators import bootstrap as B
+from strata.operators import losses as LS
+from strata.operators import metrics as M
+from strata.functions import arrays as A
 from strata.operators.dims import derive
 from strata.plans import sqltext as Q
 from strata.plans.preprocess import preprocess
-from strata.sources.corpus import corpus
+from strata.sources.corpus import corpus, logits
 from strata.session import persist_table
 from strata.sources.tables import table
 
@@ -357,3 +360,127 @@ def q_bootstrap_oob(spark, sf):
     rows, sizes, total = bag_input(spark, sf)
     bagged = B.bootstrap(rows, BAGS, total, "same", MIN_CAT, SEED, sizes=sizes)
     return B.out_of_bag(rows, bagged)
+
+
+# --- 2.2 / 2.4 scores, losses and metrics ----------------------------------------
+
+C10 = 10
+ICE_BATCH = 100
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def scored(spark, sf, member: int = 0) -> DataFrame:
+    return logits(table(spark, sf, "embeddings"), member=member, num_classes=C10)
+
+
+@register("softmax", f"with {Q.logits_ctes()} select id, cls, round(p[cls + 1], 6) as p "
+          f"from sm, unnest(range(0, {C10})) as u(cls)")
+def q_softmax(spark, sf):
+    return (scored(spark, sf).select("id", F.posexplode(A.softmax("z")).alias("cls", "p"))
+            .select("id", "cls", r6(F.col("p")).alias("p")))
+
+
+@register("one_hot", f"with {Q.logits_ctes()} select id, cls, cast(cls = label as int) as t "
+          f"from z, unnest(range(0, {C10})) as u(cls)")
+def q_one_hot(spark, sf):
+    return scored(spark, sf).select("id", F.posexplode(A.one_hot("label", C10)).alias("cls", "t"))
+
+
+@register("argmax", f"with {Q.logits_ctes()} select id, label, pred from sm")
+def q_argmax(spark, sf):
+    return scored(spark, sf).select("id", "label", A.argmax("z").alias("pred"))
+
+
+_CE = f"-ln(p[label + 1] + {Q.lit(LS.EPS)})"
+_FOCAL = f"-(pow(1.0 - p[label + 1], 2.0) * 1.0 * ln(p[label + 1] + {Q.lit(LS.EPS)}))"
+
+
+@register("loss_ce", f"with {Q.logits_ctes()} select round(avg({_CE}), 6) as loss_mean, "
+          f"round(sum({_CE}), 6) as loss_sum from sm")
+def q_loss_ce(spark, sf):
+    rows = LS.row_loss(scored(spark, sf), "CE")
+    return rows.agg(r6(F.avg("loss")).alias("loss_mean"), r6(F.sum("loss")).alias("loss_sum"))
+
+
+@register("loss_per_row", f"with {Q.logits_ctes()} select id, round({_CE}, 6) as loss from sm")
+def q_loss_per_row(spark, sf):
+    return LS.row_loss(scored(spark, sf), "CE").select("id", r6(F.col("loss")).alias("loss"))
+
+
+@register("loss_focal", f"with {Q.logits_ctes()} select round(avg({_FOCAL}), 6) as loss_mean from sm")
+def q_loss_focal(spark, sf):
+    return LS.row_loss(scored(spark, sf), "FCE").agg(r6(F.avg("loss")).alias("loss_mean"))
+
+
+_WEIGHTS_SQL = """cw as (select label, 1.0 / pow(cast(count(*) as double), 1.0) as w from z group by label),
+weights as (select label, w / sum(w) over () * count(*) over () as weight from cw)"""
+
+
+@register("class_weights", f"with {Q.logits_ctes()}, {_WEIGHTS_SQL} select label, round(weight, 6) as weight from weights")
+def q_class_weights(spark, sf):
+    return LS.class_weights(scored(spark, sf)).df.select("label", r6(F.col("weight")).alias("weight"))
+
+
+@register("loss_ce_weighted", f"with {Q.logits_ctes()}, {_WEIGHTS_SQL} "
+          f"select round(avg(weight * {_CE}), 6) as loss_mean from sm join weights using (label)")
+def q_loss_ce_weighted(spark, sf):
+    z = scored(spark, sf)
+    rows = LS.row_loss(z, "CE", weights=LS.class_weights(z))
+    return rows.agg(r6(F.avg("loss")).alias("loss_mean"))
+
+
+_ICE_SQL = f"""b as (select *, cast(floor(id / {ICE_BATCH}) as bigint) as batch_id from sm),
+cnt as (select batch_id, label, count(*) as c, 1.0 / (pow(cast(count(*) as double), 1.0) + {Q.lit(LS.EPS)}) as inv
+        from b group by batch_id, label),
+nrm as (select batch_id, sum(inv) + ({C10} - count(*)) / {Q.lit(LS.EPS)} as norm from cnt group by batch_id),
+w as (select batch_id, label, inv / norm * {Q.lit(LS.ICE_SCALE)} as w from cnt join nrm using (batch_id))"""
+
+
+@register("loss_ice", f"with {Q.logits_ctes()}, {_ICE_SQL} select round(avg(w * {_CE}), 6) as loss_mean "
+          f"from b join w using (batch_id, label)")
+def q_loss_ice(spark, sf):
+    z = scored(spark, sf).withColumn("batch_id", F.floor(F.col("id") / ICE_BATCH).cast("bigint"))
+    return LS.ice_row_loss(z, C10).agg(r6(F.avg("loss")).alias("loss_mean"))
+
+
+def predicted(spark, sf) -> DataFrame:
+    return scored(spark, sf).withColumn("pred", A.argmax("z"))
+
+
+@register("confusion", f"with {Q.logits_ctes()} select label, pred, count(*) as n from sm "
+          f"where label between 0 and {C10 - 1} and pred between 0 and {C10 - 1} group by label, pred")
+def q_confusion(spark, sf):
+    return M.confusion(predicted(spark, sf), C10)
+
+
+_SCORES_SQL = f"""conf as (select label, pred, count(*) as n from sm
+         where label between 0 and {C10 - 1} and pred between 0 and {C10 - 1} group by label, pred),
+cls as (select cast(c as int) as class_id from range(0, {C10}) as r(c)),
+sc as (select class_id,
+         coalesce((select sum(n) from conf where label = class_id), 0) as num_true,
+         coalesce((select sum(n) from conf where pred = class_id), 0) as num_pred,
+         coalesce((select sum(n) from conf where label = class_id and pred = class_id), 0) as tp from cls),
+pr as (select *, case when num_pred = 0 then 0.0 else tp / num_pred end as precision,
+          case when num_true = 0 then 0.0 else tp / num_true end as recall from sc),
+f as (select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1score from pr)"""
+
+
+@register("class_scores", f"with {Q.logits_ctes()}, {_SCORES_SQL} select class_id, round(precision, 6) as precision, "
+          f"round(recall, 6) as recall, round(f1score, 6) as f1score, cast(num_true as bigint) as num_true, "
+          f"cast(num_pred as bigint) as num_pred, cast(tp as bigint) as tp from f")
+def q_class_scores(spark, sf):
+    s = M.class_scores(M.confusion(predicted(spark, sf), C10), C10)
+    return s.select("class_id", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1score")],
+                    *[F.col(c).cast("bigint").alias(c) for c in ("num_true", "num_pred", "tp")])
+
+
+@register("eval_summary", f"with {Q.logits_ctes()}, {_SCORES_SQL} select round((select avg({_CE}) from sm), 6) as loss, "
+          f"round(sum(tp) / sum(num_true), 6) as acc, round(avg(precision), 6) as macro_pc, "
+          f"round(avg(recall), 6) as macro_rc, round(avg(f1score), 6) as macro_f1 from f")
+def q_eval_summary(spark, sf):
+    rows = LS.row_loss(predicted(spark, sf), "CE")
+    s = M.summary(M.confusion(rows, C10), C10, losses=rows)
+    return s.select(*[r6(F.col(c)).alias(c) for c in ("loss", "acc", "macro_pc", "macro_rc", "macro_f1")])

@@ -58,7 +58,7 @@ def clean(expr: str) -> str:
 
 
 def tokens(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, {lit(TOKEN_SPLIT)}), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, {lit(TOKEN_SPLIT)}), lambda x: x <> '')"
 
 
 def base_ctes(seed=42, test_ratio: float = 0.1) -> str:
@@ -77,3 +77,14 @@ ranked as (select *, row_number() over (partition by label order by md5({key(lit
            {quota} as k from labelled),
 split as (select *, case when rk <= k then 'test' else 'train' end as part from ranked),
 train as (select label, id, {TEXTS} from split where part = 'train')"""
+
+
+def logits_ctes(member: int = 0, num_classes: int = 10, scale: float = 10.0) -> str:
+    """z (score vector), softmax p and argmax pred per embeddings row."""
+    a = member * num_classes + 1
+    b = a + num_classes - 1
+    return f"""z as (select vec_id as id, cast(label as int) as label,
+      list_transform(embedding[{a}:{b}], lambda x: cast(x as double) * {lit(float(scale))}) as z from embeddings),
+ez as (select id, label, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from z),
+sm as (select id, label, z, list_transform(e, lambda x: x / list_sum(e)) as p,
+       cast(list_position(z, list_max(z)) - 1 as int) as pred from ez)"""
