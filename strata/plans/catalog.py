@@ -18,6 +18,7 @@ from strata.operators import upsample as U
 from strata.operators import bootstrap as B
 from strata.operators import losses as LS
 from strata.operators import metrics as M
+from strata.operators import features as FT
 from strata.functions import arrays as A
 from strata.operators.dims import derive
 from strata.plans import sqltext as Q
@@ -484,3 +485,50 @@ def q_eval_summary(spark, sf):
     rows = LS.row_loss(predicted(spark, sf), "CE")
     s = M.summary(M.confusion(rows, C10), C10, losses=rows)
     return s.select(*[r6(F.col(c)).alias(c) for c in ("loss", "acc", "macro_pc", "macro_rc", "macro_f1")])
+
+
+# --- 2.4 / 2.2 vocabulary and encoding -----------------------------------------
+
+MAX_LEN = FT.MAX_LEN
+CHAR_VOCAB = 1000
+
+
+def doc_texts(spark, sf) -> DataFrame:
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+
+
+def char_tokens(c):
+    return F.regexp_extract_all(c if not isinstance(c, str) else F.col(c), F.lit(Q.CHAR_PATTERN), 0)
+
+
+def ints(c):
+    return F.array_join(F.col(c), ",")
+
+
+@register("vocab", f"with {Q.vocab_cte('voc', Q.tokens('text'), FT.VOCAB_SIZE)} select token, token_id, n from voc")
+def q_vocab(spark, sf):
+    return FT.vocab(doc_texts(spark, sf)).df
+
+
+@register("encode_ids", f"""with {Q.vocab_cte('voc', Q.tokens('text'), FT.VOCAB_SIZE)},
+{Q.encode_cte('enc', 'voc', Q.tokens('text'), MAX_LEN)}
+select id, ids as input_ids, cast(valid_length as int) as valid_length,
+       array_to_string(list_transform(range(1, {MAX_LEN} + 1), lambda i: cast(i <= valid_length as int)), ',') as attention_mask
+from enc""")
+def q_encode_ids(spark, sf):
+    d = doc_texts(spark, sf)
+    e = FT.encode_ids(d, FT.vocab(d), keep=())
+    return e.select("id", ints("input_ids").alias("input_ids"), "valid_length", ints("attention_mask").alias("attention_mask"))
+
+
+@register("encode_multi", f"""with {Q.vocab_cte('voc', Q.tokens('text'), FT.VOCAB_SIZE)},
+{Q.vocab_cte('cvoc', Q.chars('text'), CHAR_VOCAB)},
+{Q.encode_cte('w', 'voc', Q.tokens('text'), MAX_LEN)},
+{Q.encode_cte('ch', 'cvoc', Q.chars('text'), MAX_LEN)}
+select w.id, w.ids as word_ids, ch.ids as char_ids from w join ch using (id)""")
+def q_encode_multi(spark, sf):
+    d = doc_texts(spark, sf)
+    encoders = {"word": (FT.vocab(d), FT.tokens), "char": (FT.vocab(d, size=CHAR_VOCAB, tokenizer=char_tokens), char_tokens)}
+    e = FT.encode_multi(d, encoders)
+    return e.select("id", F.array_join("word.input_ids", ",").alias("word_ids"),
+                    F.array_join("char.input_ids", ",").alias("char_ids"))

@@ -88,3 +88,27 @@ def logits_ctes(member: int = 0, num_classes: int = 10, scale: float = 10.0) ->
 ez as (select id, label, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from z),
 sm as (select id, label, z, list_transform(e, lambda x: x / list_sum(e)) as p,
        cast(list_position(z, list_max(z)) - 1 as int) as pred from ez)"""
+
+
+CHAR_PATTERN = "[^ \\t\\n\\r\\f]"
+
+
+def chars(expr: str) -> str:
+    return f"regexp_extract_all({expr}, {lit(CHAR_PATTERN)})"
+
+
+def vocab_cte(name: str, tok_sql: str, size: int) -> str:
+    """(token, token_id, n) for the ``size`` most frequent tokens of documents."""
+    return f"""{name}_c as (select token, count(*) as n from (select unnest({tok_sql}) as token from documents) group by token),
+{name} as (select token, cast(row_number() over (order by n desc, token) + 1 as int) as token_id, n
+           from {name}_c order by n desc, token limit {size})"""
+
+
+def encode_cte(name: str, voc: str, tok_sql: str, max_len: int) -> str:
+    """(id, ids) with ids the padded id list as a comma string."""
+    return f"""{name}_t as (select doc_id as id, ({tok_sql})[1:{max_len}] as toks from documents),
+{name}_p as (select id, generate_subscripts(toks, 1) as pos, unnest(toks) as token from {name}_t),
+{name}_l as (select p.id, list(coalesce(v.token_id, 1) order by p.pos) as ids from {name}_p p left join {voc} v using (token) group by p.id),
+{name} as (select t.id, coalesce(len(l.ids), 0) as valid_length,
+           array_to_string(list_resize(coalesce(l.ids, []), {max_len}, 0), ',') as ids
+           from {name}_t t left join {name}_l l using (id))"""
