@@ -19,6 +19,8 @@ from strata.operators import bootstrap as B
 from strata.operators import losses as LS
 from strata.operators import metrics as M
 from strata.operators import features as FT
+from strata.operators import scoring as SC
+from strata.operators import baseline as BL
 from strata.functions import arrays as A
 from strata.operators.dims import derive
 from strata.plans import sqltext as Q
@@ -532,3 +534,94 @@ def q_encode_multi(spark, sf):
     e = FT.encode_multi(d, encoders)
     return e.select("id", F.array_join("word.input_ids", ",").alias("word_ids"),
                     F.array_join("char.input_ids", ",").alias("char_ids"))
+
+
+# --- 2.9 scoring, ensembles, votes, export --------------------------------------
+
+DIMS = 64
+MEMBERS = 4
+
+
+def weight_rule(c: int, d: int) -> float:
+    """Fixed linear head used by the scoring query: ((7c + 3d) mod 11 - 5) / 10."""
+    return ((c * 7 + d * 3) % 11 - 5) / 10.0
+
+
+WEIGHTS = SC.rule_weights(C10, DIMS, weight_rule)
+_W_SQL = "[" + ", ".join("[" + ", ".join(repr(v) for v in row) + "]" for row in WEIGHTS) + "]"
+
+
+@register("score_linear", f"""with e as (select vec_id as id, cast(embedding as double[]) as x from embeddings)
+select id, cls, round(list_inner_product(x, cast({_W_SQL} as double[][])[cls + 1]), 6) as z
+from e, unnest(range(0, {C10})) as u(cls)""")
+def q_score_linear(spark, sf):
+    e = table(spark, sf, "embeddings")
+    z = e.select(F.col("vec_id").alias("id"), SC.linear_scores("embedding", WEIGHTS).alias("z"))
+    return z.select("id", F.posexplode("z").alias("cls", "z")).select("id", "cls", r6(F.col("z")).alias("z"))
+
+
+_MEMBERS_SQL = f"""mz as (select vec_id as id, m as member,
+      list_transform(embedding[m * {C10} + 1 : m * {C10} + {C10}], lambda x: cast(x as double) * 10.0) as z
+      from embeddings, unnest(range(0, {MEMBERS})) as u(m)),
+me as (select id, member, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from mz),
+mp as (select id, member, list_transform(e, lambda x: x / list_sum(e)) as p,
+       cast(list_position(z, list_max(z)) - 1 as int) as pick from me)"""
+
+
+def member_frame(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), SC.member_probs("embedding", MEMBERS, C10).alias("probs"))
+
+
+@register("ensemble_stack", f"with {_MEMBERS_SQL} select member, id, cls, round(p[cls + 1], 6) as p "
+          f"from mp, unnest(range(0, {C10})) as u(cls)")
+def q_ensemble_stack(spark, sf):
+    m = member_frame(spark, sf).select("id", F.posexplode("probs").alias("member", "p"))
+    return (m.select("member", "id", F.posexplode("p").alias("cls", "p"))
+            .select("member", "id", "cls", r6(F.col("p")).alias("p")))
+
+
+@register("vote_onehot", f"with {_MEMBERS_SQL} select member, id, cls, cast(cls = pick as int) as v "
+          f"from mp, unnest(range(0, {C10})) as u(cls)")
+def q_vote_onehot(spark, sf):
+    m = member_frame(spark, sf).select("id", F.posexplode(SC.one_hot_votes("probs", C10)).alias("member", "v"))
+    return m.select("member", "id", F.posexplode("v").alias("cls", "v"))
+
+
+@register("vote_hard", f"""with {_MEMBERS_SQL},
+vc as (select id, cls, count(*) filter (where pick = cls) as votes from mp, unnest(range(0, {C10})) as u(cls) group by id, cls)
+select id, cast(arg_min(cls, struct_pack(a := -votes, b := cls)) as int) as pred, cast(max(votes) as int) as votes from vc group by id""")
+def q_vote_hard(spark, sf):
+    pred, votes = SC.vote_hard("probs", C10)
+    return member_frame(spark, sf).select("id", pred.alias("pred"), votes.cast("int").alias("votes"))
+
+
+@register("vote_soft", f"""with {_MEMBERS_SQL},
+pm as (select id, cls, avg(p[cls + 1]) as pmean from mp, unnest(range(0, {C10})) as u(cls) group by id, cls)
+select id, cast(arg_min(cls, struct_pack(a := -pmean, b := cls)) as int) as pred, round(max(pmean), 6) as p from pm group by id""")
+def q_vote_soft(spark, sf):
+    pred, p = SC.vote_soft("probs", C10)
+    return member_frame(spark, sf).select("id", pred.alias("pred"), r6(p).alias("p"))
+
+
+_TOKEN_MODEL_SQL = f"""tr as (select label, concat_ws(' ', {Q.TEXTS}) as text from split where part = 'train'),
+te as (select id, label, concat_ws(' ', {Q.TEXTS}) as text from split where part = 'test'),
+tc as (select {Q.tokens('text')}[1] as token, label, count(*) as n from tr where {Q.tokens('text')}[1] is not null group by 1, 2),
+tm as (select token, cast(-max(struct_pack(n := n, l := -label)).l as int) as pred from tc group by token),
+prior as (select cast(-max(struct_pack(n := n, l := -label)).l as int) as pred from (select label, count(*) as n from tr group by label)),
+scored as (select te.id, te.label, te.text, coalesce(tm.pred, (select pred from prior)) as pred
+           from te left join tm on tm.token = {Q.tokens('te.text')}[1])"""
+
+
+@register("predictions_export", f"""with {Q.base_ctes(SEED, TEST_RATIO)}, {_TOKEN_MODEL_SQL}
+select s.id, s.text as doc, a.digit as category, b.digit as predictions from scored s
+left join classes a on a.label = s.label left join classes b on b.label = s.pred""")
+def q_predictions_export(spark, sf):
+    rows, classes = split_with_classes(spark, sf)
+    rows = persist_table(T.concat_text(rows).select("id", "label", "part", "text"), "split_text")
+    train = rows.filter(F.col("part") == "train")
+    test = rows.filter(F.col("part") == "test")
+    model, prior = BL.fit_token_model(train)
+    scored = BL.predict_token_model(test, model, prior)
+    label_map = derive(classes, classes.df.select("label", "digit"))
+    return SC.predictions_export(scored, label_map).select("id", "doc", "category", "predictions")
