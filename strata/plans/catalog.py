@@ -21,6 +21,9 @@ from strata.operators import metrics as M
 from strata.operators import features as FT
 from strata.operators import scoring as SC
 from strata.operators import baseline as BL
+from strata.operators import correction as CR
+from strata.sources import delimited as DL
+from strata.session import scratch_path
 from strata.functions import arrays as A
 from strata.operators.dims import derive
 from strata.plans import sqltext as Q
@@ -625,3 +628,68 @@ def q_predictions_export(spark, sf):
     scored = BL.predict_token_model(test, model, prior)
     label_map = derive(classes, classes.df.select("label", "digit"))
     return SC.predictions_export(scored, label_map).select("id", "doc", "category", "predictions")
+
+
+# --- 2.1 sources and sinks; 2.2 hook and corrections -----------------------------
+
+_CLEAN_CORPUS_SQL = (f"with corpus as ({Q.corpus()}) select id, digit_1, digit_2, digit_3, "
+                     f"{Q.clean('text_obj')} as text_obj, {Q.clean('text_mthd')} as text_mthd, "
+                     f"{Q.clean('text_deal')} as text_deal from corpus")
+
+
+def clean_corpus(spark, sf) -> DataFrame:
+    return T.clean_columns(corpus(docs(spark, sf)))
+
+
+@register("read_delimited", _CLEAN_CORPUS_SQL)
+def q_read_delimited(spark, sf):
+    """Write the cleaned corpus as '|' text in MS949, read it back with charset detection."""
+    path = scratch_path(spark, "delimited")
+    DL.write_delimited(clean_corpus(spark, sf), path, sep="|", encoding=DL.CP949)
+    return DL.read_delimited(spark, path, sep="|")
+
+
+@register("write_delimited", _CLEAN_CORPUS_SQL)
+def q_write_delimited(spark, sf):
+    """The comma/UTF-8 variant of the sink, read back with the declared schema."""
+    path = scratch_path(spark, "csv")
+    used = DL.write_delimited(clean_corpus(spark, sf), path, sep=",", encoding=DL.UTF8)
+    return DL.read_delimited(spark, path, sep=",", encoding=used)
+
+
+@register("label_map_store", f"with {Q.base_ctes()} select label, digit from classes")
+def q_label_map_store(spark, sf):
+    path = scratch_path(spark, "label_map")
+    DL.write_table_json(L.label_map(base(spark, sf)), path)
+    return DL.read_table_json(spark, path, schema="label int, digit string")
+
+
+@register("clean_hook", f"with corpus as ({Q.corpus()}) select id, lower({Q.clean('text_obj')}) as text_obj, "
+          f"lower({Q.clean('text_mthd')}) as text_mthd, lower({Q.clean('text_deal')}) as text_deal from corpus")
+def q_clean_hook(spark, sf):
+    hook = lambda c: F.lower(T.clean_text(c))  # noqa: E731 - a user's cleaning function
+    return T.apply_text_fn(corpus(docs(spark, sf)).select("id", *T.TEXT_COLS), hook)
+
+
+TOP_FIXES = 20
+
+
+def corrections(cleaned: DataFrame) -> DataFrame:
+    """(wrong, right): capitalized forms of the most frequent lowercase tokens."""
+    toks = cleaned.select(F.explode(F.split("text", " ")).alias("token")).filter(F.col("token").rlike("^[a-z]+$"))
+    top = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(TOP_FIXES)
+    return top.select(F.concat(F.upper(F.substr("token", F.lit(1), F.lit(1))), F.substr("token", F.lit(2))).alias("wrong"),
+                      F.col("token").alias("right"))
+
+
+@register("correct_tokens", f"""with cl as (select doc_id as id, {Q.clean('text')} as text from documents),
+tk as (select unnest(string_split(text, ' ')) as token from cl),
+top as (select token, count(*) as n from tk where regexp_full_match(token, '[a-z]+') group by token order by n desc, token limit {TOP_FIXES}),
+fix as (select upper(substr(token, 1, 1)) || substr(token, 2) as wrong, token as "right" from top),
+pos as (select id, generate_subscripts(string_split(text, ' '), 1) as pos, unnest(string_split(text, ' ')) as tok from cl),
+fixed as (select p.id, string_agg(coalesce(f."right", p.tok), ' ' order by p.pos) as text from pos p left join fix f on f.wrong = p.tok group by p.id)
+select cl.id, coalesce(fixed.text, cl.text) as text from cl left join fixed using (id)""")
+def q_correct_tokens(spark, sf):
+    d = doc_texts(spark, sf)
+    fixes = corrections(d.select(T.clean_text("text").alias("text")))
+    return CR.correct_tokens(d, fixes).select("id", "text")
