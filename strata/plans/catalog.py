@@ -22,6 +22,7 @@ from strata.operators import features as FT
 from strata.operators import scoring as SC
 from strata.operators import baseline as BL
 from strata.operators import correction as CR
+from strata.operators import training as TR
 from strata.sources import delimited as DL
 from strata.session import scratch_path
 from strata.functions import arrays as A
@@ -693,3 +694,60 @@ def q_correct_tokens(spark, sf):
     d = doc_texts(spark, sf)
     fixes = corrections(d.select(T.clean_text("text").alias("text")))
     return CR.correct_tokens(d, fixes).select("id", "text")
+
+
+# --- 2.9 training (rows-only checks: fitted models have no SQL twin) ---------------
+
+HIDDEN = 32
+FOCAL_STEPS = 30
+
+
+def emb_parts(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), "embedding")
+    return TR.vector_features(TR.holdout(e, SEED))
+
+
+def _out(pred: DataFrame, parts: DataFrame) -> DataFrame:
+    return pred.select("id", "label", "part", "pred")
+
+
+@register("train_linear")
+def q_train_linear(spark, sf):
+    d = emb_parts(spark, sf)
+    train = d.filter(F.col("part") == "train")
+    model = TR.train_linear(train, weights=LS.class_weights(train))
+    return _out(TR.predict(model, d, keep=("id", "label", "part")), d)
+
+
+@register("train_mlp")
+def q_train_mlp(spark, sf):
+    d = emb_parts(spark, sf)
+    model = TR.train_mlp(d.filter(F.col("part") == "train"), [DIMS, HIDDEN, C10])
+    return _out(TR.predict(model, d, keep=("id", "label", "part")), d)
+
+
+@register("train_focal")
+def q_train_focal(spark, sf):
+    d = emb_parts(spark, sf)
+    model = TR.train_focal(d.filter(F.col("part") == "train"), C10, DIMS, steps=FOCAL_STEPS)
+    return model.transform(d).select("id", "label", "part", "pred")
+
+
+@register("refit_swapped")
+def q_refit_swapped(spark, sf):
+    """Fit on train, then keep training on the valid part from those weights; score train."""
+    d = emb_parts(spark, sf)
+    first = TR.train_mlp(d.filter(F.col("part") == "train"), [DIMS, HIDDEN, C10])
+    second = TR.train_mlp(d.filter(F.col("part") == "valid"), [DIMS, HIDDEN, C10], initial_weights=first.weights)
+    return TR.predict(second, d.filter(F.col("part") == "train"), keep=("id", "label", "part")).select("id", "label", "part", "pred")
+
+
+@register("train_text")
+def q_train_text(spark, sf):
+    """TF-IDF + weighted logistic regression on the preprocessed corpus; score the test part."""
+    prep = preprocess(corpus(docs(spark, sf)), test_ratio=TEST_RATIO, seed=SEED)
+    feats, _ = TR.text_features(prep.rows, num_features=1 << 14)
+    train = feats.filter(F.col("part") == "train")
+    model = TR.train_linear(train, weights=LS.class_weights(train), max_iter=30)
+    test = feats.filter(F.col("part") == "test")
+    return TR.predict(model, test, keep=("id", "label", "part")).select("id", "label", "part", "pred")
