@@ -56,3 +56,35 @@ def history_wide(history: DataFrame, epochs: list[int]) -> DataFrame:
     """(run_id, part, metric, class_id, epoch, value) -> one column per epoch."""
     return (history.groupBy("run_id", "part", "metric", "class_id")
             .pivot("epoch", epochs).agg(F.first("value")))
+
+
+# --- grouped evaluation (one evaluation per run / epoch / part) -----------------
+
+def confusion_by(df: DataFrame, num_classes: int, by: list[str], label_col: str = "label",
+                 pred_col: str = "pred") -> DataFrame:
+    ok = F.col(label_col).between(0, num_classes - 1) & F.col(pred_col).between(0, num_classes - 1)
+    return (df.filter(ok).groupBy(*by, F.col(label_col).alias("label"), F.col(pred_col).alias("pred"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def class_scores_by(conf: DataFrame, num_classes: int, by: list[str]) -> DataFrame:
+    """Per group and class: precision, recall, F1 over the dense class list."""
+    groups = conf.select(*by).distinct()
+    dense = groups.withColumn("class_id", F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))))
+    true_n = conf.groupBy(*by, F.col("label").alias("class_id")).agg(F.sum("n").alias("num_true"))
+    pred_n = conf.groupBy(*by, F.col("pred").alias("class_id")).agg(F.sum("n").alias("num_pred"))
+    tp = conf.filter(F.col("label") == F.col("pred")).select(*by, F.col("label").alias("class_id"), F.col("n").alias("tp"))
+    keys = [*by, "class_id"]
+    t = (dense.join(true_n, keys, "left").join(pred_n, keys, "left").join(tp, keys, "left")
+         .fillna(0, ["num_true", "num_pred", "tp"]))
+    t = t.withColumn("precision", _ratio(F.col("tp"), F.col("num_pred"))).withColumn("recall", _ratio(F.col("tp"), F.col("num_true")))
+    return t.withColumn("f1score", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def summary_by(df: DataFrame, num_classes: int, by: list[str], loss_col: str = "loss") -> DataFrame:
+    """Per group: loss (mean), acc, macro_pc, macro_rc, macro_f1."""
+    scores = class_scores_by(confusion_by(df, num_classes, by), num_classes, by)
+    macro = scores.groupBy(*by).agg((F.sum("tp") / F.sum("num_true")).alias("acc"),
+                                    F.avg("precision").alias("macro_pc"), F.avg("recall").alias("macro_rc"),
+                                    F.avg("f1score").alias("macro_f1"))
+    return df.groupBy(*by).agg(F.avg(loss_col).alias("loss")).join(macro, by)

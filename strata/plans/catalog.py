@@ -23,6 +23,7 @@ from strata.operators import scoring as SC
 from strata.operators import baseline as BL
 from strata.operators import correction as CR
 from strata.operators import training as TR
+from strata.operators import runs as RN
 from strata.sources import delimited as DL
 from strata.session import scratch_path
 from strata.functions import arrays as A
@@ -751,3 +752,129 @@ def q_train_text(spark, sf):
     model = TR.train_linear(train, weights=LS.class_weights(train), max_iter=30)
     test = feats.filter(F.col("part") == "test")
     return TR.predict(model, test, keep=("id", "label", "part")).select("id", "label", "part", "pred")
+
+
+# --- 2.1 / 2.4 / 2.5 / 2.6 run records ------------------------------------------------
+
+RUNS = {"ce": "CE", "fce": "FCE"}
+EPOCHS = 6
+PATIENCE = 2
+BATCH = 16
+
+
+def epoch_rows(spark, sf) -> DataFrame:
+    """Every embeddings row scored once per (run, epoch): run 'ce' / 'fce' picks the
+    loss, epoch e uses ensemble member e mod 4 as that epoch's model."""
+    e = TR.holdout(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
+                                                       F.col("label").cast("int").alias("label"), "embedding"), SEED)
+    g = (e.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in RUNS])))
+         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))))
+    member = F.pmod(F.col("epoch"), F.lit(MEMBERS))
+    z = F.transform(F.slice("embedding", member * C10 + 1, C10), lambda x: x.cast("double") * 10.0)
+    g = g.withColumn("z", z)
+    py = LS.p_true("z", "label")
+    loss = F.when(F.col("run_id") == "ce", LS.ce_term(py)).otherwise(LS.focal_term(py))
+    return g.select("run_id", "epoch", "part", "id", "label", loss.alias("loss"), A.argmax("z").alias("pred"))
+
+
+def summary_frame(spark, sf) -> DataFrame:
+    per_part = M.summary_by(epoch_rows(spark, sf), C10, ["run_id", "epoch", "part"])
+    rows = RN.summary_rows(per_part)
+    return rows.select("run_id", "epoch", *[r6(F.col(c)).alias(c) for c in RN.SUMMARY_COLS])
+
+
+def stored_summary(spark, sf) -> DataFrame:
+    """A5 then A7: append the epochs to a run table partitioned by run, read it back."""
+    path = scratch_path(spark, "runs")
+    RN.append_summary(summary_frame(spark, sf), path)
+    return RN.read_summary(spark, path).select("run_id", "epoch", *RN.SUMMARY_COLS)
+
+
+_RUNS_SQL = f"""e as (select vec_id as id, cast(label as int) as label, embedding,
+       case when {Q.h(Q.lit(str(SEED)), 'vec_id')} % 5 = 0 then 'valid' else 'train' end as part from embeddings),
+g as (select id, label, part, r.run_id, cast(ep.epoch as int) as epoch,
+      list_transform(embedding[(ep.epoch % {MEMBERS}) * {C10} + 1 : (ep.epoch % {MEMBERS}) * {C10} + {C10}], lambda x: cast(x as double) * 10.0) as z
+      from e, (values ('ce'), ('fce')) as r(run_id), range(0, {EPOCHS}) as ep(epoch)),
+ge as (select *, list_transform(z, lambda x: exp(x - list_max(z))) as ex from g),
+gp as (select id, label, part, run_id, epoch, list_transform(ex, lambda x: x / list_sum(ex)) as p,
+       cast(list_position(z, list_max(z)) - 1 as int) as pred from ge),
+gl as (select *, case when run_id = 'ce' then {_CE} else {_FOCAL} end as loss from gp),
+conf as (select run_id, epoch, part, label, pred, count(*) as n from gl
+         where label between 0 and {C10 - 1} and pred between 0 and {C10 - 1} group by run_id, epoch, part, label, pred),
+dense as (select run_id, epoch, part, cast(c as int) as class_id from (select distinct run_id, epoch, part from conf), range(0, {C10}) as r(c)),
+tn as (select run_id, epoch, part, label as class_id, sum(n) as num_true from conf group by run_id, epoch, part, label),
+pn as (select run_id, epoch, part, pred as class_id, sum(n) as num_pred from conf group by run_id, epoch, part, pred),
+tpc as (select run_id, epoch, part, label as class_id, n as tp from conf where label = pred),
+sc as (select d.run_id, d.epoch, d.part, d.class_id, coalesce(num_true, 0) as num_true, coalesce(num_pred, 0) as num_pred,
+       coalesce(tp, 0) as tp from dense d left join tn using (run_id, epoch, part, class_id)
+       left join pn using (run_id, epoch, part, class_id) left join tpc using (run_id, epoch, part, class_id)),
+pr as (select *, case when num_pred = 0 then 0.0 else tp / num_pred end as precision,
+       case when num_true = 0 then 0.0 else tp / num_true end as recall from sc),
+f as (select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1score from pr),
+macro as (select run_id, epoch, part, sum(tp) / sum(num_true) as acc, avg(precision) as pc, avg(recall) as rc, avg(f1score) as f1
+          from f group by run_id, epoch, part),
+ls as (select run_id, epoch, part, avg(loss) as loss from gl group by run_id, epoch, part),
+pp as (select * from ls join macro using (run_id, epoch, part)),
+summary as (select run_id, epoch, {", ".join(f"round(max(case when part = '{p}' then {m} end), 6) as {p}_{m}" for p in ("train", "valid") for m in RN.METRICS)}
+            from pp group by run_id, epoch)"""
+
+
+@register("run_summary", f"with {_RUNS_SQL} select * from summary")
+def q_run_summary(spark, sf):
+    return stored_summary(spark, sf)
+
+
+@register("best_epoch", f"with {_RUNS_SQL} select run_id, arg_min(epoch, struct_pack(a := valid_loss, b := epoch)) as best_loss_epoch, "
+          f"arg_min(epoch, struct_pack(a := -valid_acc, b := epoch)) as best_acc_epoch from summary group by run_id")
+def q_best_epoch(spark, sf):
+    return RN.best_epoch(stored_summary(spark, sf))
+
+
+@register("early_stop", f"""with {_RUNS_SQL},
+imp as (select run_id, epoch, cast(valid_loss < coalesce(min(valid_loss) over (partition by run_id order by epoch
+        rows between unbounded preceding and 1 preceding), 'inf'::double) as int) as improved from summary),
+pat as (select *, cast(epoch - max(case when improved = 1 then epoch end) over (partition by run_id order by epoch
+        rows between unbounded preceding and current row) as int) as patience from imp)
+select run_id, epoch, improved, patience,
+       cast(epoch = min(case when patience >= {PATIENCE} then epoch end) over (partition by run_id) as int) as stop from pat""")
+def q_early_stop(spark, sf):
+    return RN.early_stop(stored_summary(spark, sf), PATIENCE)
+
+
+def class_scores_frame(spark, sf) -> DataFrame:
+    return M.class_scores_by(M.confusion_by(epoch_rows(spark, sf), C10, ["run_id", "epoch", "part"]), C10,
+                             ["run_id", "epoch", "part"])
+
+
+@register("class_history", f"""with {_RUNS_SQL},
+lng as (select run_id, part, 'precision' as metric, class_id, epoch, precision as value from f
+        union all select run_id, part, 'recall', class_id, epoch, recall from f
+        union all select run_id, part, 'f1score', class_id, epoch, f1score from f)
+select run_id, part, metric, class_id, {", ".join(f"round(max(case when epoch = {e} then value end), 6) as epoch_{e}" for e in range(EPOCHS))}
+from lng group by run_id, part, metric, class_id""")
+def q_class_history(spark, sf):
+    hist = RN.class_history(class_scores_frame(spark, sf))
+    path = scratch_path(spark, "history")
+    hist.write.mode("append").partitionBy("run_id").parquet(path)
+    wide = RN.history_wide(spark.read.parquet(path), list(range(EPOCHS)))
+    return wide.select("run_id", "part", "metric", "class_id", *[r6(F.col(f"epoch_{e}")).alias(f"epoch_{e}") for e in range(EPOCHS)])
+
+
+@register("run_registry", f"with {_RUNS_SQL} select run_id, case run_id {' '.join(f"when '{k}' then '{v}'" for k, v in RUNS.items())} end as loss, "
+          f"cast(count(*) as bigint) as epochs, {PATIENCE} as patience from summary group by run_id")
+def q_run_registry(spark, sf):
+    loss = F.create_map(*[F.lit(x) for kv in RUNS.items() for x in kv])
+    configs = (summary_frame(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("epochs"))
+               .select("run_id", F.element_at(loss, F.col("run_id")).alias("loss"), "epochs", F.lit(PATIENCE).alias("patience")))
+    path = scratch_path(spark, "configs")
+    RN.write_configs(configs, path)
+    reg = DL.read_table_json(spark, path, schema="loss string, epochs long, patience int, run_id string", with_source=True)
+    return reg.select("run_id", "loss", "epochs", "patience")
+
+
+@register("batches", f"""with {Q.base_ctes(SEED, TEST_RATIO)}, nt as (select count(*) as n from train)
+select id, cast({Q.h(Q.lit(str(SEED)), 'id')} % cast(ceil(n / {BATCH}) as bigint) as bigint) as batch_id from train, nt""")
+def q_batches(spark, sf):
+    tr, _ = train_rows(spark, sf)
+    n = tr.count()
+    return RN.batches(tr.select("id"), n, BATCH, SEED)
