@@ -24,6 +24,7 @@ from strata.operators import baseline as BL
 from strata.operators import correction as CR
 from strata.operators import training as TR
 from strata.operators import runs as RN
+from strata.streaming import jobs as ST
 from strata.sources import delimited as DL
 from strata.session import scratch_path
 from strata.functions import arrays as A
@@ -878,3 +879,31 @@ def q_batches(spark, sf):
     tr, _ = train_rows(spark, sf)
     n = tr.count()
     return RN.batches(tr.select("id"), n, BATCH, SEED)
+
+
+# --- 2.10 streaming ---------------------------------------------------------------
+
+def _path(sf, name):
+    return f"{sf.rstrip('/')}/{name}.parquet"
+
+
+@register("stream_confusion", f"with {Q.logits_ctes()} select label, pred, count(*) as n from sm "
+          f"where label between 0 and {C10 - 1} and pred between 0 and {C10 - 1} group by label, pred")
+def q_stream_confusion(spark, sf):
+    s = ST.argmax_stream(ST.read_stream(spark, _path(sf, "embeddings")), C10)
+    return ST.run(ST.confusion_stream(s, C10), "confusion", "complete")
+
+
+@register("stream_label", f"""with {Q.base_ctes()},
+c as (select id, {Q.code()} as digit, concat_ws(' ', {Q.clean('text_obj')}, {Q.clean('text_mthd')}, {Q.clean('text_deal')}) as text from corpus)
+select id, digit, label, text from c join classes using (digit)""")
+def q_stream_label(spark, sf):
+    _, classes = L.encode(base(spark, sf))
+    label_map = derive(classes, classes.df.select("digit", "label"))
+    return ST.run(ST.label_stream(ST.read_stream(spark, _path(sf, "documents")), label_map), "label")
+
+
+@register("stream_dedup", "select distinct user_id, event_type from events")
+def q_stream_dedup(spark, sf):
+    kept = ST.run(ST.dedup_stream(ST.read_stream(spark, _path(sf, "events")), ["user_id", "event_type"]), "dedup")
+    return kept.select("user_id", "event_type")
