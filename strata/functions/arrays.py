@@ -1,4 +1,11 @@
-"""Array-valued column functions for score vectors (JVM higher-order functions)."""
+"""Array-valued column functions for score vectors (JVM higher-order functions).
+
+Catalyst does not hoist an expression that a lambda mentions but does not
+depend on (e.g. ``array_max(z)`` inside ``transform(z, x -> exp(x - ...))``);
+it re-evaluates it for every element, which makes a softmax O(C^2) per row.
+Such per-row values are passed in with ``array_repeat(value, n)`` and
+``zip_with`` instead, so they are evaluated once per row.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +16,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def spread_each(value, like) -> Column:
+    """``value`` repeated once per element of ``like`` (evaluated once)."""
+    return F.array_repeat(_c(value), F.size(_c(like)))
+
+
 def softmax(z) -> Column:
-    """Max-shifted softmax of an ARRAY<DOUBLE>."""
+    """Max-shifted softmax of an ARRAY<DOUBLE>, O(C) per row."""
     z = _c(z)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = F.zip_with(z, spread_each(F.array_max(z), z), lambda x, m: F.exp(x - m))
+    total = F.aggregate(e, F.lit(0.0), lambda a, y: a + y)
+    return F.zip_with(e, spread_each(total, z), lambda x, s: x / s)
 
 
 def one_hot(label, num_classes: int) -> Column:
     """1 at the label's position, 0 elsewhere."""
-    label = _c(label)
-    return F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)), lambda c: (c == label).cast("int"))
+    return F.zip_with(F.sequence(F.lit(0), F.lit(num_classes - 1)), F.array_repeat(_c(label), num_classes),
+                      lambda c, y: (c == y).cast("int"))
 
 
 def argmax(z) -> Column:

@@ -45,10 +45,10 @@ def linear_scores(x: str | Column, weights: Sequence[Sequence[float]], bias: Seq
 def member_probs(x: str | Column, members: int, num_classes: int, scale: float = 10.0) -> Column:
     """For member m, softmax of scale * x[m*C : (m+1)*C]; ARRAY<ARRAY<DOUBLE>> [M][C]."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(members - 1)),
-        lambda m: softmax(F.transform(F.slice(x, m * num_classes + 1, num_classes),
-                                      lambda v: v.cast("double") * F.lit(float(scale)))))
+    return F.zip_with(
+        F.sequence(F.lit(0), F.lit(members - 1)), F.array_repeat(x, members),
+        lambda m, xs: softmax(F.transform(F.slice(xs, m * num_classes + 1, num_classes),
+                                          lambda v: v.cast("double") * F.lit(float(scale)))))
 
 
 def vote_hard(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
@@ -56,25 +56,25 @@ def vote_hard(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
     lowest class on ties."""
     probs = F.col(probs) if isinstance(probs, str) else probs
     picks = F.transform(probs, lambda p: argmax(p))
-    votes = F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)),
-                        lambda c: F.size(F.filter(picks, lambda p: p == c)))
+    votes = F.zip_with(F.sequence(F.lit(0), F.lit(num_classes - 1)), F.array_repeat(picks, num_classes),
+                       lambda c, ps: F.size(F.filter(ps, lambda p: p == c)))
     return argmax(votes.cast("array<double>")), F.array_max(votes)
 
 
 def vote_soft(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
     """Mean probability over members; (argmax class, its mean probability)."""
     probs = F.col(probs) if isinstance(probs, str) else probs
-    m = F.size(probs)
-    mean = F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)),
-                       lambda c: F.aggregate(probs, F.lit(0.0), lambda a, p: a + F.element_at(p, c + 1)) / m)
+    mean = F.zip_with(F.sequence(F.lit(0), F.lit(num_classes - 1)), F.array_repeat(probs, num_classes),
+                      lambda c, ps: F.aggregate(ps, F.lit(0.0), lambda a, p: a + F.element_at(p, c + 1)) / F.size(ps))
     return argmax(mean), F.array_max(mean)
 
 
 def one_hot_votes(probs: str | Column, num_classes: int) -> Column:
     """The reference's vote matrix: per member, one-hot of its argmax; [M][C] ints."""
     probs = F.col(probs) if isinstance(probs, str) else probs
-    return F.transform(probs, lambda p: F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)),
-                                                    lambda c: (c == argmax(p)).cast("int")))
+    return F.transform(probs, lambda p: F.zip_with(F.sequence(F.lit(0), F.lit(num_classes - 1)),
+                                                   F.array_repeat(argmax(p), num_classes),
+                                                   lambda c, a: (c == a).cast("int")))
 
 
 def predictions_export(df: DataFrame, label_map: Dim, text_col: str = "text", label_col: str = "label",

@@ -33,7 +33,7 @@ from strata.plans import sqltext as Q
 from strata.plans.preprocess import preprocess
 from strata.sources.corpus import corpus, logits
 from strata.session import persist_table
-from strata.sources.tables import table
+from strata.sources.tables import spread, table
 
 SEED = 42
 TEST_RATIO = 0.1
@@ -95,7 +95,7 @@ def q_fill_text(spark, sf):
 
 @register("clean_text", f"select doc_id as id, {Q.clean('text')} as text from documents")
 def q_clean_text(spark, sf):
-    return docs(spark, sf).select(F.col("doc_id").alias("id"), T.clean_text("text").alias("text"))
+    return doc_texts(spark, sf).select("id", T.clean_text("text").alias("text"))
 
 
 @register("pad_code", f"select doc_id as id, {Q.pad('cast(floor(n_chars/10000) as bigint)', 2)} as digit_2, "
@@ -502,7 +502,8 @@ CHAR_VOCAB = 1000
 
 
 def doc_texts(spark, sf) -> DataFrame:
-    return docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    """Whole document texts, spread over the cores for the text-heavy queries."""
+    return spread(docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 def char_tokens(c):
@@ -693,9 +694,8 @@ pos as (select id, generate_subscripts(string_split(text, ' '), 1) as pos, unnes
 fixed as (select p.id, string_agg(coalesce(f."right", p.tok), ' ' order by p.pos) as text from pos p left join fix f on f.wrong = p.tok group by p.id)
 select cl.id, coalesce(fixed.text, cl.text) as text from cl left join fixed using (id)""")
 def q_correct_tokens(spark, sf):
-    d = doc_texts(spark, sf)
-    fixes = corrections(d.select(T.clean_text("text").alias("text")))
-    return CR.correct_tokens(d, fixes).select("id", "text")
+    cleaned = doc_texts(spark, sf).select("id", T.clean_text("text").alias("text")).persist()
+    return CR.correct_tokens(cleaned, corrections(cleaned), clean=False).select("id", "text")
 
 
 # --- 2.9 training (rows-only checks: fitted models have no SQL twin) ---------------

@@ -17,8 +17,15 @@ LANG_CODES = {"de": "A", "en": "B", "es": "C", "fr": "D"}
 OTHER_CODE = "Z"
 
 
-def _line(i: int) -> Column:
-    return F.split_part(F.col("text"), F.lit("\n"), F.lit(i))
+def _lines(n: int = 3) -> Column:
+    """The first ``n`` lines plus the rest: the split stops after n cuts, so a
+    long document is scanned once, not once per line."""
+    return F.split(F.col("text"), "\n", n + 1)
+
+
+def _line(parts: Column, i: int) -> Column:
+    """Line i (1-based); '' past the last line, NULL for a NULL text (as split_part)."""
+    return F.when(parts.isNotNull(), F.coalesce(F.get(parts, i - 1), F.lit("")))
 
 
 def corpus(documents: DataFrame, nulls: bool = False) -> DataFrame:
@@ -30,11 +37,12 @@ def corpus(documents: DataFrame, nulls: bool = False) -> DataFrame:
     code = F.lit(OTHER_CODE)
     for k in sorted(LANG_CODES, reverse=True):
         code = F.when(lang == k, LANG_CODES[k]).otherwise(code)
+    parts = F.col("_lines")
     texts = []
     for i, name in enumerate(TEXT_COLS, start=1):
-        t = F.nullif(_line(i), F.lit("")) if nulls else F.coalesce(_line(i), F.lit(""))
+        t = F.nullif(_line(parts, i), F.lit("")) if nulls else F.coalesce(_line(parts, i), F.lit(""))
         texts.append(t.alias(name))
-    return documents.select(
+    return documents.withColumn("_lines", _lines(len(TEXT_COLS))).select(
         F.col("doc_id").alias("id"),
         code.alias("digit_1"),
         F.floor(F.col("n_chars") / 10000).cast("int").alias("digit_2"),
