@@ -22,7 +22,8 @@ def corpus(nulls: bool = False) -> str:
     case = " ".join(f"when '{k}' then '{v}'" for k, v in sorted(LANG_CODES.items()))
     texts = []
     for i, name in enumerate(("text_obj", "text_mthd", "text_deal"), start=1):
-        part = f"split_part(text, chr(10), {i})"
+        part = (f"split_part(text, chr(10), {i})" if i < 3
+                else "array_to_string(string_split(text, chr(10))[3:], chr(10))")
         texts.append(f"nullif({part}, '') as {name}" if nulls else f"coalesce({part}, '') as {name}")
     return (f"select doc_id as id, case lang {case} else '{OTHER_CODE}' end as digit_1, "
             f"cast(floor(n_chars/10000.0) as int) as digit_2, cast(floor(n_chars/1000.0) as int) as digit_3, "

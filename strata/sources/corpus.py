@@ -18,19 +18,21 @@ OTHER_CODE = "Z"
 
 
 def _lines(n: int = 3) -> Column:
-    """The first ``n`` lines plus the rest: the split stops after n cuts, so a
-    long document is scanned once, not once per line."""
-    return F.split(F.col("text"), "\n", n + 1)
+    """Lines 1 .. n-1 and the rest of the document as the n-th part: the split
+    stops after n-1 cuts, so a document is scanned once and no text is dropped."""
+    return F.split(F.col("text"), "\n", n)
 
 
 def _line(parts: Column, i: int) -> Column:
-    """Line i (1-based); '' past the last line, NULL for a NULL text (as split_part)."""
+    """Part i (1-based); '' past the last part, NULL for a NULL text."""
     return F.when(parts.isNotNull(), F.coalesce(F.get(parts, i - 1), F.lit("")))
 
 
 def corpus(documents: DataFrame, nulls: bool = False) -> DataFrame:
     """documents -> (id, digit_1, digit_2, digit_3, text_obj, text_mthd, text_deal).
 
+    text_obj = line 1, text_mthd = line 2, text_deal = the rest of the document
+    (lines 3..end), so the three texts together are the whole document.
     With ``nulls=True`` blank texts become NULL instead of ''.
     """
     lang = F.col("lang")

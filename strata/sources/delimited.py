@@ -39,7 +39,8 @@ def _any(conds):
 
 
 def _reader(spark: SparkSession, schema, sep: str, encoding: str, header: bool):
-    r = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE")
+    r = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
+         .option("multiLine", True).option("mode", "PERMISSIVE"))
     return r.schema(schema) if schema is not None else r.option("inferSchema", False)
 
 
