@@ -89,3 +89,24 @@ def predictions_export(df: DataFrame, label_map: Dim, text_col: str = "text", la
     if path:
         out.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
     return out
+
+
+def model_udf(make_predict_fn, num_classes: int, dims: int, batch_size: int = 1024):
+    """I4 hook: a user-supplied batch model (numpy in, numpy out) as an
+    Arrow-batched ``predict_batch_udf`` returning ARRAY<DOUBLE> scores."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+    return predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size,
+                             input_tensor_shapes=[[dims]])
+
+
+def numpy_linear(weights: Sequence[Sequence[float]]):
+    """A ``make_predict_fn`` for a fixed linear head (the model is built once per worker)."""
+    def make():
+        import numpy as np
+        w = np.asarray(weights, dtype=np.float64)
+
+        def predict(x):
+            return np.asarray(x, dtype=np.float64) @ w.T
+        return predict
+    return make

@@ -907,3 +907,13 @@ def q_stream_label(spark, sf):
 def q_stream_dedup(spark, sf):
     kept = ST.run(ST.dedup_stream(ST.read_stream(spark, _path(sf, "events")), ["user_id", "event_type"]), "dedup")
     return kept.select("user_id", "event_type")
+
+
+
+@register("score_model_udf", SQL["score_linear"])
+def q_score_model_udf(spark, sf):
+    """The same head as ``score_linear`` run through the user-model hook."""
+    e = table(spark, sf, "embeddings")
+    udf = SC.model_udf(SC.numpy_linear(WEIGHTS), C10, DIMS)
+    z = e.select(F.col("vec_id").alias("id"), udf(F.col("embedding")).alias("z"))
+    return z.select("id", F.posexplode("z").alias("cls", "z")).select("id", "cls", r6(F.col("z")).alias("z"))
