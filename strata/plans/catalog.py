@@ -346,19 +346,19 @@ quota as (select bag, label, cast(case when big then base + (case when row_numbe
           (partition by bag order by big desc, rem desc, label) <= lft then 1 else 0 end) else q0 end as bigint) as k from ql)"""
 
 
-@register("bootstrap_same", _bag_sql(_SAME_Q) + "\nselect bag, id, label from picked")
+@register("bootstrap_same", _bag_sql(_SAME_Q) + "\nselect cast(bag as int) as bag, id, label from picked")
 def q_bootstrap_same(spark, sf):
     rows, sizes, total = bag_input(spark, sf)
     return B.bootstrap(rows, BAGS, total, "same", MIN_CAT, SEED, sizes=sizes).select("bag", "id", "label")
 
 
-@register("bootstrap_random", _bag_sql(_RANDOM_Q) + "\nselect bag, id, label from picked")
+@register("bootstrap_random", _bag_sql(_RANDOM_Q) + "\nselect cast(bag as int) as bag, id, label from picked")
 def q_bootstrap_random(spark, sf):
     rows, sizes, total = bag_input(spark, sf)
     return B.bootstrap(rows, BAGS, total, "random", MIN_CAT, SEED, sizes=sizes).select("bag", "id", "label")
 
 
-@register("bootstrap_quotas", _bag_sql(_RANDOM_Q) + "\nselect bag, label, k from quota")
+@register("bootstrap_quotas", _bag_sql(_RANDOM_Q) + "\nselect cast(bag as int) as bag, label, k from quota")
 def q_bootstrap_quotas(spark, sf):
     rows, sizes, total = bag_input(spark, sf)
     return B.quotas_random(sizes, BAGS, total, MIN_CAT, SEED).df.select("bag", "label", "k")
@@ -385,14 +385,14 @@ def scored(spark, sf, member: int = 0) -> DataFrame:
     return logits(table(spark, sf, "embeddings"), member=member, num_classes=C10)
 
 
-@register("softmax", f"with {Q.logits_ctes()} select id, cls, round(p[cls + 1], 6) as p "
+@register("softmax", f"with {Q.logits_ctes()} select id, cast(cls as int) as cls, round(p[cls + 1], 6) as p "
           f"from sm, unnest(range(0, {C10})) as u(cls)")
 def q_softmax(spark, sf):
     return (scored(spark, sf).select("id", F.posexplode(A.softmax("z")).alias("cls", "p"))
             .select("id", "cls", r6(F.col("p")).alias("p")))
 
 
-@register("one_hot", f"with {Q.logits_ctes()} select id, cls, cast(cls = label as int) as t "
+@register("one_hot", f"with {Q.logits_ctes()} select id, cast(cls as int) as cls, cast(cls = label as int) as t "
           f"from z, unnest(range(0, {C10})) as u(cls)")
 def q_one_hot(spark, sf):
     return scored(spark, sf).select("id", F.posexplode(A.one_hot("label", C10)).alias("cls", "t"))
@@ -559,7 +559,7 @@ _W_SQL = "[" + ", ".join("[" + ", ".join(repr(v) for v in row) + "]" for row in
 
 
 @register("score_linear", f"""with e as (select vec_id as id, cast(embedding as double[]) as x from embeddings)
-select id, cls, round(list_inner_product(x, cast({_W_SQL} as double[][])[cls + 1]), 6) as z
+select id, cast(cls as int) as cls, round(list_inner_product(x, cast({_W_SQL} as double[][])[cls + 1]), 6) as z
 from e, unnest(range(0, {C10})) as u(cls)""")
 def q_score_linear(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -580,7 +580,7 @@ def member_frame(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), SC.member_probs("embedding", MEMBERS, C10).alias("probs"))
 
 
-@register("ensemble_stack", f"with {_MEMBERS_SQL} select member, id, cls, round(p[cls + 1], 6) as p "
+@register("ensemble_stack", f"with {_MEMBERS_SQL} select cast(member as int) as member, id, cast(cls as int) as cls, round(p[cls + 1], 6) as p "
           f"from mp, unnest(range(0, {C10})) as u(cls)")
 def q_ensemble_stack(spark, sf):
     m = member_frame(spark, sf).select("id", F.posexplode("probs").alias("member", "p"))
@@ -588,7 +588,7 @@ def q_ensemble_stack(spark, sf):
             .select("member", "id", "cls", r6(F.col("p")).alias("p")))
 
 
-@register("vote_onehot", f"with {_MEMBERS_SQL} select member, id, cls, cast(cls = pick as int) as v "
+@register("vote_onehot", f"with {_MEMBERS_SQL} select cast(member as int) as member, id, cast(cls as int) as cls, cast(cls = pick as int) as v "
           f"from mp, unnest(range(0, {C10})) as u(cls)")
 def q_vote_onehot(spark, sf):
     m = member_frame(spark, sf).select("id", F.posexplode(SC.one_hot_votes("probs", C10)).alias("member", "v"))
