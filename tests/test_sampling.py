@@ -107,3 +107,14 @@ def test_same_quota_rejects_too_large_total(spark):
     import pytest
     with pytest.raises(ValueError):
         B.bootstrap(df, 2, 100, "same")
+
+
+def test_bags_and_upsampling_do_not_depend_on_partitioning(spark):
+    df = _classes(spark, [2, 6, 30, 250])
+    def bags(d):
+        return {(r.bag, r.id) for r in B.bootstrap(d, 3, 120, "random", seed=4).collect()}
+    def ups(d):
+        return {(r.label, r.id, r.copy, r.slot, r.text_obj) for r in U.upsample_shuffle(d, minimum=40, seed=4).collect()}
+    a, b = df.repartition(2), df.repartition(13)
+    assert bags(a) == bags(b)
+    assert ups(a) == ups(b)
