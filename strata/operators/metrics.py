@@ -52,12 +52,6 @@ def summary(conf: DataFrame, num_classes: int, losses: DataFrame | None = None,
     return macro.withColumn("loss", losses.agg(F.avg(loss_col)).scalar())
 
 
-def history_wide(history: DataFrame, epochs: list[int]) -> DataFrame:
-    """(run_id, part, metric, class_id, epoch, value) -> one column per epoch."""
-    return (history.groupBy("run_id", "part", "metric", "class_id")
-            .pivot("epoch", epochs).agg(F.first("value")))
-
-
 # --- grouped evaluation (one evaluation per run / epoch / part) -----------------
 
 def confusion_by(df: DataFrame, num_classes: int, by: list[str], label_col: str = "label",
