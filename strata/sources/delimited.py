@@ -38,7 +38,14 @@ def _any(conds):
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
 
+def legacy_charsets(spark: SparkSession) -> None:
+    """MS949 is only reachable with the legacy charset switch (a runtime SQL conf)."""
+    if spark.conf.get("spark.sql.legacy.javaCharsets", "false").lower() != "true":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _reader(spark: SparkSession, schema, sep: str, encoding: str, header: bool):
+    legacy_charsets(spark)
     r = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
          .option("multiLine", True).option("mode", "PERMISSIVE"))
     return r.schema(schema) if schema is not None else r.option("inferSchema", False)
@@ -87,6 +94,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = "|", encoding: str = CP
                     fallback: str = UTF8, header: bool = True, mode: str = "overwrite") -> str:
     """A2: write ``sep``-separated text; if a value cannot be written in
     ``encoding``, write the whole table in ``fallback``. Returns the charset used."""
+    legacy_charsets(df.sparkSession)
     chosen = encoding if encodable(df, encoding) else fallback
     (df.write.mode(mode).option("sep", sep).option("header", header).option("encoding", chosen)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
