@@ -72,3 +72,27 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+def configure_for(spark: SparkSession, input_bytes: int, target: int = TARGET_PARTITION_BYTES) -> dict[str, str]:
+    """Size shuffles for an input of ``input_bytes``: about ``target`` bytes per
+    shuffle partition (so a partition fits an executor's execution memory and
+    spills rarely), scan splits of the same size, and AQE free to coalesce small
+    partitions and split skewed ones. Returns the settings applied."""
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, -(-int(input_bytes) // target))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
