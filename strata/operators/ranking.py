@@ -43,10 +43,12 @@ def _offsets(d: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def _cut(d: DataFrame, groups: Sequence[str], quota: Dim, k_col: str) -> tuple[Dim, DataFrame]:
     """One row per group with k >= 1: the straddling bucket ``_cb`` and its offset."""
-    offs = join_dim(_offsets(d, groups), quota, list(groups))
+    # Both tables are bounded (groups x 16**digits and one row per group) and
+    # each is read by two branches, so they are kept rather than recomputed.
+    offs = join_dim(_offsets(d, groups), quota, list(groups)).persist()
     k = F.col(k_col)
     cut = (offs.filter((F.col("_before") < k) & (F.col("_before") + F.col("_cnt") >= k))
-           .select(*groups, F.col("_b").alias("_cb"), "_before", k.alias("_k")))
+           .select(*groups, F.col("_b").alias("_cb"), "_before", k.alias("_k"))).persist()
     return derive(quota, cut), offs
 
 
