@@ -694,7 +694,8 @@ pos as (select id, generate_subscripts(string_split(text, ' '), 1) as pos, unnes
 fixed as (select p.id, string_agg(coalesce(f."right", p.tok), ' ' order by p.pos) as text from pos p left join fix f on f.wrong = p.tok group by p.id)
 select cl.id, coalesce(fixed.text, cl.text) as text from cl left join fixed using (id)""")
 def q_correct_tokens(spark, sf):
-    cleaned = doc_texts(spark, sf).select("id", T.clean_text("text").alias("text")).persist()
+    # Read twice (corrections, then the rewrite): written once to the shared folder.
+    cleaned = persist_table(doc_texts(spark, sf).select("id", T.clean_text("text").alias("text")), "cleaned")
     return CR.correct_tokens(cleaned, corrections(cleaned), clean=False).select("id", "text")
 
 
@@ -748,7 +749,7 @@ def q_refit_swapped(spark, sf):
 def q_train_text(spark, sf):
     """TF-IDF + weighted logistic regression on the preprocessed corpus; score the test part."""
     prep = preprocess(corpus(docs(spark, sf)), test_ratio=TEST_RATIO, seed=SEED)
-    feats, _ = TR.text_features(prep.rows, num_features=1 << 14)
+    feats, _ = TR.text_features(prep.rows, num_features=1 << 12)
     train = feats.filter(F.col("part") == "train")
     model = TR.train_linear(train, weights=LS.class_weights(train), max_iter=30)
     test = feats.filter(F.col("part") == "test")
