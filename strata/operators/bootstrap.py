@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strata.functions.hashing import draw
-from strata.operators.dims import Dim, checked, derive
-from strata.operators.ranking import take_ranked
+from strata.operators.dims import Dim, checked, derive, join_dim
+from strata.operators.ranking import rank_within, take_ranked
 
 ATTEMPTS = 32
 # Fixed values of the reference's trim rule: start at 1000, lower by 100.
@@ -91,9 +91,23 @@ def take_bags(df: DataFrame, quota: Dim, bags: int, seed=42, label_col: str = "l
                        salt=("bag",), rank_col=None)
 
 
+def draw_bags(df: DataFrame, quota: Dim, sizes: Dim, seed=42, label_col: str = "label",
+              id_col: str = "id") -> DataFrame:
+    """Bags with replacement: slot s of (bag, label) takes the row of rank
+    1 + H(seed:bag:label:s) mod n. Ranks come from one bucketed ranking, and the
+    join on (label, rank) spreads a hot class's draws over many keys."""
+    ranked = rank_within(df, [label_col], seed, id_col=id_col, rank_col="_rank")
+    slots = (join_dim(quota.df.filter(F.col("k") > 0), Dim(sizes.df.select(label_col, "n"), sizes.rows, sizes.max_rows), label_col)
+             .select("bag", label_col, "n", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot")))
+    slots = slots.withColumn("_rank", (F.pmod(draw(seed, F.col("bag"), F.col(label_col), F.col("slot")), F.col("n")) + 1).cast("int"))
+    return slots.join(ranked, [label_col, "_rank"]).drop("_rank", "n")
+
+
 def bootstrap(df: DataFrame, bags: int, total: int, dist: str = "same", min_cat: int = 2, seed=42,
-              label_col: str = "label", id_col: str = "id", sizes: Dim | None = None) -> DataFrame:
-    """B bags of about ``total`` rows, sampled without replacement per class."""
+              label_col: str = "label", id_col: str = "id", sizes: Dim | None = None,
+              replace: bool = False) -> DataFrame:
+    """B bags of about ``total`` rows per class quota; without replacement (as
+    the reference) unless ``replace``."""
     sizes = sizes or class_sizes(df, label_col)
     if dist == "same":
         quota = quotas_same(sizes, bags, total, min_cat, label_col)
@@ -101,6 +115,8 @@ def bootstrap(df: DataFrame, bags: int, total: int, dist: str = "same", min_cat:
         quota = quotas_random(sizes, bags, total, min_cat, seed, label_col)
     else:
         raise ValueError(f"unknown dist {dist!r}; expected 'same' or 'random'")
+    if replace:
+        return draw_bags(df, quota, sizes, seed, label_col, id_col)
     return take_bags(df, quota, bags, seed, label_col, id_col)
 
 

@@ -358,6 +358,17 @@ def q_bootstrap_random(spark, sf):
     return B.bootstrap(rows, BAGS, total, "random", MIN_CAT, SEED, sizes=sizes).select("bag", "id", "label")
 
 
+@register("bootstrap_replace", _bag_sql(_SAME_Q) + f"""
+, ranked_all as (select id, label, row_number() over (partition by label order by md5({Q.key(Q.lit(str(SEED)), 'id')}), id) as rk from labelled),
+slots as (select q.bag, q.label, c.n, s.slot from quota q join classes c using (label), unnest(range(0, q.k)) as s(slot) where q.k > 0)
+select cast(s.bag as int) as bag, cast(s.slot as int) as slot, r.id, s.label from slots s
+join ranked_all r on r.label = s.label and r.rk = ({Q.h(Q.lit(str(SEED)), 's.bag', 's.label', 's.slot')} % s.n) + 1""")
+def q_bootstrap_replace(spark, sf):
+    rows, sizes, total = bag_input(spark, sf)
+    out = B.bootstrap(rows, BAGS, total, "same", MIN_CAT, SEED, sizes=sizes, replace=True)
+    return out.select("bag", F.col("slot").cast("int").alias("slot"), "id", "label")
+
+
 @register("bootstrap_quotas", _bag_sql(_RANDOM_Q) + "\nselect cast(bag as int) as bag, label, k from quota")
 def q_bootstrap_quotas(spark, sf):
     rows, sizes, total = bag_input(spark, sf)
