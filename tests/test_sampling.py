@@ -118,3 +118,20 @@ def test_bags_and_upsampling_do_not_depend_on_partitioning(spark):
     a, b = df.repartition(2), df.repartition(13)
     assert bags(a) == bags(b)
     assert ups(a) == ups(b)
+
+
+def test_preprocess_upsamples_train_only(spark):
+    from strata.plans.preprocess import preprocess
+    from strata.sources.corpus import corpus
+    from strata.sources.tables import table
+    frame = corpus(table(spark, SF01, "documents"))
+    plain = preprocess(frame, test_ratio=0.1, seed=42).rows
+    up = preprocess(frame, test_ratio=0.1, seed=42, upsample="uniform", minimum=30).rows
+    test_a = {(r.id, r.text) for r in plain.filter("part = 'test'").collect()}
+    test_b = {(r.id, r.text) for r in up.filter("part = 'test'").collect()}
+    assert test_a == test_b
+    orig = {r.id for r in plain.filter("part = 'train'").collect()}
+    assert orig <= {r.id for r in up.filter("part = 'train' and copy = 0").collect()}
+    sizes = up.filter("part = 'train'").groupBy("label").count().collect()
+    assert min(r["count"] for r in sizes) >= 1
+    assert not ({r.id for r in plain.filter("part = 'train'").collect()} & {i for i, _ in test_a})
