@@ -123,3 +123,9 @@ def bootstrap(df: DataFrame, bags: int, total: int, dist: str = "same", min_cat:
 def out_of_bag(df: DataFrame, bagged: DataFrame, id_col: str = "id") -> DataFrame:
     """H8: rows whose id is in no bag."""
     return df.join(bagged.select(id_col).distinct(), id_col, "left_anti")
+
+
+def write_bags(bagged: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist the bags partitioned by ``bag``, so each member's trainer reads
+    only its own folder (partition pruning on ``bag = b``)."""
+    bagged.write.mode(mode).partitionBy("bag").parquet(path)
