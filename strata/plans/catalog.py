@@ -9,31 +9,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strata.functions import arrays as A
 from strata.functions import text as T
+from strata.operators import baseline as BL
+from strata.operators import bootstrap as B
+from strata.operators import correction as CR
 from strata.operators import dedup as D
+from strata.operators import features as FT
 from strata.operators import labels as L
-from strata.operators import ranking as R
-from strata.operators import split as S
-from strata.operators import upsample as U
-from strata.operators import bootstrap as B
 from strata.operators import losses as LS
 from strata.operators import metrics as M
-from strata.operators import features as FT
+from strata.operators import ranking as R
+from strata.operators import runs as RN
 from strata.operators import scoring as SC
-from strata.operators import baseline as BL
-from strata.operators import correction as CR
+from strata.operators import split as S
 from strata.operators import training as TR
-from strata.operators import runs as RN
-from strata.streaming import jobs as ST
-from strata.sources import delimited as DL
-from strata.session import scratch_path
-from strata.functions import arrays as A
+from strata.operators import upsample as U
 from strata.operators.dims import derive
 from strata.plans import sqltext as Q
 from strata.plans.preprocess import preprocess
+from strata.session import persist_table, scratch_path
+from strata.sources import delimited as DL
 from strata.sources.corpus import corpus, logits
-from strata.session import persist_table
 from strata.sources.tables import spread, table
+from strata.streaming import jobs as ST
 
 SEED = 42
 TEST_RATIO = 0.1
