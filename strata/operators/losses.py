@@ -70,14 +70,17 @@ def row_loss(df: DataFrame, kind: str = "CE", z_col: str = "z", label_col: str =
 
 def ice_row_loss(df: DataFrame, num_classes: int, batch_col: str = "batch_id", z_col: str = "z",
                  label_col: str = "label", power: float = 1.0, scale: float = ICE_SCALE,
-                 out: str = "loss") -> DataFrame:
+                 out: str = "loss", present_only: bool = False) -> DataFrame:
     """Weights from the current batch's label counts, 1/(cnt^power + eps),
-    normalized to ``scale``; a class absent from the batch counts 0 (raw 1/eps)."""
+    normalized to ``scale``; a class absent from the batch counts 0 (raw 1/eps),
+    which leaves the present classes almost no weight (as the reference does).
+    ``present_only`` normalizes over the classes present in the batch instead."""
     counts = df.groupBy(batch_col, label_col).agg(F.count(F.lit(1)).alias("_cnt"))
     inv = F.lit(1.0) / (F.pow(F.col("_cnt").cast("double"), F.lit(float(power))) + F.lit(EPS))
     per_batch = (counts.withColumn("_inv", inv).groupBy(batch_col)
                  .agg(F.sum("_inv").alias("_s"), F.count(F.lit(1)).alias("_present")))
-    norm = per_batch.select(batch_col, (F.col("_s") + (F.lit(num_classes) - F.col("_present")) / F.lit(EPS)).alias("_norm"))
+    absent = F.lit(0.0) if present_only else (F.lit(num_classes) - F.col("_present")) / F.lit(EPS)
+    norm = per_batch.select(batch_col, (F.col("_s") + absent).alias("_norm"))
     w = counts.withColumn("_inv", inv).join(norm, batch_col).select(
         batch_col, label_col, (F.col("_inv") / F.col("_norm") * F.lit(float(scale))).alias("_w"))
     joined = df.join(w, [batch_col, label_col])

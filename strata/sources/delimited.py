@@ -30,6 +30,15 @@ CORPUS_SCHEMA = T.StructType([
 ])
 
 
+# Names that mean the Korean code page; Java's own ``cp949`` and ``EUC-KR``
+# tables lose syllables such as 똠, so all of them are read and written as MS949.
+KOREAN_ALIASES = {"cp949", "ms949", "euc-kr", "euckr", "uhc", "ks_c_5601-1987"}
+
+
+def charset(name: str) -> str:
+    return CP949 if name.lower() in KOREAN_ALIASES else name
+
+
 def _strings(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
@@ -60,7 +69,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "|", encoding: str
         probe = _reader(spark, schema, sep, CP949, header).csv(path)
         bad = _any([F.coalesce(F.instr(F.col(c), REPLACEMENT) > 0, F.lit(False)) for c in _strings(probe)])
         encoding = CP949 if probe.filter(bad).isEmpty() else fallback
-    df = _reader(spark, schema, sep, encoding, header).csv(path)
+    df = _reader(spark, schema, sep, charset(encoding), header).csv(path)
     if fill_text:
         df = df.fillna("", subset=[c for c in TEXT_COLS if c in df.columns])
     return df
@@ -95,6 +104,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = "|", encoding: str = CP
     """A2: write ``sep``-separated text; if a value cannot be written in
     ``encoding``, write the whole table in ``fallback``. Returns the charset used."""
     legacy_charsets(df.sparkSession)
+    encoding = charset(encoding)
     chosen = encoding if encodable(df, encoding) else fallback
     (df.write.mode(mode).option("sep", sep).option("header", header).option("encoding", chosen)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -57,3 +57,11 @@ def test_scores_absent_classes_are_zero(spark):
     summ = M.summary(conf, 4).first()
     assert abs(summ.acc - 2 / 3) < 1e-12
     assert abs(summ.macro_rc - (0.5 + 1.0) / 4) < 1e-12
+
+
+def test_ice_present_only_ignores_absent_classes(spark):
+    rows = [(i, 0 if i < 5 else 1, 0, [1.0, 0.0, 0.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, label int, batch_id int, z array<double>")
+    out = {r.label: r.loss for r in LS.ice_row_loss(df, num_classes=3, present_only=True).collect()}
+    p0 = math.exp(1) / (math.exp(1) + 2)
+    assert abs(out[0] - 112.5 * -math.log(p0 + 1e-9)) < 1e-6

@@ -31,3 +31,10 @@ def test_utf8_file_is_detected(spark):
     path = _fresh()
     DL.write_delimited(df, path, encoding="UTF-8")
     assert DL.read_delimited(spark, path).orderBy("id").first().text_obj == "똠방각하"
+
+
+def test_korean_charset_aliases_map_to_ms949(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    path = _fresh()
+    assert DL.write_delimited(df, path, encoding="euc-kr") == "MS949"
+    assert DL.read_delimited(spark, path, encoding="cp949").orderBy("id").first().text_obj == "똠방각하"
