@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strata.functions.hashing import draw
 from strata.operators.dims import Dim, checked, derive, join_dim
-from strata.operators.ranking import rank_within, take_ranked
+from strata.operators.ranking import digits_for, rank_within, take_ranked
 
 ATTEMPTS = 32
 # Fixed values of the reference's trim rule: start at 1000, lower by 100.
@@ -84,11 +84,12 @@ def quotas_random(sizes: Dim, bags: int, total: int, min_cat: int = 2, seed=42,
 
 
 def take_bags(df: DataFrame, quota: Dim, bags: int, seed=42, label_col: str = "label",
-              id_col: str = "id") -> DataFrame:
+              id_col: str = "id", digits: int | None = None) -> DataFrame:
     """Rows of every bag: per (bag, label) the first k rows of md5(seed:bag:id)."""
     expanded = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+    kw = {"digits": digits} if digits else {}
     return take_ranked(expanded, ["bag", label_col], quota, seed, id_col=id_col,
-                       salt=("bag",), rank_col=None)
+                       salt=("bag",), rank_col=None, **kw)
 
 
 def draw_bags(df: DataFrame, quota: Dim, sizes: Dim, seed=42, label_col: str = "label",
@@ -96,7 +97,7 @@ def draw_bags(df: DataFrame, quota: Dim, sizes: Dim, seed=42, label_col: str = "
     """Bags with replacement: slot s of (bag, label) takes the row of rank
     1 + H(seed:bag:label:s) mod n. Ranks come from one bucketed ranking, and the
     join on (label, rank) spreads a hot class's draws over many keys."""
-    ranked = rank_within(df, [label_col], seed, id_col=id_col, rank_col="_rank")
+    ranked = rank_within(df, [label_col], seed, id_col=id_col, rank_col="_rank", digits=digits_for(sizes))
     slots = (join_dim(quota.df.filter(F.col("k") > 0), Dim(sizes.df.select(label_col, "n"), sizes.rows, sizes.max_rows), label_col)
              .select("bag", label_col, "n", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot")))
     slots = slots.withColumn("_rank", (F.pmod(draw(seed, F.col("bag"), F.col(label_col), F.col("slot")), F.col("n")) + 1).cast("int"))
@@ -117,7 +118,7 @@ def bootstrap(df: DataFrame, bags: int, total: int, dist: str = "same", min_cat:
         raise ValueError(f"unknown dist {dist!r}; expected 'same' or 'random'")
     if replace:
         return draw_bags(df, quota, sizes, seed, label_col, id_col)
-    return take_bags(df, quota, bags, seed, label_col, id_col)
+    return take_bags(df, quota, bags, seed, label_col, id_col, digits=digits_for(sizes))
 
 
 def out_of_bag(df: DataFrame, bagged: DataFrame, id_col: str = "id") -> DataFrame:

@@ -25,6 +25,25 @@ from strata.functions.hashing import bucket_of, seed_key
 from strata.operators.dims import Dim, derive, join_dim
 
 BUCKET_DIGITS = 3
+MAX_DIGITS = 8
+TARGET_BUCKET_ROWS = 50_000
+
+
+def bucket_digits(largest_group: int, target: int = TARGET_BUCKET_ROWS) -> int:
+    """Hex digits of the bucket key so that the largest group's buckets hold
+    about ``target`` rows (at least 3 digits): the straddling bucket, the only
+    one that is shuffled into a window, stays small even when one class holds
+    a third of all rows (3e10 rows -> 5 digits -> ~30k rows per bucket)."""
+    d = BUCKET_DIGITS
+    while d < MAX_DIGITS and largest_group / 16 ** d > target:
+        d += 1
+    return d
+
+
+def digits_for(sizes: Dim, n_col: str = "n") -> int:
+    """Bucket digits for groups sized by a (small, cached) size table."""
+    largest = sizes.df.agg(F.max(n_col)).first()[0] or 0
+    return bucket_digits(int(largest))
 _HELPERS = ("_key", "_b", "_cb", "_before", "_k", "_cnt")
 
 

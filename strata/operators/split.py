@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strata.operators.dims import Dim, checked, derive
-from strata.operators.ranking import mark_ranked
+from strata.operators.ranking import digits_for, mark_ranked
 
 # Fixed values of the split rule: (size bound, test rows) for small classes and
 # the line int(8/90 * n + 10/9) for classes of 11 to 99 rows.
@@ -43,6 +43,6 @@ def stratified_split(df: DataFrame, test_ratio: float | None = None, num_test: i
             raise ValueError("give test_ratio or num_test")
         test_ratio = split_ratio(classes, num_test)
     quota = derive(classes, classes.df.select(label_col, test_quota(F.col("n"), test_ratio).alias("k")))
-    marked = mark_ranked(df, [label_col], quota, seed, id_col=id_col)
+    marked = mark_ranked(df, [label_col], quota, seed, id_col=id_col, digits=digits_for(classes))
     return (marked.withColumn(part_col, F.when(F.col("_in"), "test").otherwise("train"))
             .drop("_in"))

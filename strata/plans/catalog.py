@@ -167,7 +167,9 @@ def q_class_rollup(spark, sf):
 
 @register("seeded_rank", f"with {Q.base_ctes(SEED)} select id, label, cast(rk as int) as rank from ranked")
 def q_seeded_rank(spark, sf):
-    return R.rank_within(labelled(spark, sf), ["label"], SEED).select("id", "label", "rank")
+    rows, classes = L.encode(base(spark, sf))
+    digits = R.digits_for(classes)
+    return R.rank_within(rows, ["label"], SEED, digits=digits).select("id", "label", "rank")
 
 
 # --- 2.8 split and resampling ------------------------------------------------

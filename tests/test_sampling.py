@@ -135,3 +135,17 @@ def test_preprocess_upsamples_train_only(spark):
     sizes = up.filter("part = 'train'").groupBy("label").count().collect()
     assert min(r["count"] for r in sizes) >= 1
     assert not ({r.id for r in plain.filter("part = 'train'").collect()} & {i for i, _ in test_a})
+
+
+def test_bucket_digits_grow_with_the_largest_class():
+    assert R.bucket_digits(1_000) == 3
+    assert R.bucket_digits(50_000 * 4096) == 3
+    assert R.bucket_digits(3 * 10**10) == 5
+    assert R.bucket_digits(10**18) == R.MAX_DIGITS
+
+
+def test_finer_buckets_give_the_same_ranks(spark):
+    df = _classes(spark, [3, 50, 700])
+    a = {(r.id, r.rank) for r in R.rank_within(df, ["label"], 5, digits=3).collect()}
+    b = {(r.id, r.rank) for r in R.rank_within(df, ["label"], 5, digits=6).collect()}
+    assert a == b
