@@ -119,10 +119,13 @@ def _focal_grad_fn(w_b, num_classes: int, dims: int, alpha: float, gamma: float,
 
 def train_focal(train: DataFrame, num_classes: int, dims: int, steps: int = 30, lr: float = 2.0,
                 alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA, x_col: str = "embedding",
-                label_col: str = "label", init: FocalModel | None = None) -> FocalModel:
-    """Full-batch gradient descent on the focal loss."""
+                label_col: str = "label", init: FocalModel | None = None, cache: bool = True) -> FocalModel:
+    """Full-batch gradient descent on the focal loss. ``cache=False`` when
+    the caller already keeps ``train`` across calls."""
     spark = train.sparkSession
-    data = train.select(x_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    data = train.select(x_col, label_col)
+    if cache:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     w = init.weights.copy() if init is not None else np.zeros((num_classes, dims))
     b = init.bias.copy() if init is not None else np.zeros(num_classes)
     history = []
@@ -145,7 +148,8 @@ def train_focal(train: DataFrame, num_classes: int, dims: int, steps: int = 30,
             b -= lr * g[num_classes * dims: size] / n
             w_b.unpersist()
     finally:
-        data.unpersist()
+        if cache:
+            data.unpersist()
     return FocalModel(w, b, history)
 
 

@@ -28,6 +28,7 @@ from strata.operators import upsample as U
 from strata.operators.dims import derive
 from strata.plans import sqltext as Q
 from strata.plans.preprocess import preprocess
+from strata.plans.train import train_run
 from strata.session import persist_table, scratch_path
 from strata.sources import delimited as DL
 from strata.sources.corpus import corpus, logits
@@ -930,3 +931,18 @@ def q_score_model_udf(spark, sf):
     udf = SC.model_udf(SC.numpy_linear(WEIGHTS), C10, DIMS)
     z = e.select(F.col("vec_id").alias("id"), udf(F.col("embedding")).alias("z"))
     return z.select("id", F.posexplode("z").alias("cls", "z")).select("id", "cls", r6(F.col("z")).alias("z"))
+
+
+
+TRAIN_EPOCHS = 5
+TRAIN_STEPS = 3
+
+
+@register("train_run")
+def q_train_run(spark, sf):
+    """The reference's epoch loop: focal head, per-epoch train/valid scores in
+    the run table, best weights by valid loss, patience stop."""
+    d = emb_parts(spark, sf).select("id", "label", "embedding", "part")
+    run = train_run(d.filter(F.col("part") == "train"), d.filter(F.col("part") == "valid"), C10, DIMS,
+                    epochs=TRAIN_EPOCHS, steps_per_epoch=TRAIN_STEPS, patience=PATIENCE, run_id="focal")
+    return run.summary.select("run_id", "epoch", *RN.SUMMARY_COLS)

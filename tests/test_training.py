@@ -19,3 +19,16 @@ def test_focal_descent_lowers_loss(spark):
     m = TR.train_focal(d, 10, 64, steps=8)
     losses = [l for _, l in m.history]
     assert all(b < a for a, b in zip(losses, losses[1:]))
+
+
+def test_training_loop_records_epochs_and_keeps_best(spark):
+    from strata.plans.train import train_run
+    d = C.emb_parts(spark, SF01)
+    run = train_run(d.filter(F.col("part") == "train"), d.filter(F.col("part") == "valid"), 10, 64,
+                    epochs=4, steps_per_epoch=2, patience=2, run_id="t")
+    rows = sorted(run.summary.collect(), key=lambda r: r.epoch)
+    assert [r.epoch for r in rows] == list(range(len(rows)))
+    losses = [r.train_loss for r in rows]
+    assert all(b < a for a, b in zip(losses, losses[1:]))
+    best = min(rows, key=lambda r: (r.valid_loss, r.epoch))
+    assert run.best_epoch == best.epoch
