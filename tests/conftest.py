@@ -13,7 +13,8 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from strata.session import get_spark
-    s = get_spark(master="local[*]", shuffle_partitions=8)
+    # Up to 4 attempts per task, as on a cluster, so retry behavior is exercised.
+    s = get_spark(master="local[*,4]", shuffle_partitions=8)
     yield s
 
 
