@@ -519,10 +519,6 @@ def doc_texts(spark, sf) -> DataFrame:
     return spread(docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
 
 
-def char_tokens(c):
-    return F.regexp_extract_all(c if not isinstance(c, str) else F.col(c), F.lit(Q.CHAR_PATTERN), 0)
-
-
 def ints(c):
     return F.array_join(F.col(c), ",")
 
@@ -550,8 +546,7 @@ def q_encode_ids(spark, sf):
 select w.id, w.ids as word_ids, ch.ids as char_ids from w join ch using (id)""")
 def q_encode_multi(spark, sf):
     d = doc_texts(spark, sf)
-    encoders = {"word": (FT.vocab(d), FT.tokens), "char": (FT.vocab(d, size=CHAR_VOCAB, tokenizer=char_tokens), char_tokens)}
-    e = FT.encode_multi(d, encoders)
+    e = FT.encode_multi(d, FT.encoders(d, ["word", "char"], sizes={"char": CHAR_VOCAB}))
     return e.select("id", F.array_join("word.input_ids", ",").alias("word_ids"),
                     F.array_join("char.input_ids", ",").alias("char_ids"))
 

@@ -91,7 +91,7 @@ sm as (select id, label, z, list_transform(e, lambda x: x / list_sum(e)) as p,
        cast(list_position(z, list_max(z)) - 1 as int) as pred from ez)"""
 
 
-CHAR_PATTERN = "[^ \\t\\n\\r\\f]"
+from strata.operators.features import CHAR_PATTERN  # noqa: E402
 
 
 def chars(expr: str) -> str:
