@@ -55,7 +55,7 @@ def early_stop(summary: DataFrame, patience: int) -> DataFrame:
     t = t.withColumn("improved", (F.col("valid_loss") < F.coalesce(F.min("valid_loss").over(before), F.lit(math.inf))).cast("int"))
     t = t.withColumn("patience", (F.col("epoch") - F.max(F.when(F.col("improved") == 1, F.col("epoch"))).over(upto)).cast("int"))
     first_stop = F.min(F.when(F.col("patience") >= patience, F.col("epoch"))).over(Window.partitionBy("run_id"))
-    return t.withColumn("stop", (F.col("epoch") == first_stop).cast("int")).drop("valid_loss")
+    return t.withColumn("stop", F.coalesce((F.col("epoch") == first_stop).cast("int"), F.lit(0))).drop("valid_loss")
 
 
 def class_history(scores: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ every as (select t.*, row_number() over (partition by t.label order by md5({Q.ke
           from train t join small s using (label))"""
 
 
-_ORIG = f"select label, id, 0 as copy, cast(null as int) as slot, {Q.TEXTS} from train"
+_ORIG = f"select label, id, 0 as copy, -1 as slot, {Q.TEXTS} from train"
 
 
 def _random_sql(m: int) -> str:
@@ -206,7 +206,7 @@ slots as (select label, p, unnest(range(0, {m} - n)) as slot from small where p
 draws as (select label, slot, ({Q.h("'42'", 'label', 'slot')} % p) + 1 as prank from slots)
 {_ORIG}
 union all
-select label, pool.id, cast(null as int) as copy, cast(slot as int) as slot, {Q.TEXTS} from draws join pool using (label, prank)"""
+select label, pool.id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS} from draws join pool using (label, prank)"""
 
 
 def _uniform_sql(m: int) -> str:
@@ -215,9 +215,9 @@ copies as (select t.label, t.id, cast(coalesce(cast(floor({m} / s.n) as int), 1)
            from train t left join small s using (label)),
 slots as (select label, (slot % p) + 1 as prank, slot from
           (select label, p, unnest(range(0, {m} % n)) as slot from small where p > 0 and {m} % n > 0))
-select label, id, cast(c as int) as copy, cast(null as int) as slot, {Q.TEXTS} from copies, unnest(range(0, reps)) as u(c)
+select label, id, cast(c as int) as copy, -1 as slot, {Q.TEXTS} from copies, unnest(range(0, reps)) as u(c)
 union all
-select label, pool.id, cast(null as int) as copy, cast(slot as int) as slot, {Q.TEXTS} from slots join pool using (label, prank)"""
+select label, pool.id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS} from slots join pool using (label, prank)"""
 
 
 def _shuffle_sql(m: int) -> str:
@@ -236,10 +236,10 @@ missing as (select label, slot, (slot % p) + 1 as prank from
             where p > 0 and not exists (select 1 from accepted a where a.label = x.label and a.slot = x.slot))
 {_ORIG}
 union all
-select label, cast(null as bigint) as id, cast(null as int) as copy, cast(slot as int) as slot,
+select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as int) as slot,
        t.text_obj, t.text_mthd, t.text_deal from accepted
 union all
-select label, cast(null as bigint) as id, cast(null as int) as copy, cast(slot as int) as slot, {Q.TEXTS}
+select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS}
 from missing join pool using (label, prank)"""
 
 
@@ -252,35 +252,37 @@ st as (select label, count(*) as n from train group by label),
 {sel(1, 'text_obj')}, {sel(2, 'text_mthd')}, {sel(3, 'text_deal')}
 {_ORIG}
 union all
-select label, cast(null as bigint) as id, cast(null as int) as copy, cast(slot as int) as slot, {Q.TEXTS}
+select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS}
 from s1 join s2 using (label, slot) join s3 using (label, slot)"""
 
 
-_UPS_COLS = ["label", "id", "copy", "slot", *T.TEXT_COLS]
+def _ups_cols():
+    """Upsampling output; synthetic rows (no source id) show id -1."""
+    return ["label", F.coalesce(F.col("id"), F.lit(-1).cast("bigint")).alias("id"), "copy", "slot", *T.TEXT_COLS]
 
 
 @register("upsample_random", _random_sql(MINIMUM))
 def q_upsample_random(spark, sf):
     tr, c = train_rows(spark, sf)
-    return U.upsample_random(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_UPS_COLS)
+    return U.upsample_random(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_ups_cols())
 
 
 @register("upsample_uniform", _uniform_sql(MINIMUM))
 def q_upsample_uniform(spark, sf):
     tr, c = train_rows(spark, sf)
-    return U.upsample_uniform(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_UPS_COLS)
+    return U.upsample_uniform(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_ups_cols())
 
 
 @register("upsample_shuffle", _shuffle_sql(MINIMUM))
 def q_upsample_shuffle(spark, sf):
     tr, c = train_rows(spark, sf)
-    return U.upsample_shuffle(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_UPS_COLS)
+    return U.upsample_shuffle(tr, minimum=MINIMUM, seed=SEED, classes=c).select(*_ups_cols())
 
 
 @register("mix_columns", _mix_sql(MIX_FRAC))
 def q_mix_columns(spark, sf):
     tr, c = train_rows(spark, sf)
-    return U.mix_columns(tr, frac=MIX_FRAC, seed=SEED, classes=c).select(*_UPS_COLS)
+    return U.mix_columns(tr, frac=MIX_FRAC, seed=SEED, classes=c).select(*_ups_cols())
 
 
 def _preprocess_sql(m: int) -> str:
@@ -292,7 +294,7 @@ union all
 {tail})
 select 'train' as part, label, id, copy, slot, concat_ws(' ', {Q.TEXTS}) as text from up
 union all
-select 'test' as part, label, id, 0 as copy, cast(null as int) as slot, concat_ws(' ', {Q.TEXTS}) as text
+select 'test' as part, label, id, 0 as copy, -1 as slot, concat_ws(' ', {Q.TEXTS}) as text
 from split where part = 'test'"""
 
 
@@ -846,7 +848,7 @@ imp as (select run_id, epoch, cast(valid_loss < coalesce(min(valid_loss) over (p
 pat as (select *, cast(epoch - max(case when improved = 1 then epoch end) over (partition by run_id order by epoch
         rows between unbounded preceding and current row) as int) as patience from imp)
 select run_id, epoch, improved, patience,
-       cast(epoch = min(case when patience >= {PATIENCE} then epoch end) over (partition by run_id) as int) as stop from pat""")
+       coalesce(cast(epoch = min(case when patience >= {PATIENCE} then epoch end) over (partition by run_id) as int), 0) as stop from pat""")
 def q_early_stop(spark, sf):
     return RN.early_stop(stored_summary(spark, sf), PATIENCE)
 
