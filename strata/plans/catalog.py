@@ -905,6 +905,16 @@ def q_stream_confusion(spark, sf):
     return ST.run(ST.confusion_stream(s, C10), "confusion", "complete")
 
 
+@register("stream_scores", SQL["class_scores"])
+def q_stream_scores(spark, sf):
+    """D5-D7 applied to the running confusion table of the stream."""
+    s = ST.argmax_stream(ST.read_stream(spark, _path(sf, "embeddings")), C10)
+    conf = ST.run(ST.confusion_stream(s, C10), "scores", "complete")
+    out = M.class_scores(conf, C10)
+    return out.select("class_id", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1score")],
+                      *[F.col(c).cast("bigint").alias(c) for c in ("num_true", "num_pred", "tp")])
+
+
 @register("stream_label", f"""with {Q.base_ctes()},
 c as (select id, {Q.code()} as digit, concat_ws(' ', {Q.clean('text_obj')}, {Q.clean('text_mthd')}, {Q.clean('text_deal')}) as text from corpus)
 select id, digit, label, text from c join classes using (digit)""")
