@@ -5,6 +5,7 @@ Each helper returns a CTE body; ``catalog`` glues them into full statements.
 
 from __future__ import annotations
 
+from strata.operators.features import CHAR_PATTERN
 from strata.sources.corpus import LANG_CODES, OTHER_CODE
 from strata.functions.text import CLEAN_PATTERN, TOKEN_SPLIT
 from strata.operators.split import INTERCEPT, SLOPE
@@ -91,7 +92,6 @@ sm as (select id, label, z, list_transform(e, lambda x: x / list_sum(e)) as p,
        cast(list_position(z, list_max(z)) - 1 as int) as pred from ez)"""
 
 
-from strata.operators.features import CHAR_PATTERN  # noqa: E402
 
 
 def chars(expr: str) -> str:
