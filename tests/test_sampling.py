@@ -149,3 +149,24 @@ def test_finer_buckets_give_the_same_ranks(spark):
     a = {(r.id, r.rank) for r in R.rank_within(df, ["label"], 5, digits=3).collect()}
     b = {(r.id, r.rank) for r in R.rank_within(df, ["label"], 5, digits=6).collect()}
     assert a == b
+
+
+def test_num_test_is_a_ratio_of_the_deduplicated_rows(spark):
+    df = C.labelled(spark, SF01)
+    n = df.count()
+    a = {(r.id, r.part) for r in S.stratified_split(df, num_test=150, seed=3).collect()}
+    b = {(r.id, r.part) for r in S.stratified_split(df, test_ratio=150 / n, seed=3).collect()}
+    assert a == b
+
+
+def test_preprocess_honours_the_target_level(spark):
+    from strata.plans.preprocess import preprocess
+    from strata.sources.corpus import corpus
+    from strata.sources.tables import table
+    frame = corpus(table(spark, SF01, "documents"))
+    large = preprocess(frame, test_ratio=0.1, level="L")
+    codes = {r.digit for r in large.label_map.collect()}
+    assert codes <= {"A", "B", "C", "D", "Z"} and len(codes) == large.classes.rows
+    medium = preprocess(frame, test_ratio=0.1, level="M")
+    assert all(len(r.digit) == 2 for r in medium.label_map.collect())
+    assert large.rows.count() == medium.rows.count()
