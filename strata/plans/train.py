@@ -12,11 +12,9 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from strata.functions.arrays import argmax
-from strata.operators import losses as LS
-from strata.operators import metrics as M
 from strata.operators import runs as RN
 from strata.operators.training import FocalModel, train_focal
+from strata.plans.evaluate import evaluate
 from strata.session import scratch_path
 
 
@@ -31,10 +29,9 @@ class Run:
 def _evaluate(model: FocalModel, both: DataFrame, num_classes: int, x_col: str, label_col: str,
               run_id: str, epoch: int) -> DataFrame:
     """One pass over train and valid rows (tagged by ``part``)."""
-    scored = (both.select("part", F.col(label_col).alias("label"), model.scores(x_col).alias("z"))
-              .withColumn("pred", argmax("z")))
-    rows = LS.row_loss(scored, "FCE").withColumns({"run_id": F.lit(run_id), "epoch": F.lit(epoch)})
-    return M.summary_by(rows, num_classes, ["run_id", "epoch", "part"])
+    scored = both.select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), "part",
+                         F.col(label_col).alias("label"), model.scores(x_col).alias("z"))
+    return evaluate(scored, num_classes, by=["run_id", "epoch", "part"], loss="FCE").summary
 
 
 def train_run(train: DataFrame, valid: DataFrame, num_classes: int, dims: int, epochs: int = 10,

@@ -65,3 +65,16 @@ def test_ice_present_only_ignores_absent_classes(spark):
     out = {r.label: r.loss for r in LS.ice_row_loss(df, num_classes=3, present_only=True).collect()}
     p0 = math.exp(1) / (math.exp(1) + 2)
     assert abs(out[0] - 112.5 * -math.log(p0 + 1e-9)) < 1e-6
+
+
+def test_evaluate_plan_matches_the_operators(spark):
+    from strata.plans.evaluate import evaluate
+    z = _z(spark)
+    ev = evaluate(z, 3)
+    s = ev.summary.first()
+    ce = LS.row_loss(z, "CE").agg(F.avg("loss")).first()[0]
+    assert abs(s.loss - ce) < 1e-12 and abs(s.acc - 0.5) < 1e-12
+    grouped = evaluate(z.withColumn("part", F.lit("valid")), 3, by=["part"])
+    g = grouped.summary.first()
+    assert g.part == "valid" and abs(g.loss - ce) < 1e-12 and abs(g.macro_f1 - s.macro_f1) < 1e-12
+    assert grouped.classes.count() == 3
