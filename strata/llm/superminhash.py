@@ -8,12 +8,14 @@ lower variance than independent hashes; the walk ends as soon as j passes the
 largest kept rank, after a few steps for all but very short texts.
 
 Plan: one pass writes a row per document (set size, set key, band keys). Equal sets
-collapse to one class each. A bucket (band, key) first links its members to its
-smallest one; pairs are confirmed on the full shingle sets; components are formed.
-Then only members of a bucket that are still in different components are compared
-with each other, so a group of thousands of near copies costs one pair a member and
-no candidate link is lost. Buckets, classes and stars are aggregates with map-side
-combine; joins on hot keys are split by AQE.
+collapse to one class each. Links are then found in rounds, so that a group of thousands of
+near copies costs a pair per member, not all pairs: in every bucket (band, key) whose
+members are not yet in one component, each member names the member of the smallest
+component; of all its buckets' answers a document is compared with the commonest one, on
+the full shingle sets. What is still in different components after the rounds and shares
+buckets, directly or through others, forms a cluster; a cluster's documents are compared
+exactly, by an inverted index over their shingles, in blocks of a bounded size, and only
+links come out. Buckets, classes and stars are aggregates with map-side combine.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from strata.session import persist_table
 SLOTS, BAND_ROWS = 96, 4
 #: Shingles walked together; bounds memory (SLOTS bytes each), not the text's length.
 WALK = 100_000
+#: Rounds of comparisons with one document, and documents of a block of the exact comparison.
+ROUNDS, CLUSTER = 2, 3_000
 
 
 def signatures(sets: list[np.ndarray], m: int = SLOTS) -> np.ndarray:
@@ -98,19 +102,13 @@ def sign(docs: DataFrame, k: int, slots: int, band_rows: int) -> DataFrame:
     return map_arrow(id_text(docs), one, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Only texts of documents in some
-    pair are turned into sets; the sets go to the shared folder and are joined from there."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = persist_table(map_arrow(texts, lambda b: pa.RecordBatch.from_arrays(
-        [b.column(0), pa.array([shingle_set(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
-        names=["doc_id", "s"]), "doc_id long, s binary"), f"{name}-sets")
-    # Sizes first: |small| / |large| bounds the similarity from above.
-    small = sets.select("doc_id", (F.length("s") / 8).cast("long").alias("n"))
-    pairs = (pairs.join(small.toDF("a", "na"), "a").join(small.toDF("b", "nb"), "b")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; their sizes, which bound it, are compared first."""
+    size = sets.select("doc_id", "n")
+    pairs = (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
              .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    full = sets.select("doc_id", "s")
+    both = pairs.join(full.toDF("b", "sb"), "b").join(full.toDF("a", "sa"), "a")
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         sa, sb = b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -120,6 +118,79 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
     return persist_table(map_arrow(both.select("a", "b", "sa", "sb"), check, "a long, b long"), f"{name}-links")
 
 
+def links_between(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different components, one for each that is joined: every pair across components
+    is counted through an inverted index, and each component is linked to another once."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(flat))
+    shared = last - first > 1
+    group = np.cumsum(new) - 1
+    # Occurrences of shared shingles, by document.
+    keep = shared[group]
+    back = np.argsort(owner[keep], kind="stable")
+    of = group[keep][back]
+    cut = np.searchsorted(owner[keep][back], np.arange(len(sets) + 1))
+    names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    main = int(np.argmax(counts))
+    root = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(inverse != main):
+        mine = of[cut[i] : cut[i + 1]]
+        if not len(mine):
+            continue
+        n = last[mine] - first[mine]
+        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (both > 0) & (comp != comp[i]))
+        for j in near:
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _rest(open_: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """open_ (key, rep, c): members of buckets with several components -> the links between them."""
+    lead = open_.groupBy("key").agg(F.min("rep").alias("lead"))
+    cluster = components(open_.join(lead, "key").select("rep", "lead"), f"{name}-clusters").toDF("rep", "k")
+    members = persist_table(open_.select("rep", "c").distinct().join(cluster, "rep"), f"{name}-members")
+    # A cluster of g blocks is compared block by block: a document goes to g pairs of blocks.
+    blocks = members.groupBy("k").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("g"))
+    dealt = members.join(blocks, "k").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    dealt = dealt.select("k", "rep", "c", "i", other.alias("j")).select("k", "rep", "c", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    rows = dealt.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        found = links_between(t["rep"].to_numpy(), t["c"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()], percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return persist_table(rows.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long"), f"{name}-rest")
+
+
+def _open(buckets: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(key, rep, c): the members, with their components, of buckets that hold more than one component."""
+    if comp is None:
+        return buckets.select("key", "rep", F.col("rep").alias("c"))
+    placed = buckets.join(comp.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    return placed.join(mixed, "key")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int = SLOTS,
                     band_rows: int = BAND_ROWS, name: str = "minhash") -> DataFrame:
     """documents (doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), a row per input row.
@@ -136,21 +207,35 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int =
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), f"{name}-classes")
     copies = signed.filter("doc_id is not null").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").filter("doc_id <> rep")
     rows = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last").select("key", "lead")
-    buckets = persist_table(rows.join(leaders, "key"), f"{name}-buckets")
-    first = persist_table(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), f"{name}-pairs")
-    links = _confirm(base, first, k, percent, name)
-    comp = components(links, name)
-    # Members of one bucket that are not yet in one component: all their pairs, across components only.
-    placed = buckets.join(comp.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    open_ = persist_table(placed.join(mixed, "key").select("key", "rep", "c"), f"{name}-open")
-    x, y = open_.toDF("key", "a", "ca"), open_.toDF("key", "b", "cb")
-    rest = (x.join(y, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    more = _confirm(base, persist_table(rest, f"{name}-rest"), k, percent, f"{name}-2")
-    # The components of the first round stand for its links.
-    whole = components(comp.toDF("a", "b").union(more).union(copies.toDF("a", "b")), f"{name}-all")
+    shared = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
+    buckets = persist_table(rows.join(shared, "key"), f"{name}-buckets")
+    # Sets of the documents that share a bucket with another one; the others need none.
+    texts = base.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = persist_table(map_arrow(texts, lambda b: pa.RecordBatch.from_arrays(
+        [b.column(0), pa.array([shingle_set(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
+        names=["doc_id", "s"]), "doc_id long, s binary").dropDuplicates(["doc_id"]).withColumn("n", F.length("s") / 8), f"{name}-sets")
+    comp, links, seen = None, None, None
+    for turn in range(ROUNDS):
+        open_ = persist_table(_open(buckets, comp), f"{name}-open")
+        lead = open_.groupBy("key").agg(F.min(F.struct("c", "rep")).alias("lead")).select("key", F.col("lead.c").alias("lc"), F.col("lead.rep").alias("lead"))
+        asked = open_.join(lead, "key").filter("c <> lc").groupBy(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), "rep").agg(F.count("*").alias("n"))
+        asked = asked if seen is None else asked.join(seen, ["a", "b"], "left_anti")
+        best = asked.groupBy("rep").agg(F.max(F.struct("n", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x"))
+        pairs = persist_table(best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct(), f"{name}-pairs")
+        found = _confirm(pairs, sets, percent, name)
+        links, seen = (found, pairs) if links is None else (links.union(found), seen.union(pairs))
+        comp = components(links, name)
+    rest = _rest(persist_table(_open(buckets, comp), f"{name}-open"), sets, percent, name)
+    # The rounds' components stand for their links.
+    whole = components(comp.toDF("a", "b").union(rest).union(copies.toDF("a", "b")), f"{name}-all")
     out = signed.select("doc_id", "n_shingles").join(whole.toDF("doc_id", "component_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The documents whose id is the smallest of their group, with their columns as they were;
+    repeated rows stay repeated, rows without an id stay."""
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    return row.join(gone, "_id", "left_anti").select("_row.*")
