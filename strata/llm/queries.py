@@ -4,18 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm.classifier import quality_scores
+from strata.llm.column_dedup import digests as removal_digests
+from strata.llm.flat_graph import near_vectors
+from strata.llm.packing import packed_documents
+from strata.llm.quality_rules import quality_rules
 from strata.llm.superminhash import near_duplicates
+from strata.llm.tag_paths import extract_pages
+from strata.llm.word_bpe import digests as bpe_digests
+from strata.llm.xent import cross_entropy_difference
+from strata.llm.zip_warc import archive_round_trip
 from strata.sources.tables import table
 
 
+def op1_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus: documents labelled as good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op4_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mcd_rules": op1_mcd_rules,
+    "op2_flat_graph": op2_flat_graph,
+    "op3_cross_entropy": op3_cross_entropy,
+    "op4_column_suffixes": op4_column_suffixes,
+    "op5_vector_best_fit": op5_vector_best_fit,
+    "op6_fourier_ridge": op6_fourier_ridge,
+    "op7_tag_paths": op7_tag_paths,
+    "op8_zip_warc": op8_zip_warc,
     "op9_superminhash": op9_superminhash,
+    "op10_word_bpe": op10_word_bpe,
 }
 
 #: DuckDB twins of the operators whose whole result SQL expresses.
