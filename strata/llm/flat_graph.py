@@ -239,7 +239,7 @@ def _verify(pairs: DataFrame, vertices: DataFrame, members: DataFrame, dim: int,
         return pa.table({"p": left["p"], "q": left["q"], "rep": left["rep"], "n": pa.array(n)})
 
     open_ = rows.filter("how = 2").select("p", "q", "rep", "u")
-    sides = open_.select("p", "q").distinct().join(members.select(F.col("vertex").alias("q"), "mult", "u"), "q").select("p", "q", "mult", "u")
+    sides = open_.select("p", "q").distinct().join(members.select(F.col("vertex").alias("q"), "mult", "u"), "q").select("p", "q", "mult", "u").toDF("p", "q", "mult", "u")
     near = open_.groupBy("p", "q").cogroup(sides.groupBy("p", "q")).applyInArrow(compare, "p long, q long, rep long, n long")
     links = persist_table(sure.union(near.filter("n > 0")), f"{name}-links")
     return links.groupBy("rep").agg(F.sum("n").alias("n")), links.select("p", "q").distinct()

@@ -33,8 +33,8 @@ MIN_GROUP = 200
 #: Share of a group's rows that the determinant is taken over.
 SUPPORT = 0.6
 STEPS = 3
-#: A clean document passes the limit with probability 1 - 1e-9 under the normal model.
-LEVEL = 1 - 1e-9
+#: A clean document passes the limit with probability 1e-12 under the normal model.
+LEVEL = 1 - 1e-12
 #: Least spread of each component: below it differences are of no interest, and a share
 #: that is zero in most documents would make the matrix singular.
 FLOORS = (0.10, 0.12, 0.12, 0.08, 0.08, 0.08)
@@ -163,7 +163,7 @@ def fit(vectors: DataFrame, name: str = "mcd") -> DataFrame:
     # Reweighting: distances are scaled so that their median is the chi-square median, and the
     # rows within the 97.5 % quantile give the final centre and covariance.
     scored = _join(bare, models).withColumn("d2", _distance()).withColumn("b", _bucket(F.col("d2")))
-    mid = _cut(scored, F.ceil(F.col("n") * 0.5)).withColumn("scale", F.greatest(F.exp2((F.col("cut") + 1) / _FINE) / chi_square(0.5), F.lit(1e-3)))
+    mid = _cut(scored, F.ceil(F.col("n") * 0.5)).withColumn("scale", F.greatest(F.pow(F.lit(2.0), (F.col("cut") + 1) / _FINE) / chi_square(0.5), F.lit(1e-3)))
     near = scored.join(mid, ["lang", "source", "start"]).filter(F.col("d2") <= F.col("scale") * chi_square(0.975))
     return persist_table(_solve(_moments(near), 1.1), f"{name}-final")
 
