@@ -1,8 +1,7 @@
 """Connected components of an edge table by alternating star contraction.
 
-Each round first runs union-find inside every partition (a partition's edges
-shrink to one edge per node), then a large-star and a small-star step, each an
-aggregate (with map-side combine, so a hub's rows collapse before the shuffle)
+Union-find inside every partition first shrinks a partition's edges to one edge per
+node. Each round then is a large-star and a small-star step, each an aggregate (with map-side combine, so a hub's rows collapse before the shuffle)
 and a join. The edge table is written to the shared folder after each round, so
 lineage stays short and a lost executor re-reads files. Nothing is collected.
 """
@@ -72,8 +71,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     of some edge with the smallest id reachable from it."""
     e = (edges.toDF("a", "b").filter("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    e = e.distinct().mapInArrow(_forest, "u long, v long")
     for _ in range(MAX_ROUNDS):
-        e = e.mapInArrow(_forest, "u long, v long")
         e = _star(_star(e, True), False).filter("u <> v").distinct()
         e = persist_table(e, name)
         # Settled: a star forest, that is every node has one edge, to a node that has none.
