@@ -22,8 +22,8 @@ def seed_key(seed, *parts) -> Column:
 
 
 def draw(seed, *parts) -> Column:
-    """H(x): the first 8 hex digits of the md5 key as a BIGINT in [0, 2^32)."""
-    return F.conv(F.substring(seed_key(seed, *parts), 1, 8), 16, 10).cast("bigint")
+    """H(x): the first 15 hex digits of the md5 key as a BIGINT in [0, 2^60)."""
+    return F.conv(F.substring(seed_key(seed, *parts), 1, 15), 16, 10).cast("bigint")
 
 
 def bucket_of(key: Column, digits: int = 3) -> Column:

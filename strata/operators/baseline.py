@@ -1,8 +1,8 @@
-"""A small count model used to produce predictions for the export and the
-stream jobs: each token predicts the training class it occurs with most, and a
-text takes the prediction of its first token (the most frequent class when the
-token was never seen). Training is a word count by (token, label); scoring is
-a broadcast-free equi-join on the token.
+"""A small count model used to produce predictions for the export: each token predicts
+the training class it occurs with most, and a text takes the class that most of its
+tokens predict (lowest class on ties; the most frequent class when it has no known
+token). Training is a word count by (token, label); scoring is an equi-join on the
+token and a count by (row, class), both combined before their shuffles.
 """
 
 from __future__ import annotations
@@ -12,24 +12,24 @@ from pyspark.sql import DataFrame, functions as F
 from strata.operators.features import tokens
 
 
-def first_token(text_col: str = "text"):
-    return F.element_at(tokens(text_col), 1)
+def _most(counts: DataFrame, by: list[str], cls: str, out: str) -> DataFrame:
+    """Per group the class with the highest ``n``, lowest class on ties."""
+    best = counts.groupBy(*by).agg(F.max(F.struct(F.col("n"), (-F.col(cls)).alias("c"))).alias("_m"))
+    return best.select(*by, (-F.col("_m.c")).cast("int").alias(out))
 
 
 def fit_token_model(train: DataFrame, text_col: str = "text", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(token -> pred) table and the one-row fallback (most frequent class)."""
-    counts = (train.select(first_token(text_col).alias("token"), label_col)
-              .filter(F.col("token").isNotNull())
+    """(token -> pred) table over all tokens and the one-row fallback (most frequent class)."""
+    counts = (train.select(F.explode(tokens(text_col)).alias("token"), label_col)
               .groupBy("token", label_col).agg(F.count(F.lit(1)).alias("n")))
-    # Most frequent class per token, lowest label on ties.
-    best = counts.groupBy("token").agg(F.max(F.struct(F.col("n"), -F.col(label_col))).alias("_m"))
-    model = best.select("token", (-F.col("_m")["col2"]).cast("int").alias("pred"))
-    prior = (train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.max(F.struct(F.col("n"), -F.col(label_col))).alias("_m"))
-             .select((-F.col("_m")["col2"]).cast("int").alias("pred")))
-    return model, prior
-
-
-def predict_token_model(df: DataFrame, model: DataFrame, prior: DataFrame, text_col: str = "text") -> DataFrame:
-    scored = df.withColumn("token", first_token(text_col)).join(model, "token", "left")
-    return scored.withColumn("pred", F.coalesce(F.col("pred"), prior.scalar())).drop("token")
+    prior = _most(train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")), [], label_col, "pred")
+    return _most(counts, ["token"], label_col, "pred"), prior
+
+
+def predict_token_model(df: DataFrame, model: DataFrame, prior: DataFrame, text_col: str = "text",
+                        id_col: str = "id") -> DataFrame:
+    """df + ``pred``; ids are unique."""
+    toks = df.select(id_col, F.explode(tokens(text_col)).alias("token"))
+    votes = (toks.join(model, "token").groupBy(id_col, "pred").agg(F.count(F.lit(1)).alias("n")))
+    won = _most(votes, [id_col], "pred", "pred")
+    return df.join(won, id_col, "left").withColumn("pred", F.coalesce(F.col("pred"), prior.scalar()))

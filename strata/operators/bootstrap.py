@@ -7,7 +7,7 @@ each bag has its own order ``md5(seed:bag:id)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strata.functions.hashing import draw
 from strata.operators.dims import Dim, checked, derive, join_dim
@@ -73,9 +73,13 @@ def quotas_random(sizes: Dim, bags: int, total: int, min_cat: int = 2, seed=42,
     per_bag = Window.partitionBy("bag")
     q = (q.withColumn("s_big", F.sum(F.when(F.col("big"), F.col("q0")).otherwise(0)).over(per_bag))
          .withColumn("rest", F.lit(total) - F.sum(F.when(~F.col("big"), F.col("q0")).otherwise(0)).over(per_bag)))
-    share = F.col("rest") * F.col("q0")
-    q = (q.withColumn("base", F.when(F.col("big") & (F.col("s_big") > 0), F.floor(share / F.col("s_big"))).otherwise(0).cast("bigint"))
-         .withColumn("rem", F.when(F.col("big") & (F.col("s_big") > 0), F.pmod(share, F.col("s_big"))).otherwise(-1)))
+    # Products of two row counts pass 2^63: exact integers of 38 digits.
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    share, whole = (wide("rest") * wide("q0")).cast("decimal(38,0)"), wide("s_big").cast("decimal(38,0)")
+    used = F.col("big") & (F.col("s_big") > 0)
+    q = (q.withColumn("_share", share).withColumn("_whole", whole)
+         .withColumn("base", F.when(used, F.expr("_share div _whole")).otherwise(0).cast("bigint"))
+         .withColumn("rem", F.when(used, F.col("_share") % F.col("_whole")).otherwise(-1).cast("bigint")))
     q = q.withColumn("left", F.col("rest") - F.sum(F.when(F.col("big"), F.col("base")).otherwise(0)).over(per_bag))
     order = Window.partitionBy("bag").orderBy(F.col("big").desc(), F.col("rem").desc(), F.col(label_col))
     q = q.withColumn("extra", F.when(F.col("big") & (F.row_number().over(order) <= F.col("left")), 1).otherwise(0))
@@ -92,6 +96,21 @@ def take_bags(df: DataFrame, quota: Dim, bags: int, seed=42, label_col: str = "l
                        salt=("bag",), rank_col=None, **kw)
 
 
+#: Slots made by one row of the slot table at most.
+SLOT_CHUNK = 1_000_000
+
+
+def slot_rows(df: DataFrame, count: Column, keys: list[str]) -> DataFrame:
+    """Each row repeated ``count`` times with ``slot`` = 0 .. count-1. Large counts become chunk
+    rows first, which are dealt out, so that no row makes more than SLOT_CHUNK slots."""
+    chunk = F.col("_chunk")
+    chunks = (df.withColumn("_count", count.cast("bigint")).filter("_count > 0")
+              .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_count - 1) div {SLOT_CHUNK}")))))
+    last = F.least(F.col("_count"), (chunk + 1) * SLOT_CHUNK) - 1
+    return (chunks.repartition(*keys, "_chunk").withColumn("slot", F.explode(F.sequence(chunk * SLOT_CHUNK, last)))
+            .drop("_count", "_chunk"))
+
+
 def draw_bags(df: DataFrame, quota: Dim, sizes: Dim, seed=42, label_col: str = "label",
               id_col: str = "id") -> DataFrame:
     """Bags with replacement: slot s of (bag, label) takes the row of rank
@@ -99,8 +118,9 @@ def draw_bags(df: DataFrame, quota: Dim, sizes: Dim, seed=42, label_col: str = "
     join on (label, rank) spreads a hot class's draws over many keys."""
     ranked = rank_within(df, [label_col], seed, id_col=id_col, rank_col="_rank", digits=digits_for(sizes))
     slots = (join_dim(quota.df.filter(F.col("k") > 0), Dim(sizes.df.select(label_col, "n"), sizes.rows, sizes.max_rows), label_col)
-             .select("bag", label_col, "n", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot")))
-    slots = slots.withColumn("_rank", (F.pmod(draw(seed, F.col("bag"), F.col(label_col), F.col("slot")), F.col("n")) + 1).cast("int"))
+             .select("bag", label_col, "n", "k"))
+    slots = slot_rows(slots, F.col("k"), ["bag", label_col]).drop("k")
+    slots = slots.withColumn("_rank", F.pmod(draw(seed, F.col("bag"), F.col(label_col), F.col("slot")), F.col("n")) + 1)
     return slots.join(ranked, [label_col, "_rank"]).drop("_rank", "n")
 
 

@@ -1,41 +1,33 @@
 """Token corrections from a (wrong, right) table.
 
 Texts are split on single spaces (so spacing survives), each token is replaced
-by its correction and the text is rejoined in order. A correction table within
-``MAX_INLINE`` rows is carried in the plan as a map and applied per row with no
-shuffle; a larger one goes through explode -> broadcast/shuffle join -> ordered
-regroup.
+by its correction and the text is rejoined in order: explode, equi-join on the
+token (Spark broadcasts the table when its bytes allow), ordered regroup.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strata.functions.text import clean_text
 
-MAX_INLINE = 10_000
-
-
-def _inline(c: Column, pairs: list[tuple[str, str]]) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
-    return F.array_join(F.transform(F.split(c, " "), lambda t: F.coalesce(F.element_at(m, t), t)), " ")
-
 
 def correct_tokens(df: DataFrame, corrections: DataFrame, text_col: str = "text", id_col: str = "id",
                    out: str | None = None, clean: bool = True) -> DataFrame:
-    """Clean (optional) then correct ``text_col``; an empty text is returned as is."""
+    """Clean (optional) then correct ``text_col``; an empty or NULL text is returned as is.
+
+    Rows of ``corrections`` with a NULL are ignored; of several corrections of a token the least
+    counts. Rows with one id and different texts, and repeated rows, keep their own texts.
+    """
     out = out or text_col
     src = clean_text(text_col) if clean else F.col(text_col)
-    df = df.withColumn(out, src)
-    fixes = corrections.select(F.col("wrong"), F.col("right")).dropDuplicates(["wrong"])
-    n = fixes.count()
-    if n <= MAX_INLINE:
-        pairs = [(r[0], r[1]) for r in fixes.collect()]
-        if not pairs:
-            return df
-        return df.withColumn(out, _inline(F.col(out), pairs))
-    toks = df.select(id_col, F.posexplode(F.split(F.col(out), " ")).alias("pos", "wrong"))
-    fixed = toks.join(fixes, "wrong", "left").select(id_col, "pos", F.coalesce("right", "wrong").alias("tok"))
-    joined = (fixed.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
-              .select(id_col, F.array_join(F.transform("_t", lambda s: s["tok"]), " ").alias("_fixed")))
-    return df.join(joined, id_col, "left").withColumn(out, F.coalesce("_fixed", out)).drop("_fixed")
+    # A row's key: its id and a digest of its text, since ids may repeat.
+    df = df.withColumn(out, src).withColumn("_key", F.struct(F.col(id_col).alias("id"), F.md5(F.col(out).cast("binary")).alias("text")))
+    fixes = (corrections.filter("wrong is not null and right is not null")
+             .groupBy("wrong").agg(F.min("right").alias("right")))
+    toks = df.select("_key", F.posexplode(F.split(F.col(out), " ")).alias("pos", "wrong"))
+    fixed = toks.join(fixes, "wrong", "left").select("_key", "pos", F.coalesce("right", "wrong").alias("tok"))
+    # collect_set: repeated rows give the same (pos, tok) pairs.
+    joined = (fixed.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("pos", "tok"))).alias("_t"))
+              .select("_key", F.array_join(F.transform("_t", lambda s: s["tok"]), " ").alias("_fixed")))
+    return df.join(joined, "_key", "left").withColumn(out, F.coalesce("_fixed", out)).drop("_fixed", "_key")

@@ -82,7 +82,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], seed, id_col: str = "id",
     d = with_order_key(df, seed, id_col, salt, digits)
     offs = _offsets(d, groups).drop("_cnt")
     joined = d.join(offs, [*groups, "_b"])
-    ranked = joined.withColumn(rank_col, (F.col("_before") + _rank(groups, id_col)).cast("int"))
+    ranked = joined.withColumn(rank_col, (F.col("_before") + _rank(groups, id_col)).cast("bigint"))
     return ranked.drop(*_HELPERS)
 
 
@@ -101,7 +101,7 @@ def take_ranked(df: DataFrame, groups: Sequence[str], quota: Dim, seed,
     if rank_col:
         o = offs.join(F.broadcast(cut.df.select(*groups, "_cb")) if cut.fits else cut.df.select(*groups, "_cb"),
                       groups).filter(F.col("_b") <= F.col("_cb")).select(*groups, "_b", F.col("_before").alias("_o"))
-        ranked = sel.join(o, [*groups, "_b"]).withColumn(rank_col, (F.col("_o") + _rank(groups, id_col)).cast("int"))
+        ranked = sel.join(o, [*groups, "_b"]).withColumn(rank_col, (F.col("_o") + _rank(groups, id_col)).cast("bigint"))
         return ranked.filter(F.col(rank_col) <= F.col("_k")).drop(*_HELPERS, "_o")
     whole = sel.filter(F.col("_b") < F.col("_cb"))
     straddle = (sel.filter(F.col("_b") == F.col("_cb"))

@@ -32,7 +32,7 @@ from strata.plans.train import train_run
 from strata.session import persist_table, scratch_path
 from strata.sources import delimited as DL
 from strata.sources.corpus import corpus, logits
-from strata.sources.tables import spread, table
+from strata.sources.tables import table
 from strata.streaming import jobs as ST
 
 SEED = 42
@@ -166,7 +166,7 @@ def q_class_rollup(spark, sf):
     return L.class_rollup(base(spark, sf))
 
 
-@register("seeded_rank", f"with {Q.base_ctes(SEED)} select id, label, cast(rk as int) as rank from ranked")
+@register("seeded_rank", f"with {Q.base_ctes(SEED)} select id, label, cast(rk as bigint) as rank from ranked")
 def q_seeded_rank(spark, sf):
     rows, classes = L.encode(base(spark, sf))
     digits = R.digits_for(classes)
@@ -252,7 +252,7 @@ st as (select label, count(*) as n from train group by label),
 {sel(1, 'text_obj')}, {sel(2, 'text_mthd')}, {sel(3, 'text_deal')}
 {_ORIG}
 union all
-select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS}
+select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as bigint) as slot, {Q.TEXTS}
 from s1 join s2 using (label, slot) join s3 using (label, slot)"""
 
 
@@ -343,8 +343,8 @@ cuts as (select bag, max(c) as cut from (select bag, c, sum(case when q0 < c the
 qb as (select q.*, q0 >= cut as big from q join cuts using (bag)),
 qs as (select qb.*, sum(case when big then q0 else 0 end) over (partition by bag) as s_big,
        total - sum(case when big then 0 else q0 end) over (partition by bag) as rest from qb, tot),
-qr as (select *, case when big and s_big > 0 then (rest * q0) // s_big else 0 end as base,
-       case when big and s_big > 0 then (rest * q0) % s_big else -1 end as rem from qs),
+qr as (select *, case when big and s_big > 0 then cast((cast(rest as hugeint) * q0) // s_big as bigint) else 0 end as base,
+       case when big and s_big > 0 then cast((cast(rest as hugeint) * q0) % s_big as bigint) else -1 end as rem from qs),
 ql as (select *, rest - sum(case when big then base else 0 end) over (partition by bag) as lft from qr),
 quota as (select bag, label, cast(case when big then base + (case when row_number() over
           (partition by bag order by big desc, rem desc, label) <= lft then 1 else 0 end) else q0 end as bigint) as k from ql)"""
@@ -365,12 +365,12 @@ def q_bootstrap_random(spark, sf):
 @register("bootstrap_replace", _bag_sql(_SAME_Q) + f"""
 , ranked_all as (select id, label, row_number() over (partition by label order by md5({Q.key(Q.lit(str(SEED)), 'id')}), id) as rk from labelled),
 slots as (select q.bag, q.label, c.n, s.slot from quota q join classes c using (label), unnest(range(0, q.k)) as s(slot) where q.k > 0)
-select cast(s.bag as int) as bag, cast(s.slot as int) as slot, r.id, s.label from slots s
+select cast(s.bag as int) as bag, cast(s.slot as bigint) as slot, r.id, s.label from slots s
 join ranked_all r on r.label = s.label and r.rk = ({Q.h(Q.lit(str(SEED)), 's.bag', 's.label', 's.slot')} % s.n) + 1""")
 def q_bootstrap_replace(spark, sf):
     rows, sizes, total = bag_input(spark, sf)
     out = B.bootstrap(rows, BAGS, total, "same", MIN_CAT, SEED, sizes=sizes, replace=True)
-    return out.select("bag", F.col("slot").cast("int").alias("slot"), "id", "label")
+    return out.select("bag", "slot", "id", "label")
 
 
 @register("bootstrap_quotas", _bag_sql(_RANDOM_Q) + "\nselect cast(bag as int) as bag, label, k from quota")
@@ -513,24 +513,23 @@ def q_eval_summary(spark, sf):
 # --- 2.4 / 2.2 vocabulary and encoding -----------------------------------------
 
 MAX_LEN = FT.MAX_LEN
-CHAR_VOCAB = 1000
 
 
 def doc_texts(spark, sf) -> DataFrame:
-    """Whole document texts, spread over the cores for the text-heavy queries."""
-    return spread(docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
+    """Whole document texts."""
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
 
 
 def ints(c):
     return F.array_join(F.col(c), ",")
 
 
-@register("vocab", f"with {Q.vocab_cte('voc', Q.tokens('text'), FT.VOCAB_SIZE)} select token, token_id, n from voc")
+@register("vocab", f"with {Q.vocab_cte('voc', Q.tokens('text'))} select token, token_id, n from voc")
 def q_vocab(spark, sf):
-    return FT.vocab(doc_texts(spark, sf)).df
+    return FT.vocab(doc_texts(spark, sf))
 
 
-@register("encode_ids", f"""with {Q.vocab_cte('voc', Q.tokens('text'), FT.VOCAB_SIZE)},
+@register("encode_ids", f"""with {Q.vocab_cte('voc', Q.tokens('text'))},
 {Q.encode_cte('enc', 'voc', Q.tokens('text'), MAX_LEN)}
 select id, ids as input_ids, cast(valid_length as int) as valid_length,
        array_to_string(list_transform(range(1, {MAX_LEN} + 1), lambda i: cast(i <= valid_length as int)), ',') as attention_mask
@@ -541,14 +540,14 @@ def q_encode_ids(spark, sf):
     return e.select("id", ints("input_ids").alias("input_ids"), "valid_length", ints("attention_mask").alias("attention_mask"))
 
 
-@register("encode_multi", f"""with {Q.vocab_cte('voc', Q.tokens('text'), FT.VOCAB_SIZE)},
-{Q.vocab_cte('cvoc', Q.chars('text'), CHAR_VOCAB)},
+@register("encode_multi", f"""with {Q.vocab_cte('voc', Q.tokens('text'))},
+{Q.vocab_cte('cvoc', Q.chars('text'))},
 {Q.encode_cte('w', 'voc', Q.tokens('text'), MAX_LEN)},
 {Q.encode_cte('ch', 'cvoc', Q.chars('text'), MAX_LEN)}
 select w.id, w.ids as word_ids, ch.ids as char_ids from w join ch using (id)""")
 def q_encode_multi(spark, sf):
     d = doc_texts(spark, sf)
-    e = FT.encode_multi(d, FT.encoders(d, ["word", "char"], sizes={"char": CHAR_VOCAB}))
+    e = FT.encode_multi(d, FT.encoders(d, ["word", "char"]))
     return e.select("id", F.array_join("word.input_ids", ",").alias("word_ids"),
                     F.array_join("char.input_ids", ",").alias("char_ids"))
 
@@ -623,11 +622,12 @@ def q_vote_soft(spark, sf):
 
 _TOKEN_MODEL_SQL = f"""tr as (select label, concat_ws(' ', {Q.TEXTS}) as text from split where part = 'train'),
 te as (select id, label, concat_ws(' ', {Q.TEXTS}) as text from split where part = 'test'),
-tc as (select {Q.tokens('text')}[1] as token, label, count(*) as n from tr where {Q.tokens('text')}[1] is not null group by 1, 2),
+tc as (select token, label, count(*) as n from (select unnest({Q.tokens('text')}) as token, label from tr) group by 1, 2),
 tm as (select token, cast(-max(struct_pack(n := n, l := -label)).l as int) as pred from tc group by token),
 prior as (select cast(-max(struct_pack(n := n, l := -label)).l as int) as pred from (select label, count(*) as n from tr group by label)),
-scored as (select te.id, te.label, te.text, coalesce(tm.pred, (select pred from prior)) as pred
-           from te left join tm on tm.token = {Q.tokens('te.text')}[1])"""
+vt as (select id, pred, count(*) as n from (select id, unnest({Q.tokens('text')}) as token from te) join tm using (token) group by id, pred),
+won as (select id, cast(-max(struct_pack(n := n, l := -pred)).l as int) as pred from vt group by id),
+scored as (select te.id, te.label, te.text, coalesce(won.pred, (select pred from prior)) as pred from te left join won using (id))"""
 
 
 @register("predictions_export", f"""with {Q.base_ctes(SEED, TEST_RATIO)}, {_TOKEN_MODEL_SQL}
@@ -660,7 +660,7 @@ def q_read_delimited(spark, sf):
     """Write the cleaned corpus as '|' text in MS949, read it back with charset detection."""
     path = scratch_path(spark, "delimited")
     DL.write_delimited(clean_corpus(spark, sf), path, sep="|", encoding=DL.CP949)
-    return DL.read_delimited(spark, path, sep="|")
+    return DL.read_delimited(spark, path, sep="|", multi_line=True)
 
 
 @register("write_delimited", _CLEAN_CORPUS_SQL)
@@ -668,7 +668,7 @@ def q_write_delimited(spark, sf):
     """The comma/UTF-8 variant of the sink, read back with the declared schema."""
     path = scratch_path(spark, "csv")
     used = DL.write_delimited(clean_corpus(spark, sf), path, sep=",", encoding=DL.UTF8)
-    return DL.read_delimited(spark, path, sep=",", encoding=used)
+    return DL.read_delimited(spark, path, sep=",", encoding=used, multi_line=True)
 
 
 @register("label_map_store", f"with {Q.base_ctes()} select label, digit from classes")
@@ -685,20 +685,20 @@ def q_clean_hook(spark, sf):
     return T.apply_text_fn(corpus(docs(spark, sf)).select("id", *T.TEXT_COLS), hook)
 
 
-TOP_FIXES = 20
+MIN_FIX_COUNT = 2
 
 
 def corrections(cleaned: DataFrame) -> DataFrame:
-    """(wrong, right): capitalized forms of the most frequent lowercase tokens."""
+    """(wrong, right): capitalized forms of every lowercase token that occurs at least twice."""
     toks = cleaned.select(F.explode(F.split("text", " ")).alias("token")).filter(F.col("token").rlike("^[a-z]+$"))
-    top = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(TOP_FIXES)
-    return top.select(F.concat(F.upper(F.substr("token", F.lit(1), F.lit(1))), F.substr("token", F.lit(2))).alias("wrong"),
-                      F.col("token").alias("right"))
+    often = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_FIX_COUNT)
+    return often.select(F.concat(F.upper(F.substr("token", F.lit(1), F.lit(1))), F.substr("token", F.lit(2))).alias("wrong"),
+                        F.col("token").alias("right"))
 
 
 @register("correct_tokens", f"""with cl as (select doc_id as id, {Q.clean('text')} as text from documents),
 tk as (select unnest(string_split(text, ' ')) as token from cl),
-top as (select token, count(*) as n from tk where regexp_full_match(token, '[a-z]+') group by token order by n desc, token limit {TOP_FIXES}),
+top as (select token, count(*) as n from tk where regexp_full_match(token, '[a-z]+') group by token having count(*) >= {MIN_FIX_COUNT}),
 fix as (select upper(substr(token, 1, 1)) || substr(token, 2) as wrong, token as "right" from top),
 pos as (select id, generate_subscripts(string_split(text, ' '), 1) as pos, unnest(string_split(text, ' ')) as tok from cl),
 fixed as (select p.id, string_agg(coalesce(f."right", p.tok), ' ' order by p.pos) as text from pos p left join fix f on f.wrong = p.tok group by p.id)

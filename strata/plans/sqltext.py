@@ -47,8 +47,8 @@ NON_EMPTY = ("(coalesce(length(text_obj), 0) > 0 or coalesce(length(text_mthd),
 
 
 def h(*parts: str) -> str:
-    """H(x) = first 8 hex digits of md5('p1:p2:...') as bigint."""
-    return f"cast(('0x' || substr(md5({key(*parts)}), 1, 8)) as bigint)"
+    """H(x) = first 15 hex digits of md5('p1:p2:...') as bigint."""
+    return f"cast(('0x' || substr(md5({key(*parts)}), 1, 15)) as bigint)"
 
 
 def key(*parts: str) -> str:
@@ -98,11 +98,11 @@ def chars(expr: str) -> str:
     return f"regexp_extract_all({expr}, {lit(CHAR_PATTERN)})"
 
 
-def vocab_cte(name: str, tok_sql: str, size: int) -> str:
-    """(token, token_id, n) for the ``size`` most frequent tokens of documents."""
+def vocab_cte(name: str, tok_sql: str) -> str:
+    """(token, token_id, n) for every token of documents."""
     return f"""{name}_c as (select token, count(*) as n from (select unnest({tok_sql}) as token from documents) group by token),
-{name} as (select token, cast(row_number() over (order by n desc, token) + 1 as int) as token_id, n
-           from {name}_c order by n desc, token limit {size})"""
+{name} as (select token, cast(row_number() over (order by n desc, token) + 1 as bigint) as token_id, n
+           from {name}_c)"""
 
 
 def encode_cte(name: str, voc: str, tok_sql: str, max_len: int) -> str:

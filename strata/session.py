@@ -2,13 +2,14 @@
 
 The library never picks a machine-local folder on a cluster: scratch output
 (lineage cuts, round trips, stream sinks) goes under the folder the cluster
-names in ``spark.checkpoint.dir``. Only when that is unset (local runs and
-tests) do we create one.
+names in ``spark.checkpoint.dir``. Only a local master (tests, one machine) gets
+a temporary folder when that is unset; any other master raises.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; created only when the session has none."""
+    """The shared checkpoint folder; a temporary one only where the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -48,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="strata-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -58,6 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/strata-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table once nothing reads it any more (its readers' plans would fail)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 

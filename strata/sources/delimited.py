@@ -53,23 +53,36 @@ def legacy_charsets(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def _reader(spark: SparkSession, schema, sep: str, encoding: str, header: bool):
+#: Quotes inside a quoted cell are doubled, in files read and written.
+DIALECT = {"quote": '"', "escape": '"'}
+
+
+def _reader(spark: SparkSession, schema, sep: str, encoding: str, header: bool, multi_line: bool, mode: str = "PERMISSIVE"):
     legacy_charsets(spark)
-    r = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
-         .option("multiLine", True).option("mode", "PERMISSIVE"))
+    r = (spark.read.options(**DIALECT).option("sep", sep).option("header", header).option("encoding", encoding)
+         .option("multiLine", multi_line).option("mode", mode))
     return r.schema(schema) if schema is not None else r.option("inferSchema", False)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "|", encoding: str | None = None,
                    schema: T.StructType | None = CORPUS_SCHEMA, header: bool = True,
-                   fallback: str = UTF8, fill_text: bool = True) -> DataFrame:
+                   fallback: str = UTF8, fill_text: bool = True, multi_line: bool = False,
+                   mode: str = "PERMISSIVE", bad_col: str | None = None) -> DataFrame:
     """A1. With ``encoding=None``: MS949 unless decoding it produces U+FFFD
-    anywhere, then ``fallback``. The probe stops at the first bad row."""
+    anywhere, header and numbers included, then ``fallback``; the probe stops at the first bad row.
+
+    ``multi_line`` reads cells with line ends; a file is then one task, so it is only done on request.
+    A cell that does not fit the schema is NULL; with ``bad_col`` that column holds the whole
+    line of such a row (NULL for good rows), and mode 'FAILFAST' raises instead.
+    """
     if encoding is None:
-        probe = _reader(spark, schema, sep, CP949, header).csv(path)
+        probe = _reader(spark, None, sep, CP949, False, multi_line).csv(path)
         bad = _any([F.coalesce(F.instr(F.col(c), REPLACEMENT) > 0, F.lit(False)) for c in _strings(probe)])
         encoding = CP949 if probe.filter(bad).isEmpty() else fallback
-    df = _reader(spark, schema, sep, charset(encoding), header).csv(path)
+    if bad_col and schema is not None:
+        schema = T.StructType([*schema.fields, T.StructField(bad_col, T.StringType())])
+    reader = _reader(spark, schema, sep, charset(encoding), header, multi_line, mode)
+    df = (reader.option("columnNameOfCorruptRecord", bad_col) if bad_col else reader).csv(path)
     if fill_text:
         df = df.fillna("", subset=[c for c in TEXT_COLS if c in df.columns])
     return df
@@ -106,7 +119,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = "|", encoding: str = CP
     legacy_charsets(df.sparkSession)
     encoding = charset(encoding)
     chosen = encoding if encodable(df, encoding) else fallback
-    (df.write.mode(mode).option("sep", sep).option("header", header).option("encoding", chosen)
+    (df.write.mode(mode).options(**DIALECT).option("sep", sep).option("header", header).option("encoding", chosen)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return chosen

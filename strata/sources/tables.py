@@ -13,16 +13,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan over all cores when it has fewer partitions than cores.
-
-    For CPU-heavy text work on small inputs (a file with few row groups).
-    On a cluster-sized input the scan already has far more partitions than
-    cores and this is a no-op, so no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df

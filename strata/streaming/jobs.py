@@ -1,16 +1,13 @@
 """Structured Streaming forms of the batch operators.
 
 Each job reads a parquet folder as a stream, runs the same column functions as
-its batch twin, and writes to a sink in the shared checkpoint folder with its
-own checkpoint, so a restarted query resumes where it stopped. ``run`` drives
-a query to completion with ``Trigger.AvailableNow`` and returns the sink as a
-batch DataFrame.
+its batch twin, and writes to a sink with a checkpoint of its own. ``run`` drives
+a query over the input there is with ``Trigger.AvailableNow`` and returns the sink
+as a batch DataFrame; given the same sink and checkpoint again it resumes.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions.arrays import argmax
@@ -28,9 +25,10 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    if path.rstrip("/").endswith(".parquet") and os.path.isfile(path):
-        folder, name = os.path.split(path.rstrip("/"))
-        return r.option("pathGlobFilter", name).parquet(folder)
+    # Asked of the path's own file system, which need not be the driver's disk.
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
     return r.parquet(path)
 
 
@@ -40,12 +38,15 @@ def _overwrite_to(path: str):
     return write
 
 
-def run(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run to completion (AvailableNow) into a parquet sink; return the sink."""
+def run(stream: DataFrame, name: str, output_mode: str = "append", sink: str | None = None,
+        checkpoint: str | None = None) -> DataFrame:
+    """Run over what is there now (AvailableNow) into a parquet sink; return the sink. Called again
+    with the same ``sink`` and ``checkpoint`` it goes on where it stopped; without them both are fresh."""
     spark = stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if (sink is None) != (checkpoint is None):
+        raise ValueError("sink and checkpoint go together")
+    out = sink or scratch_path(spark, f"{name}-out")
+    w = stream.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True)
     if output_mode == "complete":
         # A complete-mode result is the whole table each batch: overwrite it.
         q = w.outputMode("complete").foreachBatch(_overwrite_to(out)).start()
@@ -75,8 +76,8 @@ def label_stream(documents: DataFrame, label_map: Dim, level: str = "S") -> Data
     return join_dim(coded, label_map, "digit").select("id", "digit", "label", "text")
 
 
-def dedup_stream(events: DataFrame, keys: list[str], ts_col: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Drop rows whose keys were already seen within the watermark delay.
-    ``ts`` is TIMESTAMP_NTZ in the source; watermarks need TIMESTAMP."""
-    return (events.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-            .withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(keys))
+def dedup_stream(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of every key, whatever the order and the files it comes in. The state is one
+    entry per distinct key, as in the batch operator; it has no watermark, since a bound on lateness
+    would let a key in again or drop a late one."""
+    return events.dropDuplicates(keys)
