@@ -41,8 +41,9 @@ def _weight_of(df: DataFrame, weights: Dim | None, ignore_index: int | None, lab
     return df, w
 
 
-def p_true(z_col: str = "z", label_col: str = "label") -> Column:
-    return at(softmax(z_col), F.col(label_col))
+def p_true(z_col: str = "z", label_col: str = "label", softmax_first: bool = True) -> Column:
+    """The true class's probability; ``softmax_first=False`` where z_col holds probabilities already."""
+    return at(softmax(z_col) if softmax_first else z_col, F.col(label_col))
 
 
 def ce_term(p: Column) -> Column:
@@ -55,10 +56,11 @@ def focal_term(p: Column, alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA
 
 def row_loss(df: DataFrame, kind: str = "CE", z_col: str = "z", label_col: str = "label",
              weights: Dim | None = None, ignore_index: int | None = None,
-             alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA, out: str = "loss") -> DataFrame:
+             alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA, out: str = "loss",
+             softmax_first: bool = True) -> DataFrame:
     """Per-row CE or focal loss (reduction 'none')."""
     df, w = _weight_of(df, weights, ignore_index, label_col)
-    p = p_true(z_col, label_col)
+    p = p_true(z_col, label_col, softmax_first)
     if kind == "CE":
         term = ce_term(p)
     elif kind == "FCE":
@@ -70,21 +72,25 @@ def row_loss(df: DataFrame, kind: str = "CE", z_col: str = "z", label_col: str =
 
 def ice_row_loss(df: DataFrame, num_classes: int, batch_col: str = "batch_id", z_col: str = "z",
                  label_col: str = "label", power: float = 1.0, scale: float = ICE_SCALE,
-                 out: str = "loss", present_only: bool = False) -> DataFrame:
+                 out: str = "loss", present_only: bool = False, weights: Dim | None = None,
+                 ignore_index: int | None = None, softmax_first: bool = True) -> DataFrame:
     """Weights from the current batch's label counts, 1/(cnt^power + eps),
     normalized to ``scale``; a class absent from the batch counts 0 (raw 1/eps),
     which leaves the present classes almost no weight (as the reference does).
-    ``present_only`` normalizes over the classes present in the batch instead."""
-    counts = df.groupBy(batch_col, label_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    inv = F.lit(1.0) / (F.pow(F.col("_cnt").cast("double"), F.lit(float(power))) + F.lit(EPS))
-    per_batch = (counts.withColumn("_inv", inv).groupBy(batch_col)
-                 .agg(F.sum("_inv").alias("_s"), F.count(F.lit(1)).alias("_present")))
-    absent = F.lit(0.0) if present_only else (F.lit(num_classes) - F.col("_present")) / F.lit(EPS)
-    norm = per_batch.select(batch_col, (F.col("_s") + absent).alias("_norm"))
-    w = counts.withColumn("_inv", inv).join(norm, batch_col).select(
-        batch_col, label_col, (F.col("_inv") / F.col("_norm") * F.lit(float(scale))).alias("_w"))
-    joined = df.join(w, [batch_col, label_col])
-    return joined.withColumn(out, F.col("_w") * ce_term(p_true(z_col, label_col))).drop("_w")
+    ``present_only`` normalizes over the classes present in the batch instead.
+    ``weights`` and ``ignore_index`` act as in ``row_loss``. The score vector becomes one number
+    before the only shuffle, which brings a batch's rows together."""
+    df, own = _weight_of(df, weights, ignore_index, label_col)
+    df = df.withColumn("_term", own * ce_term(p_true(z_col, label_col, softmax_first))).drop("weight", z_col)
+    batch = Window.partitionBy(batch_col)
+    df = df.withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(batch_col, label_col)))
+    df = df.withColumn("_inv", F.lit(1.0) / (F.pow(F.col("_cnt").cast("double"), F.lit(float(power))) + F.lit(EPS)))
+    # A class's rows share its one term, so sums over rows are sums over the classes present.
+    present = F.round(F.sum(F.lit(1.0) / F.col("_cnt")).over(batch))
+    absent = F.lit(0.0) if present_only else (F.lit(num_classes) - present) / F.lit(EPS)
+    norm = F.sum(F.col("_inv") / F.col("_cnt")).over(batch) + absent
+    w = F.col("_inv") / norm * F.lit(float(scale))
+    return df.withColumn(out, w * F.col("_term")).drop("_term", "_cnt", "_inv")
 
 
 def reduce(df: DataFrame, reduction: str = "mean", col: str = "loss") -> DataFrame:

@@ -24,61 +24,73 @@ def _ratio(num, den):
     return F.coalesce(F.try_divide(num.cast("double"), F.nullif(den, F.lit(0)).cast("double")), F.lit(0.0))
 
 
+def cells(df: DataFrame, by: list[str] = (), label_col: str = "label", pred_col: str = "pred", loss_col: str | None = "loss") -> DataFrame:
+    """One aggregate per (group, label, pred): rows, sum of losses and rows with a loss. At most C^2
+    rows per group; every score below is made from it, so the input is scanned once."""
+    loss = F.col(loss_col).cast("double") if loss_col else F.lit(None).cast("double")
+    return df.groupBy(*by, F.col(label_col).alias("label"), F.col(pred_col).alias("pred")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss_sum"), F.count(loss).alias("loss_n"))
+
+
+def _parts(table: DataFrame, num_classes: int, by: list[str]) -> DataFrame:
+    """(by.., class_id, num_true, num_pred, tp, loss_sum, loss_n): each cell gives its label and its
+    prediction a part, and the row class_id = -1 the losses; dense over the classes."""
+    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    ok = F.col("label").between(0, num_classes - 1) & F.col("pred").between(0, num_classes - 1)
+    n, hit = F.when(ok, F.col("n")).otherwise(zero), F.when(ok & (F.col("label") == F.col("pred")), F.col("n")).otherwise(zero)
+    has_loss = "loss_sum" in table.columns
+    loss = (F.coalesce("loss_sum", none), F.col("loss_n")) if has_loss else (none, zero)
+    part = lambda cls, t, p, tp, ls, ln: F.struct(
+        cls.cast("int").alias("class_id"), t.alias("num_true"), p.alias("num_pred"), tp.alias("tp"), ls.alias("loss_sum"), ln.alias("loss_n"))
+    inside = lambda c: F.when(ok, F.col(c)).otherwise(F.lit(-1))
+    exploded = table.select(*by, F.explode(F.array(
+        part(inside("label"), n, zero, hit, none, zero), part(inside("pred"), zero, n, zero, none, zero),
+        part(F.lit(-1), zero, zero, zero, *loss))).alias("x")).select(*by, "x.*")
+    sums = [F.sum(c).alias(c) for c in ("num_true", "num_pred", "tp", "loss_sum", "loss_n")]
+    got = exploded.groupBy(*by, "class_id").agg(*sums)
+    if not by:
+        return classes(table.sparkSession, num_classes + 1).select((F.col("class_id") - 1).alias("class_id")).join(got, "class_id", "left").fillna(0)
+    # Dense over the classes of each group: one row per group is exploded, and summed with the parts.
+    every = got.filter("class_id = -1").select(*by, F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))).alias("class_id"))
+    fill = every.select(*by, "class_id", *[zero.alias(c) for c in ("num_true", "num_pred", "tp")], none.alias("loss_sum"), zero.alias("loss_n"))
+    return got.unionByName(fill).groupBy(*by, "class_id").agg(*sums)
+
+
+def _scored(parts: DataFrame) -> DataFrame:
+    t = parts.withColumn("precision", _ratio(F.col("tp"), F.col("num_pred"))).withColumn("recall", _ratio(F.col("tp"), F.col("num_true")))
+    return t.withColumn("f1score", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+_SCORES = ("class_id", "precision", "recall", "f1score", "num_true", "num_pred", "tp")
+
+
 def class_scores(conf: DataFrame, num_classes: int) -> DataFrame:
     """Per-class precision, recall and F1 over all C classes; 0 where undefined."""
-    spark = conf.sparkSession
-    true_n = conf.groupBy(F.col("label").alias("class_id")).agg(F.sum("n").alias("num_true"))
-    pred_n = conf.groupBy(F.col("pred").alias("class_id")).agg(F.sum("n").alias("num_pred"))
-    tp = conf.filter(F.col("label") == F.col("pred")).select(F.col("label").alias("class_id"), F.col("n").alias("tp"))
-    t = (classes(spark, num_classes).join(true_n, "class_id", "left").join(pred_n, "class_id", "left")
-         .join(tp, "class_id", "left").fillna(0, ["num_true", "num_pred", "tp"]))
-    pc = _ratio(F.col("tp"), F.col("num_pred"))
-    rc = _ratio(F.col("tp"), F.col("num_true"))
-    t = t.withColumn("precision", pc).withColumn("recall", rc)
-    f1 = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return t.withColumn("f1score", f1).select("class_id", "precision", "recall", "f1score", "num_true", "num_pred", "tp")
-
-
-def summary(conf: DataFrame, num_classes: int, losses: DataFrame | None = None, loss_col: str = "loss") -> DataFrame:
-    """Accuracy, macro precision / recall / F1 (plain means over all
-    C classes), and the mean loss."""
-    scores = class_scores(conf, num_classes)
-    macro = scores.agg(F.avg("precision").alias("macro_pc"), F.avg("recall").alias("macro_rc"),
-                       F.avg("f1score").alias("macro_f1"),
-                       (F.sum("tp") / F.sum("num_true")).alias("acc"))
-    if losses is None:
-        return macro
-    # The mean loss is a scalar subquery next to the one-row macro aggregate.
-    return macro.withColumn("loss", losses.agg(F.avg(loss_col)).scalar())
+    return _scored(_parts(conf, num_classes, []).filter("class_id >= 0")).select(*_SCORES)
 
 
-# --- grouped evaluation (one evaluation per run / epoch / part) -----------------
+def _macro(parts: DataFrame, by: list[str], with_loss: bool) -> DataFrame:
+    cls = F.col("class_id") >= 0
+    out = [F.avg(F.when(cls, F.col(c))).alias(a) for c, a in (("precision", "macro_pc"), ("recall", "macro_rc"), ("f1score", "macro_f1"))]
+    out.append(F.try_divide(F.sum(F.when(cls, F.col("tp"))), F.sum(F.when(cls, F.col("num_true")))).alias("acc"))
+    if with_loss:
+        out.append(F.try_divide(F.sum("loss_sum"), F.sum("loss_n")).alias("loss"))
+    return _scored(parts).groupBy(*by).agg(*out)
 
-def confusion_by(df: DataFrame, num_classes: int, by: list[str], label_col: str = "label",
-                 pred_col: str = "pred") -> DataFrame:
-    ok = F.col(label_col).between(0, num_classes - 1) & F.col(pred_col).between(0, num_classes - 1)
-    return (df.filter(ok).groupBy(*by, F.col(label_col).alias("label"), F.col(pred_col).alias("pred"))
-            .agg(F.count(F.lit(1)).alias("n")))
+
+def summary(table: DataFrame, num_classes: int) -> DataFrame:
+    """Accuracy, macro precision / recall / F1 (plain means over all C classes), and the
+    mean loss where ``table`` comes from ``cells`` rather than ``confusion``."""
+    return _macro(_parts(table, num_classes, []), [], "loss_sum" in table.columns)
 
 
-def class_scores_by(conf: DataFrame, num_classes: int, by: list[str]) -> DataFrame:
+# --- grouped evaluation (one evaluation per run / epoch / part) -----------------
+
+def class_scores_by(table: DataFrame, num_classes: int, by: list[str]) -> DataFrame:
     """Per group and class: precision, recall, F1 over the dense class list."""
-    groups = conf.select(*by).distinct()
-    dense = groups.withColumn("class_id", F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))))
-    true_n = conf.groupBy(*by, F.col("label").alias("class_id")).agg(F.sum("n").alias("num_true"))
-    pred_n = conf.groupBy(*by, F.col("pred").alias("class_id")).agg(F.sum("n").alias("num_pred"))
-    tp = conf.filter(F.col("label") == F.col("pred")).select(*by, F.col("label").alias("class_id"), F.col("n").alias("tp"))
-    keys = [*by, "class_id"]
-    t = (dense.join(true_n, keys, "left").join(pred_n, keys, "left").join(tp, keys, "left")
-         .fillna(0, ["num_true", "num_pred", "tp"]))
-    t = t.withColumn("precision", _ratio(F.col("tp"), F.col("num_pred"))).withColumn("recall", _ratio(F.col("tp"), F.col("num_true")))
-    return t.withColumn("f1score", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return _scored(_parts(table, num_classes, by).filter("class_id >= 0")).select(*by, *_SCORES)
 
 
 def summary_by(df: DataFrame, num_classes: int, by: list[str], loss_col: str = "loss") -> DataFrame:
     """Per group: loss (mean), acc, macro_pc, macro_rc, macro_f1."""
-    scores = class_scores_by(confusion_by(df, num_classes, by), num_classes, by)
-    macro = scores.groupBy(*by).agg((F.sum("tp") / F.sum("num_true")).alias("acc"),
-                                    F.avg("precision").alias("macro_pc"), F.avg("recall").alias("macro_rc"),
-                                    F.avg("f1score").alias("macro_f1"))
-    return df.groupBy(*by).agg(F.avg(loss_col).alias("loss")).join(macro, by)
+    return _macro(_parts(cells(df, by, loss_col=loss_col), num_classes, by), by, True)

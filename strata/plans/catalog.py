@@ -506,7 +506,7 @@ def q_class_scores(spark, sf):
           f"round(avg(recall), 6) as macro_rc, round(avg(f1score), 6) as macro_f1 from f")
 def q_eval_summary(spark, sf):
     rows = LS.row_loss(predicted(spark, sf), "CE")
-    s = M.summary(M.confusion(rows, C10), C10, losses=rows)
+    s = M.summary(M.cells(rows), C10)
     return s.select(*[r6(F.col(c)).alias(c) for c in ("loss", "acc", "macro_pc", "macro_rc", "macro_f1")])
 
 
@@ -854,7 +854,7 @@ def q_early_stop(spark, sf):
 
 
 def class_scores_frame(spark, sf) -> DataFrame:
-    return M.class_scores_by(M.confusion_by(epoch_rows(spark, sf), C10, ["run_id", "epoch", "part"]), C10,
+    return M.class_scores_by(M.cells(epoch_rows(spark, sf), ["run_id", "epoch", "part"]), C10,
                              ["run_id", "epoch", "part"])
 
 

@@ -31,8 +31,7 @@ def evaluate(df: DataFrame, num_classes: int, by: Sequence[str] = (), loss: str
         rows = LS.ice_row_loss(rows, num_classes, z_col=z_col, label_col=label_col, **loss_args)
     else:
         rows = LS.row_loss(rows, loss, z_col=z_col, label_col=label_col, **loss_args)
+    table = M.cells(rows, by, label_col)
     if by:
-        conf = M.confusion_by(rows, num_classes, by, label_col)
-        return Evaluation(M.summary_by(rows, num_classes, by), M.class_scores_by(conf, num_classes, by))
-    conf = M.confusion(rows, num_classes, label_col)
-    return Evaluation(M.summary(conf, num_classes, losses=rows), M.class_scores(conf, num_classes))
+        return Evaluation(M.summary_by(rows.withColumnRenamed(label_col, "label"), num_classes, by), M.class_scores_by(table, num_classes, by))
+    return Evaluation(M.summary(table, num_classes), M.class_scores(table, num_classes))
