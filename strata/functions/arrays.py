@@ -50,10 +50,3 @@ def attention_mask(length, max_len: int) -> Column:
     """1 for the first ``length`` positions of ``max_len``."""
     length = _c(length)
     return F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda i: (i <= length).cast("int"))
-
-
-def dot(x, w: list[float]) -> Column:
-    """Dot product of an array column with a fixed vector."""
-    x = _c(x)
-    wv = F.array(*[F.lit(float(v)) for v in w])
-    return F.aggregate(F.zip_with(x, wv, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)

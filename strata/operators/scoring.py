@@ -1,54 +1,54 @@
 """Linear scoring, ensemble stacks, votes and the prediction export.
 
-Scores are array expressions per row (no explode, no shuffle); the weight
-matrix is a model parameter of bounded size (C x D) carried in the plan.
+Scores are per row (no explode, no shuffle); a weight matrix is a model
+parameter of bounded size (C x D) applied to Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from strata.functions.arrays import argmax, dot, softmax
+from strata.functions.arrays import argmax, softmax
 from strata.operators.dims import Dim, join_dim
 
-MAX_WEIGHTS = 1_000_000  # C x D entries a linear head may carry in the plan
-
-
 def rule_weights(num_classes: int, dims: int, rule) -> list[list[float]]:
     return [[float(rule(c, d)) for d in range(dims)] for c in range(num_classes)]
 
 
-def weights_from_table(w: DataFrame, cls_col: str = "cls", dim_col: str = "dim", value_col: str = "w") -> list[list[float]]:
-    """A (cls, dim, w) table -> matrix; its size is checked before it is read."""
-    n = w.count()
-    if n > MAX_WEIGHTS:
-        raise ValueError(f"weight table has {n} entries; a linear head carries at most {MAX_WEIGHTS}")
-    rows = w.select(cls_col, dim_col, value_col).collect()
-    c = 1 + max(r[0] for r in rows)
-    d = 1 + max(r[1] for r in rows)
-    m = [[0.0] * d for _ in range(c)]
-    for r in rows:
-        m[r[0]][r[1]] = float(r[2])
-    return m
+def linear_scores(x: str | Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> Column:
+    """z[c] = sum_d w[c][d] * x[d] (+ b[c]) as ARRAY<DOUBLE>; NULL for a NULL vector.
 
+    The matrix travels once with an Arrow batch function (one product per batch), so plans do not
+    grow with C x D.
+    """
+    w = np.asarray(weights, dtype=np.float64)
+    b = np.zeros(len(w)) if bias is None else np.asarray(bias, dtype=np.float64)
 
-def linear_scores(x: str | Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> Column:
-    """z[c] = sum_d w[c][d] * x[d] (+ b[c]) as ARRAY<DOUBLE>."""
-    zs = [dot(x, wc) for wc in weights]
-    if bias is not None:
-        zs = [z + F.lit(float(b)) for z, b in zip(zs, bias)]
-    return F.array(*zs)
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def score(a: pa.Array) -> pa.Array:
+        known = np.asarray(a.is_valid())
+        z = np.asarray(a.drop_null().flatten(), dtype=np.float64).reshape(-1, w.shape[1]) @ w.T + b
+        ends = np.concatenate([[0], np.cumsum(known) * len(w)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(z.ravel()), mask=pa.array(~known))
+
+    return score(F.col(x) if isinstance(x, str) else x)
+
+
+def stacked_scores(x: str | Column, heads: Sequence[Sequence[Sequence[float]]], biases: Sequence[Sequence[float]] | None = None) -> Column:
+    """ARRAY<ARRAY<DOUBLE>> [head][class]: several heads over the whole vector, in one product."""
+    c = len(heads[0])
+    flat = linear_scores(x, [row for h in heads for row in h], None if biases is None else [v for b in biases for v in b])
+    return F.zip_with(F.sequence(F.lit(0), F.lit(len(heads) - 1)), F.array_repeat(flat, len(heads)), lambda m, z: F.slice(z, m * c + 1, c))
 
 
-def member_probs(x: str | Column, members: int, num_classes: int, scale: float = 10.0) -> Column:
-    """For member m, softmax of scale * x[m*C : (m+1)*C]; ARRAY<ARRAY<DOUBLE>> [M][C]."""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.zip_with(
-        F.sequence(F.lit(0), F.lit(members - 1)), F.array_repeat(x, members),
-        lambda m, xs: softmax(F.transform(F.slice(xs, m * num_classes + 1, num_classes),
-                                          lambda v: v.cast("double") * F.lit(float(scale)))))
+def member_probs(x: str | Column, heads: Sequence[Sequence[Sequence[float]]]) -> Column:
+    """The softmax of every member's scores; ARRAY<ARRAY<DOUBLE>> [M][C]."""
+    return F.transform(stacked_scores(x, heads), lambda z: softmax(z))
 
 
 def vote_hard(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
@@ -61,11 +61,16 @@ def vote_hard(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
     return argmax(votes.cast("array<double>")), F.array_max(votes)
 
 
-def vote_soft(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
-    """Mean probability over members; (argmax class, its mean probability)."""
+def mean_probs(probs: str | Column, num_classes: int) -> Column:
+    """The members' mean probability of each class."""
     probs = F.col(probs) if isinstance(probs, str) else probs
-    mean = F.zip_with(F.sequence(F.lit(0), F.lit(num_classes - 1)), F.array_repeat(probs, num_classes),
+    return F.zip_with(F.sequence(F.lit(0), F.lit(num_classes - 1)), F.array_repeat(probs, num_classes),
                       lambda c, ps: F.aggregate(ps, F.lit(0.0), lambda a, p: a + F.element_at(p, c + 1)) / F.size(ps))
+
+
+def vote_soft(probs: str | Column, num_classes: int) -> tuple[Column, Column]:
+    """Mean probability over members; (argmax class, its mean probability)."""
+    mean = mean_probs(probs, num_classes)
     return argmax(mean), F.array_max(mean)
 
 

@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from strata.functions.arrays import argmax
+from strata.functions.arrays import argmax, softmax
 from strata.functions.hashing import draw
 from strata.operators.dims import Dim, join_dim
 from strata.operators.features import tokens
@@ -67,6 +68,8 @@ def train_mlp(train: DataFrame, layers: list[int], label_col: str = "label", fea
 
 def predict(model, df: DataFrame, keep: tuple[str, ...] = ("id", "label")) -> DataFrame:
     out = model.transform(df)
+    if isinstance(model, FocalModel):
+        return out.select(*[c for c in keep if c in out.columns], "pred", softmax("z").alias("probability"))
     return out.select(*[c for c in keep if c in out.columns],
                       F.col("prediction").cast("int").alias("pred"),
                       vector_to_array(F.col("probability")).alias("probability"))
@@ -74,8 +77,6 @@ def predict(model, df: DataFrame, keep: tuple[str, ...] = ("id", "label")) -> Da
 
 # --- I3: focal-loss linear head by distributed gradient descent ---------------
 
-MAX_DRIVER_VALUES = 4_000_000  # partial-gradient values the driver may sum itself per step
-
 @dataclass
 class FocalModel:
     weights: np.ndarray          # C x D
@@ -107,54 +108,57 @@ def _focal_grad_fn(w_b, num_classes: int, dims: int, alpha: float, gamma: float,
             u = p[np.arange(len(y)), y]
             logu = np.log(u + EPS)
             loss += float(np.sum(-alpha * (1 - u) ** gamma * logu))
-            d_u = alpha * gamma * (1 - u) ** (gamma - 1) * logu - alpha * (1 - u) ** gamma / (u + EPS)
+            d_u = -alpha * (1 - u) ** gamma / (u + EPS)
+            if gamma:  # at u = 1 a gamma below 1 would give 0 * inf
+                d_u += alpha * gamma * np.maximum(1 - u, 1e-12) ** (gamma - 1) * logu
             onehot = np.zeros_like(p)
             onehot[np.arange(len(y)), y] = 1.0
             d_z = (d_u * u)[:, None] * (onehot - p)
             g_w += d_z.T @ x
             g_b += d_z.sum(axis=0)
             n += len(y)
-        # Gradient, loss sum and row count in one vector, so a step is one job.
-        yield pd.DataFrame({"g": [np.concatenate([g_w.ravel(), g_b, [loss, float(n)]]).tolist()]})
+        # One row per class (its gradient, its bias's) and one with loss sum and row count.
+        rows = [*np.column_stack([g_w, g_b]).tolist(), [loss, float(n)]]
+        yield pd.DataFrame({"c": np.arange(num_classes + 1, dtype=np.int32), "g": rows})
     return grads
 
 
+def _add(t: pa.Table) -> pa.Table:
+    rows = np.asarray(t["g"].combine_chunks().flatten(), dtype=np.float64).reshape(len(t), -1)
+    return pa.table({"c": t["c"][:1], "g": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))})
+
+
+def focal_gradient(train: DataFrame, weights: np.ndarray, bias: np.ndarray, alpha: float = FOCAL_ALPHA,
+                   gamma: float = FOCAL_GAMMA, x_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(c, g): summed gradients of a linear head at these weights, per class C x (D + 1), and for
+    c = C [sum of losses, rows]. Partitions sum their rows, the cluster adds the partitions' sums."""
+    spark = train.sparkSession
+    num_classes, dims = weights.shape
+    w_b = spark.sparkContext.broadcast((weights, bias))
+    parts = train.select(x_col, label_col).mapInPandas(_focal_grad_fn(w_b, num_classes, dims, alpha, gamma, x_col, label_col), "c int, g array<double>")
+    return parts.groupBy("c").applyInArrow(_add, "c int, g array<double>")
+
+
 def train_focal(train: DataFrame, num_classes: int, dims: int, steps: int = 30, lr: float = 2.0,
                 alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA, x_col: str = "embedding",
                 label_col: str = "label", init: FocalModel | None = None, cache: bool = True) -> FocalModel:
     """Full-batch gradient descent on the focal loss. ``cache=False`` when
     the caller already keeps ``train`` across calls."""
-    spark = train.sparkSession
     data = train.select(x_col, label_col)
     if cache:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     w = init.weights.copy() if init is not None else np.zeros((num_classes, dims))
     b = init.bias.copy() if init is not None else np.zeros(num_classes)
     history = []
-    size = num_classes * dims + num_classes
-    direct = data.rdd.getNumPartitions() * (size + 2) <= MAX_DRIVER_VALUES
     try:
         for step in range(steps):
-            w_b = spark.sparkContext.broadcast((w, b))
-            parts = data.mapInPandas(_focal_grad_fn(w_b, num_classes, dims, alpha, gamma, x_col, label_col),
-                                     "g array<double>")
-            g = np.zeros(size + 2)
-            if direct:
-                # partitions x vector size is within MAX_DRIVER_VALUES: sum the few
-                # partial vectors on the driver (one stage per step).
-                for r in parts.collect():
-                    g += np.asarray(r["g"])
-            else:
-                # Otherwise a shuffle aggregate keyed by position sums them, so the
-                # driver receives one vector, never one per partition.
-                for r in (parts.select(F.posexplode("g").alias("i", "v"))
-                          .groupBy("i").agg(F.sum("v").alias("v")).collect()):
-                    g[r["i"]] = r["v"]
-            n = max(int(g[-1]), 1)
-            history.append((step, float(g[-2]) / n))
-            w -= lr * g[: num_classes * dims].reshape(num_classes, dims) / n
-            b -= lr * g[num_classes * dims: size] / n
-            w_b.unpersist()
+            got = {r["c"]: np.asarray(r["g"]) for r in focal_gradient(data, w, b, alpha, gamma, x_col, label_col).collect()}
+            loss, n = got[num_classes]
+            n = max(n, 1.0)
+            history.append((step, float(loss) / n))
+            g = np.stack([got[c] for c in range(num_classes)])
+            w = w - lr * g[:, :dims] / n
+            b = b - lr * g[:, dims] / n
     finally:
         if cache:
             data.unpersist()

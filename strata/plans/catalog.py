@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions import arrays as A
@@ -31,7 +32,7 @@ from strata.plans.preprocess import preprocess
 from strata.plans.train import train_run
 from strata.session import persist_table, scratch_path
 from strata.sources import delimited as DL
-from strata.sources.corpus import corpus, logits
+from strata.sources.corpus import corpus, head, logits
 from strata.sources.tables import table
 from strata.streaming import jobs as ST
 
@@ -558,35 +559,27 @@ DIMS = 64
 MEMBERS = 4
 
 
-def weight_rule(c: int, d: int) -> float:
-    """Fixed linear head used by the scoring query: ((7c + 3d) mod 11 - 5) / 10."""
-    return ((c * 7 + d * 3) % 11 - 5) / 10.0
+WEIGHTS = head(0, C10, DIMS)
+HEADS = [[[10.0 * v for v in row] for row in head(m, C10, DIMS)] for m in range(MEMBERS)]
 
 
-WEIGHTS = SC.rule_weights(C10, DIMS, weight_rule)
-_W_SQL = "[" + ", ".join("[" + ", ".join(repr(v) for v in row) + "]" for row in WEIGHTS) + "]"
-
-
-@register("score_linear", f"""with e as (select vec_id as id, cast(embedding as double[]) as x from embeddings)
-select id, cast(cls as int) as cls, round(list_inner_product(x, cast({_W_SQL} as double[][])[cls + 1]), 6) as z
-from e, unnest(range(0, {C10})) as u(cls)""")
+@register("score_linear", f"""with hd as (select {Q.matrix(WEIGHTS)} as w), e as (select vec_id as id, cast(embedding as double[]) as x from embeddings)
+select id, cast(cls as int) as cls, round(list_inner_product(x, w[cls + 1]), 6) as z
+from e, hd, unnest(range(0, {C10})) as u(cls)""")
 def q_score_linear(spark, sf):
     e = table(spark, sf, "embeddings")
     z = e.select(F.col("vec_id").alias("id"), SC.linear_scores("embedding", WEIGHTS).alias("z"))
     return z.select("id", F.posexplode("z").alias("cls", "z")).select("id", "cls", r6(F.col("z")).alias("z"))
 
 
-_MEMBERS_SQL = f"""mz as (select vec_id as id, m as member,
-      list_transform(embedding[m * {C10} + 1 : m * {C10} + {C10}], lambda x: cast(x as double) * 10.0) as z
-      from embeddings, unnest(range(0, {MEMBERS})) as u(m)),
-me as (select id, member, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from mz),
-mp as (select id, member, list_transform(e, lambda x: x / list_sum(e)) as p,
-       cast(list_position(z, list_max(z)) - 1 as int) as pick from me)"""
+_MEMBERS_SQL = f"""hm as (select unnest(range(0, {MEMBERS})) as m, unnest([{", ".join(Q.matrix(head(m, C10, DIMS)) for m in range(MEMBERS))}]) as w),
+mz as (select vec_id as id, m as member, {Q.scores_of('cast(embedding as double[])', 'w', C10, 10.0)} as z from embeddings, hm),
+mp as (select id, member, {Q.softmax_of('z')} as p, cast(list_position(z, list_max(z)) - 1 as int) as pick from mz)"""
 
 
 def member_frame(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), SC.member_probs("embedding", MEMBERS, C10).alias("probs"))
+    return e.select(F.col("vec_id").alias("id"), SC.member_probs("embedding", HEADS).alias("probs"))
 
 
 @register("ensemble_stack", f"with {_MEMBERS_SQL} select cast(member as int) as member, id, cast(cls as int) as cls, round(p[cls + 1], 6) as p "
@@ -712,7 +705,8 @@ def q_correct_tokens(spark, sf):
 # --- 2.9 training (rows-only checks: fitted models have no SQL twin) ---------------
 
 HIDDEN = 32
-FOCAL_STEPS = 30
+FOCAL_STEPS = 6
+FOCAL_LR = 2.0
 
 
 def emb_parts(spark, sf) -> DataFrame:
@@ -742,7 +736,7 @@ def q_train_mlp(spark, sf):
 @register("train_focal")
 def q_train_focal(spark, sf):
     d = emb_parts(spark, sf)
-    model = TR.train_focal(d.filter(F.col("part") == "train"), C10, DIMS, steps=FOCAL_STEPS)
+    model = TR.train_focal(d.filter(F.col("part") == "train"), C10, DIMS, steps=FOCAL_STEPS, lr=FOCAL_LR)
     return model.transform(d).select("id", "label", "part", "pred")
 
 
@@ -769,21 +763,31 @@ def q_train_text(spark, sf):
 # --- 2.1 / 2.4 / 2.5 / 2.6 run records ------------------------------------------------
 
 RUNS = {"ce": "CE", "fce": "FCE"}
+GAMMAS = {"ce": 0.0, "fce": 2.0}
 EPOCHS = 6
 PATIENCE = 2
 BATCH = 16
+RUN_LR = 8.0
 
 
 def epoch_rows(spark, sf) -> DataFrame:
-    """Every embeddings row scored once per (run, epoch): run 'ce' / 'fce' picks the
-    loss, epoch e uses ensemble member e mod 4 as that epoch's model."""
+    """Every embeddings row scored once per (run, epoch) by the linear head as it was after that
+    epoch: each run trains its own head (one full-batch step an epoch, cross entropy or focal loss)
+    on the train part."""
     e = TR.holdout(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
                                                        F.col("label").cast("int").alias("label"), "embedding"), SEED)
-    g = (e.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in RUNS])))
-         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))))
-    member = F.pmod(F.col("epoch"), F.lit(MEMBERS))
-    z = F.transform(F.slice("embedding", member * C10 + 1, C10), lambda x: x.cast("double") * 10.0)
-    g = g.withColumn("z", z)
+    train = persist_table(e.filter(F.col("part") == "train").select("embedding", "label"), "run-train")
+    names, heads = [], []
+    for run, gamma in GAMMAS.items():
+        model = None
+        for epoch in range(EPOCHS):
+            model = TR.train_focal(train, C10, DIMS, steps=1, lr=RUN_LR, gamma=gamma, init=model, cache=False)
+            names.append((run, epoch))
+            heads.append(model)
+    z = SC.stacked_scores("embedding", [h.weights.tolist() for h in heads], [h.bias.tolist() for h in heads])
+    tags = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(k).alias("epoch")) for r, k in names])
+    g = (e.select("id", "label", "part", F.explode(F.arrays_zip(tags.alias("tag"), z.alias("z"))).alias("x"))
+         .select("id", "label", "part", "x.tag.run_id", "x.tag.epoch", F.col("x.z").alias("z")))
     py = LS.p_true("z", "label")
     loss = F.when(F.col("run_id") == "ce", LS.ce_term(py)).otherwise(LS.focal_term(py))
     return g.select("run_id", "epoch", "part", "id", "label", loss.alias("loss"), A.argmax("z").alias("pred"))
@@ -802,16 +806,22 @@ def stored_summary(spark, sf) -> DataFrame:
     return RN.read_summary(spark, path).select("run_id", "epoch", *RN.SUMMARY_COLS)
 
 
-_RUNS_SQL = f"""e as (select vec_id as id, cast(label as int) as label, embedding,
+_PARTS_SQL = f"""e as materialized (select vec_id as id, cast(label as int) as label, cast(embedding as double[]) as x,
        case when {Q.h(Q.lit(str(SEED)), 'vec_id')} % 5 = 0 then 'valid' else 'train' end as part from embeddings),
-g as (select id, label, part, r.run_id, cast(ep.epoch as int) as epoch,
-      list_transform(embedding[(ep.epoch % {MEMBERS}) * {C10} + 1 : (ep.epoch % {MEMBERS}) * {C10} + {C10}], lambda x: cast(x as double) * 10.0) as z
-      from e, (values ('ce'), ('fce')) as r(run_id), range(0, {EPOCHS}) as ep(epoch)),
-ge as (select *, list_transform(z, lambda x: exp(x - list_max(z))) as ex from g),
-gp as (select id, label, part, run_id, epoch, list_transform(ex, lambda x: x / list_sum(ex)) as p,
-       cast(list_position(z, list_max(z)) - 1 as int) as pred from ge),
-gl as (select *, case when run_id = 'ce' then {_CE} else {_FOCAL} end as loss from gp),
-conf as (select run_id, epoch, part, label, pred, count(*) as n from gl
+tr as materialized (select x, label from e where part = 'train'),
+vl as materialized (select x, label from e where part = 'valid')"""
+
+
+def _scored_heads(heads: str) -> str:
+    """gl: every row of ``e`` under every (run_id, epoch, w, b) of ``heads``, with loss and prediction;
+    run 'ce' is scored by cross entropy, other runs by the focal loss."""
+    return f"""heads as materialized ({heads}),
+gp as (select id, label, part, run_id, epoch, {Q.softmax_of('z')} as p, cast(list_position(z, list_max(z)) - 1 as int) as pred
+       from (select e.*, run_id, epoch, {Q.scores_of('x', 'w', C10, 1.0, 'b')} as z from e, heads)),
+gl as (select *, case when run_id = 'ce' then {_CE} else {_FOCAL} end as loss from gp)"""
+
+
+_SUMMARY_SQL = f"""conf as (select run_id, epoch, part, label, pred, count(*) as n from gl
          where label between 0 and {C10 - 1} and pred between 0 and {C10 - 1} group by run_id, epoch, part, label, pred),
 dense as (select run_id, epoch, part, cast(c as int) as class_id from (select distinct run_id, epoch, part from conf), range(0, {C10}) as r(c)),
 tn as (select run_id, epoch, part, label as class_id, sum(n) as num_true from conf group by run_id, epoch, part, label),
@@ -831,6 +841,13 @@ summary as (select run_id, epoch, {", ".join(f"round(max(case when part = '{p}'
             from pp group by run_id, epoch)"""
 
 
+_RUNS_SQL = f"""{_PARTS_SQL},
+{", ".join(Q.descent_ctes(r, "tr", EPOCHS, RUN_LR, g) for r, g in GAMMAS.items())},
+{_scored_heads(" union all ".join(f"select '{r}' as run_id, {k} as epoch, w, b from {r}{k + 1}" for r in GAMMAS for k in range(EPOCHS)))},
+{_SUMMARY_SQL}"""
+
+
+
 @register("run_summary", f"with {_RUNS_SQL} select * from summary")
 def q_run_summary(spark, sf):
     return stored_summary(spark, sf)
@@ -953,3 +970,124 @@ def q_train_run(spark, sf):
     run = train_run(d.filter(F.col("part") == "train"), d.filter(F.col("part") == "valid"), C10, DIMS,
                     epochs=TRAIN_EPOCHS, steps_per_epoch=TRAIN_STEPS, patience=PATIENCE, run_id="focal")
     return run.summary.select("run_id", "epoch", *RN.SUMMARY_COLS)
+
+
+# --- exact twins of the linear head's training: one CTE per full-batch step -----------
+
+def _pred_sql(w: str, part: str = "true") -> str:
+    return (f"select id, label, part, cast(list_position(z, list_max(z)) - 1 as int) as pred from "
+            f"(select e.*, {Q.scores_of('x', 'w', C10, 1.0, 'b')} as z from e, {w}) where {part}")
+
+
+SQL["train_focal"] = f"with {_PARTS_SQL}, {Q.descent_ctes('f', 'tr', FOCAL_STEPS, FOCAL_LR, 2.0)} {_pred_sql(f'f{FOCAL_STEPS}')}"
+_RUN_STEPS = TRAIN_EPOCHS * TRAIN_STEPS
+SQL["train_run"] = f"""with {_PARTS_SQL}, {Q.descent_ctes('f', 'tr', _RUN_STEPS, 2.0, 2.0)},
+{_scored_heads(" union all ".join(f"select 'focal' as run_id, {k} as epoch, w, b from f{(k + 1) * TRAIN_STEPS}" for k in range(TRAIN_EPOCHS)))},
+{_SUMMARY_SQL},
+imp as (select *, valid_loss < coalesce(min(valid_loss) over (order by epoch rows between unbounded preceding and 1 preceding), 'inf'::double) as better from summary),
+pat as (select *, epoch - max(case when better then epoch end) over (order by epoch) as waited from imp)
+select * exclude (better, waited) from pat where epoch <= coalesce((select min(epoch) from pat where waited >= {PATIENCE}), {TRAIN_EPOCHS})"""
+
+
+@register("refit_focal", f"with {_PARTS_SQL}, {Q.descent_ctes('f', 'tr', 3, FOCAL_LR, 2.0)}, {Q.descent_ctes('r', 'vl', 3, FOCAL_LR, 2.0, start='f3')} "
+          + _pred_sql("r3", "part = 'train'"))
+def q_refit_focal(spark, sf):
+    """I8: fit on train, go on with the valid part from those weights, score train."""
+    d = emb_parts(spark, sf)
+    first = TR.train_focal(d.filter(F.col("part") == "train"), C10, DIMS, steps=3, lr=FOCAL_LR)
+    second = TR.train_focal(d.filter(F.col("part") == "valid"), C10, DIMS, steps=3, lr=FOCAL_LR, init=first)
+    return second.transform(d.filter(F.col("part") == "train")).select("id", "label", "part", "pred")
+
+
+@register("fit_by_name", SQL["train_focal"])
+def q_fit_by_name(spark, sf):
+    """A head by its name, and ``predict`` on whatever model that gives."""
+    d = emb_parts(spark, sf)
+    model = TR.fit("focal", d.filter(F.col("part") == "train"), num_classes=C10, dims=DIMS, steps=FOCAL_STEPS, lr=FOCAL_LR)
+    return TR.predict(model, d, keep=("id", "label", "part")).select("id", "label", "part", "pred")
+
+
+@register("focal_gradient", f"""with {_PARTS_SQL}, {Q.descent_ctes('f', 'tr', 1, 1.0, 2.0)}
+select cast(c as int) as c, cast(d as int) as d, round(gw[d + 1], 6) as g from f0_g, unnest(range(0, {DIMS})) as u(d)
+union all select cast(c as int), {DIMS} as d, round(gb, 6) as g from f0_b""")
+def q_focal_gradient(spark, sf):
+    """The summed gradient of one step from zero weights (d = D is the bias)."""
+    d = emb_parts(spark, sf).filter(F.col("part") == "train")
+    got = TR.focal_gradient(d, np.zeros((C10, DIMS)), np.zeros(C10)).filter(F.col("c") < C10)
+    return got.select("c", F.posexplode("g").alias("d", "g")).select("c", "d", r6(F.col("g")).alias("g"))
+
+
+# --- D12-D15: reductions, ignored classes, probabilities, losses by name ---------------
+
+IGNORE = 0
+_KEEP = f"case when label = {IGNORE} then 0.0 else 1.0 end"
+
+
+@register("loss_by_name", f"""with {Q.logits_ctes()}, {_ICE_SQL},
+l as (select 'CE' as kind, {_CE} as loss from sm union all select 'FCE', {_FOCAL} from sm
+      union all select 'ICE', w * {_CE} from b join w using (batch_id, label))
+select kind, round(avg(loss), 6) as loss_mean, round(sum(loss), 6) as loss_sum, count(*) as n from l group by kind""")
+def q_loss_by_name(spark, sf):
+    """Every loss by its name, with the reductions mean and sum; 'none' is the rows it comes from."""
+    z = scored(spark, sf).withColumn("batch_id", F.floor(F.col("id") / ICE_BATCH).cast("bigint"))
+    out = None
+    for kind, args in (("CE", {}), ("FCE", {}), ("ICE", {"num_classes": C10})):
+        rows = LS.reduce(LS.get_loss(kind, **args)(z), "none")
+        one = rows.agg(r6(F.avg("loss")).alias("loss_mean"), r6(F.sum("loss")).alias("loss_sum"), F.count("loss").alias("n")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.select("kind", "loss_mean", "loss_sum", "n")
+
+
+@register("loss_ignore_index", f"with {Q.logits_ctes()} select id, round({_KEEP} * {_CE}, 6) as ce, round({_KEEP} * {_FOCAL}, 6) as focal from sm")
+def q_loss_ignore_index(spark, sf):
+    z = LS.row_loss(scored(spark, sf), "CE", ignore_index=IGNORE, out="ce")
+    both = LS.row_loss(z, "FCE", ignore_index=IGNORE, out="focal")
+    return both.select("id", r6(F.col("ce")).alias("ce"), r6(F.col("focal")).alias("focal"))
+
+
+@register("loss_ice_weighted", f"""with {Q.logits_ctes()}, {_WEIGHTS_SQL}, {_ICE_SQL}
+select round(avg(w * weight * {_KEEP} * {_CE}), 6) as loss_mean from b join w using (batch_id, label) join weights using (label)""")
+def q_loss_ice_weighted(spark, sf):
+    """D14 with class weights and an ignored class."""
+    z = scored(spark, sf).withColumn("batch_id", F.floor(F.col("id") / ICE_BATCH).cast("bigint"))
+    return LS.ice_row_loss(z, C10, weights=LS.class_weights(z), ignore_index=IGNORE).agg(r6(F.avg("loss")).alias("loss_mean"))
+
+
+@register("ensemble_evaluate", f"""with {_MEMBERS_SQL},
+pm as (select id, cls, avg(p[cls + 1]) as q from mp, unnest(range(0, {C10})) as u(cls) group by id, cls),
+sm as (select pl.id, cast(vec.label as int) as label, pl.p, cast(list_position(pl.p, list_max(pl.p)) - 1 as int) as pred
+       from (select id, list(q order by cls) as p from pm group by id) pl join embeddings vec on vec.vec_id = pl.id), {_SCORES_SQL}
+select round((select avg({_CE}) from sm), 6) as loss, round(sum(tp) / sum(num_true), 6) as acc, round(avg(precision), 6) as macro_pc,
+       round(avg(recall), 6) as macro_rc, round(avg(f1score), 6) as macro_f1 from f""")
+def q_ensemble_evaluate(spark, sf):
+    """Ensemble inference end to end: member probabilities, soft vote, loss on probabilities, scores."""
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("label"), SC.member_probs("embedding", HEADS).alias("probs"))
+    mean = SC.mean_probs("probs", C10)
+    rows = LS.row_loss(e.select("label", mean.alias("z")), "CE", softmax_first=False).withColumn("pred", A.argmax("z"))
+    s = M.summary(M.cells(rows), C10)
+    return s.select(*[r6(F.col(c)).alias(c) for c in ("loss", "acc", "macro_pc", "macro_rc", "macro_f1")])
+
+
+# --- more forms of the pipeline ----------------------------------------------------------
+
+NUM_TEST = 100
+
+
+@register("split_num_test", f"""with {Q.base_ctes(SEED, f'(select cast({NUM_TEST} as double) / count(*) from dedup)')} select id, label, part from split""")
+def q_split_num_test(spark, sf):
+    """H1 as the reference calls it: a number of test rows instead of a share."""
+    rows, classes = L.encode(base(spark, sf))
+    return S.stratified_split(rows, num_test=NUM_TEST, seed=SEED, classes=derive(classes, classes.df.select("label", "n"))).select("id", "label", "part")
+
+
+@register("dedup_parts", "select min(p_partkey) as id, p_name, p_brand, p_type from part group by p_name, p_brand, p_type")
+def q_dedup_parts(spark, sf):
+    """G2 on heavily repeated rows."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
+    return D.dedup_exact(p, keys=["p_name", "p_brand", "p_type"])
+
+
+@register("clean_turns", f"select conv_id, turn, role, {Q.clean('text')} as text from conversations")
+def q_clean_turns(spark, sf):
+    """B2 over the second text source."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", T.clean_text("text").alias("text"))

@@ -6,7 +6,7 @@ Each helper returns a CTE body; ``catalog`` glues them into full statements.
 from __future__ import annotations
 
 from strata.operators.features import CHAR_PATTERN
-from strata.sources.corpus import LANG_CODES, OTHER_CODE
+from strata.sources.corpus import LANG_CODES, OTHER_CODE, head
 from strata.functions.text import CLEAN_PATTERN, TOKEN_SPLIT
 from strata.operators.split import INTERCEPT, SLOPE
 
@@ -63,11 +63,11 @@ def tokens(expr: str) -> str:
     return f"list_filter(regexp_split_to_array({expr}, {lit(TOKEN_SPLIT)}), lambda x: x <> '')"
 
 
-def base_ctes(seed=42, test_ratio: float = 0.1) -> str:
-    """corpus -> dedup -> coded -> classes -> labelled -> split, as CTEs."""
+def base_ctes(seed=42, test_ratio: float | str = 0.1) -> str:
+    """(test_ratio: a number or an SQL expression) corpus -> dedup -> coded -> classes -> labelled -> split, as CTEs."""
     quota = (f"least(case when n < 3 then 0 when n <= 5 then 1 when n <= 10 then 2 "
              f"when n < 100 then floor({lit(SLOPE)} * n + {lit(INTERCEPT)}) "
-             f"else floor(n * {lit(float(test_ratio))}) end, n)")
+             f"else floor(n * {test_ratio if isinstance(test_ratio, str) else lit(float(test_ratio))}) end, n)")
     return f"""corpus as ({corpus()}),
 dedup as (select min(id) as id, {KEYS} from corpus group by {KEYS}),
 coded as (select id, digit_1, {pad('digit_2', 2)} as digit_2, {pad('digit_3', 3)} as digit_3, {TEXTS},
@@ -81,17 +81,45 @@ split as (select *, case when rk <= k then 'test' else 'train' end as part from
 train as (select label, id, {TEXTS} from split where part = 'train')"""
 
 
-def logits_ctes(member: int = 0, num_classes: int = 10, scale: float = 10.0) -> str:
-    """z (score vector), softmax p and argmax pred per embeddings row."""
-    a = member * num_classes + 1
-    b = a + num_classes - 1
-    return f"""z as (select vec_id as id, cast(label as int) as label,
-      list_transform(embedding[{a}:{b}], lambda x: cast(x as double) * {lit(float(scale))}) as z from embeddings),
-ez as (select id, label, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from z),
-sm as (select id, label, z, list_transform(e, lambda x: x / list_sum(e)) as p,
-       cast(list_position(z, list_max(z)) - 1 as int) as pred from ez)"""
+def matrix(w: list[list[float]]) -> str:
+    return "cast([" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in w) + "] as double[][])"
+
+
+def softmax_of(z: str) -> str:
+    """Softmax of a list expression, as a list."""
+    e = f"list_transform({z}, lambda v: exp(v - list_max({z})))"
+    return f"list_transform({e}, lambda v: v / list_sum({e}))"
 
 
+def scores_of(x: str, w: str, c: int, scale: float = 1.0, b: str | None = None) -> str:
+    """[scale * w[1].x, ...] (+ b) for a matrix expression."""
+    return "[" + ", ".join(f"list_inner_product({x}, {w}[{i}]) * {lit(float(scale))}" + (f" + {b}[{i}]" if b else "") for i in range(1, c + 1)) + "]"
+
+
+def logits_ctes(member: int = 0, num_classes: int = 10, scale: float = 10.0) -> str:
+    """z (score vector of the fixed head over all dimensions), softmax p and argmax pred per embeddings row."""
+    return f"""hd as (select {matrix(head(member, num_classes))} as w),
+z as (select vec_id as id, cast(label as int) as label, {scores_of('cast(embedding as double[])', 'w', num_classes, scale)} as z from embeddings, hd),
+sm as (select id, label, z, {softmax_of('z')} as p, cast(list_position(z, list_max(z)) - 1 as int) as pred from z)"""
+
+
+def descent_ctes(name: str, rows: str, steps: int, lr: float, gamma: float, start: str | None = None,
+                 num_classes: int = 10, dims: int = 64, eps: float = 1e-9) -> str:
+    """{name}0 .. {name}{steps}: (w, b) after each full-batch step of the focal loss (gamma 0: cross
+    entropy) on ``rows`` (x, label); starts from zeros or from the CTE ``start``."""
+    zero = f"select {matrix([[0.0] * dims] * num_classes)} as w, cast({[0.0] * num_classes} as double[]) as b"
+    out = [f"{name}0 as materialized ({f'select w, b from {start}' if start else zero})"]
+    g = lit(float(gamma))
+    d_u = f"-pow(1.0 - u, {g}) / (u + {lit(eps)})" + (f" + {g} * pow(greatest(1.0 - u, 1e-12), {lit(float(gamma) - 1)}) * ln(u + {lit(eps)})" if gamma else "")
+    for k in range(steps):
+        w = f"{name}{k}"
+        out.append(f"""{w}_p as materialized (select x, label, {softmax_of('z')} as p from (select x, label, {scores_of('x', 'w', num_classes, 1.0, 'b')} as z from {rows}, {w})),
+{w}_d as materialized (select x, label, list_transform(range(0, {num_classes}), lambda c: ({d_u}) * u * (cast(c = label as int) - p[c + 1])) as dz from (select *, p[label + 1] as u from {w}_p)),
+{w}_g as materialized (select c, list(g order by d) as gw from (select c, d, sum(dz[c + 1] * x[d]) as g from {w}_d, unnest(range(0, {num_classes})) as a(c), unnest(range(1, {dims} + 1)) as e(d) group by c, d) group by c),
+{w}_b as materialized (select c, sum(dz[c + 1]) as gb from {w}_d, unnest(range(0, {num_classes})) as a(c) group by c),
+{name}{k + 1} as materialized (select list(list_transform(range(1, {dims} + 1), lambda d: w[c + 1][d] - {lit(float(lr))} * gw[d] / n) order by c) as w,
+   list(b[c + 1] - {lit(float(lr))} * gb / n order by c) as b from {w}_g join {w}_b using (c), {w}, (select count(*) as n from {rows}))""")
+    return ",\n".join(out)
 
 
 def chars(expr: str) -> str:

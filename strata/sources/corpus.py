@@ -2,7 +2,7 @@
 
 ``corpus`` has the reference's input shape (id, three code levels, three short
 texts) and is derived from ``documents``; ``logits`` gives one score vector per
-row of ``embeddings``. Both are plain projections, so they stay inside the scan
+row of ``embeddings``, from a fixed head over all its dimensions. Both are plain projections, so they stay inside the scan
 stage and inherit its pruning.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strata.functions.text import TEXT_COLS
+from strata.operators.scoring import linear_scores
 
 # Fixed values of the fixture: language -> top-level code.
 LANG_CODES = {"de": "A", "en": "B", "es": "C", "fr": "D"}
@@ -53,10 +54,14 @@ def corpus(documents: DataFrame, nulls: bool = False) -> DataFrame:
     )
 
 
+def head(member: int = 0, num_classes: int = 10, dims: int = 64) -> list[list[float]]:
+    """Fixed linear heads over all dimensions: w[c][d] = (((7 + 2m) c + (3 + m) d) mod 11 - 5) / 10."""
+    return [[(((7 + 2 * member) * c + (3 + member) * d) % 11 - 5) / 10.0 for d in range(dims)] for c in range(num_classes)]
+
+
 def logits(embeddings: DataFrame, member: int = 0, num_classes: int = 10, scale: float = 10.0,
            id_col: str = "vec_id") -> DataFrame:
-    """embeddings -> (id, label, z ARRAY<DOUBLE>): z[c] = scale * embedding[member*C + c]."""
-    start = member * num_classes + 1
-    z = F.transform(F.slice("embedding", start, num_classes), lambda x: x.cast("double") * scale)
+    """embeddings -> (id, label, z ARRAY<DOUBLE>): z = scale * head(member) x, over the whole vector."""
+    w = [[scale * v for v in row] for row in head(member, num_classes)]
     return embeddings.select(F.col(id_col).alias("id"), F.col("label").cast("int").alias("label"),
-                             z.alias("z"))
+                             linear_scores("embedding", w).alias("z"))

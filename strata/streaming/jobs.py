@@ -15,7 +15,7 @@ from strata.functions.text import TEXT_COLS, clean_columns, join_texts
 from strata.operators.dims import Dim, join_dim
 from strata.operators.labels import level_code
 from strata.session import scratch_path
-from strata.sources.corpus import corpus
+from strata.sources.corpus import corpus, logits
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -64,9 +64,7 @@ def confusion_stream(scored: DataFrame, num_classes: int, label_col: str = "labe
 
 
 def argmax_stream(embeddings: DataFrame, num_classes: int, member: int = 0, scale: float = 10.0) -> DataFrame:
-    z = F.transform(F.slice("embedding", member * num_classes + 1, num_classes), lambda x: x.cast("double") * scale)
-    return embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"),
-                             argmax(z).alias("pred"))
+    return logits(embeddings, member, num_classes, scale).select("id", "label", argmax("z").alias("pred"))
 
 
 def label_stream(documents: DataFrame, label_map: Dim, level: str = "S") -> DataFrame:
