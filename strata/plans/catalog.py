@@ -222,26 +222,20 @@ select label, pool.id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS} from slo
 
 
 def _shuffle_sql(m: int) -> str:
-    r = lambda i: f"({Q.h(chr(39) + '42' + chr(39), str(i), 'label', 'slot', 'attempt')} % n) + 1"
+    rank = lambda i, c: (f"x{i} as (select t.label, t.{c}, row_number() over (partition by t.label order by case when length(t.{c}) = 0 then 1 else 0 end, "
+                         f"md5({Q.key(chr(39) + '42' + chr(39), str(i), 't.id')}), t.id) as r{i} from train t join small using (label))")
+    r1, r2, r3 = U.triple("//")
     return f"""with {Q.base_ctes(SEED, TEST_RATIO)}, {_small_stats(m)},
-tries as (select label, n, slot, attempt from small, unnest(range(0, {m} - n)) as u(slot), unnest(range(0, {U.ATTEMPTS})) as a(attempt)),
-drawn as (select label, slot, attempt, {r(1)} as r1, {r(2)} as r2, {r(3)} as r3 from tries),
-glued as (select d.label, d.slot, d.attempt, e1.text_obj, e2.text_mthd, e3.text_deal from drawn d
-          join every e1 on e1.label = d.label and e1.rank = d.r1
-          join every e2 on e2.label = d.label and e2.rank = d.r2
-          join every e3 on e3.label = d.label and e3.rank = d.r3),
-accepted as (select label, slot, arg_min(struct_pack(text_obj := text_obj, text_mthd := text_mthd, text_deal := text_deal), attempt) as t
-             from glued where {Q.NON_EMPTY} group by label, slot),
-missing as (select label, slot, (slot % p) + 1 as prank from
-            (select distinct label, slot from tries) x join small using (label)
-            where p > 0 and not exists (select 1 from accepted a where a.label = x.label and a.slot = x.slot))
+given as (select t.label, any_value(s.n) as n, sum(cast(length(text_obj) > 0 as bigint)) as c1, sum(cast(length(text_mthd) > 0 as bigint)) as c2,
+          sum(cast(length(text_deal) > 0 as bigint)) as c3 from train t join small s using (label) group by t.label),
+allowed as (select *, n * n * n - (n - c1) * (n - c2) * (n - c3) as a from given),
+draws as (select label, n, c1, c2, c3, slot, cast({Q.h(chr(39) + '42' + chr(39), 'label', 'slot')} % a as bigint) as u from allowed, unnest(range(0, {m} - n)) as s(slot) where a > 0),
+ranks as (select label, slot, {r1} as r1, {r2} as r2, {r3} as r3 from draws),
+{rank(1, 'text_obj')}, {rank(2, 'text_mthd')}, {rank(3, 'text_deal')}
 {_ORIG}
 union all
-select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as int) as slot,
-       t.text_obj, t.text_mthd, t.text_deal from accepted
-union all
 select label, cast(-1 as bigint) as id, -1 as copy, cast(slot as int) as slot, {Q.TEXTS}
-from missing join pool using (label, prank)"""
+from ranks join x1 using (label, r1) join x2 using (label, r2) join x3 using (label, r3)"""
 
 
 def _mix_sql(frac: float) -> str:
@@ -305,6 +299,40 @@ def q_preprocess(spark, sf):
     return preprocess(frame, test_ratio=TEST_RATIO, upsample="random", minimum=MINIMUM, seed=SEED).rows
 
 
+def _clean_preprocess_sql(up: str, level_code: str | None = None) -> str:
+    """The same pipeline with a cleaning function, another upsampling and another code level."""
+    head, tail = up.split(f"\n{_ORIG}\nunion all\n", 1)
+    clean = ", ".join(f"{Q.clean(c)} as {c}" for c in T.TEXT_COLS)
+    head = head.replace("dedup as (select", f"raw as (select * from corpus),\ncleaned as (select id, digit_1, digit_2, digit_3, {clean} from raw),\ndedup as (select", 1)
+    head = head.replace(f"from corpus group by {Q.KEYS}", f"from cleaned group by {Q.KEYS}", 1)
+    if level_code:
+        head = head.replace(f"{Q.code()} as digit from dedup", f"{level_code} as digit from dedup", 1)
+    return f"""{head},
+up as ({_ORIG}
+union all
+{tail})
+select 'train' as part, label, id, copy, slot, concat_ws(' ', {Q.TEXTS}) as text from up
+union all
+select 'test' as part, label, id, 0 as copy, -1 as slot, concat_ws(' ', {Q.TEXTS}) as text
+from split where part = 'test'"""
+
+
+def _variant(spark, sf, **args) -> DataFrame:
+    rows = preprocess(corpus(docs(spark, sf)), test_ratio=TEST_RATIO, minimum=MINIMUM, seed=SEED, clean_fn=T.clean_text, **args).rows
+    return rows.withColumn("id", F.coalesce("id", F.lit(-1).cast("bigint")))
+
+
+@register("preprocess_shuffle", _clean_preprocess_sql(_shuffle_sql(MINIMUM)))
+def q_preprocess_shuffle(spark, sf):
+    return _variant(spark, sf, upsample="shuffle")
+
+
+@register("preprocess_medium", _clean_preprocess_sql(_random_sql(MINIMUM), Q.pad("digit_2", 2)))
+def q_preprocess_medium(spark, sf):
+    """Level M: the medium code alone is the class."""
+    return _variant(spark, sf, upsample="random", level="M")
+
+
 # --- 2.8 bagging ---------------------------------------------------------------
 
 BAGS = 3
