@@ -64,18 +64,24 @@ def base(spark, sf) -> DataFrame:
     return persist_table(D.dedup_exact(T.fill_text(corpus(docs(spark, sf)))), "dedup")
 
 
+def codes(spark, sf) -> DataFrame:
+    """base without its texts: only (id, codes) is written, for operators that read no text."""
+    rows = D.dedup_exact(T.fill_text(corpus(docs(spark, sf))))
+    return persist_table(rows.select("id", *T.CODE_COLS), "codes")
+
+
 def labelled(spark, sf) -> DataFrame:
     return L.label_encode(base(spark, sf))
 
 
-def split_with_classes(spark, sf):
-    rows, classes = L.encode(base(spark, sf))
+def split_with_classes(spark, sf, texts: bool = True):
+    rows, classes = L.encode(base(spark, sf) if texts else codes(spark, sf))
     sizes = derive(classes, classes.df.select("label", "n"))
     return S.stratified_split(rows, test_ratio=TEST_RATIO, seed=SEED, classes=sizes), classes
 
 
 def split_rows(spark, sf) -> DataFrame:
-    return split_with_classes(spark, sf)[0]
+    return split_with_classes(spark, sf, texts=False)[0]
 
 
 def train_rows(spark, sf):
@@ -140,12 +146,13 @@ def q_dedup_none(spark, sf):
 
 @register("label_map", f"with {Q.base_ctes()} select label, digit from classes")
 def q_label_map(spark, sf):
-    return L.label_map(base(spark, sf))
+    # Codes of duplicates are codes of kept rows: no de-duplication is needed here.
+    return L.label_map(corpus(docs(spark, sf)))
 
 
 @register("label_encode", f"with {Q.base_ctes()} select id, digit, label from labelled")
 def q_label_encode(spark, sf):
-    return labelled(spark, sf).select("id", "digit", "label")
+    return L.label_encode(codes(spark, sf)).select("id", "digit", "label")
 
 
 _LEVELS_SQL = f"""with {Q.base_ctes()},
@@ -158,18 +165,18 @@ select id, label_s, label_m, label_l from lv join ms using (code_s) join mm usin
 
 @register("label_levels", _LEVELS_SQL)
 def q_label_levels(spark, sf):
-    return L.label_levels(base(spark, sf))
+    return L.label_levels(codes(spark, sf))
 
 
 @register("class_rollup", f"with {Q.base_ctes()} select digit_1, digit_2, digit_3, count(*) as n "
           f"from coded group by rollup (digit_1, digit_2, digit_3)")
 def q_class_rollup(spark, sf):
-    return L.class_rollup(base(spark, sf))
+    return L.class_rollup(codes(spark, sf))
 
 
 @register("seeded_rank", f"with {Q.base_ctes(SEED)} select id, label, cast(rk as bigint) as rank from ranked")
 def q_seeded_rank(spark, sf):
-    rows, classes = L.encode(base(spark, sf))
+    rows, classes = L.encode(codes(spark, sf))
     digits = R.digits_for(classes)
     return R.rank_within(rows, ["label"], SEED, digits=digits).select("id", "label", "rank")
 
@@ -341,7 +348,7 @@ MIN_CAT = 2
 
 
 def bag_input(spark, sf):
-    rows, classes = L.encode(base(spark, sf))
+    rows, classes = L.encode(codes(spark, sf))
     sizes = derive(classes, classes.df.select("label", "n"))
     total = int(BAG_FRAC * B._total(sizes))
     return rows.select("id", "label"), sizes, total
@@ -695,7 +702,7 @@ def q_write_delimited(spark, sf):
 @register("label_map_store", f"with {Q.base_ctes()} select label, digit from classes")
 def q_label_map_store(spark, sf):
     path = scratch_path(spark, "label_map")
-    DL.write_table_json(L.label_map(base(spark, sf)), path)
+    DL.write_table_json(L.label_map(corpus(docs(spark, sf))), path)
     return DL.read_table_json(spark, path, schema="label int, digit string")
 
 
@@ -932,9 +939,8 @@ def q_run_registry(spark, sf):
 @register("batches", f"""with {Q.base_ctes(SEED, TEST_RATIO)}, nt as (select count(*) as n from train)
 select id, cast({Q.h(Q.lit(str(SEED)), 'id')} % cast(ceil(n / {BATCH}) as bigint) as bigint) as batch_id from train, nt""")
 def q_batches(spark, sf):
-    tr, _ = train_rows(spark, sf)
-    n = tr.count()
-    return RN.batches(tr.select("id"), n, BATCH, SEED)
+    tr = persist_table(split_rows(spark, sf).filter(F.col("part") == "train").select("id"), "train-ids")
+    return RN.batches(tr, tr.count(), BATCH, SEED)
 
 
 # --- 2.10 streaming ---------------------------------------------------------------
@@ -964,7 +970,7 @@ def q_stream_scores(spark, sf):
 c as (select id, {Q.code()} as digit, concat_ws(' ', {Q.clean('text_obj')}, {Q.clean('text_mthd')}, {Q.clean('text_deal')}) as text from corpus)
 select id, digit, label, text from c join classes using (digit)""")
 def q_stream_label(spark, sf):
-    _, classes = L.encode(base(spark, sf))
+    _, classes = L.encode(corpus(docs(spark, sf)))
     label_map = derive(classes, classes.df.select("digit", "label"))
     return ST.run(ST.label_stream(ST.read_stream(spark, _path(sf, "documents")), label_map), "label")
 
@@ -1104,7 +1110,7 @@ NUM_TEST = 100
 @register("split_num_test", f"""with {Q.base_ctes(SEED, f'(select cast({NUM_TEST} as double) / count(*) from dedup)')} select id, label, part from split""")
 def q_split_num_test(spark, sf):
     """H1 as the reference calls it: a number of test rows instead of a share."""
-    rows, classes = L.encode(base(spark, sf))
+    rows, classes = L.encode(codes(spark, sf))
     return S.stratified_split(rows, num_test=NUM_TEST, seed=SEED, classes=derive(classes, classes.df.select("label", "n"))).select("id", "label", "part")
 
 

@@ -38,3 +38,9 @@ def test_scans_read_only_needed_columns(spark):
     plan = _plan(spark, "loss_ce")
     assert "ReadSchema: struct<embedding:array<float>,label:int>" in plan or \
         "ReadSchema: struct<label:int,embedding:array<float>>" in plan
+
+
+@pytest.mark.parametrize("name", ["eval_summary", "class_scores", "loss_ice", "ensemble_evaluate"])
+def test_scores_scan_their_input_once(spark, name):
+    plan = E.queries()[name](spark, SF01)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

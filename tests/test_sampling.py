@@ -170,3 +170,44 @@ def test_preprocess_honours_the_target_level(spark):
     medium = preprocess(frame, test_ratio=0.1, level="M")
     assert all(len(r.digit) == 2 for r in medium.label_map.collect())
     assert large.rows.count() == medium.rows.count()
+
+
+def test_quotas_of_tens_of_billions_of_rows_sum_exactly(spark):
+    sizes = checked(spark.createDataFrame([(c, n) for c, n in enumerate([50_000_000_000, 30_000_000_000, 7, 2, 1_000, 900_000_000])], "label int, n long"))
+    total = 10_000_000_000
+    for seed in (1, 2):
+        q = B.quotas_random(sizes, 2, total, seed=seed).df.groupBy("bag").agg(F.sum("k").alias("k"), F.min("k").alias("lo")).collect()
+        assert [r.k for r in q] == [total, total] and all(r.lo >= 0 for r in q)
+
+
+def test_slots_of_a_large_class_come_from_many_rows(spark):
+    df = spark.createDataFrame([(0, 3_000_000_000), (1, 5), (2, 0)], "label int, k long")
+    plan = B.slot_rows(df, F.col("k"), ["label"])
+    assert plan.filter("label = 1").count() == 5
+    chunks = df.filter("k > 0").selectExpr("label", f"(k - 1) div {B.SLOT_CHUNK} + 1 as c").collect()
+    assert {r.label: r.c for r in chunks} == {0: 3000, 1: 1}
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from strata.functions.hashing import draw
+    got = spark.range(1000).select(draw(1, F.col("id")).alias("d")).agg(F.max("d"), F.min("d")).first()
+    assert got[0] > 2**59 and 0 <= got[1] < 2**60
+
+
+def test_shuffled_texts_are_never_all_empty_and_follow_the_conditional_law(spark):
+    rows = [(0, i, "a" if i < 2 else "", "b" if i == 2 else "", "") for i in range(10)] + [(1, 50 + i, "", "", "") for i in range(4)]
+    df = spark.createDataFrame(rows, "label int, id long, text_obj string, text_mthd string, text_deal string")
+    out = [r for r in U.upsample_shuffle(df, minimum=4000, seed=3).collect() if r.copy == -1]
+    assert {r.label for r in out} == {0} and len(out) == 3990
+    assert all(r.text_obj or r.text_mthd for r in out)
+    # P(first given | some given) = 0.2 / (1 - 0.8 * 0.9)
+    share = sum(bool(r.text_obj) for r in out) / len(out)
+    assert abs(share - 0.2 / 0.28) < 0.04
+
+
+def test_no_text_is_broadcast_by_the_upsamplers(spark):
+    rows = C.labelled(spark, SF01).select("label", "id", "text_obj", "text_mthd", "text_deal")
+    for fn in (U.upsample_random, U.upsample_uniform, U.upsample_shuffle):
+        plan = fn(rows, minimum=50)._jdf.queryExecution().optimizedPlan().toString()
+        hinted = [x for x in plan.splitlines() if "ResolvedHint" in x or "strategy=broadcast" in x]
+        assert all("text_" not in x for x in hinted)

@@ -29,3 +29,34 @@ def test_persisted_table_reads_back_and_bags_prune_by_folder(spark):
     one = spark.read.parquet(path).filter(F.col("bag") == 1)
     assert "PartitionFilters: [isnotnull(bag" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == bags.filter(F.col("bag") == 1).count()
+
+
+def test_a_cluster_without_a_shared_folder_raises():
+    import pytest
+    from types import SimpleNamespace
+    from strata.session import checkpoint_dir
+    made = []
+    context = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(
+        master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append,
+        getConf=lambda: SimpleNamespace(get=lambda k, d=None: d)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(context(master))
+    assert checkpoint_dir(context("local[4]")) == made[-1]
+
+
+def test_codes_only_queries_do_not_write_texts(spark):
+    import glob
+    from conftest import SF01
+    from strata.plans import catalog as C
+    root = checkpoint_root(spark)
+    before = set(glob.glob(f"{root}/strata-*"))
+    C.QUERIES["label_map"](spark, SF01)
+    new = set(glob.glob(f"{root}/strata-*")) - before
+    assert all("text_obj" not in spark.read.parquet(p).columns for p in new)
+
+
+def checkpoint_root(spark):
+    from strata.session import checkpoint_dir
+    path = checkpoint_dir(spark)
+    return path[len("file:"):] if path.startswith("file:") else path

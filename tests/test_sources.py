@@ -38,3 +38,32 @@ def test_korean_charset_aliases_map_to_ms949(spark):
     path = _fresh()
     assert DL.write_delimited(df, path, encoding="euc-kr") == "MS949"
     assert DL.read_delimited(spark, path, encoding="cp949").orderBy("id").first().text_obj == "똠방각하"
+
+
+def test_reads_what_pandas_writes_and_the_other_way(spark, tmp_path):
+    import pandas as pd
+    rows = [(1, "A", 1, 11, 'a "b" c', "x|y", "plain"), (2, "B", 2, 3, "", '"', "back\\slash"), (3, "C", 4, 5, "two\nlines", "", 'end"')]
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    (tmp_path / "in").mkdir()
+    frame.to_csv(tmp_path / "in" / "part.csv", sep="|", index=False, encoding="cp949")
+    back = DL.read_delimited(spark, str(tmp_path / "in"), multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in back] == rows
+    path = str(tmp_path / "out")
+    DL.write_delimited(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, encoding="UTF-8")
+    files = sorted((tmp_path / "out").glob("part-*"))
+    again = pd.concat([pd.read_csv(f, sep="|", keep_default_na=False) for f in files]).sort_values("id")
+    assert [tuple(r) for r in again.itertuples(index=False)] == rows
+
+
+def test_bad_cells_are_kept_with_their_line_or_raise(spark, tmp_path):
+    import pytest
+    (tmp_path / "a.csv").write_text("id|digit_1|digit_2|digit_3|text_obj|text_mthd|text_deal\n1|A|bad|3|x|y|z\n2|A|2|3|x|y|z\n")
+    df = DL.read_delimited(spark, str(tmp_path / "a.csv"), bad_col="_line")
+    assert [(r.id, r.digit_2, r._line) for r in df.orderBy("id").collect()] == [(1, None, "1|A|bad|3|x|y|z"), (2, 2, None)]
+    with pytest.raises(Exception):
+        DL.read_delimited(spark, str(tmp_path / "a.csv"), mode="FAILFAST").collect()
+
+
+def test_charset_probe_reads_header_and_numbers_too(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id|digit_1|digit_2|digit_3|text_obj|text_mthd|é✓\n1|A|1|3|x|y|z\n".encode())
+    assert DL.read_delimited(spark, str(tmp_path / "a.csv"), schema=None, fill_text=False).columns[-1] == "é✓"

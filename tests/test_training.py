@@ -32,3 +32,31 @@ def test_training_loop_records_epochs_and_keeps_best(spark):
     assert all(b < a for a, b in zip(losses, losses[1:]))
     best = min(rows, key=lambda r: (r.valid_loss, r.epoch))
     assert run.best_epoch == best.epoch
+
+
+def test_focal_gradient_is_finite_for_any_gamma_and_equals_differences(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rows = [(rng.normal(size=4).tolist(), int(i % 3)) for i in range(30)] + [([900.0, 0.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "embedding array<double>, label int")
+    w, b = rng.normal(size=(3, 4)), np.zeros(3)
+    w[0, 0], w[1, 0], w[2, 0] = 1.0, 0.0, 0.0
+
+    def loss(v, gamma):
+        r = {x.c: x.g for x in TR.focal_gradient(df, v, b, gamma=gamma).collect()}
+        return r[3][0], np.array([r[c] for c in range(3)])
+    for gamma in (0.0, 0.5, 2.0):
+        at, g = loss(w, gamma)
+        assert np.isfinite(g).all()
+        up = w.copy()
+        up[1, 2] += 1e-6
+        assert abs((loss(up, gamma)[0] - at) / 1e-6 - g[1, 2]) < 1e-3
+
+
+def test_wide_heads_are_scored_without_growing_the_plan(spark):
+    from strata.operators.scoring import linear_scores
+    w = [[0.5] * 768 for _ in range(225)]
+    df = spark.createDataFrame([([1.0] * 768,), (None,)], "x array<double>").select(linear_scores("x", w).alias("z"))
+    got = df.collect()
+    assert got[0].z == [384.0] * 225 and got[1].z is None
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 2000
