@@ -14,13 +14,13 @@ each worker) by position in that table.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,7 +28,7 @@ from strata.llm.common import id_text
 from strata.llm.tokens import from_ranks, rank_table
 
 #: Bytes of text of one block, and buckets that the words of all blocks are dealt to.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 # The white space of the pattern's engine, and the pattern for ASCII texts.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -63,48 +63,69 @@ class _Numbers(dict):
         return n
 
 
-_BLOCKS = "block long, bucket int, doc_id long, n int, data binary, words array<string>, numbers binary"
-_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("data", pa.binary()),
-                           ("words", pa.list_(pa.string())), ("numbers", pa.binary())])
+def pack_ints(x: np.ndarray) -> bytes:
+    """Small integers, compressed by byte planes."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpack_ints(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _numbered(block: int, numbers: _Numbers, held: list[tuple]) -> tuple[list[str], list[tuple]]:
+    """Words and documents of a block, numbered by falling frequency: frequent words get small numbers."""
+    words = list(numbers)
+    count = np.zeros(len(words), np.int64)
+    for _, x in held:
+        count += np.bincount(x, minlength=len(words))
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words))
+    return [words[i] for i in order], [(i, rank[x]) for i, x in held]
 
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int, want: str) -> DataFrame:
-    """One scan of the texts in blocks of a bounded size. want='docs': a row per document with the
-    numbers of its words; want='words': a row per bucket with the block's distinct words."""
-
-    def rows(block: int, numbers: _Numbers, docs: list[tuple]) -> pa.RecordBatch:
-        if want == "docs":
-            out = [{"block": block, "bucket": -1, "doc_id": i, "n": len(x), "data": zlib.compress(x.tobytes(), 1), "words": None, "numbers": None} for i, x in docs]
-        else:
-            words = sorted(numbers)
-            of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % buckets for w in words), np.int32, len(words))
-            order = np.argsort(of, kind="stable")
-            cut = np.searchsorted(of[order], np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                mine = [words[i] for i in order[cut[k] : cut[k + 1]]]
-                if mine:
-                    number = np.fromiter(map(numbers.__getitem__, mine), np.int32, len(mine))
-                    out.append({"block": block, "bucket": k, "doc_id": None, "n": len(mine), "data": None, "words": mine, "numbers": number.tobytes()})
-        return pa.RecordBatch.from_pylist(out, _BLOCK_SCHEMA)
+    """One scan of the texts in blocks of a bounded size. want='docs': (block, doc_id, data), the numbers
+    of a document's words in order; want='words': (block, bucket, numbers, sizes, words), the block's
+    distinct words of a bucket."""
+
+    def doc_rows(block: int, words: list[str], docs: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(docs), pa.int64()), pa.array([i for i, _ in docs], pa.int64()),
+                                           pa.array([pack_ints(x) for _, x in docs], pa.binary())], names=["block", "doc_id", "data"])
+
+    def word_rows(block: int, words: list[str], docs: list[tuple]) -> pa.RecordBatch | None:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        of = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in raw), np.int64, len(raw))
+        out = []
+        for k in np.unique(of).tolist():
+            mine = sorted(np.flatnonzero(of == k).tolist(), key=raw.__getitem__)
+            out.append((block, k, pack_ints(np.array(mine)), pack_ints(np.array([len(raw[i]) for i in mine])), zstandard.compress(b"".join(raw[i] for i in mine), 3)))
+        if not out:
+            return None
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["block", "bucket", "numbers", "sizes", "words"])
+
+    make = doc_rows if want == "docs" else word_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A block is named by its partition of the scan and its number there: both scans cut alike.
         block, size = TaskContext.get().partitionId() << 24, 0
         numbers, held = _Numbers(), []
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = t or ""
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py() or ""
                 tokens = pre_tokens(t, pattern)
                 held.append((i, np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))))
                 size += len(t)
                 if size >= block_bytes:
-                    yield rows(block, numbers, held)
+                    if (rows := make(block, *_numbered(block, numbers, held))) is not None:
+                        yield rows
                     block, size, numbers, held = block + 1, 0, _Numbers(), []
-        if held:
-            yield rows(block, numbers, held)
+        if held and (rows := make(block, *_numbered(block, numbers, held))) is not None:
+            yield rows
 
-    return docs.mapInArrow(run, _BLOCKS)
+    schema = "block long, doc_id long, data binary" if want == "docs" else "block long, bucket int, numbers binary, sizes binary, words binary"
+    return docs.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -119,43 +140,42 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, block_bytes:
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = id_text(docs)
-    words = _blocks(base, pattern, width, block_bytes, "words").select("bucket", "block", "words", "numbers")
+    words = _blocks(base, pattern, width, block_bytes, "words")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = from_ranks(ranks)
-        known: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         for b in batches:
-            for block, ws, numbers in zip(b.column("block").to_pylist(), b.column("words").to_pylist(), b.column("numbers").to_pylist()):
-                got = []
-                for w in ws:
+            for block, numbers, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("block", "numbers", "sizes", "words"))):
+                raw, ends, got, at = zstandard.decompress(raw), np.cumsum(unpack_ints(sizes)).tolist(), [], 0
+                for end in ends:
+                    w, at = raw[at:end], end
                     x = known.get(w)
                     if x is None:
                         x = known[w] = enc._encode_single_piece(w)
                     got.append(x)
-                size = np.fromiter(map(len, got), np.int32, len(got))
-                flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers], pa.binary()), pa.array([size.tobytes()], pa.binary()),
-                                                  pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())], names=["block", "numbers", "sizes", "ids"])
+                size = np.fromiter(map(len, got), np.int64, len(got))
+                flat = np.fromiter((i for x in got for i in x), np.int64, int(size.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers], pa.binary()), pa.array([pack_ints(size)], pa.binary()),
+                                                  pa.array([pack_ints(flat)], pa.binary())], names=["block", "numbers", "sizes", "ids"])
 
     coded = words.repartition(width, "bucket").mapInArrow(merge, "block long, numbers binary, sizes binary, ids binary")
-    held = _blocks(base, pattern, width, block_bytes, "docs").select("block", "doc_id", "data")
+    held = _blocks(base, pattern, width, block_bytes, "docs")
 
     def reassemble(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        unz = lambda c: [np.frombuffer(x, np.int32) for x in c.to_pylist()]
-        number, size = np.concatenate([*unz(right["numbers"]), []]).astype(np.int64), np.concatenate([*unz(right["sizes"]), []]).astype(np.int64)
-        flat = np.concatenate([*(np.frombuffer(zlib.decompress(x), np.int32) for x in right["ids"].to_pylist()), []]).astype(np.int32)
+        joined = lambda c: np.concatenate([*map(unpack_ints, right[c].to_pylist()), np.empty(0, np.int64)])
+        number, size, flat = joined("numbers"), joined("sizes"), joined("ids").astype(np.int32)
         begin, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         begin[number], length[number] = np.cumsum(size) - size, size
-        out, ends = [], [0]
-        for x in left["data"].to_pylist():
-            x = np.frombuffer(zlib.decompress(x), np.int32)
+        out, ends = [np.empty(0, np.int32)], [0]
+        for raw in left["data"].to_pylist():
+            x = unpack_ints(raw)
             n = length[x]
             # Positions in flat: each word's run, one after the other.
-            at = np.repeat(begin[x] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            out.append(flat[at])
-            ends.append(ends[-1] + len(at))
-        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*out, np.empty(0, np.int32)]).astype(np.int32)))
-        return pa.table({"doc_id": left["doc_id"], "ids": ids.cast(pa.list_(pa.int32()))})
+            out.append(flat[np.repeat(begin[x] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+            ends.append(ends[-1] + len(out[-1]))
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
+        return pa.table({"doc_id": left["doc_id"], "ids": ids})
 
     return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
 
