@@ -29,7 +29,7 @@ from strata.session import persist_table
 WORD_SHARE, BIGRAM_SHARE = 5e-6, 2e-6
 DISCOUNT, ADD = 0.75, 0.5
 #: Tokens counted together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -79,32 +79,57 @@ def make_model(vocabulary: list[bytes], keys: np.ndarray, counts: np.ndarray, co
     return Bigrams({w: i for i, w in enumerate(vocabulary)}, keys, np.log(seen), np.log(back), np.log(single))
 
 
-def _tally(docs: DataFrame, count: Callable[[list[list[bytes]]], tuple[pa.Array, pa.Array]], key: str) -> DataFrame:
-    """(key, n) summed over all texts; ``count`` sums one block of token lists."""
+class _Words:
+    """Counts of the words of a block; the texts themselves are not kept."""
+
+    def __init__(self) -> None:
+        self.counts: Counter[bytes] = Counter()
+        self.n = 0
+
+    def add(self, tokens: list[bytes]) -> None:
+        self.counts.update(tokens)
+        self.n += len(tokens)
+
+    def rows(self) -> list[pa.Array]:
+        return [pa.array(self.counts.keys(), pa.binary()), pa.array(self.counts.values(), pa.int64())]
+
+
+class _Pairs:
+    """Counts of the bigrams of a block, from ids under a vocabulary."""
+
+    def __init__(self, model: Bigrams) -> None:
+        self.model = model
+        self.keys: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, tokens: list[bytes]) -> None:
+        if tokens:
+            ids = self.model.ids(tokens)
+            self.keys.append(np.append(self.model.v + 1, ids[:-1]) * (self.model.v + 2) + ids)
+            self.n += len(ids)
+
+    def rows(self) -> list[pa.Array]:
+        keys, n = np.unique(np.concatenate(self.keys), return_counts=True)
+        return [pa.array(keys), pa.array(n)]
+
+
+def _tally(docs: DataFrame, block: Callable[[], _Words | _Pairs], key: str) -> DataFrame:
+    """(k, n) summed over all texts; each block of texts is summed by itself first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = []
-        n = 0
+        held = block()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(words(t))
-                n += len(held[-1])
-                if n >= BLOCK:
-                    yield pa.RecordBatch.from_arrays(list(count(held)), names=["k", "n"])
-                    held, n = [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays(list(count(held)), names=["k", "n"])
+            for t in b.column(0):
+                held.add(words(t.as_py()))
+                if held.n >= BLOCK:
+                    yield pa.RecordBatch.from_arrays(held.rows(), names=["k", "n"])
+                    held = block()
+        if held.n:
+            yield pa.RecordBatch.from_arrays(held.rows(), names=["k", "n"])
 
     return docs.select("text").mapInArrow(run, f"k {key}, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _count_words(block: list[list[bytes]]) -> tuple[pa.Array, pa.Array]:
-    c: Counter[bytes] = Counter()
-    for t in block:
-        c.update(t)
-    return pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())
-
-
 def fit(target: DataFrame, background: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE, name: str = "xent") -> Bigrams:
     """target, background: (doc_id, text). Both are read twice."""
     spark = background.sparkSession
@@ -118,7 +143,7 @@ def fit(target: DataFrame, background: DataFrame, word_share: float = WORD_SHARE
         """At most 2/share rows."""
         return rows.filter((F.col("t") >= F.greatest(F.lit(share * total[0]), F.lit(1.0))) | (F.col("b") >= F.greatest(F.lit(share * total[1]), F.lit(1.0)))).toArrow()
 
-    counted, total = both(lambda d: _tally(d, _count_words, "binary"), "words")
+    counted, total = both(lambda d: _tally(d, _Words, "binary"), "words")
     kept = common(counted, total, word_share)
     order = sorted(zip(kept["k"].to_pylist(), kept["t"].to_pylist(), kept["b"].to_pylist()), key=lambda r: (-r[2], r[0]))
     v = len(order)
@@ -127,17 +152,7 @@ def fit(target: DataFrame, background: DataFrame, word_share: float = WORD_SHARE
     uni[:, v] = np.maximum(np.array(total) - uni.sum(axis=1), 0)
     shell = spark.sparkContext.broadcast(Bigrams({r[0]: i for i, r in enumerate(order)}, np.empty(0, np.int64), np.empty((2, 0)), np.empty((2, 0)), np.empty((2, 0))))
 
-    def count_bigrams(block: list[list[bytes]]) -> tuple[pa.Array, pa.Array]:
-        m = shell.value
-        parts = []
-        for t in block:
-            if t:
-                ids = m.ids(t)
-                parts.append(np.append(m.v + 1, ids[:-1]) * (m.v + 2) + ids)
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.array(keys), pa.array(n)
-
-    pairs, total = both(lambda d: _tally(d, count_bigrams, "long"), "bigrams")
+    pairs, total = both(lambda d: _tally(d, lambda: _Pairs(shell.value), "long"), "bigrams")
     width = v + 2
     context = np.zeros((2, width))
     # One row per vocabulary entry at most.
@@ -158,14 +173,12 @@ def score(docs: DataFrame, model: Bigrams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            tokens = [words(t) for t in b.column(1).to_pylist()]
-            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            ids = np.concatenate([*(m.ids(t) for t in tokens), np.empty(0, np.int64)])
-            first = np.cumsum(size) - size
-            has = size > 0
-            sums = np.zeros((2, len(tokens)))
-            if len(ids):
-                sums[:, has] = np.add.reduceat(m.losses(ids, first[has]), first[has], axis=1)
+            size, sums = np.zeros(b.num_rows, np.int64), np.zeros((2, b.num_rows))
+            for i, t in enumerate(b.column(1)):
+                ids = m.ids(words(t.as_py()))
+                size[i] = len(ids)
+                if len(ids):
+                    sums[:, i] = m.losses(ids, np.zeros(1, np.int64)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array((sums[0] - sums[1]) / np.maximum(size, 1))],
                                              names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
