@@ -29,6 +29,6 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
-    """Partitions for ``rows`` rows at ``per_part`` rows each, at least the session's shuffle width."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
+def parts_for(df: DataFrame, amount: int, per_part: int) -> int:
+    """Partitions for an amount (rows, bytes) at ``per_part`` each, at least the session's shuffle width."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-amount // per_part))

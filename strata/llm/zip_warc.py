@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from strata.llm.common import parts_for
 from strata.session import persist_table, scratch_path
 
 #: Payloads below this size are always stored whole.
@@ -290,7 +291,9 @@ def read_records(archives: DataFrame, columns: list[str] | None = None, range_by
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in got], pa.schema([_RECORD.field(c) for c in names]))
                 i = j
 
-    listed = list_records(archives, range_bytes).repartition("path", "span").sortWithinPartitions("path", "at").select("path", "at", "length")
+    # A row stands for a range of bytes far larger than itself: a set number of tasks, not one by rows' sizes.
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    listed = list_records(archives, range_bytes).repartition(parts_for(archives, total, range_bytes), "path", "span").sortWithinPartitions("path", "at").select("path", "at", "length")
     kept = [c.strip() for c in _RECORD_SQL.split(",") if c.split()[0] in names]
     return listed.mapInArrow(run, ", ".join(sorted(kept, key=lambda c: names.index(c.split()[0]))))
 

@@ -1,12 +1,14 @@
 """The pipeline: each stage against its operator or brute force on the stage's own input."""
 
 import corpus_pipeline as cp
-from fixtures_llm import empty, odd, odd_rows
+from fixtures_llm import odd
+from pyspark.sql import functions as F
 from test_llm_bpe_packing import _check
 from test_llm_dedup import brute_near, brute_repeats
+from test_llm_quality import brute
 
 import __spark_entry__ as E
-from strata.llm import classifier, quality_rules
+from strata.session import persist_table
 from strata.sources.tables import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,43 +26,32 @@ def test_stages_are_the_dealt_ones_and_registered():
 
 
 def test_every_stage_on_its_predecessors_output(spark):
+    """One pass over documents with odd rows among them; each stage's decisions against its input."""
     docs = table(spark, SMALL, "documents")
     columns = docs.columns
-    rules, model, near, cut, pack = (f for _, f in cp.STAGES)
-
-    one = rules(spark, docs, SMALL).cache()
-    assert one.columns == columns
-    assert sorted(texts(one)) == sorted((i, t) for i, t in texts(docs) if i in {r.doc_id for r in quality_rules.quality_rules(docs).collect() if r.kept})
-
-    two = model(spark, one, SMALL).cache()
-    assert two.columns == columns
-    scored = {r.doc_id: r.predicted for r in classifier.quality_scores(one, table(spark, SMALL, "labels")).collect()}
-    assert sorted(i for i, _ in texts(two)) == sorted(i for i, p in scored.items() if p == 1)
-
-    three = near(spark, two, SMALL).cache()
-    assert three.columns == columns
-    want = brute_near(texts(two))
-    assert sorted(i for i, _ in texts(three)) == sorted(i for i, w in want.items() if w[2])
-
-    four = cut(spark, three, SMALL).cache()
-    assert four.columns == columns
-    kept = {i: x for i, (_, _, x) in brute_repeats(texts(three)).items()}
-    got = {r.doc_id: r for r in four.collect()}
-    assert {i: r.text for i, r in got.items()} == {i: x.decode("utf-8", "ignore") for i, x in kept.items()}
-    assert all(r.n_chars == len(r.text) for r in got.values())
-
-    rows = pack(spark, four, SMALL).collect()
-    _check(rows, texts(four))
-    assert len(cp.run(spark, SMALL).collect()) == len(rows)
-
-
-def test_stages_take_odd_rows_and_an_empty_table(spark):
-    for make, n in ((odd, len(odd_rows())), (empty, 0)):
-        docs = make(spark)
-        for name, stage in cp.STAGES:
-            out = stage(spark, docs, SMALL)
-            if name != "best_fit_packing":
-                assert out.columns == docs.columns
-                assert out.count() <= n
-            else:
-                assert out.count() >= n
+    extra = odd(spark).filter("doc_id is not null").select((F.col("doc_id") + 100_000).alias("doc_id"), *columns[1:])
+    before = docs.unionByName(extra)
+    for name, stage in cp.STAGES:
+        after = persist_table(stage(spark, before, SMALL), "test-pipeline")
+        was, now = texts(before), texts(after) if name != "best_fit_packing" else None
+        if name == "quality_rules":
+            failed = {i for i, t in was if (w := brute(t))[0] < 10 or 100 * w[4] > 20 * w[0]}
+            assert not failed & {i for i, _ in now} and set(now) <= set(was)
+            good = {r.doc_id for r in table(spark, SMALL, "labels").filter("quality = 1").collect()}
+            assert all((i, t) in set(now) for i, t in was if i in good and i not in failed)
+        elif name == "quality_classifier":
+            labels = {r.doc_id: r.quality for r in table(spark, SMALL, "labels").collect()}
+            kept = {i for i, _ in now}
+            right = [(i in kept) == (labels[i] == 1) for i, _ in was if i in labels]
+            assert set(now) <= set(was) and sum(right) >= 0.95 * len(right)
+        elif name == "minhash_near_dedup":
+            groups = brute_near(was)
+            assert sorted(i for i, _ in now) == sorted(i for i, _ in was if groups[i][2])
+        elif name == "suffix_dedup":
+            want = {i: x.decode("utf-8", "ignore") for i, (_, _, x) in brute_repeats(was).items()}
+            assert dict(now) == want and all(r.n_chars == len(r.text) for r in after.collect())
+        else:
+            _check(after.collect(), was)
+            break
+        assert after.columns == columns
+        before = after
