@@ -176,8 +176,9 @@ def judge(stats: DataFrame, models: DataFrame) -> DataFrame:
     n = packed.count()
     both = lambda k: F.broadcast(k) if n <= MAX_BROADCAST_MODELS else k
     x = x.join(both(packed.toDF("_own", "_m1")), "_own", "left")
-    for i, key in enumerate((F.array(F.col("_own")[0], F.lit("\x00all")), F.array(F.lit("\x00all"), F.lit("\x00all"))), 2):
-        x = x.withColumn("_k", key).join(both(packed.toDF("_k", f"_m{i}")), "_k", "left").drop("_k")
+    x = x.withColumn("_k", F.array(F.col("_own")[0], F.lit("\x00all"))).join(both(packed.toDF("_k", "_m2")), "_k", "left").drop("_k")
+    # The corpus's model is one value.
+    x = x.withColumn("_m3", packed.filter(F.col("_g")[0] == "\x00all").select("_m").scalar())
     x = x.withColumn("_m", F.coalesce("_m1", "_m2", "_m3"))
     d = [F.col(f"_x.x{i}") - F.col(f"_m.m{i}") for i in range(P)]
     terms = [(1.0 if i == j else 2.0) * d[i] * d[j] * F.col(f"_m.q{i}_{j}") for i, j in _PAIRS]
