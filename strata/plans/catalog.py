@@ -924,18 +924,30 @@ def q_class_history(spark, sf):
     return wide.select("run_id", "part", "metric", "class_id", *[r6(F.col(f"epoch_{e}")).alias(f"epoch_{e}") for e in range(EPOCHS)])
 
 
+def run_configs(spark, sf) -> DataFrame:
+    loss = F.create_map(*[F.lit(x) for kv in RUNS.items() for x in kv])
+    return (summary_frame(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("epochs"))
+            .select("run_id", F.element_at(loss, F.col("run_id")).alias("loss"), "epochs", F.lit(PATIENCE).alias("patience")))
+
+
 @register("run_registry", f"with {_RUNS_SQL} select run_id, case run_id {' '.join(f"when '{k}' then '{v}'" for k, v in RUNS.items())} end as loss, "
           f"cast(count(*) as bigint) as epochs, {PATIENCE} as patience from summary group by run_id")
 def q_run_registry(spark, sf):
-    loss = F.create_map(*[F.lit(x) for kv in RUNS.items() for x in kv])
-    configs = (summary_frame(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("epochs"))
-               .select("run_id", F.element_at(loss, F.col("run_id")).alias("loss"), "epochs", F.lit(PATIENCE).alias("patience")))
     path = scratch_path(spark, "configs")
-    RN.write_configs(configs, path)
+    RN.write_configs(run_configs(spark, sf), path)
     reg = DL.read_table_json(spark, path, schema="loss string, epochs long, patience int, run_id string", with_source=True)
     return reg.select("run_id", "loss", "epochs", "patience")
 
 
+@register("run_registry_indented", SQL["run_registry"])
+def q_run_registry_indented(spark, sf):
+    """The registry from one indented JSON document per run."""
+    path = scratch_path(spark, "configs")
+    DL.write_indented_json(run_configs(spark, sf), path, "run_id")
+    reg = DL.read_table_json(spark, path, schema="loss string, epochs long, patience int, run_id string", multi_line=True, with_source=True)
+    return reg.select("run_id", "loss", "epochs", "patience")
+
+
 @register("batches", f"""with {Q.base_ctes(SEED, TEST_RATIO)}, nt as (select count(*) as n from train)
 select id, cast({Q.h(Q.lit(str(SEED)), 'id')} % cast(ceil(n / {BATCH}) as bigint) as bigint) as batch_id from train, nt""")
 def q_batches(spark, sf):

@@ -130,10 +130,21 @@ def write_table_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_indented_json(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
+    """A8 (as the reference writes it): one indented JSON document per value of ``key``, in a folder
+    of its own; ``key`` must be unique."""
+    body = F.to_json(F.struct(*[c for c in df.columns if c != key]), {"pretty": "true"})
+    df.select(key, body.alias("value")).write.mode(mode).partitionBy(key).text(path)
+
+
 def read_table_json(spark: SparkSession, path: str | list[str], schema=None, multi_line: bool = False,
-                    with_source: bool = False) -> DataFrame:
-    """Read JSON tables (one or many paths); optionally tag each row with its file."""
+                    with_source: bool = False, encoding: str | None = None) -> DataFrame:
+    """Read JSON tables (one or many paths); optionally tag each row with its file.
+    ``multi_line`` reads one document per file, indented or not, a byte order mark included."""
     r = spark.read.option("multiLine", multi_line)
+    if encoding is not None:
+        legacy_charsets(spark)
+        r = r.option("encoding", charset(encoding))
     if schema is not None:
         r = r.schema(schema)
     df = r.json(path)

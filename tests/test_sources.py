@@ -67,3 +67,15 @@ def test_bad_cells_are_kept_with_their_line_or_raise(spark, tmp_path):
 def test_charset_probe_reads_header_and_numbers_too(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("id|digit_1|digit_2|digit_3|text_obj|text_mthd|é✓\n1|A|1|3|x|y|z\n".encode())
     assert DL.read_delimited(spark, str(tmp_path / "a.csv"), schema=None, fill_text=False).columns[-1] == "é✓"
+
+
+def test_indented_json_with_a_byte_order_mark_and_in_korean(spark, tmp_path):
+    import json
+    for k, enc in enumerate(("utf-8-sig", "cp949")):
+        folder = tmp_path / f"run_id={k}"
+        folder.mkdir()
+        (folder / "c.json").write_bytes(json.dumps({"loss": "가나 CE", "epochs": k}, indent=2, ensure_ascii=False).encode(enc))
+    got = DL.read_table_json(spark, str(tmp_path / "run_id=0"), schema="loss string, epochs long", multi_line=True).collect()
+    assert [(r.loss, r.epochs) for r in got] == [("가나 CE", 0)]
+    got = DL.read_table_json(spark, str(tmp_path / "run_id=1"), schema="loss string, epochs long", multi_line=True, encoding="cp949").collect()
+    assert [(r.loss, r.epochs) for r in got] == [("가나 CE", 1)]
