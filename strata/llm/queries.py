@@ -75,5 +75,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_word_bpe": op10_word_bpe,
 }
 
+def _components(ids: str, links: str) -> str:
+    """CTEs reach, comp: per id of ``ids`` (id) the smallest id reachable over ``links`` (a, b)."""
+    return f"""both_ways as (select a, b from {links} union select b, a from {links}),
+reach as (select id, id as other from {ids} union select r.id, l.b from reach r join both_ways l on l.a = r.other),
+comp as (select id, min(other) as c from reach group by id)"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 #: DuckDB twins of the operators whose whole result SQL expresses.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_flat_graph": f"""with recursive given as (select vec_id as id, cast(embedding as double[]) as v from embeddings),
+fine as (select id, v, sqrt(list_inner_product(v, v)) as n from given
+         where v is not null and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+unit as (select id, list_transform(v, lambda x: x / n) as u from fine),
+links as (select a.id as a, b.id as b from unit a join unit b on a.id < b.id where list_inner_product(a.u, b.u) >= 0.95),
+{_components("given", "links")},
+degree as (select a as id, count(*) as n from both_ways group by a)
+select c.id as vec_id, coalesce(d.n, 0) as n_links, c.c as component_id, c.id = c.c as kept from comp c left join degree d using (id)""",
+    "op8_zip_warc": """with d as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as hex from pages),
+f as (select hex, min(page_id) as first from d group by hex),
+b as (select hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31), 1)), '') as digest, first from f)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to from d join b using (hex)""",
+    "op9_superminhash": f"""with recursive words as (select doc_id as id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[ \\t-\\r]+'), lambda x: x <> '') as w from documents),
+sets as (select id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end)) as g from words),
+sizes as (select id, count(*) as n from sets group by id),
+shared as (select a.id as a, b.id as b, count(*) as n from sets a join sets b on a.g = b.g and a.id < b.id group by 1, 2),
+links as (select s.a, s.b from shared s join sizes x on x.id = s.a join sizes y on y.id = s.b where 100 * s.n >= 80 * (x.n + y.n - s.n)),
+{_components("words", "links")}
+select c.id as doc_id, coalesce(z.n, 0) as n_shingles, c.c as component_id, c.id = c.c as kept from comp c left join sizes z using (id)""",
+}
