@@ -189,5 +189,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, name: str =
     """Score all documents; the target corpus is the documents whose ids are in ``target_ids``
     (doc_id), the background all documents. An empty target gives a uniform target model."""
     base = id_text(docs)
-    target = persist_table(base.join(target_ids.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi"), f"{name}-target")
+    # The ids grow with the corpus: one shuffle join at every size, not a broadcast while they are few.
+    ids = target_ids.select("doc_id").filter("doc_id is not null").distinct().hint("merge")
+    target = persist_table(base.join(ids, "doc_id", "left_semi"), f"{name}-target")
     return score(docs, fit(target, base, name=name, **shares))
