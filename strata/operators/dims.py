@@ -1,8 +1,9 @@
 """Small derived tables and how they are joined.
 
 A table derived by aggregation (classes, quotas, histograms) is cached and
-counted once. Only when that count is within ``max_rows`` is it broadcast;
-beyond that the join is left to a shuffle join, where AQE's skew handling
+counted once. Only when that count is within ``max_rows`` and its bytes (numbers, and
+short codes of a set width) are within MAX_BROADCAST_BYTES is it broadcast; beyond that the
+join is left to a shuffle join, where AQE's skew handling
 splits hot keys.
 """
 
@@ -14,6 +15,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 128 << 20
+#: Bytes counted for a string column; class codes are shorter, and texts are never in such a table.
+CODE_BYTES = 64
+
+
+def row_bytes(df: DataFrame) -> int:
+    return sum(CODE_BYTES if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema.fields)
 
 
 @dataclass
@@ -24,7 +32,7 @@ class Dim:
 
     @property
     def fits(self) -> bool:
-        return self.rows <= self.max_rows
+        return self.rows <= self.max_rows and self.rows * row_bytes(self.df) <= MAX_BROADCAST_BYTES
 
     def side(self) -> DataFrame:
         return F.broadcast(self.df) if self.fits else self.df
