@@ -40,7 +40,7 @@ from strata.session import persist_table
 
 LENGTH, K = 100, 32
 #: Bytes hashed at a time, bytes of text whose segments are settled together, segments built together.
-SLICE, SETTLE, CHUNK = 1 << 20, 48 << 20, 60_000
+SLICE, SETTLE, CHUNK = 1 << 20, 32 << 20, 60_000
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 _U = np.uint64
@@ -168,7 +168,8 @@ def _find(length: int, k: int):
             size = 0
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py()
                 raw = t.encode("utf-8", "surrogatepass") if t and i is not None else b""
                 # A long text goes in slices that share length - 1 bytes, so each start is in one.
                 for at in range(0, max(len(raw) - length + 1, 0), SLICE):
@@ -311,7 +312,8 @@ def _fetch(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t, segs in zip(*(b.column(j).to_pylist() for j in range(3))):
+            for i, t, segs in zip(*(b.column(j) for j in range(3))):
+                i, t, segs = i.as_py(), t.as_py(), segs.as_py()
                 raw = t.encode("utf-8", "surrogatepass")
                 cut = [raw[s["q"] - s["p1"] : s["q"] - s["p1"] + s["p2"] + length] for s in segs]
                 yield pa.RecordBatch.from_arrays(
@@ -353,7 +355,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, name: str
 @F.arrow_udf(BinaryType())
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
-    for t, s in zip(texts.to_pylist(), spans.to_pylist()):
+    for t, s in zip(texts, spans):
+        t, s = t.as_py(), s.as_py()
         raw = t.encode("utf-8", "surrogatepass") if t else b""
         if s:
             at, parts = 0, []
@@ -397,4 +400,4 @@ def without_repeats(docs: DataFrame, name: str = "column-dedup-stage") -> DataFr
 
 @F.arrow_udf(StringType())
 def _decode(raw: pa.Array) -> pa.Array:
-    return pa.array([x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
+    return pa.array([x.as_py().decode("utf-8", "ignore") for x in raw], pa.string())

@@ -11,15 +11,26 @@ from pyspark.sql import DataFrame, functions as F
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one record batch; empty batches and None are skipped."""
+#: Bytes of a record batch that a function gets at a time.
+PART_BYTES = 4 << 20
+
+
+def in_parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a record batch of about PART_BYTES each, at least one row."""
+    step = max(1, b.num_rows * PART_BYTES // max(b.nbytes, 1))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``mapInArrow`` for a function of one record batch; batches are cut into parts of bounded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = fn(b)
-                if out is not None and out.num_rows:
-                    yield from (out.to_batches() if isinstance(out, pa.Table) else [out])
+            for part in in_parts(b):
+                out = fn(part)
+                if out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType
 
 from strata.llm.common import id_text, map_arrow
 from strata.llm.tokens import END_ID, from_json
@@ -31,7 +30,7 @@ WEIGHTS = (1.0, 0.02, 0.02)
 #: Pieces packed together.
 GROUP = 8_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids array<int>"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -40,36 +39,36 @@ def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, length) for s in range(first, n, length)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """documents -> pieces with their ids, each document ended by the end-of-text id.
+def crc32(ids: np.ndarray) -> int:
+    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+    """documents -> pieces, each document ended by the end-of-text id: place in the document, length,
+    CRC-32 and (unless told otherwise) the ids themselves.
 
     A null text is empty: one piece with the end id alone. Repeated rows give repeated pieces.
     """
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def one(b: pa.RecordBatch):
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
         enc = from_json(vocabulary)
-        doc, piece, start, size, ids = [], [], [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.append(enc.encode_to_numpy(t or "", allowed_special="all"), np.uint32(END_ID)).astype(np.int32)
+        rows, ids = [], []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            x = np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special="all"), np.uint32(END_ID))
             for k, (s, n) in enumerate(cut_points(len(x), length)):
-                doc.append(i)
-                piece.append(k)
-                start.append(s)
-                size.append(n)
-                ids.append(x[s : s + n])
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                                           pa.array(size, pa.int64()), lists], names=["doc_id", "piece", "start", "length", "ids"])
-
-    return map_arrow(id_text(docs), one, PIECES)
-
+                rows.append((i, k, s, n, crc32(x[s : s + n])))
+            if with_ids:
+                ids.append(x.astype(np.int32))
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        if not with_ids:
+            return pa.RecordBatch.from_arrays(cols, names=names)
+        ends = np.concatenate([[0], np.cumsum([r[3] for r in rows])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=[*names, "ids"])
 
-@F.arrow_udf(LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-    flat, off = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-    return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])], pa.int64())
+    return map_arrow(id_text(docs), one, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack_group(lengths: np.ndarray, length: int = LENGTH, max_docs: int = MAX_DOCUMENTS, max_cost: int = MAX_COST,
@@ -143,5 +142,4 @@ def pack(pieces: DataFrame, length: int = LENGTH, max_docs: int = MAX_DOCUMENTS,
 def packed_documents(docs: DataFrame, vocabulary: str, name: str = "packing") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. The
     pieces without their ids are written to the shared folder, so texts are encoded once."""
-    cut = pieces(docs, vocabulary).withColumn("ids_crc32", ids_crc32(F.col("ids"))).drop("ids")
-    return pack(persist_table(cut, name))
+    return pack(persist_table(pieces(docs, vocabulary, with_ids=False), name))

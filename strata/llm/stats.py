@@ -61,7 +61,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 @F.arrow_udf(TYPE)
 def text_counts(texts: pa.Array) -> pa.Array:
-    rows = [counts(t) for t in texts.to_pylist()]
+    rows = [counts(t.as_py()) for t in texts]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else
                                       [pa.array([], pa.int64()) for _ in FIELDS], names=list(FIELDS))
 

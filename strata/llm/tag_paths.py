@@ -187,7 +187,7 @@ def main_text(page: str | None) -> str:
 
 @F.arrow_udf(StringType())
 def extract(pages: pa.Array) -> pa.Array:
-    return pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+    return pa.array([main_text(p.as_py()) for p in pages], pa.string())
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

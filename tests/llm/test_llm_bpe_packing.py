@@ -101,3 +101,8 @@ def test_every_capacity_binds():
         for b in range(bins.max() + 1):
             x = lengths[bins == b]
             assert 0 < len(x) <= 5 and x.sum() <= 2048 and (x.astype(float) ** 2).sum() <= 1_000_000
+
+
+def test_pieces_carry_their_ids(spark):
+    rows = packing.pieces(odd(spark), JSON).collect()
+    assert all(r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
