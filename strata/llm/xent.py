@@ -1,35 +1,44 @@
 """Cross-entropy difference of two matched bigram models.
 
-The target and the background model share one vocabulary, one list of kept bigrams, order
-and smoothing; only their counts differ. A document's score is the mean over its tokens of
+The target and the background model share one vocabulary, one list of bigrams, order and
+smoothing; only their counts differ. A document's score is the mean over its tokens of
 target loss minus background loss: the lower, the more it reads like the target.
 
-Counts run over all texts: a task sums words (then bigrams of vocabulary ids) over blocks
-of its documents and the sums are added by key, so a frequent word leaves a block as one
-row. Words and bigrams enter the model by their share of all tokens, in either corpus, not
-by rank; shares of at least s allow at most 1/s entries a corpus, so the model has a size
-bound at any scale and is broadcast. Discounted mass of a context goes to the unigrams, so
-each context's probabilities add up to one.
+Every word and every bigram of the texts enters the model, which therefore grows with the
+input and is never held in one process: it is tables, a row per bigram and per word. A task
+counts bigrams over blocks of its documents and the sums are added by key, so a frequent
+bigram leaves a block as one row; a bigram's count in the target is summed beside its count
+in all documents. Words are 63-bit hashes in the tables. Discounted mass of a context goes
+to the unigrams, so each context's probabilities add up to one.
+
+Losses are looked up per block: those of the most frequent bigrams (at most HEAD, by proof)
+in a broadcast, all others by one shuffle join of the block's distinct bigrams, each with the
+documents it occurs in.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.common import id_text
+from strata.llm.common import id_text, in_parts
 from strata.session import persist_table
 
-#: Least share of the tokens of either corpus: at most 2/share entries each.
-WORD_SHARE, BIGRAM_SHARE = 5e-6, 2e-6
+#: Least share of the tokens of either corpus for a word or bigram to enter; 0: all of them do.
+WORD_SHARE, BIGRAM_SHARE = 0.0, 0.0
 DISCOUNT, ADD = 0.75, 0.5
 #: Tokens counted together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Most bigrams whose losses are broadcast, 32 bytes each.
+HEAD = 1_000_000
+#: Keys of a document's start and of any word outside the vocabulary; hashes of words are not negative.
+START, OTHER = -1, -2
+#: Words with more than 1/HOT of the bigrams are joined in SPLIT parts.
+HOT, SPLIT = 1000, 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -37,159 +46,189 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-@dataclass(frozen=True)
-class Bigrams:
-    """Both models over ids 0..v-1, v (any other word) and v+1 (a document's start)."""
-
-    vocabulary: dict[bytes, int]
-    keys: np.ndarray  # kept bigrams, sorted: context * (v + 2) + word
-    seen: np.ndarray  # (2, keys) log probabilities of the kept bigrams; target, background
-    back: np.ndarray  # (2, v + 2) log mass that a context leaves to the unigrams
-    single: np.ndarray  # (2, v + 1) log unigram probabilities
-
-    @property
-    def v(self) -> int:
-        return len(self.vocabulary)
-
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        get, other = self.vocabulary.get, self.v
-        return np.fromiter((get(w, other) for w in tokens), np.int64, len(tokens))
-
-    def losses(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(2, tokens) losses; starts: where documents begin in ids."""
-        context = np.empty_like(ids)
-        context[1:] = ids[:-1]
-        context[starts] = self.v + 1
-        key = context * (self.v + 2) + ids
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(ids), bool)
-        plain = self.back[:, context] + self.single[:, ids]
-        return -np.where(hit, self.seen[:, at] if len(self.keys) else 0.0, plain)
+class _Ids(dict):
+    """Numbers of a block's words, in order of appearance."""
 
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        return n
 
-def make_model(vocabulary: list[bytes], keys: np.ndarray, counts: np.ndarray, context: np.ndarray, unigram: np.ndarray) -> Bigrams:
-    """counts (2, keys), context (2, v + 2) and unigram (2, v + 1) totals -> the two models."""
-    v = len(vocabulary)
-    single = (unigram + ADD) / (unigram.sum(axis=1, keepdims=True) + ADD * (v + 1))
-    of, word = keys // (v + 2), keys % (v + 2)
-    direct = np.maximum(counts - DISCOUNT, 0) / np.maximum(context[:, of], 1)
-    used = np.stack([np.bincount(of, weights=d, minlength=v + 2) for d in direct])
-    back = np.maximum(1 - used, 1e-12)
-    seen = direct + back[:, of] * single[:, word]
-    return Bigrams({w: i for i, w in enumerate(vocabulary)}, keys, np.log(seen), np.log(back), np.log(single))
 
-
-class _Words:
-    """Counts of the words of a block; the texts themselves are not kept."""
+class Block:
+    """Bigrams of some documents: numbers of their words within the block, 0 for a document's start."""
 
     def __init__(self) -> None:
-        self.counts: Counter[bytes] = Counter()
-        self.n = 0
-
-    def add(self, tokens: list[bytes]) -> None:
-        self.counts.update(tokens)
-        self.n += len(tokens)
-
-    def rows(self) -> list[pa.Array]:
-        return [pa.array(self.counts.keys(), pa.binary()), pa.array(self.counts.values(), pa.int64())]
-
-
-class _Pairs:
-    """Counts of the bigrams of a block, from ids under a vocabulary."""
-
-    def __init__(self, model: Bigrams) -> None:
-        self.model = model
-        self.keys: list[np.ndarray] = []
-        self.n = 0
-
-    def add(self, tokens: list[bytes]) -> None:
-        if tokens:
-            ids = self.model.ids(tokens)
-            self.keys.append(np.append(self.model.v + 1, ids[:-1]) * (self.model.v + 2) + ids)
-            self.n += len(ids)
-
-    def rows(self) -> list[pa.Array]:
-        keys, n = np.unique(np.concatenate(self.keys), return_counts=True)
-        return [pa.array(keys), pa.array(n)]
-
-
-def _tally(docs: DataFrame, block: Callable[[], _Words | _Pairs], key: str) -> DataFrame:
-    """(k, n) summed over all texts; each block of texts is summed by itself first."""
+        self.ids = _Ids({None: 0})
+        self.tokens: list[np.ndarray] = []
+
+    def add(self, text: str | None) -> int:
+        found = words(text)
+        self.tokens.append(np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found)))
+        return len(found)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, document) of each token; a key is context * words + word."""
+        size = [len(t) for t in self.tokens]
+        word = np.concatenate([np.empty(0, np.int64), *self.tokens])
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[(np.cumsum(size) - size)[np.array(size) > 0]] = 0
+        return context * len(self.ids) + word, np.repeat(np.arange(len(size)), size)
+
+    def hashes(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the contexts and words of keys."""
+        of = b"".join(blake2b(w, digest_size=8).digest() for w in self.ids if w is not None)
+        hashed = np.append(START, (np.frombuffer(of, np.uint64) >> 1).astype(np.int64))
+        return hashed[keys // len(self.ids)], hashed[keys % len(self.ids)]
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Block, list[pa.Array]]]:
+    """Blocks of documents with the batches' columns before the last, which is the text."""
+    held, other, n = Block(), [], 0
+
+    def columns() -> list[pa.Array]:
+        return [pa.concat_arrays(parts) for parts in zip(*other)]
+
+    for batch in batches:
+        for b in in_parts(batch):
+            at = 0
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                n += held.add(t.as_py())
+                if n >= BLOCK:
+                    other.append([c.slice(at, i + 1 - at) for c in b.columns[:-1]])
+                    yield held, columns()
+                    held, other, n, at = Block(), [], 0, i + 1
+            if at < b.num_rows:
+                other.append([c.slice(at) for c in b.columns[:-1]])
+    if other:
+        yield held, columns()
+
+
+def count_bigrams(docs: DataFrame) -> DataFrame:
+    """(target, text) -> (c, w, t, b): counts of a context and a word in the target and in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = block()
-        for b in batches:
-            for t in b.column(0):
-                held.add(words(t.as_py()))
-                if held.n >= BLOCK:
-                    yield pa.RecordBatch.from_arrays(held.rows(), names=["k", "n"])
-                    held = block()
-        if held.n:
-            yield pa.RecordBatch.from_arrays(held.rows(), names=["k", "n"])
-
-    return docs.select("text").mapInArrow(run, f"k {key}, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-def fit(target: DataFrame, background: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE, name: str = "xent") -> Bigrams:
-    """target, background: (doc_id, text). Both are read twice."""
-    spark = background.sparkSession
-
-    def both(tally: Callable[[DataFrame], DataFrame], stem: str) -> tuple[DataFrame, list[int]]:
-        t, b = tally(target).toDF("k", "t"), tally(background).toDF("k", "b")
-        got = persist_table(t.join(b, "k", "full").select("k", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("b", F.lit(0)).alias("b")), f"{name}-{stem}")
-        return got, [x or 0 for x in got.agg(F.sum("t"), F.sum("b")).first()]
-
-    def common(rows: DataFrame, total: list[int], share: float) -> list:
-        """At most 2/share rows."""
-        return rows.filter((F.col("t") >= F.greatest(F.lit(share * total[0]), F.lit(1.0))) | (F.col("b") >= F.greatest(F.lit(share * total[1]), F.lit(1.0)))).toArrow()
-
-    counted, total = both(lambda d: _tally(d, _Words, "binary"), "words")
-    kept = common(counted, total, word_share)
-    order = sorted(zip(kept["k"].to_pylist(), kept["t"].to_pylist(), kept["b"].to_pylist()), key=lambda r: (-r[2], r[0]))
-    v = len(order)
-    uni = np.zeros((2, v + 1))
-    uni[:, :v] = np.array([[r[1] for r in order], [r[2] for r in order]], dtype=np.float64).reshape(2, v)
-    uni[:, v] = np.maximum(np.array(total) - uni.sum(axis=1), 0)
-    shell = spark.sparkContext.broadcast(Bigrams({r[0]: i for i, r in enumerate(order)}, np.empty(0, np.int64), np.empty((2, 0)), np.empty((2, 0)), np.empty((2, 0))))
-
-    pairs, total = both(lambda d: _tally(d, lambda: _Pairs(shell.value), "long"), "bigrams")
-    width = v + 2
-    context = np.zeros((2, width))
-    # One row per vocabulary entry at most.
-    for r in pairs.groupBy(F.expr(f"k div {width}").alias("c")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).collect():
-        context[:, r.c] = r.t, r.b
-    kept = common(pairs, total, bigram_share)
-    keys = kept["k"].to_numpy()
-    o = np.argsort(keys)
-    counts = np.stack([kept["t"].to_numpy()[o], kept["b"].to_numpy()[o]]).astype(np.float64)
-    return make_model([r[0] for r in order], keys[o].astype(np.int64), counts, context, uni)
-
-
-def score(docs: DataFrame, model: Bigrams) -> DataFrame:
-    """documents (doc_id, text, ...) -> doc_id, n_tokens, target_loss, background_loss, score: sums of
-    losses in nats, and their difference per token. A text without tokens scores 0."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+        for block, (target,) in _blocks(batches):
+            keys, doc = block.bigrams()
+            keys, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+            t = np.bincount(at, weights=target.to_numpy(zero_copy_only=False)[doc], minlength=len(keys)).astype(np.int64)
+            c, w = block.hashes(keys)
+            yield from in_parts(pa.RecordBatch.from_arrays([pa.array(x) for x in (c, w, t, n)], names=["c", "w", "t", "b"]))
+
+    rows = docs.select("target", "text").mapInArrow(run, "c long, w long, t long, b long")
+    return rows.groupBy("c", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _common(share: float, total: list[int]) -> Column:
+    t, b = (max(share * x, 1.0) for x in total)
+    return (F.col("t") >= t) | (F.col("b") >= b)
+
+
+def _of_words(pairs: DataFrame, stats: DataFrame, key: str, other: str, n: int) -> DataFrame:
+    """pairs with the columns of stats (key, pairs, ...), a row per word; a word of many pairs in parts."""
+    # At most HOT of them.
+    hot = [r[0] for r in stats.filter(F.col("pairs") * HOT > n).select(key).collect()]
+    none = F.lit(0).cast("long")
+    part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(other), F.lit(SPLIT))).otherwise(none)
+    parts = F.when(F.col(key).isin(hot), F.sequence(none, F.lit(SPLIT - 1).cast("long"))).otherwise(F.array(none))
+    return pairs.withColumn("part", part).join(stats.drop("pairs").withColumn("part", F.explode(parts)), [key, "part"]).drop("part")
+
+
+def fit(docs: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE, name: str = "xent") -> tuple[DataFrame, int]:
+    """docs (target, text) -> (c, w, b, lt, lb), the losses in nats of every bigram of the texts by the
+    target and the background model, with its count; and the number of tokens."""
+    raw = pairs = persist_table(count_bigrams(docs), f"{name}-bigrams")
+    total = [x or 0 for x in pairs.agg(F.sum("t"), F.sum("b")).first()]
+    if word_share:
+        seen = pairs.groupBy(F.col("w").alias("k")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        kept = persist_table(seen.filter(_common(word_share, total)).select("k"), f"{name}-words")
+        fold = lambda rows, x: rows.join(kept.select(F.col("k").alias(x), F.lit(True).alias("known")), x, "left").withColumn(
+            f"f{x}", F.when(F.col("known") | (F.col(x) == START), F.col(x)).otherwise(F.lit(OTHER).cast("long"))).drop("known")
+        raw = persist_table(fold(fold(pairs, "c"), "w"), f"{name}-folded")
+        pairs = persist_table(raw.groupBy(F.col("fc").alias("c"), F.col("fw").alias("w")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")), f"{name}-kept")
+    pairs = pairs.withColumn("kept", _common(bigram_share, total))
+    # Counts less the discount; the sums are exact.
+    over = lambda x: F.when(F.col("kept"), F.greatest(F.col(x) - F.lit(DISCOUNT), F.lit(0.0))).otherwise(F.lit(0.0))
+    contexts = persist_table(pairs.groupBy("c").agg(F.count("*").alias("pairs"), *[f(g).alias(a + x) for x in "tb" for f, g, a in (
+        (F.sum, F.col(x), "n"), (F.sum, over(x), "o"))]), f"{name}-contexts")
+    single = persist_table(pairs.groupBy("w").agg(F.count("*").alias("pairs"), F.sum("t").alias("ut"), F.sum("b").alias("ub")), f"{name}-unigrams")
+    n, v = single.agg(F.sum("pairs"), F.count_if(F.col("w") != OTHER)).first()
+    joined = _of_words(_of_words(pairs, contexts, "c", "w", n or 0), single, "w", "c", n or 0)
+
+    def loss(x: str, of: int) -> Column:
+        unigram = (F.col(f"u{x}") + ADD) / (of + ADD * (v + 1))
+        mass = F.greatest(F.col(f"n{x}"), F.lit(1))
+        return -F.log(over(x) / mass + F.greatest(1 - F.col(f"o{x}") / mass, F.lit(1e-12)) * unigram)
+
+    losses = joined.select("c", "w", "b", loss("t", total[0]).alias("lt"), loss("b", total[1]).alias("lb"))
+    if word_share:
+        losses = raw.select("c", "w", "b", "fc", "fw").join(losses.drop("b").withColumnsRenamed({"c": "fc", "w": "fw"}), ["fc", "fw"]).drop("fc", "fw")
+    return losses, total[1]
+
+
+def _mix(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+
+
+def score(docs: DataFrame, losses: DataFrame, tokens: int, head: int = HEAD) -> DataFrame:
+    """docs (row, doc_id, text), row: a number of its own -> doc_id, n_tokens, target_loss, background_loss,
+    score: sums of losses in nats, and their difference per token. A text without tokens scores 0."""
+    # Counts of at least tokens/head are those of head bigrams at most.
+    least = max(2, -(-tokens // head))
+    top = losses.filter(F.col("b") >= least).drop("b").toArrow()
+    top = [top[x].to_numpy() for x in ("c", "w", "lt", "lb")]
+    order = np.argsort(_mix(*top[:2]), kind="stable")
+    held = docs.sparkSession.sparkContext.broadcast((_mix(*top[:2])[order], *(x[order] for x in top)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in batches:
-            size, sums = np.zeros(b.num_rows, np.int64), np.zeros((2, b.num_rows))
-            for i, t in enumerate(b.column(1)):
-                ids = m.ids(words(t.as_py()))
-                size[i] = len(ids)
-                if len(ids):
-                    sums[:, i] = m.losses(ids, np.zeros(1, np.int64)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array((sums[0] - sums[1]) / np.maximum(size, 1))],
-                                             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, name: str = "xent", **shares: float) -> DataFrame:
+        mixed, hc, hw, *hl = held.value
+        for block, (row, doc_id) in _blocks(batches):
+            keys, doc = block.bigrams()
+            keys, of = np.unique(keys, return_inverse=True)
+            c, w = block.hashes(keys)
+            hit, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            if len(mixed):
+                at = np.minimum(np.searchsorted(mixed, _mix(c, w)), len(mixed) - 1)
+                # Where two bigrams have one mixed key, the second is left to the join.
+                hit = (hc[at] == c) & (hw[at] == w)
+            here = hit[of]
+            sums = [np.bincount(doc[here], weights=x[at[of[here]]], minlength=len(row)).astype(np.float64) for x in hl]
+            # A row per document, dealt by its number, with what the head settles.
+            size = pa.array(np.bincount(doc, minlength=len(row)))
+            one = pa.array(np.arange(len(row) + 1, dtype=np.int32))
+            yield from in_parts(pa.RecordBatch.from_arrays(
+                [row, pa.nulls(len(row), pa.int64()), pa.ListArray.from_arrays(one, row), pa.ListArray.from_arrays(one, size), doc_id, *map(pa.array, sums)], names=names))
+            # A row per other bigram with its documents.
+            pair, n = np.unique(of[~here] * len(row) + doc[~here], return_counts=True)
+            if len(pair):
+                first = np.flatnonzero(np.append(True, np.diff(pair // len(row)) > 0))
+                k, start = pair[first] // len(row), pa.array(np.append(first, len(pair)).astype(np.int32))
+                none, zero = pa.nulls(len(k), pa.int64()), pa.array(np.zeros(len(k)))
+                yield from in_parts(pa.RecordBatch.from_arrays(
+                    [pa.array(c[k]), pa.array(w[k]), pa.ListArray.from_arrays(start, row.take(pa.array(pair % len(row)))),
+                     pa.ListArray.from_arrays(start, pa.array(n)), none, zero, zero], names=names))
+
+    names = ["c", "w", "rows", "n", "doc_id", "tl", "bl"]
+    looked = docs.select("row", "doc_id", "text").mapInArrow(run, "c long, w long, rows array<long>, n array<long>, doc_id long, tl double, bl double")
+    found = looked.join(losses.filter(F.col("b") < least).drop("b"), ["c", "w"], "left")
+    each = found.select("w", "doc_id", "tl", "bl", "lt", "lb", F.explode(F.arrays_zip("rows", "n")).alias("d"))
+    whole = F.col("w").isNull()
+    part = lambda s, x: F.sum(F.when(whole, F.col(s)).otherwise(F.col("d.n") * F.col(x)))
+    out = each.groupBy("d.rows").agg(F.max("doc_id").alias("doc_id"), F.sum(F.when(whole, F.col("d.n")).otherwise(0)).alias("n_tokens"),
+                                     part("tl", "lt").alias("target_loss"), part("bl", "lb").alias("background_loss"))
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss",
+                      ((F.col("target_loss") - F.col("background_loss")) / F.greatest("n_tokens", F.lit(1))).alias("score"))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, name: str = "xent", head: int = HEAD, **shares: float) -> DataFrame:
     """Score all documents; the target corpus is the documents whose ids are in ``target_ids``
     (doc_id), the background all documents. An empty target gives a uniform target model."""
-    base = id_text(docs)
     # The ids grow with the corpus: one shuffle join at every size, not a broadcast while they are few.
-    ids = target_ids.select("doc_id").filter("doc_id is not null").distinct().hint("merge")
-    target = persist_table(base.join(ids, "doc_id", "left_semi"), f"{name}-target")
-    return score(docs, fit(target, base, name=name, **shares))
+    # Rows without an id match none; they are dealt by their texts.
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    base = id_text(docs).withColumn("spread", spread)
+    ids = target_ids.select("doc_id").filter("doc_id is not null").distinct().select("doc_id", F.lit(0).cast("long").alias("spread"), F.lit(True).alias("target"))
+    marked = base.join(ids.hint("merge"), ["doc_id", "spread"], "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = persist_table(marked.withColumn("row", F.monotonically_increasing_id()), f"{name}-marked")
+    losses, tokens = fit(marked, name=name, **shares)
+    return score(marked, losses, tokens, head)

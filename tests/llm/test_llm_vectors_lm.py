@@ -166,3 +166,20 @@ def test_scores_odd_rows_and_empty_targets(spark):
     assert all(r.score == 0 for r in rows if r.n_tokens == 0)
     assert xent.cross_entropy_difference(empty(spark), none).count() == 0
     assert xent.cross_entropy_difference(odd(spark), odd(spark).select(F.col("doc_id"))).count() == len(odd_rows())
+
+
+def test_default_model_holds_every_word_and_bigram(spark):
+    """A pair far below any share of the tokens has its own loss, from the broadcast head or from the join."""
+    common = [(i, "a b " * 100_000) for i in range(3)]
+    docs = spark.createDataFrame([*common, (3, "rare pair"), (4, "rare pair"), (5, "pair rare"), (None, "rare a")], "doc_id long, text string")
+    good = docs.filter("doc_id in (0, 3)").select("doc_id")
+    texts = [r.text for r in docs.collect()]
+    tgt = [texts[0], texts[3]]
+    vocabulary = {w for t in texts for w in xent.words(t)}
+    kept = {p for t in texts for p in zip(["<s>", *xent.words(t)], xent.words(t))}
+    models = [plain_model(x, vocabulary, kept)[0] for x in (tgt, texts)]
+    loss = lambda logp, w: -sum(n * logp(*p) for p, n in Counter(zip(["<s>", *w], w)).items())
+    want = sorted((len(w), *(loss(m, w) for m in models)) for w in map(xent.words, texts))
+    for head in (xent.HEAD, 2):
+        got = sorted((r.n_tokens, r.target_loss, r.background_loss) for r in xent.cross_entropy_difference(docs, good, head=head).collect())
+        assert np.allclose(got, want, rtol=1e-9)
