@@ -7,8 +7,9 @@ builds a robust-pruned graph of bounded degree; the adjacency lists of a vertex
 its shards are united. In each shard, greedy searches start from the shard's medoid and
 the vertex itself and go on from every vertex within the range, which is widened by the
 balls' radii. Found pairs of balls are verified in double precision: as a whole where the
-angles leave no doubt, else member by member, in blocks. A bounded sample of vectors is
-then compared with all vectors; if the search missed links, it is repeated with more overlap.
+angles leave no doubt, else member by member, in blocks. A sample of vectors is then compared
+with all vectors outside their balls, since only those links are searched for; while the search
+misses some, it is repeated with more overlap and a wider beam, and at last it fails.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from strata.session import persist_table
 
 THRESHOLD = 0.95
 #: Vertices of a shard, shards a vertex goes to, sample the centres are fitted on, most centres.
-SHARD, OVERLAP, SAMPLE, MAX_CENTRES = 1500, 2, 20_000, 8192
+SHARD, OVERLAP, SAMPLE, MAX_CENTRES = 1500, 4, 20_000, 8192
 #: Out-degree, candidates per vertex, slack of the pruning rule, width of the greedy search.
 DEGREE, CANDIDATES, ALPHA, BEAM = 12, 32, 1.2, 12
-#: Queries of the recall audit, and the recall below which the overlap is doubled.
-AUDIT, ENOUGH = 200, 0.99
+#: Vectors with links beyond their ball that the audit wants, most vectors it draws for them, the mean
+#: recall below which the overlap is doubled, and the searches before the job fails.
+AUDIT, MOST_DRAWN, ENOUGH, TURNS = 200, 12_800, 0.99, 5
 _SLACK = 1e-6
 
 
@@ -173,7 +175,7 @@ def _valid(embeddings: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
     return rows.filter(F.size("v") == dim), dim
 
 
-def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach: float, name: str) -> DataFrame:
+def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach: float, name: str, beam: int = BEAM) -> DataFrame:
     """vertices (vertex, c, r) -> found pairs (a, b), a < b, whose balls may hold linked members."""
     take = min(overlap, len(mid))
 
@@ -201,7 +203,7 @@ def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach:
         medoid = int(np.argmax(x @ x.sum(axis=0)))
         widest, a, b = float(r.max()), [], []
         for i in range(len(ids)):
-            found = range_search(x, graph, list({medoid, i}), x[i], reach + float(r[i]) + widest + _SLACK)
+            found = range_search(x, graph, list({medoid, i}), x[i], reach + float(r[i]) + widest + _SLACK, beam)
             f = np.array(found, np.int64)
             f = f[(f != i) & (_angle(x[f] @ x[i]) <= reach + r[i] + r[f] + _SLACK)]
             a += [int(ids[i])] * len(f)
@@ -245,24 +247,33 @@ def _verify(pairs: DataFrame, vertices: DataFrame, members: DataFrame, dim: int,
     return links.groupBy("rep").agg(F.sum("n").alias("n")), links.select("p", "q").distinct()
 
 
-def audit(embeddings: DataFrame, dim: int, n_links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded sample of vectors (by hash of their id) that were counted;
-    the sample is compared with every vector."""
-    sample = n_links.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).join(embeddings, "vec_id").select("vec_id", "n_links", "u").collect()
-    if not sample:
-        return 1.0
-    q = np.frombuffer(b"".join(bytes(r.u) for r in sample), np.float64).reshape(-1, dim)
-
-    def count(batches):
-        n = np.zeros(len(q), np.int64)
-        for b in batches:
-            if b.num_rows:
-                n += (q @ _matrix(b.column(0), dim).T >= threshold).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(q)), pa.int32()), pa.array(n)], names=["i", "n"])
-
-    true = {r.i: r.n - 1 for r in embeddings.select("u").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    all_ = sum(max(v, 0) for v in true.values())
-    return 1.0 if not all_ else sum(min(r.n_links, max(true[i], 0)) for i, r in enumerate(sample)) / all_
+def audit(members: DataFrame, dim: int, beyond: DataFrame, threshold: float, wanted: int = AUDIT, most: int = MOST_DRAWN) -> float | None:
+    """Mean over vectors of the share of their links beyond their ball that was counted. Vectors are drawn
+    by hash, four times as many while fewer than wanted have such links, and compared with every
+    vector; None: none of the vectors drawn (all, or the most that are) has one."""
+    drawn = members.orderBy(F.xxhash64("rep"), "rep")
+    size = wanted
+    while True:
+        sample = drawn.limit(size).join(beyond, "rep", "left").select("vertex", "u", F.coalesce("n", F.lit(0)).alias("n")).collect()
+        if not sample:
+            return None
+        q = np.frombuffer(b"".join(bytes(r.u) for r in sample), np.float64).reshape(-1, dim)
+        of = np.array([r.vertex for r in sample])
+
+        def count(batches):
+            n = np.zeros(len(q), np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    near = (q @ _matrix(part.column(0), dim).T >= threshold) & (of[:, None] != part.column(1).to_numpy())
+                    n += near @ part.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(q)), pa.int32()), pa.array(n)], names=["i", "n"])
+
+        found = members.select("u", "vertex", "mult").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+        shares = [min(sample[r.i].n, r.n) / r.n for r in found if r.n]
+        if len(shares) >= wanted or len(sample) < size or size >= most:
+            return float(np.mean(shares)) if shares else None
+        size = min(4 * size, most)
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -328,16 +339,19 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: st
     members = persist_table(small.select("rep", "mult", "u", "ball").join(of_ball.select("ball", "vertex"), "ball").drop("ball"), f"{name}-members")
     vertices = persist_table(of_ball.groupBy("vertex").agg(F.first("c").alias("c"), F.max("r").alias("r")).join(
         members.groupBy("vertex").agg(F.sum("mult").alias("weight")), "vertex"), f"{name}-vertices")
-    for turn in range(3):
-        pairs = _search(vertices, mid, dim, overlap << turn, reach, name)
+    for turn in range(TURNS):
+        pairs = _search(vertices, mid, dim, overlap << turn, reach, name, BEAM << turn)
         beyond, edges = _verify(pairs, vertices, members, dim, threshold, reach, name)
-        counted = (members.join(vertices.select("vertex", "weight"), "vertex").join(beyond, "rep", "left")
-                   .select("rep", "vertex", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
-        comp = components(edges.toDF("a", "b"), name)
-        per_vector = (valid.join(classes.select("u", "rep"), "u").join(counted, "rep").join(comp.toDF("vertex", "c"), "vertex", "left")
-                      .select("vec_id", "n_links", F.coalesce("c", "vertex").alias("component_id")))
-        per_vector = persist_table(per_vector, f"{name}-result")
-        if audit(valid, dim, per_vector.select("vec_id", "n_links"), threshold) >= ENOUGH or (overlap << turn) >= len(mid):
+        recall = audit(members, dim, beyond, threshold)
+        if recall is None or recall >= ENOUGH:
             break
+    else:
+        raise RuntimeError(f"{name}: the search finds {recall:.4f} of a vector's links beyond its ball, less than {ENOUGH}, at overlap {overlap << turn}")
+    counted = (members.join(vertices.select("vertex", "weight"), "vertex").join(beyond, "rep", "left")
+               .select("rep", "vertex", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    comp = components(edges.toDF("a", "b"), name)
+    per_vector = (valid.join(classes.select("u", "rep"), "u").join(counted, "rep").join(comp.toDF("vertex", "c"), "vertex", "left")
+                  .select("vec_id", "n_links", F.coalesce("c", "vertex").alias("component_id")))
+    per_vector = persist_table(per_vector, f"{name}-result")
     out = ids.join(per_vector, "vec_id", "left").select("vec_id", F.coalesce("n_links", empty).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from fixtures_llm import SF, documents, empty, odd, odd_rows
 from pyspark.sql import functions as F
 
@@ -66,6 +67,18 @@ def test_vectors_dense_chained_and_copied(spark):
     assert np.mean([got[i] == want[i] for i in want]) >= 0.99
 
 
+def test_lost_links_beside_a_hot_group_are_noticed(spark, monkeypatch):
+    """A third of the vectors in one ball: its certain links must not hide that the search finds nothing."""
+    rng = np.random.default_rng(3)
+    hot, arcs = rng.normal(size=24), [np.linalg.qr(rng.normal(size=(24, 2)))[0].T for _ in range(200)]
+    vectors = [hot + rng.normal(scale=0.002, size=24) for _ in range(300)] + [x * math.cos(0.28 * i) + y * math.sin(0.28 * i) for x, y in arcs for i in range(3)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert sum(w[0] for w in brute(list(enumerate(vectors))).values()) > 300 * 299
+    monkeypatch.setattr(fg, "_search", lambda vertices, *a: vertices.select(F.col("vertex").alias("a"), F.col("vertex").alias("b")).limit(0))
+    with pytest.raises(RuntimeError, match="links beyond its ball"):
+        fg.near_vectors(df)
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 0.0]), (8, []), (9, [1.0, 0.0, 0.0]),
