@@ -33,8 +33,8 @@ MIN_GROUP = 200
 #: Share of a group's rows that the determinant is taken over.
 SUPPORT = 0.6
 STEPS = 3
-#: A clean document passes the limit with probability 1e-12 under the normal model.
-LEVEL = 1 - 1e-12
+#: A clean document fails the limit with probability 1e-4 under the normal model.
+LEVEL = 0.9999
 #: Least spread of each component: below it differences are of no interest, and a share
 #: that is zero in most documents would make the matrix singular.
 FLOORS = (0.10, 0.12, 0.12, 0.08, 0.08, 0.08)

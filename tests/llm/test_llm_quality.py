@@ -56,6 +56,13 @@ def test_rules_reject_junk_and_keep_clean(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.5
 
 
+def test_outliers_are_most_of_the_bad_that_the_base_limits_leave(spark):
+    labels = {x["doc_id"]: x["quality"] for x in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    left = [r for r in QUERIES["op1_mcd_rules"](spark, SF).collect() if r.doc_id in labels and not r.base_failed]
+    kept = {y: [r.kept for r in left if labels[r.doc_id] == y] for y in (0, 1)}
+    assert len(kept[0]) >= 20 and np.mean(kept[0]) <= 0.1 and np.mean(kept[1]) >= 0.99
+
+
 def test_estimate_is_near_a_brute_force_one(spark):
     """One group, a quarter of it far away: centre and scale as from the best of many random starts."""
     rng = np.random.default_rng(5)
