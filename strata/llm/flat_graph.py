@@ -28,6 +28,11 @@ from strata.session import persist_table
 THRESHOLD = 0.95
 #: Vertices of a shard, shards a vertex goes to, sample the centres are fitted on, most centres.
 SHARD, OVERLAP, SAMPLE, MAX_CENTRES = 1500, 4, 20_000, 8192
+#: Shards of more vertices than WIDE are split by centres of their own, fitted on about SPLIT_SAMPLE of their
+#: vertices; a vertex goes to the nearest SPLIT_OVERLAP of those.
+WIDE, SPLIT_SAMPLE, SPLIT_OVERLAP = 12_000, 2000, 2
+#: Members of each of two balls compared in one group.
+PIECE = 4096
 #: Out-degree, candidates per vertex, slack of the pruning rule, width of the greedy search.
 DEGREE, CANDIDATES, ALPHA, BEAM = 12, 32, 1.2, 12
 #: Vectors with links beyond their ball that the audit wants, most vectors it draws for them, the mean
@@ -175,7 +180,27 @@ def _valid(embeddings: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
     return rows.filter(F.size("v") == dim), dim
 
 
-def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach: float, name: str, beam: int = BEAM) -> DataFrame:
+def _split(dealt: DataFrame, dim: int, wide: int) -> DataFrame:
+    """dealt (vertex, c, r, turn, shard) with sub: the part of the shard, several rows a vertex in a split shard."""
+    sizes = dealt.groupBy("shard").count().filter(F.col("count") > wide)
+    drawn = dealt.join(F.broadcast(sizes), "shard").filter(F.pmod(F.xxhash64("vertex"), F.ceil(F.col("count") / SPLIT_SAMPLE)) == 0)
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, n = _matrix(t.sort_by("vertex")["c"], dim), t["count"][0].as_py()
+        mid = centres(x, min(max(2, -(-n * 2 * SPLIT_OVERLAP // wide)), len(x)))
+        return pa.table({"shard": t["shard"].slice(0, 1), "mid": pa.array([mid.tobytes()], pa.binary())})
+
+    fitted = drawn.select("shard", "count", "vertex", "c").groupBy("shard").applyInArrow(fit, "shard int, mid binary")
+
+    @F.arrow_udf("array<int>")
+    def nearest(c: pa.Array, mid: pa.Array) -> pa.Array:
+        own = [np.frombuffer(m, np.float64).reshape(-1, dim) @ np.frombuffer(v, np.float64) if m else np.zeros(1) for v, m in zip(c.to_pylist(), mid.to_pylist())]
+        return pa.array([np.argsort(-x, kind="stable")[:SPLIT_OVERLAP].tolist() for x in own], pa.list_(pa.int32()))
+
+    return dealt.join(fitted, "shard", "left").select("vertex", "c", "r", "turn", "shard", F.explode(nearest("c", "mid")).alias("sub"))
+
+
+def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach: float, name: str, beam: int = BEAM, wide: int = WIDE) -> DataFrame:
     """vertices (vertex, c, r) -> found pairs (a, b), a < b, whose balls may hold linked members."""
     take = min(overlap, len(mid))
 
@@ -185,14 +210,14 @@ def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach:
         return pa.array(np.argsort(-x, axis=1, kind="stable")[:, :take].tolist(), pa.list_(pa.int32()))
 
     dealt = vertices.select("vertex", "c", "r", F.posexplode(nearest("c")).alias("turn", "shard"))
-    dealt = persist_table(dealt, f"{name}-shards")
+    dealt = persist_table(_split(persist_table(dealt, f"{name}-dealt"), dim, wide), f"{name}-shards")
 
     def build(t: pa.Table) -> pa.Table:
         ids, x = t["vertex"].to_numpy(), _matrix(t["c"], dim)
         graph = build_graph(x)
         return pa.table({"vertex": pa.array(ids), "near": pa.array([ids[row].tolist() for row in graph], pa.list_(pa.int64()))})
 
-    lists = dealt.groupBy("shard").applyInArrow(build, "vertex long, near array<long>")
+    lists = dealt.groupBy("shard", "sub").applyInArrow(build, "vertex long, near array<long>")
     united = lists.groupBy("vertex").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     ready = dealt.join(united, "vertex")
 
@@ -210,14 +235,15 @@ def _search(vertices: DataFrame, mid: np.ndarray, dim: int, overlap: int, reach:
             b += ids[f].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    pairs = ready.groupBy("shard").applyInArrow(search, "a long, b long")
+    pairs = ready.groupBy("shard", "sub").applyInArrow(search, "a long, b long")
     return persist_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-found")
 
 
-def _verify(pairs: DataFrame, vertices: DataFrame, members: DataFrame, dim: int, threshold: float, reach: float, name: str) -> tuple[DataFrame, DataFrame]:
+def _verify(pairs: DataFrame, vertices: DataFrame, members: DataFrame, dim: int, threshold: float, reach: float, name: str, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """(links of members beyond their ball: rep, n), (edges between balls: a, b). Each direction of a
     pair is counted by itself: a member that is surely linked with all or none of the other ball
-    is settled by one angle, the rest are compared with its members."""
+    is settled by one angle. Of the rest, those of one ball are compared with those of the other in
+    pieces of bounded size; members of the other that are surely linked with the whole ball are added."""
     ball = vertices.select("vertex", "c", "r", "weight")
     both = pairs.union(pairs.select("b", "a")).toDF("p", "q")
     rows = (both.join(members.select(F.col("vertex").alias("p"), "rep", "mult", "u"), "p")
@@ -229,7 +255,7 @@ def _verify(pairs: DataFrame, vertices: DataFrame, members: DataFrame, dim: int,
         sure = (a + r <= reach - _SLACK) & (r > 0)
         return pa.array(np.where(a - r > reach + _SLACK, 0, np.where(sure, 1, 2)).astype(np.int32))
 
-    rows = persist_table(rows.withColumn("how", settle("u", "c", "r")).filter("how > 0").select("p", "q", "rep", "u", "weight", "how"), f"{name}-rows")
+    rows = persist_table(rows.withColumn("how", settle("u", "c", "r")).filter("how > 0").select("p", "q", "rep", "mult", "u", "weight", "how"), f"{name}-rows")
     sure = rows.filter("how = 1").select("p", "q", "rep", F.col("weight").alias("n"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,10 +266,20 @@ def _verify(pairs: DataFrame, vertices: DataFrame, members: DataFrame, dim: int,
                 n[i : i + 2048] += (x[i : i + 2048] @ y[j : j + 2048].T >= threshold) @ mult[j : j + 2048]
         return pa.table({"p": left["p"], "q": left["q"], "rep": left["rep"], "n": pa.array(n)})
 
-    open_ = rows.filter("how = 2").select("p", "q", "rep", "u")
-    sides = open_.select("p", "q").distinct().join(members.select(F.col("vertex").alias("q"), "mult", "u"), "q").select("p", "q", "mult", "u").toDF("p", "q", "mult", "u")
-    near = open_.groupBy("p", "q").cogroup(sides.groupBy("p", "q")).applyInArrow(compare, "p long, q long, rep long, n long")
-    links = persist_table(sure.union(near.filter("n > 0")), f"{name}-links")
+    open_ = rows.filter("how = 2")
+    # One row per direction of a pair of balls.
+    whole = rows.filter("how = 1").groupBy(F.col("q").alias("p"), F.col("p").alias("q")).agg(F.sum("mult").alias("n"))
+    some = open_.select("p", "q", "rep").join(whole, ["p", "q"]).select("p", "q", "rep", "n")
+    pieces = persist_table(open_.groupBy("p", "q").agg(F.ceil(F.count("*") / piece).alias("here")), f"{name}-pieces")
+    # Only pairs of balls that both have such members.
+    pieces = pieces.join(pieces.select(F.col("p").alias("q"), F.col("q").alias("p"), F.col("here").alias("there")), ["p", "q"])
+    dealt = open_.join(pieces, ["p", "q"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("here")))
+    dealt = dealt.select("p", "q", "rep", "mult", "u", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("there") - 1)).alias("other"))
+    left = dealt.select("p", "q", "mine", "other", "rep", "u")
+    right = dealt.select("q", "p", "other", "mine", "mult", "u").toDF("p", "q", "mine", "other", "mult", "u")
+    key = ["p", "q", "mine", "other"]
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "p long, q long, rep long, n long")
+    links = persist_table(sure.union(some).union(near.filter("n > 0")), f"{name}-links")
     return links.groupBy("rep").agg(F.sum("n").alias("n")), links.select("p", "q").distinct()
 
 
@@ -277,7 +313,7 @@ def audit(members: DataFrame, dim: int, beyond: DataFrame, threshold: float, wan
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding",
-                 shard: int = SHARD, overlap: int = OVERLAP, name: str = "flat-graph") -> DataFrame:
+                 shard: int = SHARD, overlap: int = OVERLAP, name: str = "flat-graph", piece: int = PIECE, wide: int = WIDE) -> DataFrame:
     """embeddings -> vec_id, n_links, component_id, kept: one row per distinct id and per row without one.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or whose length is not
@@ -340,8 +376,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: st
     vertices = persist_table(of_ball.groupBy("vertex").agg(F.first("c").alias("c"), F.max("r").alias("r")).join(
         members.groupBy("vertex").agg(F.sum("mult").alias("weight")), "vertex"), f"{name}-vertices")
     for turn in range(TURNS):
-        pairs = _search(vertices, mid, dim, overlap << turn, reach, name, BEAM << turn)
-        beyond, edges = _verify(pairs, vertices, members, dim, threshold, reach, name)
+        pairs = _search(vertices, mid, dim, overlap << turn, reach, name, BEAM << turn, wide)
+        beyond, edges = _verify(pairs, vertices, members, dim, threshold, reach, name, piece)
         recall = audit(members, dim, beyond, threshold)
         if recall is None or recall >= ENOUGH:
             break

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from fixtures_llm import SF, documents, empty, odd, odd_rows
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from strata.llm import flat_graph as fg, xent
 from strata.llm.queries import QUERIES
@@ -67,6 +68,41 @@ def test_vectors_dense_chained_and_copied(spark):
     assert np.mean([got[i] == want[i] for i in want]) >= 0.99
 
 
+def test_groups_are_bounded_beside_a_hot_ball(spark, monkeypatch):
+    """Hot ball with satellites 0.2 to 0.3 away: no group holds more than some pieces, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=24)
+    hot /= np.linalg.norm(hot)
+    side = [np.linalg.qr(np.stack([hot, rng.normal(size=24)]).T)[0].T[1] for _ in range(40)]
+    vectors = [hot + rng.normal(scale=0.012, size=24) for _ in range(900)] + [hot * math.cos(a) + s * math.sin(a) for s, a in zip(side, rng.uniform(0.2, 0.36, 40))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    most, apply = spark.sparkContext.accumulator(0), PandasCogroupedOps.applyInArrow
+
+    def watched(self, fn, schema):
+        def run(left, right):
+            if max(left.num_rows, right.num_rows) > 100:
+                most.add(1)
+            return fn(left, right)
+
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", watched)
+    assert result(fg.near_vectors(df, piece=50)) == brute(list(enumerate(vectors)))
+    assert most.value == 0
+
+
+def test_wide_shards_are_split(spark):
+    rows = [(i, fg._units(v[None])[0].tobytes(), 0.0, 0, 0) for i, v in enumerate(np.random.default_rng(6).normal(size=(2000, 8)))]
+    dealt = spark.createDataFrame(rows, "vertex long, c binary, r double, turn int, shard int")
+    parts = fg._split(dealt, 8, 400).groupBy("shard", "sub").count().collect()
+    assert sum(p["count"] for p in parts) == 2000 * fg.SPLIT_OVERLAP and max(p["count"] for p in parts) <= 600
+    assert fg._split(dealt, 8, 2000).groupBy("sub").count().collect() == [(0, 2000)]
+    small = clustered(7, n=600)
+    df = spark.createDataFrame(small, "vec_id long, embedding array<float>")
+    got, want = result(fg.near_vectors(df, shard=400, wide=300)), brute(small)
+    assert set(got) == set(want) and np.mean([got[i] == want[i] for i in want]) >= 0.99
+
+
 def test_lost_links_beside_a_hot_group_are_noticed(spark, monkeypatch):
     """A third of the vectors in one ball: its certain links must not hide that the search finds nothing."""
     rng = np.random.default_rng(3)
