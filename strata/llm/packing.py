@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strata.llm.common import id_text, map_arrow
-from strata.llm.tokens import END_ID, from_json
+from strata.llm.tokens import CLOSE_ID, encode_json
 from strata.session import persist_table
 
 LENGTH = 2048
@@ -45,19 +45,18 @@ def crc32(ids: np.ndarray) -> int:
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """documents -> pieces, each document ended by the end-of-text id: place in the document, length,
+    """documents -> pieces, each document closed by id 0: place in the document, length,
     CRC-32 and (unless told otherwise) the ids themselves.
 
-    A null text is empty: one piece with the end id alone. Repeated rows give repeated pieces.
+    A null text is empty: one piece with the closing id alone. Repeated rows give repeated pieces.
     """
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = from_json(vocabulary)
         rows, ids = [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            x = np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special="all"), np.uint32(END_ID))
+            x = np.append(encode_json(vocabulary, t.as_py() or ""), np.uint32(CLOSE_ID))
             for k, (s, n) in enumerate(cut_points(len(x), length)):
                 rows.append((i, k, s, n, crc32(x[s : s + n])))
             if with_ids:

@@ -6,10 +6,13 @@ import base64
 import functools
 import json
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
 END_TEXT, END_ID = "<|endoftext|>", 50256
+#: The id that closes each document in packed sequences and id files.
+CLOSE_ID = 0
 
 
 def _byte_letters() -> dict[str, int]:
@@ -32,6 +35,22 @@ def from_json(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_TEXT: END_ID})
 
 
+@functools.cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encode_json(path: str, text: str) -> np.ndarray:
+    """The ids of one text. Where tiktoken's pattern engine gives up (a run of some hundred thousand
+    spaces), the tokenizers library encodes the text itself."""
+    try:
+        return from_json(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 @functools.cache
 def rank_table(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:

@@ -62,7 +62,7 @@ def _check(rows, texts):
     tk = Tokenizer.from_file(JSON)
     ids = {}
     for (i, t), e in zip(texts, tk.encode_batch([t or "" for _, t in texts], add_special_tokens=False)):
-        ids.setdefault(i, np.array(e.ids + [50256], "<u4"))
+        ids.setdefault(i, np.array(e.ids + [0], "<u4"))
     bins = defaultdict(list)
     per = defaultdict(list)
     for r in rows:
