@@ -1,33 +1,55 @@
 """Token corrections from a (wrong, right) table.
 
-Texts are split on single spaces (so spacing survives), each token is replaced
-by its correction and the text is rejoined in order: explode, equi-join on the
-token (Spark broadcasts the table when its bytes allow), ordered regroup.
+Texts are split on single spaces (so spacing survives). Each row's distinct tokens meet the
+table, which is broadcast where its size allows; what is found, a short list of pairs for each row
+that has any, goes back to its row, whose text is rewritten in one pass. Rows without a
+correction pass untouched, and no token occurrence is shuffled.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from strata.functions.text import clean_text
+from strata.operators.dims import checked
 
 
-def correct_tokens(df: DataFrame, corrections: DataFrame, text_col: str = "text", id_col: str = "id",
-                   out: str | None = None, clean: bool = True) -> DataFrame:
-    """Clean (optional) then correct ``text_col``; an empty or NULL text is returned as is.
+@F.arrow_udf(StringType())
+def _rewrite(texts: pa.Array, fixes: pa.Array) -> pa.Array:
+    out = []
+    for text, pairs in zip(texts.to_pylist(), fixes.to_pylist()):
+        if text and pairs:
+            right = {p["wrong"]: p["right"] for p in pairs}
+            text = " ".join([right.get(t, t) for t in text.split(" ")])
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def correct_columns(df: DataFrame, corrections: DataFrame, cols: tuple[str, ...], id_col: str = "id", clean: bool = True) -> DataFrame:
+    """Clean (optional) then correct the text columns ``cols``; an empty or NULL text is returned as is.
 
     Rows of ``corrections`` with a NULL are ignored; of several corrections of a token the least
     counts. Rows with one id and different texts, and repeated rows, keep their own texts.
     """
+    if clean:
+        df = df.withColumns({c: clean_text(c) for c in cols})
+    # A row's key: its id and a digest of its texts, since ids may repeat.
+    texts = F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")) for c in cols])
+    df = df.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.md5(texts.cast("binary")).alias("text")))
+    # Repeated rows have one key; their tokens are looked up together.
+    fixes = checked(corrections.filter("wrong is not null and right is not null").groupBy("wrong").agg(F.min("right").alias("right"))
+                    .filter("wrong <> right"))
+    each = F.flatten(F.array(*[F.split(F.coalesce(F.col(c), F.lit("")), " ") for c in cols]))
+    found = (df.select("_key", F.explode(F.array_distinct(each)).alias("wrong")).join(fixes.side(), "wrong")
+             .groupBy("_key").agg(F.collect_set(F.struct("wrong", "right")).alias("_fixes")))
+    joined = df.join(found, "_key", "left")
+    return joined.withColumns({c: F.when(F.col("_fixes").isNull(), F.col(c)).otherwise(_rewrite(F.col(c), F.col("_fixes"))) for c in cols}).drop("_key", "_fixes")
+
+
+def correct_tokens(df: DataFrame, corrections: DataFrame, text_col: str = "text", id_col: str = "id",
+                   out: str | None = None, clean: bool = True) -> DataFrame:
+    """``correct_columns`` for one text column, into ``out`` (the column itself by default)."""
     out = out or text_col
-    src = clean_text(text_col) if clean else F.col(text_col)
-    # A row's key: its id and a digest of its text, since ids may repeat.
-    df = df.withColumn(out, src).withColumn("_key", F.struct(F.col(id_col).alias("id"), F.md5(F.col(out).cast("binary")).alias("text")))
-    fixes = (corrections.filter("wrong is not null and right is not null")
-             .groupBy("wrong").agg(F.min("right").alias("right")))
-    toks = df.select("_key", F.posexplode(F.split(F.col(out), " ")).alias("pos", "wrong"))
-    fixed = toks.join(fixes, "wrong", "left").select("_key", "pos", F.coalesce("right", "wrong").alias("tok"))
-    # collect_set: repeated rows give the same (pos, tok) pairs.
-    joined = (fixed.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("pos", "tok"))).alias("_t"))
-              .select("_key", F.array_join(F.transform("_t", lambda s: s["tok"]), " ").alias("_fixed")))
-    return df.join(joined, "_key", "left").withColumn(out, F.coalesce("_fixed", out)).drop("_fixed", "_key")
+    return correct_columns(df.withColumn(out, F.col(text_col)), corrections, (out,), id_col, clean)

@@ -23,14 +23,16 @@ from strata.operators import metrics as M
 from strata.operators import ranking as R
 from strata.operators import runs as RN
 from strata.operators import scoring as SC
+from strata.operators import spelling as SP
 from strata.operators import split as S
 from strata.operators import training as TR
 from strata.operators import upsample as U
 from strata.operators.dims import derive
+from strata.plans import cleaning as CL
 from strata.plans import sqltext as Q
 from strata.plans.preprocess import preprocess
 from strata.plans.train import train_run
-from strata.session import persist_table, scratch_path
+from strata.session import persist_table, scratch_path, spread
 from strata.sources import delimited as DL
 from strata.sources.corpus import corpus, head, logits
 from strata.sources.tables import table
@@ -55,7 +57,7 @@ def register(name: str, sql: str | None = None):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def base(spark, sf) -> DataFrame:
@@ -737,6 +739,45 @@ def q_correct_tokens(spark, sf):
     return CR.correct_tokens(cleaned, corrections(cleaned), clean=False).select("id", "text")
 
 
+_WORDS_SQL = f"""wn as (select unnest(string_split({Q.clean('text')}, ' ')) as word from documents),
+wc as (select word, count(*) as n from wn where word <> '' group by word)"""
+
+_CANDIDATES_SQL = f"""gap as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as d from (select word, n, unnest(range(0, length(word))) as i from wc)),
+often as (select * from wc where n >= {SP.MIN_COUNT}),
+pairs as (select a.word, b.word as other from gap a join gap b on a.i = b.i and a.d = b.d and a.word <> b.word
+          union select a.word, b.word from gap a join often b on a.d = b.word union select b.word, a.word from gap a join wc b on a.d = b.word where a.n >= {SP.MIN_COUNT}),
+fits as (select w.word, w.n, o.word as other, o.n as other_n from pairs p join wc w on w.word = p.word join often o on o.word = p.other
+         where length(w.word) >= {SP.MIN_LETTERS} and o.n >= {SP.RATIO} * w.n),
+cand as (select word as wrong, arg_min(other, struct_pack(a := -other_n, b := encode(other))) as "right", min(n) as wrong_n, max(other_n) as right_n, count(*) as candidates
+         from fits group by word)"""
+
+
+@register("correction_candidates", f"with {_WORDS_SQL}, {_CANDIDATES_SQL} select * from cand")
+def q_correction_candidates(spark, sf):
+    """Corrections found in the corpus, by a symmetric-delete index."""
+    counts = persist_table(SP.word_counts(doc_texts(spark, sf).select(T.clean_text("text").alias("text"))), "words")
+    return SP.correction_candidates(counts)
+
+
+def _corrected(col: str) -> str:
+    return f"""coalesce((select string_agg(coalesce(f."right", t.tok), ' ' order by t.pos) from (select unnest(string_split({col}, ' ')) as tok, generate_subscripts(string_split({col}, ' '), 1) as pos) t
+    left join cand f on f.wrong = t.tok), {col}) as {col}"""
+
+
+@register("clean_job", f"""with corpus as ({Q.corpus(nulls=True)}),
+cl as (select id, digit_1, digit_2, digit_3, {", ".join(f"{Q.clean(f"coalesce({c}, '')")} as {c}" for c in T.TEXT_COLS)} from corpus),
+wn as (select unnest(string_split(text_obj, ' ') || string_split(text_mthd, ' ') || string_split(text_deal, ' ')) as word from cl),
+wc as (select word, count(*) as n from wn where word <> '' group by word), {_CANDIDATES_SQL}
+select id, digit_1, digit_2, digit_3, {", ".join(_corrected(c) for c in T.TEXT_COLS)} from cl""")
+def q_clean_job(spark, sf):
+    """The cleaning job: delimited text in, three columns cleaned and corrected, both outputs written, one read back."""
+    path = scratch_path(spark, "raw")
+    used = DL.write_delimited(corpus(docs(spark, sf), nulls=True), path, sep="|", encoding=DL.CP949)
+    out = scratch_path(spark, "clean-job")
+    _, used = CL.clean_files(spark, path, out, multi_line=True, read_as=used)
+    return DL.read_delimited(spark, f"{out}.csv", sep=",", encoding=used, multi_line=True)
+
+
 # --- 2.9 training (rows-only checks: fitted models have no SQL twin) ---------------
 
 HIDDEN = 32

@@ -83,6 +83,13 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores. A table of few row groups is read by
+    few tasks, and whatever runs over its texts would keep the other cores idle; one of many is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 TARGET_PARTITION_BYTES = 128 << 20
 
 
