@@ -13,7 +13,8 @@ from strata.functions.hashing import draw
 from strata.operators.dims import Dim, checked, derive, join_dim
 from strata.operators.ranking import digits_for, rank_within, take_ranked
 
-ATTEMPTS = 32
+#: Halvings after which no class lacks a row (class sizes are below 2^HALVINGS).
+HALVINGS = 60
 # Fixed values of the reference's trim rule: start at 1000, lower by 100.
 CUT_START = 1000
 CUT_STEP = 100
@@ -47,8 +48,9 @@ def quotas_random(sizes: Dim, bags: int, total: int, min_cat: int = 2, seed=42,
                   label_col: str = "label") -> Dim:
     """H7 quotas, exactly ``total`` per bag.
 
-    1. q0 uniform in [min(min_cat, n), n] from a hashed draw; the lowest of 32
-       attempts whose sum reaches ``total`` is used (else q0 = n).
+    1. q0 uniform in [min(min_cat, n), n] from a hashed draw. Where a bag's quotas do not reach
+       ``total``, what each class lacks to n is halved (rounding down) as often as the sum
+       needs; no draw is repeated or given up.
     2. cut = the largest of 1000, 900, ..., 0 with sum(q0 < cut) <= total.
     3. Classes under the cut keep q0; the others share the rest in proportion
        to q0 (floor, then +1 by largest remainder, lowest label first).
@@ -57,14 +59,11 @@ def quotas_random(sizes: Dim, bags: int, total: int, min_cat: int = 2, seed=42,
         raise ValueError(f"total {total} is larger than the {_total(sizes)} rows available")
     n = F.col("n")
     lo = F.least(F.lit(min_cat).cast("bigint"), n)
-    cand = (_bags(sizes, bags).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
-            .withColumn("q0", lo + F.pmod(draw(seed, F.col("bag"), F.col(label_col), F.col("attempt")), n - lo + 1)))
-    chosen = (cand.groupBy("bag", "attempt").agg(F.sum("q0").alias("s"))
-              .filter(F.col("s") >= total).groupBy("bag").agg(F.min("attempt").alias("attempt")))
-    drawn = cand.join(chosen, ["bag", "attempt"]).select("bag", label_col, "q0")
-    fallback = (_bags(sizes, bags).join(chosen, "bag", "left_anti")
-                .select("bag", label_col, n.alias("q0")))
-    q = drawn.unionByName(fallback)
+    drawn = _bags(sizes, bags).withColumn("_lack", n - lo - F.pmod(draw(seed, F.col("bag"), F.col(label_col)), n - lo + 1))
+    tried = drawn.withColumn("halved", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))))
+    needed = (tried.groupBy("bag", "halved").agg(F.sum(n - F.expr("shiftright(_lack, halved)")).alias("s"))
+              .filter(F.col("s") >= total).groupBy("bag").agg(F.min("halved").alias("halved")))
+    q = drawn.join(needed, "bag").select("bag", label_col, (n - F.expr("shiftright(_lack, halved)")).alias("q0"))
     cuts = F.array(*[F.lit(c) for c in range(CUT_START, -1, -CUT_STEP)])
     cut = (q.withColumn("c", F.explode(cuts))
            .groupBy("bag", "c").agg(F.sum(F.when(F.col("q0") < F.col("c"), F.col("q0")).otherwise(0)).alias("sc"))

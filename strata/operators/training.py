@@ -3,7 +3,7 @@
 I1/I2 are ``pyspark.ml`` estimators. I3 trains a linear head under the focal
 loss by full-batch gradient descent: each step broadcasts W (C x D, bounded),
 every partition returns its partial gradient from ``mapInPandas`` (numpy on
-an Arrow batch), and one aggregate sums them; the driver holds only W.
+an Arrow batch), and one aggregate sums them by place; the driver holds only W.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, IDF
@@ -123,20 +122,22 @@ def _focal_grad_fn(w_b, num_classes: int, dims: int, alpha: float, gamma: float,
     return grads
 
 
-def _add(t: pa.Table) -> pa.Table:
-    rows = np.asarray(t["g"].combine_chunks().flatten(), dtype=np.float64).reshape(len(t), -1)
-    return pa.table({"c": t["c"][:1], "g": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))})
-
-
-def focal_gradient(train: DataFrame, weights: np.ndarray, bias: np.ndarray, alpha: float = FOCAL_ALPHA,
+def gradient_cells(train: DataFrame, weights: np.ndarray, bias: np.ndarray, alpha: float = FOCAL_ALPHA,
                    gamma: float = FOCAL_GAMMA, x_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(c, g): summed gradients of a linear head at these weights, per class C x (D + 1), and for
-    c = C [sum of losses, rows]. Partitions sum their rows, the cluster adds the partitions' sums."""
+    """(c, i, v): summed gradients of a linear head at these weights, cell by cell of C x (D + 1), and for
+    c = C the sum of losses and the rows. Partitions sum their rows, the cluster adds the partitions' sums
+    place by place in a hash aggregate: no group is held, and rows combine before the shuffle."""
     spark = train.sparkSession
     num_classes, dims = weights.shape
     w_b = spark.sparkContext.broadcast((weights, bias))
     parts = train.select(x_col, label_col).mapInPandas(_focal_grad_fn(w_b, num_classes, dims, alpha, gamma, x_col, label_col), "c int, g array<double>")
-    return parts.groupBy("c").applyInArrow(_add, "c int, g array<double>")
+    return parts.select("c", F.posexplode("g").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"))
+
+
+def focal_gradient(train: DataFrame, weights: np.ndarray, bias: np.ndarray, **kwargs) -> DataFrame:
+    """(c, g): the cells of ``gradient_cells`` as one array per class."""
+    cells = gradient_cells(train, weights, bias, **kwargs)
+    return cells.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("g"))
 
 
 def train_focal(train: DataFrame, num_classes: int, dims: int, steps: int = 30, lr: float = 2.0,
@@ -152,11 +153,17 @@ def train_focal(train: DataFrame, num_classes: int, dims: int, steps: int = 30,
     history = []
     try:
         for step in range(steps):
-            got = {r["c"]: np.asarray(r["g"]) for r in focal_gradient(data, w, b, alpha, gamma, x_col, label_col).collect()}
-            loss, n = got[num_classes]
+            g = np.zeros((num_classes, dims + 1))
+            loss, n = 0.0, 0.0
+            for c, i, v in gradient_cells(data, w, b, alpha, gamma, x_col, label_col).collect():
+                if c < num_classes:
+                    g[c, i] = v
+                elif i == 0:
+                    loss = v
+                else:
+                    n = v
             n = max(n, 1.0)
             history.append((step, float(loss) / n))
-            g = np.stack([got[c] for c in range(num_classes)])
             w = w - lr * g[:, :dims] / n
             b = b - lr * g[:, dims] / n
     finally:

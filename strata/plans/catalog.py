@@ -370,12 +370,10 @@ _SAME_Q = f"""quota as (select bag, label, cast(case when n <= {MIN_CAT} then n
    floor((cast(total as double) / big_n) * n + ({MIN_CAT} - {MIN_CAT} * (cast(total as double) / big_n))) end as bigint) as k
    from bags, tot)"""
 
-_RANDOM_Q = f"""cand as (select bag, label, n, attempt, least({MIN_CAT}, n) + ({Q.h(Q.lit(str(SEED)), 'bag', 'label', 'attempt')} % (n - least({MIN_CAT}, n) + 1)) as q0
-         from bags, unnest(range(0, {B.ATTEMPTS})) as a(attempt)),
-chosen as (select bag, min(attempt) as attempt from (select bag, attempt, sum(q0) as s from cand group by bag, attempt) x, tot
+_RANDOM_Q = f"""cand as (select bag, label, n, n - least({MIN_CAT}, n) - ({Q.h(Q.lit(str(SEED)), 'bag', 'label')} % (n - least({MIN_CAT}, n) + 1)) as lack from bags),
+needed as (select bag, min(halved) as halved from (select bag, halved, sum(n - (lack >> halved)) as s from cand, unnest(range(0, {B.HALVINGS} + 1)) as u(halved) group by bag, halved) x, tot
            where s >= total group by bag),
-q as (select c.bag, c.label, c.q0 from cand c join chosen using (bag, attempt)
-      union all select b.bag, b.label, b.n as q0 from bags b where b.bag not in (select bag from chosen)),
+q as (select c.bag, c.label, c.n - (c.lack >> halved) as q0 from cand c join needed using (bag)),
 cuts as (select bag, max(c) as cut from (select bag, c, sum(case when q0 < c then q0 else 0 end) as sc
          from q, unnest(range({B.CUT_START}, -1, -{B.CUT_STEP})) as u(c) group by bag, c) x, tot where sc <= total group by bag),
 qb as (select q.*, q0 >= cut as big from q join cuts using (bag)),
