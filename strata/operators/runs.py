@@ -83,9 +83,3 @@ def batches(df: DataFrame, n_rows: int, batch_size: int = 16, seed=42, id_col: s
     nb = max(1, math.ceil(n_rows / batch_size))
     return df.withColumn("batch_id", F.pmod(draw(seed, F.col(id_col)), F.lit(nb)).cast("bigint"))
 
-
-def shuffled_export(df: DataFrame, path: str, partitions: int, seed=42, id_col: str = "id") -> None:
-    """F4 (export): rows in a seeded random order, spread over ``partitions`` files."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    (df.withColumn("_k", key).repartition(partitions, "_k").sortWithinPartitions("_k").drop("_k")
-     .write.mode("overwrite").parquet(path))

@@ -104,9 +104,9 @@ sm as (select id, label, z, {softmax_of('z')} as p, cast(list_position(z, list_m
 
 
 def descent_ctes(name: str, rows: str, steps: int, lr: float, gamma: float, start: str | None = None,
-                 num_classes: int = 10, dims: int = 64, eps: float = 1e-9) -> str:
+                 num_classes: int = 10, dims: int = 64, eps: float = 1e-9, l2: float = 0.0) -> str:
     """{name}0 .. {name}{steps}: (w, b) after each full-batch step of the focal loss (gamma 0: cross
-    entropy) on ``rows`` (x, label); starts from zeros or from the CTE ``start``."""
+    entropy, plus l2/2 of all squared parameters) on ``rows`` (x, label); starts from zeros or from the CTE ``start``."""
     zero = f"select {matrix([[0.0] * dims] * num_classes)} as w, cast({[0.0] * num_classes} as double[]) as b"
     out = [f"{name}0 as materialized ({f'select w, b from {start}' if start else zero})"]
     g = lit(float(gamma))
@@ -117,8 +117,8 @@ def descent_ctes(name: str, rows: str, steps: int, lr: float, gamma: float, star
 {w}_d as materialized (select x, label, list_transform(range(0, {num_classes}), lambda c: ({d_u}) * u * (cast(c = label as int) - p[c + 1])) as dz from (select *, p[label + 1] as u from {w}_p)),
 {w}_g as materialized (select c, list(g order by d) as gw from (select c, d, sum(dz[c + 1] * x[d]) as g from {w}_d, unnest(range(0, {num_classes})) as a(c), unnest(range(1, {dims} + 1)) as e(d) group by c, d) group by c),
 {w}_b as materialized (select c, sum(dz[c + 1]) as gb from {w}_d, unnest(range(0, {num_classes})) as a(c) group by c),
-{name}{k + 1} as materialized (select list(list_transform(range(1, {dims} + 1), lambda d: w[c + 1][d] - {lit(float(lr))} * gw[d] / n) order by c) as w,
-   list(b[c + 1] - {lit(float(lr))} * gb / n order by c) as b from {w}_g join {w}_b using (c), {w}, (select count(*) as n from {rows}))""")
+{name}{k + 1} as materialized (select list(list_transform(range(1, {dims} + 1), lambda d: w[c + 1][d] - {lit(float(lr))} * (gw[d] / n + {lit(float(l2))} * w[c + 1][d])) order by c) as w,
+   list(b[c + 1] - {lit(float(lr))} * (gb / n + {lit(float(l2))} * b[c + 1]) order by c) as b from {w}_g join {w}_b using (c), {w}, (select count(*) as n from {rows}))""")
     return ",\n".join(out)
 
 
@@ -141,3 +141,60 @@ def encode_cte(name: str, voc: str, tok_sql: str, max_len: int) -> str:
 {name} as (select t.id, coalesce(len(l.ids), 0) as valid_length,
            array_to_string(list_resize(coalesce(l.ids, []), {max_len}, 0), ',') as ids
            from {name}_t t left join {name}_l l using (id))"""
+
+
+def permuted(row: str, n: str, seed, rounds: int) -> str:
+    """The place of row number ``row`` of ``n`` in the shuffled order (see operators.permute)."""
+    k = f"(cast('0x' || substr(md5('{seed}:' || r), 1, 15) as bigint) % {n})"
+    other = f"((({k} - x) % {n} + {n}) % {n})"
+    return (f"list_reduce(cast(range(0, {rounds}) as bigint[]), lambda x, r: case when cast('0x' || substr(md5('{seed}:' || r || ':' || greatest(x, {other})), 1, 1) as int) % 2 = 1 "
+            f"then {other} else x end, cast({row} as bigint))")
+
+
+def _sum_outer(rows: str, a: str, i: int, b: str, j: int) -> str:
+    """The sum over rows of a b^T, as a list of lists."""
+    return (f"(select list(g order by i) from (select i, list(g order by j) as g from (select i, j, sum({a}[i] * {b}[j]) as g from {rows}, unnest(range(1, {i + 1})) as p(i), "
+            f"unnest(range(1, {j + 1})) as q(j) group by i, j) group by i))")
+
+
+def _sum_of(rows: str, a: str, i: int, fn: str = "sum") -> str:
+    return f"(select list(g order by i) from (select i, {fn}({a}[i]) as g from {rows}, unnest(range(1, {i + 1})) as p(i) group by i))"
+
+
+def relu_ctes(name: str, rows: str, start: dict[str, list], steps: int, lr: float, dropout: float, seed, dims: int, hidden: int, num_classes: int, eps: float = 1e-5) -> str:
+    """{name}0 .. {name}{steps}: (w1, b1, gain, shift, w2, b2) of a head of one hidden layer (dropout, linear, batch
+    normalization, ReLU, dropout, linear) after each full-batch step on ``rows`` (id, label, x)."""
+    cut = int(dropout * 256)
+    keep = lit(256 / (256 - cut))
+
+    def mask(step: int, layer: int, units: int) -> str:
+        byte = f"cast('0x' || substr(md5('{seed}:{step}:{layer}:' || id || ':' || (j // 16)), 1 + 2 * (j % 16), 2) as int)"
+        return f"list_transform(range(0, {units}), lambda j: case when {byte} < {cut} then 0.0 else {keep} end)"
+
+    each = lambda n, e: f"list_transform(range(1, {n + 1}), lambda h: {e})"
+    move = lambda what, g: f"{what} - {lit(float(lr))} * {g} / n"
+    out = [f"{name}0 as materialized (select {matrix(start['w1'])} as w1, {lit_list(start['b1'])} as b1, {lit_list(start['gain'])} as gain, {lit_list(start['shift'])} as shift, "
+           f"{matrix(start['w2'])} as w2, {lit_list(start['b2'])} as b2)"]
+    for k in range(steps):
+        s = f"{name}{k}"
+        out.append(f"""{s}_a as materialized (select id, label, {each(dims, "x[h] * m[h]")} as x, {mask(k, 1, hidden)} as m2 from (select *, {mask(k, 0, dims)} as m from {rows})),
+{s}_z as materialized (select a.*, {each(hidden, "list_inner_product(x, w1[h]) + b1[h]")} as z from {s}_a a, {s}),
+{s}_m as materialized (select {_sum_of(f"{s}_z", "z", hidden, "avg")} as mu, {_sum_of(f"{s}_z", "z", hidden, "var_pop")} as va, (select count(*) from {s}_z) as n),
+{s}_h as materialized (select id, label, x, m2, {each(hidden, f"(z[h] - mu[h]) / sqrt(va[h] + {lit(eps)})")} as hat from {s}_z, {s}_m),
+{s}_o as materialized (select h.*, {each(hidden, "hat[h] * gain[h] + shift[h]")} as o from {s}_h h, {s}),
+{s}_r as materialized (select *, {each(hidden, "greatest(o[h], 0.0) * m2[h]")} as r from {s}_o),
+{s}_p as materialized (select t.*, {softmax_of('z2')} as p from (select q.*, {scores_of('r', 'w2', num_classes, 1.0, 'b2')} as z2 from {s}_r q, {s}) t),
+{s}_d as materialized (select id, x, r, m2, hat, o, list_transform(range(0, {num_classes}), lambda c: p[c + 1] - cast(c = label as int)) as dz from {s}_p),
+{s}_y as materialized (select d.*, {each(hidden, "list_sum(list_transform(range(1, " + str(num_classes + 1) + "), lambda c: dz[c] * w2[c][h])) * m2[h] * cast(o[h] > 0 as int)")} as dy from {s}_d d, {s}),
+{s}_t as materialized (select *, {each(hidden, "dy[h] * hat[h]")} as dyh from {s}_y),
+{s}_s as materialized (select {_sum_of(f"{s}_t", "dy", hidden)} as s1, {_sum_of(f"{s}_t", "dyh", hidden)} as s2),
+{s}_i as materialized (select x, {each(hidden, f"gain[h] / sqrt(va[h] + {lit(eps)}) * (dy[h] - s1[h] / n - hat[h] * s2[h] / n)")} as dz1 from {s}_t, {s}_m, {s}_s, {s}),
+{s}_g as materialized (select {_sum_outer(f"{s}_i", "dz1", hidden, "x", dims)} as g1, {_sum_of(f"{s}_i", "dz1", hidden)} as c1, {_sum_outer(f"{s}_d", "dz", num_classes, "r", hidden)} as g2, {_sum_of(f"{s}_d", "dz", num_classes)} as c2),
+{name}{k + 1} as materialized (select {each(hidden, f"list_transform(range(1, {dims + 1}), lambda d: {move('w1[h][d]', 'g1[h][d]')})")} as w1, {each(hidden, move('b1[h]', 'c1[h]'))} as b1,
+   {each(hidden, move('gain[h]', 's2[h]'))} as gain, {each(hidden, move('shift[h]', 's1[h]'))} as shift,
+   {each(num_classes, f"list_transform(range(1, {hidden + 1}), lambda d: {move('w2[h][d]', 'g2[h][d]')})")} as w2, {each(num_classes, move('b2[h]', 'c2[h]'))} as b2 from {s}, {s}_g, {s}_s, {s}_m)""")
+    return ",\n".join(out)
+
+
+def lit_list(v) -> str:
+    return "cast([" + ", ".join(repr(float(x)) for x in v) + "] as double[])"
