@@ -8,6 +8,8 @@ every operator here works on it or on the per-class history, both tiny
 from __future__ import annotations
 
 import math
+import time
+import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -27,14 +29,34 @@ def summary_rows(per_part: DataFrame) -> DataFrame:
     return renamed.groupBy("run_id", "epoch").agg(*aggs)
 
 
+def append_rows(rows: DataFrame, path: str, keys: tuple[str, ...] = ("run_id", "epoch")) -> None:
+    """Append rows to a table, replacing the rows of the same keys: a rerun leaves each key once.
+
+    Rows are written under a name of their own first; what makes them part of the table is the commit
+    written after them, one row per key. A job that dies in between leaves files that no commit names.
+    """
+    spark = rows.sparkSession
+    name = uuid.uuid4().hex
+    rows.withColumn("_part", F.lit(name)).write.parquet(f"{path}/rows/{name}")
+    written = spark.read.parquet(f"{path}/rows/{name}").select(*keys, "_part").distinct()
+    written.withColumn("_at", F.lit(time.time_ns())).coalesce(1).write.parquet(f"{path}/commits/{name}")
+
+
+def read_rows(spark, path: str, keys: tuple[str, ...] = ("run_id", "epoch")) -> DataFrame:
+    """The rows that the last commit of each key names."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    last = reader.parquet(f"{path}/commits").groupBy(*keys).agg(F.max(F.struct("_at", "_part")).alias("_last")).select(*keys, "_last._part")
+    return reader.parquet(f"{path}/rows").join(last, [*keys, "_part"]).drop("_part")
+
+
 def append_summary(rows: DataFrame, path: str) -> None:
-    """A5: append epochs to the run table, partitioned by run."""
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
+    """A5: append epochs to the run table; a rerun of an epoch replaces it."""
+    append_rows(rows, path)
 
 
 def read_summary(spark, path: str) -> DataFrame:
     """Read the run table back."""
-    return spark.read.parquet(path)
+    return read_rows(spark, path)
 
 
 def best_epoch(summary: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from strata.plans.preprocess import preprocess
 from strata.plans.train import train_run
 from strata.session import persist_table, scratch_path, spread
 from strata.sources import delimited as DL
+from strata.sources import records as RC
 from strata.sources.corpus import corpus, head, logits
 from strata.sources.tables import table
 from strata.streaming import jobs as ST
@@ -310,16 +311,14 @@ def q_preprocess(spark, sf):
 
 def _clean_preprocess_sql(up: str, level_code: str | None = None) -> str:
     """The same pipeline with a cleaning function, another upsampling and another code level."""
-    head, tail = up.split(f"\n{_ORIG}\nunion all\n", 1)
+    head, _, rows = up.partition("\nselect label, id,")
     clean = ", ".join(f"{Q.clean(c)} as {c}" for c in T.TEXT_COLS)
     head = head.replace("dedup as (select", f"raw as (select * from corpus),\ncleaned as (select id, digit_1, digit_2, digit_3, {clean} from raw),\ndedup as (select", 1)
     head = head.replace(f"from corpus group by {Q.KEYS}", f"from cleaned group by {Q.KEYS}", 1)
     if level_code:
         head = head.replace(f"{Q.code()} as digit from dedup", f"{level_code} as digit from dedup", 1)
     return f"""{head},
-up as ({_ORIG}
-union all
-{tail})
+up as (select label, id,{rows})
 select 'train' as part, label, id, copy, slot, concat_ws(' ', {Q.TEXTS}) as text from up
 union all
 select 'test' as part, label, id, 0 as copy, -1 as slot, concat_ws(' ', {Q.TEXTS}) as text
@@ -342,6 +341,18 @@ def q_preprocess_medium(spark, sf):
     return _variant(spark, sf, upsample="random", level="M")
 
 
+@register("preprocess_uniform", _clean_preprocess_sql(_uniform_sql(MINIMUM), "coalesce(digit_1, '')"))
+def q_preprocess_uniform(spark, sf):
+    """Level L: the large code alone is the class; uniform upsampling."""
+    return _variant(spark, sf, upsample="uniform", level="L")
+
+
+@register("preprocess_plain", f"with {Q.base_ctes(SEED, TEST_RATIO)} select part, label, id, 0 as copy, -1 as slot, concat_ws(' ', {Q.TEXTS}) as text from split")
+def q_preprocess_plain(spark, sf):
+    """No upsampling."""
+    return preprocess(corpus(docs(spark, sf)), test_ratio=TEST_RATIO, seed=SEED).rows
+
+
 # --- 2.8 bagging ---------------------------------------------------------------
 
 BAGS = 3
@@ -588,6 +599,27 @@ def q_encode_multi(spark, sf):
                     F.array_join("char.input_ids", ",").alias("char_ids"))
 
 
+def _special_sql() -> str:
+    return f"""with {Q.vocab_cte('voc', Q.tokens('text'))}, corpus as ({Q.corpus()}),
+tok as (select id, unnest([1, 2]) as seg, unnest([{Q.tokens('text_obj')}, {Q.tokens('text_mthd')}]) as t from corpus),
+pos as (select id, seg, generate_subscripts(t, 1) as pos, unnest(t) as token from tok),
+ids as (select id, seg, list(coalesce(v.token_id + 2, {FT.UNK_ID}) order by pos) as x from pos left join voc v using (token) group by id, seg),
+two as (select c.id, coalesce(a.x, [])[1:{MAX_LEN - 3}] as a, coalesce(b.x, []) as b from corpus c left join ids a on a.id = c.id and a.seg = 1 left join ids b on b.id = c.id and b.seg = 2),
+cut as (select id, a, b[1:{MAX_LEN - 3} - len(a)] as b from two),
+seq as (select id, [{FT.CLS_ID}] || a || [{FT.SEP_ID}] || case when len(b) > 0 then b || [{FT.SEP_ID}] else [] end as x, len(a) + 2 as n1 from cut)
+select id, array_to_string(list_resize(x, {MAX_LEN}, 0), ',') as input_ids, cast(len(x) as int) as valid_length,
+       array_to_string(list_transform(range(1, {MAX_LEN} + 1), lambda i: cast(i > n1 and i <= len(x) as int)), ',') as token_type_ids,
+       array_to_string(list_transform(range(1, {MAX_LEN} + 1), lambda i: cast(i <= len(x) as int)), ',') as attention_mask from seq"""
+
+
+@register("encode_special", _special_sql())
+def q_encode_special(spark, sf):
+    """Two texts with special tokens and type ids."""
+    c = corpus(docs(spark, sf)).select("id", "text_obj", "text_mthd")
+    e = FT.encode_pair(c, FT.vocab(doc_texts(spark, sf)), "text_obj", "text_mthd", max_len=MAX_LEN)
+    return e.select("id", ints("input_ids").alias("input_ids"), "valid_length", ints("token_type_ids").alias("token_type_ids"), ints("attention_mask").alias("attention_mask"))
+
+
 # --- 2.9 scoring, ensembles, votes, export --------------------------------------
 
 DIMS = 64
@@ -691,6 +723,17 @@ def q_read_delimited(spark, sf):
     return DL.read_delimited(spark, path, sep="|", multi_line=True)
 
 
+@register("read_records", _CLEAN_CORPUS_SQL)
+def q_read_records(spark, sf):
+    """Quoted line ends in files that several tasks read: a folder with a file in each charset."""
+    path = scratch_path(spark, "records")
+    rows = clean_corpus(spark, sf)
+    own = DL.write_delimited(rows.filter("id % 2 = 0"), f"{path}/korean", encoding=DL.CP949)
+    DL.write_delimited(rows.filter("id % 2 = 1"), f"{path}/other", encoding=DL.UTF8)
+    read = [RC.read_records(spark, f"{path}/{name}", encoding=used) for name, used in (("korean", own), ("other", DL.UTF8))]
+    return read[0].unionByName(read[1])
+
+
 @register("write_delimited", _CLEAN_CORPUS_SQL)
 def q_write_delimited(spark, sf):
     """The comma/UTF-8 variant of the sink, read back with the declared schema."""
@@ -874,7 +917,7 @@ def summary_frame(spark, sf) -> DataFrame:
 
 
 def stored_summary(spark, sf) -> DataFrame:
-    """A5 then A7: append the epochs to a run table partitioned by run, read it back."""
+    """A5 then A7: append the epochs to a run table, read it back."""
     path = scratch_path(spark, "runs")
     RN.append_summary(summary_frame(spark, sf), path)
     return RN.read_summary(spark, path).select("run_id", "epoch", *RN.SUMMARY_COLS)
@@ -958,8 +1001,8 @@ from lng group by run_id, part, metric, class_id""")
 def q_class_history(spark, sf):
     hist = RN.class_history(class_scores_frame(spark, sf))
     path = scratch_path(spark, "history")
-    hist.write.mode("append").partitionBy("run_id").parquet(path)
-    wide = RN.history_wide(spark.read.parquet(path), list(range(EPOCHS)))
+    RN.append_rows(hist, path)
+    wide = RN.history_wide(RN.read_rows(spark, path), list(range(EPOCHS)))
     return wide.select("run_id", "part", "metric", "class_id", *[r6(F.col(f"epoch_{e}")).alias(f"epoch_{e}") for e in range(EPOCHS)])
 
 

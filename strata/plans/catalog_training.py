@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from strata.operators import heads as H
 from strata.operators import permute as P
 from strata.plans import sqltext as Q
-from strata.plans.catalog import BATCH, C10, DIMS, SEED, codes, register
-from strata.session import scratch_path
+from strata.operators import registry as RG
+from strata.operators import scoring as SC
+from strata.operators import training as TR
+from strata.plans.catalog import BATCH, C10, DIMS, EPOCHS, GAMMAS, PATIENCE, RUN_LR, SEED, _PARTS_SQL, codes, emb_parts, r6, register
+from strata.session import persist_table, scratch_path
+from strata.sources import delimited as DL
 from strata.sources.tables import table
 
 
@@ -124,3 +128,33 @@ def q_train_ice(spark, sf):
     """Mini-batch steps under the batch-weighted loss; SQL has no sequence of steps, tests hold it against a plain loop."""
     w, _ = H.fit_batches(rows(spark, sf), C10, DIMS, ICE_EPOCHS, ICE_ROWS, lr=0.01, seed=SEED)
     return spark.createDataFrame(_cells(w), "cls int, dim int, weight double")
+
+
+# --- A8 + I5: an ensemble from stored experiments -------------------------------------------
+
+_KEPT = sorted(GAMMAS)
+_VERSIONS = {run: EPOCHS - k for k, run in enumerate(_KEPT)}
+
+
+@register("ensemble_registry", f"""with {_PARTS_SQL}, {", ".join(Q.descent_ctes(r, "tr", EPOCHS, RUN_LR, g) for r, g in GAMMAS.items())},
+hm as ({" union all ".join(f"select '{r}' as run_id, w, b from {r}{v}" for r, v in _VERSIONS.items())}),
+mp as (select id, label, {Q.softmax_of('z')} as p from (select e.*, {Q.scores_of('x', 'w', C10, 1.0, 'b')} as z from e, hm)),
+pm as (select id, label, cls, avg(p[cls + 1]) as pmean from mp, unnest(range(0, {C10})) as u(cls) group by id, label, cls)
+select id, label, cast(arg_min(cls, struct_pack(a := -pmean, b := cls)) as int) as pred, round(max(pmean), 6) as p from pm group by id, label""")
+def q_ensemble_registry(spark, sf):
+    """Train runs, store a head per epoch, choose versions in a registry of JSON documents, load its members, vote."""
+    parts = emb_parts(spark, sf)
+    train = persist_table(parts.filter("part = 'train'").select("embedding", "label"), "registry-train")
+    heads, configs = scratch_path(spark, "heads"), scratch_path(spark, "registry")
+    for run, gamma in GAMMAS.items():
+        model = None
+        for version in range(1, EPOCHS + 1):
+            model = TR.train_focal(train, C10, DIMS, steps=1, lr=RUN_LR, gamma=gamma, init=model, cache=False)
+            if version >= EPOCHS - len(GAMMAS):
+                RG.save_head(spark, heads, run, version, model.weights, model.bias)
+    entries = [(run, _VERSIONS[run], True, PATIENCE) for run in _KEPT] + [("dropped", 1, False, PATIENCE)]
+    DL.write_indented_json(spark.createDataFrame(entries, "run_id string, version int, member boolean, patience int"), configs, "run_id")
+    registry = DL.read_table_json(spark, configs, schema="version int, member boolean, patience int, run_id string", multi_line=True)
+    probs = RG.ensemble_probs("embedding", RG.load_members(registry, heads), shard=1)
+    pred, p = SC.vote_soft("probs", C10)
+    return parts.select("id", "label", probs.alias("probs")).select("id", "label", pred.alias("pred"), r6(p).alias("p"))

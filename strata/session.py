@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -36,9 +37,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers import it wherever the job was started
+    and whether or not it is installed there."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        made = shutil.make_archive(os.path.join(folder, "strata"), "zip", os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(made)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only where the master is local."""
     sc = spark.sparkContext

@@ -129,7 +129,7 @@ def test_one_shard_of_batches_equals_a_plain_loop_and_more_shards_lower_the_loss
             v = v - 0.01 * ((p - np.eye(10)[t]) * (own * u / (u + 1e-9))[:, None]).T @ a / len(t)
         seen.append(np.mean(at))
     assert np.abs(w - v).max() < 1e-9 and np.abs(np.array(losses) - seen).max() < 1e-9
-    several, _ = H.fit_batches(CT.rows(spark, SF01), 10, 64, epochs=4, batch_size=64, lr=0.3, shard_batches=3, seed=9)
+    several, _ = H.fit_batches(CT.rows(spark, SF01), 10, 64, epochs=4, batch_size=64, lr=1.0, shard_batches=3, seed=9)
     whole = [H.batch_step(at, x, y, 0.0, present_only=True)[1] for at in (np.zeros((10, 65)), several)]
     assert whole[1] < 0.95 * whole[0], whole
     # Unless only present classes count, those absent from a batch take almost all of the weight.

@@ -60,3 +60,21 @@ def checkpoint_root(spark):
     from strata.session import checkpoint_dir
     path = checkpoint_dir(spark)
     return path[len("file:"):] if path.startswith("file:") else path
+
+
+def test_workers_import_the_package_when_started_elsewhere(tmp_path):
+    """A job started from another folder, without PYTHONPATH: only the driver knows where the package is."""
+    import subprocess
+    import sys
+    from conftest import ROOT
+    job = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
+           "from strata.session import get_spark\n"
+           "spark = get_spark('local[2]', 2)\n"
+           "def run(batches):\n"
+           "    import strata.operators.heads as H\n"
+           "    for b in batches: yield b\n"
+           "run.__module__ = '__main__'\n"
+           "print('rows', spark.range(5).mapInArrow(run, 'id long').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", job], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 5" in done.stdout, done.stderr[-2000:]
