@@ -8,6 +8,7 @@ a temporary folder when that is unset; any other master raises.
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
@@ -42,12 +43,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, so that Python workers import it wherever the job was started
-    and whether or not it is installed there."""
+    """Send this package to the executors (once a context), so that Python workers import it wherever the
+    job was started and whether or not it is installed there."""
+    if any(f.endswith("/strata.zip") for f in spark.sparkContext.listFiles):
+        return
     here = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        made = shutil.make_archive(os.path.join(folder, "strata"), "zip", os.path.dirname(here), os.path.basename(here))
-        spark.sparkContext.addPyFile(made)
+    # Kept while the driver lives: executors fetch it when they start.
+    folder = tempfile.mkdtemp(prefix="strata-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "strata"), "zip", os.path.dirname(here), os.path.basename(here)))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
