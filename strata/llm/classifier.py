@@ -194,5 +194,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, name:
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = persist_table(with_counts(bare).select("doc_id", F.array(*vector()).alias("x")), f"{name}-stats")
     score = scorer(train(stats, labels, name))
-    row = with_counts(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text")))
-    return row.withColumn("_x", F.array(*vector())).filter(score(F.col("_x")) >= threshold).select("_row.*")
+    # Columns go by place, so that no name clashes and a text is held once beside the Python stage.
+    names, place = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    row = with_counts(docs.toDF(*place), place[names.index("text")])
+    kept = row.withColumn("_x", F.array(*vector())).filter(score(F.col("_x")) >= threshold)
+    return kept.select(*[F.col(p).alias(n) for n, p in zip(names, place)])

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating star contraction.
 
 Union-find inside every partition first shrinks a partition's edges to one edge per
-node. Each round then is a large-star and a small-star step, each an aggregate (with map-side combine, so a hub's rows collapse before the shuffle)
+node. Where at most LOCAL_EDGES are left in all, one more pass over them ends the work; otherwise each round is a large-star and a small-star step, each an aggregate (with map-side combine, so a hub's rows collapse before the shuffle)
 and a join. The edge table is written to the shared folder after each round, so
 lineage stays short and a lost executor re-reads files. Nothing is collected.
 """
@@ -17,7 +17,7 @@ from strata.session import persist_table
 
 MAX_ROUNDS = 60
 #: Edges held by one partition's union-find at a time.
-LOCAL_EDGES = 1_000_000
+LOCAL_EDGES = 250_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     of some edge with the smallest id reachable from it."""
     e = (edges.toDF("a", "b").filter("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    e = e.distinct().mapInArrow(_forest, "u long, v long")
+    e = persist_table(e.mapInArrow(_forest, "u long, v long"), name)
+    if e.count() <= LOCAL_EDGES:
+        e = persist_table(e.coalesce(1).mapInArrow(_forest, "u long, v long"), name)
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    e = e.distinct()
     for _ in range(MAX_ROUNDS):
         e = _star(_star(e, True), False).filter("u <> v").distinct()
         e = persist_table(e, name)

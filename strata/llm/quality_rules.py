@@ -214,5 +214,9 @@ def keep_good(docs: DataFrame, name: str = "mcd-stage") -> DataFrame:
     taken again over the texts instead of shuffling the texts to the decisions."""
     bare = docs.select("text", "lang", "source")
     stats = persist_table(with_counts(bare).drop("text"), f"{name}-stats")
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    return judge(with_counts(row), fit(vectors_of(stats), name)).filter("kept").select("_row.*")
+    # Columns go by place, so that no name clashes and a text is held once beside the Python stage.
+    names, place = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(names, place))
+    row = docs.toDF(*place).select("*", *[F.col(of[c]).cast("string").alias(c) for c in ("lang", "source")])
+    kept = judge(with_counts(row, of["text"]), fit(vectors_of(stats), name)).filter("kept")
+    return kept.select(*[F.col(p).alias(n) for n, p in zip(names, place)])

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from strata.llm.common import give_back
+
 # ASCII white space, the symbols counted, and the classes of ASCII characters.
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -62,6 +64,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 @F.arrow_udf(TYPE)
 def text_counts(texts: pa.Array) -> pa.Array:
     rows = [counts(t.as_py()) for t in texts]
+    give_back()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else
                                       [pa.array([], pa.int64()) for _ in FIELDS], names=list(FIELDS))
 
