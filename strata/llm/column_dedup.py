@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from strata.llm.common import id_text
+from strata.llm.common import give_back, id_text
 from strata.llm.shingles import mix64
 from strata.session import persist_table
 
@@ -390,14 +390,31 @@ def digests(docs: DataFrame, name: str = "column-dedup") -> DataFrame:
 def without_repeats(docs: DataFrame, name: str = "column-dedup-stage") -> DataFrame:
     """documents with the repeats taken out of ``text`` (characters that a cut splits go too) and
     ``n_chars``, where there is one, counted anew; other columns and all rows stay."""
-    spans = repeated_spans(docs, name=name)
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("_row")).join(spans, "doc_id", "left")
-    text = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(_decode(_cut(F.col("_row.text").cast("string"), "spans")))
-    row = row.withColumn("_text", text)
+    spans = repeated_spans(docs, name=name).select(F.col("doc_id").alias("_id"), "spans")
+    # Columns go by place, so that no name clashes and a text is held once beside the Python stage.
+    names, place = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(names, place))
+    row = docs.toDF(*place).withColumn("_id", F.col(of["doc_id"]).cast("long")).join(spans, "_id", "left")
+    own = F.col(of["text"]).cast("string")
+    row = row.withColumn("_text", F.when(F.col("spans").isNull(), own).otherwise(_cut_text(own, "spans")))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return row.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return row.select(*[new.get(n, F.col(p)).alias(n) for n, p in zip(names, place)])
 
 
 @F.arrow_udf(StringType())
-def _decode(raw: pa.Array) -> pa.Array:
-    return pa.array([x.as_py().decode("utf-8", "ignore") for x in raw], pa.string())
+def _cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """What the spans (of bytes) leave of each text; a text without any, which is not asked for, is null."""
+    out = []
+    for t, s in zip(texts, spans):
+        t, s = t.as_py() if s.is_valid else None, s.as_py()
+        if t is not None:
+            raw, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
+            for x in s:
+                parts.append(raw[at : x["start"]])
+                at = x["end"]
+            t = b"".join([*parts, raw[at:]]).decode("utf-8", "ignore")
+        out.append(t)
+    done = pa.array(out, pa.string())
+    del out
+    give_back()
+    return done
