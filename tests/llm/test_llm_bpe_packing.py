@@ -106,3 +106,16 @@ def test_every_capacity_binds():
 def test_pieces_carry_their_ids(spark):
     rows = packing.pieces(odd(spark), JSON).collect()
     assert all(r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+
+
+def test_pieces_of_very_long_texts(spark):
+    """White space, one letter and a mixture, each longer than the pattern engine takes in one run."""
+    texts = [" " * 2_000_000, "x" * 400_000, "ab " + "\n " * 700_000 + "é" * 100_000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.pieces(df, JSON).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    tk = Tokenizer.from_file(JSON)
+    for i, t in enumerate(texts):
+        ids = np.array(tk.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        assert sorted(got[i]) == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.cut_points(len(ids))]
