@@ -10,10 +10,12 @@ from strata.plans import sqltext as Q
 from strata.operators import registry as RG
 from strata.operators import scoring as SC
 from strata.operators import training as TR
-from strata.plans.catalog import BATCH, C10, DIMS, EPOCHS, GAMMAS, PATIENCE, RUN_LR, SEED, _PARTS_SQL, codes, emb_parts, r6, register
+from strata.plans.catalog import BATCH, C10, DIMS, EPOCHS, GAMMAS, PATIENCE, RUN_LR, SEED, SQL, _PARTS_SQL, codes, emb_parts, r6, register, stored_summary
 from strata.session import persist_table, scratch_path
 from strata.sources import delimited as DL
 from strata.sources.tables import table
+from strata.streaming import jobs as ST
+from strata.streaming import stateful as SS
 
 
 def rows(spark, sf):
@@ -158,3 +160,22 @@ def q_ensemble_registry(spark, sf):
     probs = RG.ensemble_probs("embedding", RG.load_members(registry, heads), shard=1)
     pred, p = SC.vote_soft("probs", C10)
     return parts.select("id", "label", probs.alias("probs")).select("id", "label", pred.alias("pred"), r6(p).alias("p"))
+
+
+# --- E4, J3: state of one's own -------------------------------------------------------------
+
+@register("stream_early_stop", SQL["early_stop"])
+def q_stream_early_stop(spark, sf):
+    """E4 followed as a stream; the epochs of a run come in files of no order."""
+    path = scratch_path(spark, "epochs")
+    stored_summary(spark, sf).select("run_id", "epoch", "valid_loss").repartition(4, F.xxhash64("run_id", "epoch")).write.parquet(path)
+    out = SS.run_stateful(SS.early_stop_stream(ST.read_stream(spark, path, files_per_batch=2), PATIENCE), "early-stop")
+    return out.select("run_id", F.col("epoch").cast("int").alias("epoch"), "improved", "patience", "stop")
+
+
+@register("stream_dedup_bounded", "select distinct user_id, event_type, date_trunc('day', ts)::timestamp as window_start from events")
+def q_stream_dedup_bounded(spark, sf):
+    """J3 with a watermark: keys once a day of event time; late rows are settled from the sink."""
+    keys = ["user_id", "event_type"]
+    events = ST.read_stream(spark, f"{sf.rstrip('/')}/events.parquet")
+    return SS.settled(SS.run_stateful(SS.dedup_bounded(events, keys, "ts"), "dedup-bounded"), keys).select(*keys, SS.OPENED)

@@ -14,7 +14,7 @@ from strata.functions.arrays import argmax
 from strata.functions.text import TEXT_COLS, clean_columns, join_texts
 from strata.operators.dims import Dim, join_dim
 from strata.operators.labels import level_code
-from strata.session import scratch_path
+from strata.session import drop_table, scratch_path
 from strata.sources.corpus import corpus, logits
 
 
@@ -32,12 +32,34 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return r.parquet(path)
 
 
-def _overwrite_to(path: str):
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole tables under ``path``, by the number of the batch that wrote them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = [f.getPath() for f in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(f.getName().removeprefix("version-")) for f in done if f.getName().startswith("version-"))
+
+
+def _version_to(path: str):
+    """Each batch's table gets a folder of its own; the one before it stays, so a crash at any
+    point leaves a whole table."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/version-{epoch}")
+        for old in _versions(spark, path):
+            if old < epoch - 1:
+                drop_table(spark, f"{path}/version-{old}")
     return write
 
 
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a sink of ``run``: the newest whole table, or all that was appended."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version-{versions[-1]}" if versions else path)
+
+
 def run(stream: DataFrame, name: str, output_mode: str = "append", sink: str | None = None,
         checkpoint: str | None = None) -> DataFrame:
     """Run over what is there now (AvailableNow) into a parquet sink; return the sink. Called again
@@ -48,12 +70,12 @@ def run(stream: DataFrame, name: str, output_mode: str = "append", sink: str | N
     out = sink or scratch_path(spark, f"{name}-out")
     w = stream.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True)
     if output_mode == "complete":
-        # A complete-mode result is the whole table each batch: overwrite it.
-        q = w.outputMode("complete").foreachBatch(_overwrite_to(out)).start()
+        # A complete-mode result is the whole table each batch.
+        q = w.outputMode("complete").foreachBatch(_version_to(out)).start()
     else:
         q = w.outputMode(output_mode).format("parquet").option("path", out).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return read_sink(spark, out)
 
 
 def confusion_stream(scored: DataFrame, num_classes: int, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
