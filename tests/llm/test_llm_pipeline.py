@@ -22,7 +22,7 @@ def test_stages_are_the_dealt_ones_and_registered():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "quality_classifier", "minhash_near_dedup", "suffix_dedup", "best_fit_packing"]
     q = E.queries()
     assert q["pipeline"] is cp.run
-    assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op")) == list(range(1, 14))
 
 
 def test_every_stage_on_its_predecessors_output(spark):
@@ -55,3 +55,10 @@ def test_every_stage_on_its_predecessors_output(spark):
             break
         assert after.columns == columns
         before = after
+
+
+def test_empty_tables_give_no_pieces(spark, tmp_path):
+    for name in ("documents", "labels"):
+        table(spark, SMALL, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
