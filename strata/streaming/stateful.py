@@ -8,15 +8,17 @@ Both run on the RocksDB state store, which ``run_stateful`` sets for the query i
 from __future__ import annotations
 
 import math
+import pickle
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, IntegralType, StructField, StructType, TimestampType
 
 from strata.streaming import jobs as ST
 
@@ -120,46 +122,64 @@ def early_stop_stream(summary: DataFrame, patience: int, first_epoch: int = 0, w
 # --- J3 -----------------------------------------------------------------------------------
 
 OPENED, LATE = "window_start", "late"
+#: The keys of a window are dealt by their hash into at most this many entries of state: a call of
+#: the state function costs a millisecond or more, whether it is for one key or for thousands.
+BUCKETS = 1024
 
 
 def dedup_bounded(events: DataFrame, keys: list[str], time_col: str, window: str = "1 day", delay: str = "1 day",
-                  sweep_ms: int = 600_000) -> DataFrame:
+                  sweep_ms: int = 600_000, buckets: int = BUCKETS) -> DataFrame:
     """J3 with bounded state: the first row of every key in each window of event time.
 
-    A key's entry is looked at every ``sweep_ms`` of processing time and forgotten once the watermark
+    An entry holds the keys of a bucket of a window; it is looked at every ``sweep_ms`` of processing
+    time and forgotten once the watermark
     (the latest time seen, less ``delay``) has passed the end of its window. A row of such a window
     whose key is not known is passed on with ``late`` true instead of being dropped, since whether
     it was seen can no longer be told here; ``settled`` tells it from the sink. Rows without a time
     belong to no window and are left out.
     """
     schema = StructType([*[events.schema[k] for k in keys], StructField(OPENED, TimestampType()), StructField(LATE, BooleanType())])
+    plain = {k: object for k in keys if isinstance(events.schema[k].dataType, (IntegralType, BooleanType))}
     timed = events.select(*keys, F.col(time_col).cast("timestamp").alias("_at")).filter("_at is not null").select("*", F.window("_at", window).alias("_w"))
     opened = timed.select(*keys, F.unix_micros("_w.start").alias("_from"), F.unix_millis("_w.end").alias("_to"), "_at")
     group = [*keys, "_from", "_to"]
 
-    def latest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def latest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            yield p.sort_values("_at", kind="stable").drop_duplicates(group, keep="last")
+            most = pa.Table.from_batches([p]).group_by(group).aggregate([("_at", "max")])
+            yield from most.select([*group, "_at_max"]).rename_columns([*group, "_at"]).to_batches()
 
     def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        over = key[-1] <= state.getCurrentWatermarkMs()
+        _, opens, ends = key
+        over = ends <= state.getCurrentWatermarkMs()
         if state.hasTimedOut:
             state.remove() if over else state.setTimeoutDuration(sweep_ms)
             return
-        seen = state.exists
-        for _ in parts:
-            pass
-        if seen or not over:
-            state.update((True,))
+        seen = pickle.loads(state.get[0]) if state.exists else set()
+        new = []
+        for p in parts:
+            for k in p["_key"]:
+                # A NaN equals itself here, as in a grouping.
+                same = tuple(v if v == v else ... for v in k.values())
+                if same not in seen:
+                    seen.add(same)
+                    new.append(k)
+        if new and not over:
+            state.update((pickle.dumps(seen),))
+        if state.exists:
             state.setTimeoutDuration(sweep_ms)
-        if not seen:
-            yield pd.DataFrame([[*key[:-2], pd.Timestamp(key[-2], unit="us"), over]], columns=schema.names)
+        if new:
+            # Nulls stay None in columns of whole numbers.
+            cols = {k: pd.Series([r[k] for r in new], dtype=plain.get(k)) for k in keys}
+            yield pd.DataFrame({**cols, OPENED: pd.Timestamp(opens, unit="us"), LATE: over})
 
-    # A hot key leaves an Arrow batch as one row, before the shuffle by key; the latest time stays for
+    # A hot key leaves an Arrow batch as one row, before the shuffle by bucket; the latest time stays for
     # the watermark. Timeouts by processing time: by event time Spark itself would drop the late rows.
-    fewer = opened.mapInPandas(latest, opened.schema).withWatermark("_at", delay)
-    return fewer.groupBy(*group).applyInPandasWithState(
-        first, schema, StructType([StructField("seen", BooleanType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    fewer = opened.mapInArrow(latest, opened.schema).withWatermark("_at", delay)
+    # The keys travel as one struct: a single column to convert for each group.
+    dealt = fewer.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), "_from", "_to", F.struct(*keys).alias("_key"), "_at")
+    return dealt.groupBy("_bucket", "_from", "_to").applyInPandasWithState(
+        first, schema, StructType([StructField("seen", BinaryType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def settled(sink: DataFrame, keys: list[str]) -> DataFrame:

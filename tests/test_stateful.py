@@ -118,3 +118,38 @@ def test_a_whole_table_sink_keeps_the_last_whole_version(spark, tmp_path):
     # A batch that died before its end leaves the version before it in place.
     (tmp_path / "sink" / "version-3").mkdir()
     assert ST.read_sink(spark, path).count() == 3
+
+
+def test_state_keeps_the_keys_of_a_window_in_few_entries(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [(u, t, "2024-01-01 12:00:00") for u in range(300) for t in "ab"] + [(None, "a", "2024-01-01 12:00:00")]
+    for k in range(2):
+        _write(_events(spark, rows[k * 300:] + rows[:50]), path)
+    stream = SS.dedup_bounded(ST.read_stream(spark, path, files_per_batch=1), KEYS, "ts", buckets=4)
+    settings = {k: spark.conf.get(k) for k in SS.SETTINGS}
+    try:
+        for k, v in SS.SETTINGS.items():
+            spark.conf.set(k, v)
+        q = (stream.writeStream.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True)
+             .format("parquet").option("path", str(tmp_path / "out")).start())
+        q.awaitTermination()
+    finally:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+    # One entry a key would be 601 of them.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    got = spark.read.parquet(str(tmp_path / "out")).filter("not late").select(*KEYS).collect()
+    assert sorted(map(tuple, got), key=str) == sorted({r[:2] for r in rows}, key=str)
+
+
+def test_keys_of_any_plain_type_come_out_as_they_were(spark, tmp_path):
+    path = str(tmp_path / "in")
+    keyed = "d double, s string, b boolean, day date, at timestamp, n decimal(9,2), raw binary"
+    rows = spark.sql("select cast(c1 as double) d, c2 s, c3 b, date'2024-02-29' day, timestamp'2024-02-29 01:02:03.000004' at, cast(1.25 as decimal(9,2)) n, "
+                     "cast('x' as binary) raw, timestamp'2024-03-01 00:00:00' ts from values ('1.5', 'x', true), (null, null, null), (null, null, null), ('-2', '', false), ('1.5', 'x', true)"
+                     " as t(c1, c2, c3)")
+    _write(rows, path)
+    keys = [k.split()[0] for k in keyed.split(", ")]
+    sink = SS.run_stateful(SS.dedup_bounded(ST.read_stream(spark, path), keys, "ts"), "t-types")
+    cols = [F.col(k).cast("string") for k in keys]
+    assert sorted(map(tuple, sink.select(*cols).collect()), key=str) == sorted(map(tuple, rows.select(*cols).distinct().collect()), key=str)
