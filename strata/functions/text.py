@@ -19,6 +19,11 @@ CLEAN_PATTERN = (
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 )
 
+# The same set, told in the order that is cheap: ASCII by one bit set (characters listed one by one share
+# it in Java), the ranges for other characters only. The plain form tries range after range on every character.
+_DROPPED = "".join(f"\\x{i:02x}" for i in range(128) if not (chr(i).isalnum() or chr(i).isspace()))
+FAST_PATTERN = f"[{_DROPPED}[\\x80-\\x{{10FFFF}}&&{CLEAN_PATTERN}]]"
+
 # Token separators used by the vocabulary and the encoder.
 TOKEN_SPLIT = "[ \\t\\n\\r\\f]+"
 
@@ -29,7 +34,7 @@ def col_of(c: str | Column) -> Column:
 
 def clean_text(c: str | Column) -> Column:
     """B2: drop every character outside the kept set."""
-    return F.regexp_replace(col_of(c), CLEAN_PATTERN, "")
+    return F.regexp_replace(col_of(c), FAST_PATTERN, "")
 
 
 def pad_code(c: str | Column, digits: int) -> Column:

@@ -15,7 +15,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -99,10 +99,15 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores. A table of few row groups is read by
-    few tasks, and whatever runs over its texts would keep the other cores idle; one of many is left as it is."""
+    """``df``, a plain scan, with rows in at least as many partitions as there are cores. A table of few row groups
+    is read by few tasks (splits of a file that begin no row group are empty), and whatever runs over its texts
+    would keep the other cores idle; one of many is left as it is. Partitions with rows are counted without
+    reading a column."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.rdd.getNumPartitions()
+    if parts >= cores and df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(max(cores, parts))
 
 
 TARGET_PARTITION_BYTES = 128 << 20

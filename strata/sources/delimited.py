@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strata.functions.text import TEXT_COLS
+from strata.session import drop_table, scratch_path
 
 CP949 = "MS949"
 UTF8 = "UTF-8"
@@ -113,15 +114,30 @@ def encodable(df: DataFrame, charset: str) -> bool:
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|", encoding: str = CP949,
-                    fallback: str = UTF8, header: bool = True, mode: str = "overwrite") -> str:
+                    fallback: str = UTF8, header: bool = True, mode: str = "overwrite", stored: bool = False) -> str:
     """A2: write ``sep``-separated text; if a value cannot be written in
-    ``encoding``, write the whole table in ``fallback``. Returns the charset used."""
-    legacy_charsets(df.sparkSession)
+    ``encoding``, write the whole table in ``fallback``. Returns the charset used.
+
+    The rows are read twice, by the check and by the writer. Unless they are ``stored`` (``df`` only reads
+    a table) they are computed once, into a scratch table; where the fallback is the encoding itself,
+    there is nothing to check."""
+    spark = df.sparkSession
+    legacy_charsets(spark)
     encoding = charset(encoding)
-    chosen = encoding if encodable(df, encoding) else fallback
+    kept = None
+    if encoding == fallback:
+        chosen = encoding
+    else:
+        if not stored:
+            kept = scratch_path(spark, "to-write")
+            df.write.parquet(kept)
+            df = spark.read.schema(df.schema).parquet(kept)
+        chosen = encoding if encodable(df, encoding) else fallback
     (df.write.mode(mode).options(**DIALECT).option("sep", sep).option("header", header).option("encoding", chosen)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
+    if kept:
+        drop_table(spark, kept)
     return chosen
 
 

@@ -79,3 +79,31 @@ def test_indented_json_with_a_byte_order_mark_and_in_korean(spark, tmp_path):
     assert [(r.loss, r.epochs) for r in got] == [("가나 CE", 0)]
     got = DL.read_table_json(spark, str(tmp_path / "run_id=1"), schema="loss string, epochs long", multi_line=True, encoding="cp949").collect()
     assert [(r.loss, r.epochs) for r in got] == [("가나 CE", 1)]
+
+
+def test_rows_are_computed_once_for_the_check_and_the_write(spark):
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+    df = spark.createDataFrame(ROWS, SCHEMA).withColumn("text_obj", counted.asNondeterministic()("text_obj"))
+    path = _fresh()
+    assert DL.write_delimited(df, path) == "MS949"
+    assert seen.value == len(ROWS)  # the check's pass was a second one
+    assert DL.read_delimited(spark, path).count() == len(ROWS)
+
+
+def test_a_table_of_one_row_group_is_spread_over_the_cores(spark):
+    from pyspark.sql import functions as F
+    from strata.session import spread
+    path = _fresh()
+    spark.range(0, 400_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("v")).write.parquet(path)
+    with DL._conf(spark, "spark.sql.files.openCostInBytes", "1"), DL._conf(spark, "spark.sql.files.maxPartitionBytes", "1000000"):
+        df = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert df.rdd.getNumPartitions() >= cores  # by its splits it seems spread
+        got = spread(df)
+        assert got.groupBy(F.spark_partition_id()).count().count() >= cores and got.distinct().count() == 400_000

@@ -41,3 +41,11 @@ def test_clean_hook_accepts_pandas_udf(spark):
     df = spark.createDataFrame([("ab", "c", "")], "text_obj string, text_mthd string, text_deal string")
     out = T.apply_text_fn(df, shout).first()
     assert (out.text_obj, out.text_mthd, out.text_deal) == ("AB", "C", "")
+
+
+def test_cleaning_keeps_the_same_characters_whichever_way_the_set_is_told(spark):
+    # Every code point; the ASCII ones are told apart without trying the ranges.
+    text = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    df = spark.createDataFrame([(text[i:i + 4096],) for i in range(0, len(text), 4096)] + [(None,)], "text string")
+    assert df.filter(~F.regexp_replace("text", T.CLEAN_PATTERN, "").eqNullSafe(T.clean_text("text"))).count() == 0
+    assert T.FAST_PATTERN.startswith("[\\x00") and "a-z" not in T.FAST_PATTERN.split("&&")[0]
