@@ -32,5 +32,5 @@ def clean_files(spark: SparkSession, data_path: str, out_path: str, sep: str = "
     rows = read_delimited(spark, data_path, sep=sep, encoding=read_as, multi_line=multi_line)
     # Read by both writers and their encoding checks.
     done = persist_table(clean_and_correct(rows, corrections, **limits), "corrected")
-    return (write_delimited(done, f"{out_path}.txt", sep=sep, encoding=encoding, fallback=UTF8),
-            write_delimited(done, f"{out_path}.csv", sep=",", encoding=encoding, fallback=UTF8))
+    return (write_delimited(done, f"{out_path}.txt", sep=sep, encoding=encoding, fallback=UTF8, stored=True),
+            write_delimited(done, f"{out_path}.csv", sep=",", encoding=encoding, fallback=UTF8, stored=True))
