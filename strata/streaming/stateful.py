@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BinaryType, BooleanType, IntegralType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, IntegralType, StringType, StructField, StructType, TimestampType
 
 from strata.streaming import jobs as ST
 
@@ -139,7 +139,9 @@ def dedup_bounded(events: DataFrame, keys: list[str], time_col: str, window: str
     belong to no window and are left out.
     """
     schema = StructType([*[events.schema[k] for k in keys], StructField(OPENED, TimestampType()), StructField(LATE, BooleanType())])
-    plain = {k: object for k in keys if isinstance(events.schema[k].dataType, (IntegralType, BooleanType))}
+    # Whole numbers pass through Python as text: beside nulls pandas would make floats of them.
+    whole = [k for k in keys if isinstance(events.schema[k].dataType, IntegralType)]
+    passed = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in schema])
     timed = events.select(*keys, F.col(time_col).cast("timestamp").alias("_at")).filter("_at is not null").select("*", F.window("_at", window).alias("_w"))
     opened = timed.select(*keys, F.unix_micros("_w.start").alias("_from"), F.unix_millis("_w.end").alias("_to"), "_at")
     group = [*keys, "_from", "_to"]
@@ -169,17 +171,18 @@ def dedup_bounded(events: DataFrame, keys: list[str], time_col: str, window: str
         if state.exists:
             state.setTimeoutDuration(sweep_ms)
         if new:
-            # Nulls stay None in columns of whole numbers.
-            cols = {k: pd.Series([r[k] for r in new], dtype=plain.get(k)) for k in keys}
+            objects = (StringType, BooleanType)
+            cols = {k: pd.Series([r[k] for r in new], dtype=object if isinstance(passed[k].dataType, objects) else None) for k in keys}
             yield pd.DataFrame({**cols, OPENED: pd.Timestamp(opens, unit="us"), LATE: over})
 
     # A hot key leaves an Arrow batch as one row, before the shuffle by bucket; the latest time stays for
     # the watermark. Timeouts by processing time: by event time Spark itself would drop the late rows.
     fewer = opened.mapInArrow(latest, opened.schema).withWatermark("_at", delay)
     # The keys travel as one struct: a single column to convert for each group.
-    dealt = fewer.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), "_from", "_to", F.struct(*keys).alias("_key"), "_at")
-    return dealt.groupBy("_bucket", "_from", "_to").applyInPandasWithState(
-        first, schema, StructType([StructField("seen", BinaryType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    dealt = fewer.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), "_from", "_to", F.struct(*[F.col(k).cast(passed[k].dataType).alias(k) for k in keys]).alias("_key"), "_at")
+    found = dealt.groupBy("_bucket", "_from", "_to").applyInPandasWithState(
+        first, passed, StructType([StructField("seen", BinaryType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def settled(sink: DataFrame, keys: list[str]) -> DataFrame:

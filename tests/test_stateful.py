@@ -121,8 +121,8 @@ def test_a_whole_table_sink_keeps_the_last_whole_version(spark, tmp_path):
 
 
 def test_state_keeps_the_keys_of_a_window_in_few_entries(spark, tmp_path):
-    path = str(tmp_path / "in")
-    rows = [(u, t, "2024-01-01 12:00:00") for u in range(300) for t in "ab"] + [(None, "a", "2024-01-01 12:00:00")]
+    path, big = str(tmp_path / "in"), 2**53 + 1
+    rows = [(u, t, "2024-01-01 12:00:00") for u in range(300) for t in "ab"] + [(big, "a", "2024-01-01 12:00:00"), (None, "a", "2024-01-01 12:00:00")]
     for k in range(2):
         _write(_events(spark, rows[k * 300:] + rows[:50]), path)
     stream = SS.dedup_bounded(ST.read_stream(spark, path, files_per_batch=1), KEYS, "ts", buckets=4)
@@ -136,7 +136,7 @@ def test_state_keeps_the_keys_of_a_window_in_few_entries(spark, tmp_path):
     finally:
         for k, v in settings.items():
             spark.conf.set(k, v)
-    # One entry a key would be 601 of them.
+    # One entry a key would be 602 of them.
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
     got = spark.read.parquet(str(tmp_path / "out")).filter("not late").select(*KEYS).collect()
     assert sorted(map(tuple, got), key=str) == sorted({r[:2] for r in rows}, key=str)
