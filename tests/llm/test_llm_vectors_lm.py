@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -232,3 +233,34 @@ def test_default_model_holds_every_word_and_bigram(spark):
     for head in (xent.HEAD, 2):
         got = sorted((r.n_tokens, r.target_loss, r.background_loss) for r in xent.cross_entropy_difference(docs, good, head=head).collect())
         assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_scores_are_the_same_from_many_blocks_buckets_and_parts_of_contexts(spark, monkeypatch):
+    monkeypatch.setattr(xent, "BLOCK", 300)
+    monkeypatch.setattr(xent, "PER_BUCKET", 200)
+    monkeypatch.setattr(xent, "PER_WORDS", 500)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"the w{k}" if k % 3 else f"w{k}" for k in rng.zipf(1.3, 40) % 200)) for i in range(120)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    texts = dict(docs)
+    good = [i for i in texts if i % 2]
+    got = {r.doc_id: r for r in xent.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    vocabulary = {w for t in texts.values() for w in xent.words(t)}
+    kept = {p for t in texts.values() for p in zip(["<s>", *xent.words(t)], xent.words(t))}
+    models = [plain_model(x, vocabulary, kept)[0] for x in ([texts[i] for i in good], list(texts.values()))]
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        w = xent.words(t)
+        want = [-sum(logp(*p) for p in zip(["<s>", *w], w)) for logp in models]
+        assert got[i].n_tokens == len(w) and np.allclose([got[i].target_loss, got[i].background_loss], want, rtol=1e-9)
+
+
+def test_the_model_of_a_corpus_is_written_in_less_than_its_texts(spark, tmp_path):
+    """Packed rows of blocks and buckets, not a copy of the texts and a row per bigram."""
+    from strata.session import checkpoint_dir
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    xent.cross_entropy_difference(docs, docs.filter("doc_id % 2 = 0").select("doc_id"), name=tmp_path.name).count()
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    written = sum(f.stat().st_size for d in folder.glob(f"strata-{tmp_path.name}-*") for f in d.rglob("*.parquet"))
+    assert 0 < written < sum(len((t or "").encode()) for _, t in documents())
