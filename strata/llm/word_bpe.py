@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm.common import id_text
+from strata.llm.common import give_back, id_text, in_parts
 from strata.llm.tokens import from_ranks, rank_table
 
 #: Bytes of text of one block, and buckets that the words of all blocks are dealt to.
@@ -123,6 +123,8 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int, want:
                     block, size, numbers, held = block + 1, 0, _Numbers(), []
         if held and (rows := make(block, *_numbered(block, numbers, held))) is not None:
             yield rows
+        del numbers, held
+        give_back()
 
     schema = "block long, doc_id long, data binary" if want == "docs" else "block long, bucket int, numbers binary, sizes binary, words binary"
     return docs.mapInArrow(run, schema)
@@ -145,7 +147,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, block_bytes:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = from_ranks(ranks)
         known: dict[bytes, list[int]] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in in_parts(whole)):
             for block, numbers, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("block", "numbers", "sizes", "words"))):
                 raw, ends, got, at = zstandard.decompress(raw), np.cumsum(unpack_ints(sizes)).tolist(), [], 0
                 for end in ends:
@@ -158,6 +160,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, block_bytes:
                 flat = np.fromiter((i for x in got for i in x), np.int64, int(size.sum()))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers], pa.binary()), pa.array([pack_ints(size)], pa.binary()),
                                                   pa.array([pack_ints(flat)], pa.binary())], names=["block", "numbers", "sizes", "ids"])
+        del known
+        give_back()
 
     coded = words.repartition(width, "bucket").mapInArrow(merge, "block long, numbers binary, sizes binary, ids binary")
     held = _blocks(base, pattern, width, block_bytes, "docs")
@@ -175,6 +179,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, block_bytes:
             out.append(flat[np.repeat(begin[x] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
             ends.append(ends[-1] + len(out[-1]))
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
+        del out, number, size, flat, begin, length
+        give_back()
         return pa.table({"doc_id": left["doc_id"], "ids": ids})
 
     return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
@@ -193,20 +199,28 @@ def token_table(ranks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _tables[ranks]
 
 
+def decoded_bytes(ids: pa.Array, ranks: str) -> pa.Array:
+    """The bytes of each row's ids, joined; the rows of a batch share one buffer, which the array takes as it is."""
+    table, start, size = token_table(ranks)
+    flat, off = np.asarray(ids.values), np.asarray(ids.offsets)
+    out, ends = bytearray(), [0]
+    for i, j in zip(off[:-1], off[1:]):
+        x = flat[i:j]
+        n = size[x]
+        at = np.repeat(start[x] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out += table[at].data
+        ends.append(len(out))
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(out)])
+
+
 def decode(ids: DataFrame, ranks: str) -> DataFrame:
     """(.., ids array<int>) -> the same with ``decoded`` binary: the bytes of the ids, joined."""
 
     @F.arrow_udf("binary")
     def join(a: pa.Array) -> pa.Array:
-        table, start, size = token_table(ranks)
-        flat, off = np.asarray(a.values), np.asarray(a.offsets)
-        out = []
-        for i, j in zip(off[:-1], off[1:]):
-            x = flat[i:j]
-            n = size[x]
-            at = np.repeat(start[x] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            out.append(table[at].tobytes())
-        return pa.array(out, pa.binary())
+        out = decoded_bytes(a, ranks)
+        give_back()
+        return out
 
     return ids.withColumn("decoded", join(F.col("ids")))
 

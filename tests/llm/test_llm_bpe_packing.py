@@ -1,11 +1,13 @@
 """Encoding, decoding and packing against the public libraries and exact invariants."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from fixtures_llm import SF, documents, empty, odd, odd_rows
 from tokenizers import Tokenizer
@@ -42,6 +44,23 @@ def test_bpe_odd_rows_small_blocks_and_round_trip(spark):
     assert word_bpe.encode(empty(spark), RANKS).count() == 0
 
 
+def test_decoding_holds_the_bytes_of_a_batch_once():
+    texts = [(t or "") * 20 for _, t in documents()[:200]]
+    enc = reference()
+    ids = pa.array([enc.encode_ordinary(t) for t in texts], pa.list_(pa.int32()))
+    size = sum(len(t.encode()) for t in texts)
+    word_bpe.token_table(RANKS)
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    got = word_bpe.decoded_bytes(ids, RANKS)
+    held, _ = tracemalloc.get_traced_memory()
+    arrow = pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert [x.as_py() for x in got] == [t.encode() for t in texts] and got.type == pa.binary()
+    assert held + arrow < 1.4 * size and arrow < size / 10
+    assert len(word_bpe.decoded_bytes(ids.slice(0, 0), RANKS)) == 0
+
+
 def test_pre_tokens_join_to_the_text_for_ascii_and_other_texts():
     for _, t in documents()[:200]:
         assert "".join(word_bpe.pre_tokens(t, P.PATTERN)) == t
