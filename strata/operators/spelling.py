@@ -8,6 +8,8 @@ or one's spelling with a gap is the other's whole spelling (a letter too many or
 Words that meet under one key differ in a single letter, so a key has no more words than the alphabet
 has letters, however frequent the words are: the index is joined by keys that cannot be hot. Counting
 comes first and is combined map-side, so a word that is a third of all tokens is one row here.
+Of the first side, which has all words, only entries go to the join whose key may be among the
+second's (a Bloom filter); most words have no neighbour, and their entries are many times the words.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strata.functions.text import col_of
+from strata.operators.membership import member_filter
 
 # Fixed values of the Hangul blocks: syllables from U+AC00, 28 finals (none included) and 21 vowels.
 FIRST_SYLLABLE, FINALS, VOWELS = 0xAC00, 28, 21
@@ -63,21 +66,23 @@ def delete_index(words: DataFrame, second: bool) -> DataFrame:
 
 
 def near_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(word, n) tables -> (word, n, other, other_n): every pair exactly one letter apart, once."""
+    """(word, n) tables -> (word, n, other, other_n): every pair exactly one letter apart, once. ``second`` is read twice."""
     spelled = lambda df: df.select("word", "n", letters("word").alias("spelling"))
-    a = delete_index(spelled(first), False)
-    b = delete_index(spelled(second), True).select("key", "how", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("spelling").alias("other_spelling"))
-    met = a.join(b, ["key", "how"]).filter("word <> other")
-    return met.filter(F.levenshtein("spelling", "other_spelling") == 1).select("word", "n", "other", "other_n")
+    index = lambda df, side: delete_index(spelled(df), side).select("key", "how", "word", "n")
+    entry = F.xxhash64("key", "how")
+    a, b = index(first, False), index(second, True).select("key", "how", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    entries = second.agg(F.sum(2 * F.length(letters("word")) + 1)).first()[0] or 0
+    met = a.filter(member_filter(b.select(entry), entries)(entry)).join(b, ["key", "how"]).filter("word <> other")
+    return met.filter(F.levenshtein(letters("word"), letters("other")) == 1).select("word", "n", "other", "other_n")
 
 
 def correction_candidates(counts: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = MIN_COUNT, ratio: int = RATIO) -> DataFrame:
     """(word, n) -> (wrong, right, wrong_n, right_n, candidates): for each word with a much more
     frequent word one letter apart, the most frequent such word (ties: the first by code point).
 
-    ``counts`` is read twice and should be a table.
+    ``counts`` is read four times and should be a table; its counts start at 1.
     """
     long = counts.filter(F.length(letters("word")) >= min_letters)
-    pairs = near_pairs(long, counts.filter(F.col("n") >= min_count)).filter(F.col("other_n") >= ratio * F.col("n"))
+    pairs = near_pairs(long, counts.filter(F.col("n") >= max(min_count, ratio))).filter(F.col("other_n") >= ratio * F.col("n"))
     best = pairs.groupBy("word", "n").agg(F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("w"))).alias("b"), F.count(F.lit(1)).alias("candidates"))
     return best.select(F.col("word").alias("wrong"), F.col("b.w").alias("right"), F.col("n").alias("wrong_n"), (-F.col("b.less")).alias("right_n"), "candidates")

@@ -9,6 +9,7 @@ a temporary folder when that is unset; any other master raises.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -82,20 +83,35 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose frames are gone: it does so when the driver's
+    garbage is collected, which may be long after a job that left much on disk."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    This cuts lineage (a lost executor re-reads the table instead of
-    re-running the shuffles behind it) and keeps the result columnar, so later
-    passes read only the columns they need.
-    """
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> tuple[str, DataFrame]:
+    """The path of a scratch table with the rows of ``df``, as parquet (compressed by ``codec``, or as the
+    session has it), and the table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return path, spark.read.parquet(path)
+
+
+def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and read it back.
+
+    This cuts lineage (a lost executor re-reads the table instead of
+    re-running the shuffles behind it) and keeps the result columnar, so later
+    passes read only the columns they need.
+    """
+    return stored(df, name, partition_by)[1]
 
 
 def spread(df: DataFrame) -> DataFrame:

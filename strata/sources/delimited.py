@@ -130,7 +130,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = "|", encoding: str = CP
     else:
         if not stored:
             kept = scratch_path(spark, "to-write")
-            df.write.parquet(kept)
+            df.write.option("compression", "zstd").parquet(kept)
             df = spark.read.schema(df.schema).parquet(kept)
         chosen = encoding if encodable(df, encoding) else fallback
     (df.write.mode(mode).options(**DIALECT).option("sep", sep).option("header", header).option("encoding", chosen)

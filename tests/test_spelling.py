@@ -61,3 +61,41 @@ def test_the_job_writes_both_outputs_and_falls_back_for_letters_that_the_charset
             got = {r.id: (r.text_obj, r.text_mthd, r.text_deal) for r in CL.read_delimited(spark, f"{out}.{end}", sep=sep, encoding=charset).collect()}
             assert got[60] == ("common word", "common", "") and got[1] == ("똠방각하 common", "common", "") and got[61] == got[62] == ("", "common", "")
             assert len(got) == len(rows)
+
+
+def test_the_filter_holds_every_key_and_few_others(spark, monkeypatch):
+    from strata.operators import membership as MB
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    others = spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id").alias("h"))
+    monkeypatch.setattr(MB, "SLICE", 1 << 12)  # many slices
+    holds = MB.member_filter(keys, 5000)
+    assert keys.filter(holds(F.col("h"))).count() == 5000
+    assert others.filter(holds(F.col("h"))).count() < 2000
+    monkeypatch.setattr(MB, "MAX_BITS", 1 << 12)  # too few bits for the keys: all of them still pass
+    assert keys.filter(MB.member_filter(keys, 5000)(F.col("h"))).count() == 5000
+    assert others.filter(MB.member_filter(keys.limit(0), 0)(F.col("h"))).count() == 0
+
+
+def test_words_without_a_neighbour_stay_out_of_the_join(spark, monkeypatch):
+    words = [(f"frequent{i:03d}", 100) for i in range(20)] + [("frequent0x1", 2)] + [(f"{i:06d}lonely{i * 7919 % 10**6:06d}", 1) for i in range(3000)]
+    df = spark.createDataFrame(words, "word string, n long")
+    seen, build = [], SP.member_filter
+    monkeypatch.setattr(SP, "member_filter", lambda hashes, rows: seen.append(build(hashes, rows)) or seen[-1])
+    got = {r.wrong: r.right for r in SP.correction_candidates(df).collect()}
+    assert got == {"frequent0x1": "frequent001"} and len(seen) == 1
+    index = SP.delete_index(df.select("word", "n", SP.letters("word").alias("spelling")), False)
+    assert index.filter(seen[0](F.xxhash64("key", "how"))).count() < 0.1 * index.count()
+
+
+def test_the_job_leaves_its_outputs_only(spark, tmp_path, monkeypatch):
+    import os
+    from strata import session
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path / "scratch"))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id long, digit_1 string, digit_2 int, digit_3 int, text_obj string, text_mthd string, text_deal string"
+    CL.write_delimited(spark.createDataFrame([(1, "A", 1, 2, "one", None, "two")], schema), path)
+    CL.clean_files(spark, path, out)
+    assert os.path.isdir(path) and os.listdir(tmp_path / "scratch") == []
+    CL.clean_files(spark, path, out, scratch=True)
+    assert not os.path.exists(path) and os.listdir(tmp_path / "scratch") == []
+    assert [tuple(r) for r in CL.read_delimited(spark, f"{out}.txt").collect()] == [(1, "A", 1, 2, "one", "", "two")]
