@@ -1,7 +1,7 @@
 """Which rows can find a partner at all: a Bloom filter of the other side's keys.
 
-Rows that it turns away have no partner; of those it lets through about one in fifty has none, which the
-join after it tells. Its bits are laid out slice by slice on the executors (a task holds its slices, not
+Rows that it turns away have no partner; of the others without one it lets about one in fifty through, which
+the join after it tells. Its bits are laid out slice by slice on the executors (a task holds its slices, not
 the whole), and their number is that of the keys times BITS up to MAX_BITS, above which it only lets
 more rows through.
 """
